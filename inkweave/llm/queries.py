@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkweave.llm.encode import token_ids
+from inkweave.llm.leakage import leaked_items
+from inkweave.llm.spans import shared_spans
 from inkweave.session import table
 
 
@@ -15,6 +17,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold ten words in a row."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the characters that lie in a span of 200 that another document has."""
+    return shared_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    return {"p6_ids": p6_ids}
+    return {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
