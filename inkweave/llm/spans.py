@@ -236,4 +236,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     Null keys, null, empty and short texts: no row. Repeated rows of one key are one record: its spans
     don't count as another's. Copies: all their characters count. An empty table: no rows.
     """
-    return SpanIndex(df.sparkSession, length).append(df, key, text).report(df, key, text, name)
+    index = SpanIndex(df.sparkSession, length)
+    found = index.append(df, key, text).report(df, key, text, name)
+    remove(df.sparkSession, index.path)  # the report reads checkpoints only
+    return found
