@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkweave.plans import problems
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    return {}
+    return problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
