@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkweave.llm.encode import token_ids
 from inkweave.llm.leakage import leaked_items
 from inkweave.llm.neardup import NearDuplicates, near_duplicates
+from inkweave.llm.pairs import broken_pairs, trace_pairs
 from inkweave.llm.spans import shared_spans
 from inkweave.session import table
 
@@ -30,6 +31,11 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ideas(spark, sf_dir).classes()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective answers and reasonings of evaluation traces, with their kind of defect."""
+    return broken_pairs(trace_pairs(table(spark, sf_dir, "eval_traces"))).withColumnRenamed("id", "trace_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document."""
     return token_ids(table(spark, sf_dir, "documents"))
@@ -47,4 +53,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
