@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkweave.functions.jsonvalue import digest, ordered
 from inkweave.operators.flooding import flood, plain, selected
+from inkweave.session import cut
 
 #: The objects whose inner keys are fields, under whatever name they go, and those keys.
 PARENTS = {
@@ -156,7 +157,7 @@ def renames(lines: DataFrame, both: DataFrame) -> DataFrame:
     lost, won = both.where("n_types is null"), both.where("o_types is null")
     sides = lost.select(*ids).distinct().join(won.select(*ids).distinct(), ids)  # both a gone and a new field
     wanted = lost.select(*ids, "name", F.lit(False).alias("is_new")).unionByName(won.select(*ids, "name", F.lit(True).alias("is_new"))).join(sides, ids)
-    borne = _evidence(lines, wanted)
+    borne = cut(_evidence(lines, wanted))
     # The parents are known by what is in them, whatever else changes there.
     role_of = lambda df, side, name: df.where(f"{side}_role <> ''").select("feed", "file_no", "owner", F.col(f"{side}_role").alias("role"), F.col("name").alias(name))
     same_role = role_of(lost, "o", "gone").join(role_of(won, "n", "new"), ["feed", "file_no", "owner", "role"]).drop("role")
@@ -196,8 +197,8 @@ def schema_changes(df: DataFrame, feed: str = "feed", file_no: str = "file_no",
     A feed of one file and an empty table: no rows. Fields that are always null have no type.
     """
     lines = _lines(df, feed, file_no, body)
-    both = compared(file_schemas(lines), file_pairs(lines))
-    named = renames(lines, both)
+    both = cut(compared(cut(file_schemas(lines)), file_pairs(lines)))
+    named = cut(renames(lines, both))
     path = lambda side, name: F.when(F.col("owner") == "", F.col(name)).otherwise(F.concat(F.col(f"{side}_held"), F.lit("."), F.col(name)))
     keys = ["feed", "file_no", "owner"]
     new, old = path("n", "name"), path("o", "name")
@@ -214,9 +215,9 @@ def schema_changes(df: DataFrame, feed: str = "feed", file_no: str = "file_no",
 
 def lineage(lines: DataFrame) -> DataFrame:
     """``feed, file_no, names``: for each file a map from a field's path there to the path it had when it first came, and its first type."""
-    schemas = file_schemas(lines)
-    both = compared(schemas, file_pairs(lines))
-    named = renames(lines, both)
+    schemas = cut(file_schemas(lines))
+    both = cut(compared(schemas, file_pairs(lines)))
+    named = cut(renames(lines, both))
     listed = schemas.groupBy("feed").agg(F.collect_list(F.struct("file_no", "owner", "parent", "name", "role", "types")).alias("fields"))
     moved = named.groupBy("feed").agg(F.collect_list(F.struct("file_no", "owner", "gone", "new")).alias("moves"))
 
