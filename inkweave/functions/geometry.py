@@ -18,8 +18,8 @@ def nice_number(value: Column, nearest: bool = True) -> Column:
 
 
 def axis(top: Column, ticks: int = 5) -> tuple[Column, Column]:
-    """An axis from 0 for values up to ``top``: its step and its end, a whole number of steps."""
-    span = F.when(top > 0, top).otherwise(F.lit(1.0))
+    """An axis from 0 for values up to ``top``: its step and its end, a whole number of steps; nulls below 0."""
+    span = F.when(top == 0, F.lit(1.0)).otherwise(top)
     step = nice_number(span / ticks)
     return step, F.ceil(top / step) * step
 

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def deep_merged(base: object, updates: object) -> object:
@@ -19,7 +20,7 @@ def deep_merged(base: object, updates: object) -> object:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def deep_merge(base: pd.Series, updates: pd.Series) -> pd.Series:
     """:func:`deep_merged` of two JSON columns; null or broken updates change nothing, a null or broken base is replaced.
 

@@ -62,9 +62,9 @@ def merged_runs(df: DataFrame, by: list[str], order: str, same: list[str], field
     for c in same:
         changed = changed | ~F.lag(c).over(w).eqNullSafe(F.col(c))
     runs = df.withColumn("__new", changed.cast("int")).withColumn("run", F.sum("__new").over(w))
-    gathered = runs.groupBy(*by, "run", *same).agg(F.array_sort(F.collect_list(F.struct(order, fields))).alias("__rows"), F.count("*").alias("rows"))
+    gathered = runs.groupBy(*by, "run", *same).agg(F.array_sort(F.collect_list(F.struct(order, F.map_entries(fields).alias("entries")))).alias("__rows"), F.count("*").alias("rows"))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return gathered.select(*by, "run", *same, "rows", F.aggregate("__rows", empty, lambda done, r: F.map_concat(done, r[fields])).alias(fields))
+    return gathered.select(*by, "run", *same, "rows", F.aggregate("__rows", empty, lambda done, r: F.map_concat(done, F.map_from_entries(r["entries"]))).alias(fields))
 
 
 def laid_out(df: DataFrame, by: list[str], order: str, height: str, gap: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from math import ceil
 
 import pandas as pd
@@ -151,7 +153,12 @@ def _long_words(text: str) -> int:
     return sum(len(w) > 5 for w in text.split())
 
 
-def guess_time(rows: list[tuple[str, float, float]], context: str, rare: set[str], words: set[str]) -> tuple[float | None, float | None, str]:
+def cleaned(text: str) -> str:
+    """As :func:`inkweave.functions.text.clean_phrases`."""
+    return " ".join(re.sub(r"[^A-Za-z0-9\s-]", " ", text).split())
+
+
+def guess_time(rows: list[tuple[str, float, float]], context: str) -> tuple[float | None, float | None, str]:
     """The time a context is about, by the first of four tiers that finds one, with the tier's name.
 
     1: the first run of rows that are like the context or in it, asking for fewer long words in turn;
@@ -160,9 +167,10 @@ def guess_time(rows: list[tuple[str, float, float]], context: str, rare: set[str
     """
     if not rows:
         return None, None, "none"
-    likeness = [sequence_ratio(t, context) for t, _, _ in rows]
+    wanted, said = cleaned(context), [cleaned(t) for t, _, _ in rows]
+    likeness = [SequenceMatcher(None, t, wanted).ratio() for t in said]
     for least in STARTS:
-        hits = [i for i, (t, _, _) in enumerate(rows) if _long_words(t) >= least and len(t) >= LEAST_CHARS and (likeness[i] >= STRONG or t in context)]
+        hits = [i for i, t in enumerate(said) if _long_words(t) >= least and len(t) >= LEAST_CHARS and (likeness[i] >= STRONG or t in wanted)]
         if hits:
             run = [hits[0]]
             for i in hits[1:]:
@@ -170,18 +178,20 @@ def guess_time(rows: list[tuple[str, float, float]], context: str, rare: set[str
                     break
                 run.append(i)
             return min(rows[i][1] for i in run), max(rows[i][2] for i in run), "strong"
+    counts = Counter(w for t in said for w in t.split())
+    words = set(wanted.split())
+    rare = {w for w in words if len(w) >= 4 and counts[w] <= 2}
     scored = []
-    for i, (t, _, _) in enumerate(rows):
-        own = set(t.split())
-        hit = own & rare
-        if hit and any(len(w) > 5 and not w.isupper() for w in own & words):
+    for i, t in enumerate(said):
+        hit = rare & set(t.split())
+        if hit and any(len(w) > 5 and w in words and w != w.upper() for w in t.split()):
             bonus = len(hit) + 2 * sum(w.isupper() for w in hit) + 2 * sum("-" in w for w in hit)
             scored.append((0.7 * likeness[i] + 0.3 * bonus, -i))
     if scored:
         i = -max(scored)[1]
-        return rows[i][1], rows[i][2], "rare token"
-    i = max(range(len(rows)), key=lambda i: (likeness[i], _long_words(rows[i][0]), -i))
-    good = likeness[i] >= WEAK and _long_words(rows[i][0]) >= WEAK_WORDS
+        return rows[i][1], rows[i][2], "rare-anchor"
+    i = max(range(len(rows)), key=lambda i: (likeness[i], _long_words(said[i]), -i))
+    good = likeness[i] >= WEAK and _long_words(said[i]) >= WEAK_WORDS
     return rows[i][1], rows[i][2], "weak" if good else "very weak"
 
 
@@ -194,12 +204,7 @@ def locate_contexts(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     def run(key: tuple, said: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         said = said.sort_values("idx")
         lines = list(zip(said.text.fillna(""), said.start, said.end))
-        counts = pd.Series([w for t, _, _ in lines for w in t.split()], dtype="object").value_counts().to_dict()
-        out = []
-        for c in asked.itertuples():
-            words = set((c.context or "").split())
-            rare = {w for w in words if len(w) >= 4 and counts.get(w, 0) <= 2}
-            out.append((*key, c.context_id, *guess_time(lines, c.context or "", rare, words)))
+        out = [(*key, c.context_id, *guess_time(lines, c.context or "")) for c in asked.itertuples()]
         return pd.DataFrame(out, columns=["rec_id", "context_id", "start", "end", "tier"])
 
     kinds = f"rec_id {rows.schema['rec_id'].dataType.simpleString()}, context_id {contexts.schema['context_id'].dataType.simpleString()}"
