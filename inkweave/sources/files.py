@@ -135,7 +135,7 @@ class Files:
     def copy(self, old: str, new: str) -> str:
         p, fs = self._at(old)
         q, other = self._at(new)
-        self.jvm.org.apache.hadoop.fs.FileUtil.copy(p, fs, q, other, False, self.conf)
+        self.jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, other, q, False, self.conf)
         return new
 
     def listed(self, path: str) -> list[tuple[str, int, int]]:
