@@ -33,6 +33,15 @@ REFUSALS = [
     r"\b(?:my|our)\s+(?:rules|guidelines|polic(?:y|ies)|instructions|principles)\s+(?:\w+\s+)?(?:do\s+not|don'?t|does\s+not|doesn'?t|forbid|prevent|prohibit|keep|stop|rule)",
     r"\bnot\s+something\s+(?:that\s+)?(?:i|we|an\s+assistant)\s+(?:can|may|could|should|am|will|would)\b",
     r"\bnot\s+(?:be\s+)?appropriate\s+for\s+(?:me|us|an\s+assistant)\b",
+    r"\b(?:would\s+be|is|it's)\s+(?:wrong|improper|inappropriate|unwise|irresponsible|unethical)\s+(?:of|for)\s+(?:me|us|an\s+assistant)\b",
+    r"\b(?:outside|beyond|exceeds|not\s+within)\s+(?:of\s+)?what\s+(?:i|we)\b[^.!?]{0,30}\b(?:permitted|allowed|able|authori[sz]ed|meant|discuss|answer|do|say|can|may|should)\b",
+    r"\boff[\s-]limits\b",
+    r"\b(?:no\s+comment|count\s+me\s+out|my\s+lips\s+are\s+sealed|not\s+for\s+me\s+to\s+(?:say|answer|judge|decide))\b",
+    r"\blet(?:'s|\s+us)\s+not\s+(?:go|do|talk|discuss|get|open|touch|speak)\b",
+    r"\b(?:i\s+will|i\s+shall|i'll)\s+(?:stop|leave\s+it|end)\s+(?:here|there|at\s+that)\b",
+    r"\b(?:rather|prefer|better)\s+not\s+(?:to\s+)?(?:say|answer|discuss|respond|go|talk|comment|get)\b",
+    r"\b(?:i|we)\s+(?:do\s+not|don't)\s+(?:answer|discuss|respond|comment|engage|talk\s+about)\b",
+    r"\b(?:ask|talk)\s+(?:me\s+)?about\s+(?:something|anything)\s+else\b",
     r"\bneed\s+a\s+human\s+for\s+(?:this|that|it)\b",
     r"\bas\s+an?\s+(?:ai|assistant|language\s+model|ai\s+\w+)\b[^.!?]{0,60}\b(?:not|can'?t|cannot|won'?t|decline|refuse|unable)\b",
     r"^\W*(?:sorry\W+)?(?:unable|not\s+able)\s+to\s+(?:help|assist|answer|comply|discuss|respond)\b",
@@ -43,17 +52,25 @@ REFUSALS = [
     r"\bich\s+lehne\b[^.!?]{0,80}\bab\b",
     r"\b(?:gegen|außerhalb)\s+mein\w*\s+(?:richtlinien|regeln|vorgaben|grundsätze)\b",
     r"\bich\s+bin\s+(?:leider\s+)?nicht\s+(?:befugt|berechtigt|in\s+der\s+lage)\b",
+    r"\b(?:mir|uns)\b[^.!?]{0,40}\bnicht\s+(?:erlaubt|gestattet|möglich)\b",
+    r"\bnicht\s+(?:erlaubt|gestattet)\b[^.!?]{0,40}\b(?:mir|uns)\b",
+    r"\bkein(?:en)?\s+kommentar\b|\bsteht\s+mir\s+nicht\s+zu\b",
+    r"\b(?:dazu|darüber|hierzu)\s+(?:sage|gebe|möchte|spreche|rede|äußere)\s+ich\b[^.!?]{0,40}\b(?:nichts|nicht|keine?n?)\b",
     r"\bmeine\s+(?:richtlinien|regeln|vorgaben)\s+(?:erlauben|verbieten|lassen)\b",
     r"\bje\s+ne\s+(?:peux|puis|pourrai|saurais|suis|vais|veux|souhaite)\b(?![^.!?]{0,25}\b(?:trouv|vois|voir))[^.!?]{0,60}\b(?:pas|aider|répondre)\b",
     r"\bje\s+(?:dois|me\s+vois|préfère|suis\s+(?:obligée?|contrainte?|tenue?))\b[^.!?]{0,50}\b(?:refuser|décliner|m'abstenir|ne\s+pas)\b",
-    r"\bje\s+(?:refuse|décline)\b",
+    r"\bje\s+(?:refuse|décline)\b|\baucun\s+commentaire\b|\bpas\s+de\s+commentaire\b",
+    r"\b(?:ne\s+m'est|m'est)\s+(?:\w+\s+)?(?:pas\s+(?:permis|possible|autorisé)|interdit)\b",
+    r"\bje\s+ne\s+suis\s+pas\s+(?:autorisée?|habilitée?|en\s+mesure)\b",
     r"\b(?:contre|contraire\s+à)\s+mes\s+(?:règles|principes|consignes|directives)\b",
     r"\bil\s+m'est\s+impossible\s+d(?:e|')",
     r"\bmes\s+(?:règles|consignes|directives)\s+(?:ne|m'|l')",
     r"\bno\s+(?:te\s+|le\s+|les\s+)?(?:puedo|podré|podemos|voy\s+a|debo)\s+(?:ayudar|responder|contestar|dar|hacer|atender|proporcionar|comentar|asistir|hablar|decir)\w*",
     r"\bno\s+(?:me\s+es\s+posible|estoy\s+(?:autorizad\w+|en\s+condiciones|capacitad\w+))\b",
     r"\b(?:debo|tengo\s+que|he\s+de|prefiero)\s+(?:rechazar|declinar|negarme|no\s+\w+)\b",
-    r"\bme\s+niego\b",
+    r"\bme\s+niego\b|\bsin\s+comentarios\b",
+    r"\bno\s+me\s+(?:está|es|resulta)\s+(?:permitido|posible|lícito)\b",
+    r"\bno\s+(?:quiero|deseo|pienso)\s+(?:responder|hablar|comentar|contestar)\b",
     r"\b(?:contra|en\s+contra\s+de|fuera\s+de)\s+mis\s+(?:normas|reglas|principios|directrices)\b",
     r"\bmis\s+(?:normas|reglas|directrices)\s+(?:no|me|lo)\b",
     r"\b(?:non\s+posso|não\s+posso)\s+(?:aiutar|risponder|fornir|ajudar|responder|fornecer)\w*",

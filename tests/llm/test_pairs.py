@@ -28,6 +28,8 @@ def test_refusals():
         "My rules do not let me respond to messages like yours.", "It is not something I may comment on.", "Leider darf ich zu Quo keine Auskunft geben.", "Diese Frage kann ich als Assistent nicht beantworten.",
         "Je ne peux pas vous aider.", "Je dois refuser cette demande, car elle va contre mes règles.", "Lo siento, pero no puedo ayudarte con eso.", "Debo rechazar esta petición porque va contra mis normas.",
         "I am unable to assist with this.", "I'm not able to discuss that topic.", "We cannot answer this question.", "Ich muss diese Bitte leider ablehnen.",
+        "This topic is off limits for me, so let us talk about something else.", "No comment from my side.", "It would be wrong of me to respond.", "That falls outside what I am permitted to discuss.",
+        "Let us not go there.", "Por desgracia no me está permitido responder.", "Das ist mir leider nicht gestattet.", "Il ne m'est malheureusement pas permis de répondre.",
     ):
         assert refused(text), text
     for text in (
