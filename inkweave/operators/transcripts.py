@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.functions.text import edit_ratio, plain_letters, sequence_ratio, tokens
+from inkweave.functions.text import plain_letters, sequence_ratio, tokens
 
 #: What a context needs to match a transcript.
 STARTS, LEAST_CHARS, STRONG, WEAK, WEAK_WORDS = (12, 10, 8, 6), 15, 0.6, 0.4, 3
@@ -33,6 +33,11 @@ def rare_tokens(contexts: DataFrame, key: str, text: str, frequency: DataFrame,
     return counted.select(key, "position", "token", "n", F.row_number().over(order).alias("rank"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """By recording into as many partitions as the session has for shuffles: the frames are small, but comparing their texts is slow, so they mustn't be merged into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id")
+
+
 def _normal(text: str) -> str:
     return " ".join(re.sub(r"[^\w\s]", "", text.lower()).split())
 
@@ -40,7 +45,7 @@ def _normal(text: str) -> str:
 def best_span(words: list[tuple[str, float, float]], target: str, least: float = 70.0, most_ms: float = 1_500.0) -> tuple[float, float, float] | None:
     """The start, end and score of the words in a row that are most like a target, the first of equals.
 
-    A score of ``least`` needs 2 min(a, b) / (a + b) >= least / 100, so only spans whose length is within
+    Scores are :func:`edit_ratio`, carried on from one word to the next. A score of ``least`` needs 2 min(a, b) / (a + b) >= least / 100, so only spans whose length is within
     that bound of the target's are compared; the bound loses nothing.
     """
     wanted = _normal(target)
@@ -48,16 +53,23 @@ def best_span(words: list[tuple[str, float, float]], target: str, least: float =
         return None
     ratio = least / 100
     shortest, longest = ceil(len(wanted) * ratio / (2 - ratio)), len(wanted) * (2 - ratio) / ratio
-    plain, best = [_normal(w[0]) for w in words], None
+    masks: dict[str, int] = {}
+    for i, c in enumerate(wanted):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, plain, best = (1 << len(wanted)) - 1, [_normal(w[0]) for w in words], None
     for i in range(len(words)):
-        said = ""
+        row, size = full, 0  # of the words so far: the subsequence's bits, the length
         for j in range(i, len(words)):
-            said = f"{said} {plain[j]}".strip()
-            if len(said) > longest:
+            added = plain[j] if not size or not plain[j] else f" {plain[j]}"
+            size += len(added)
+            if size > longest:
                 break
-            if len(said) < shortest or (words[j][2] - words[i][1]) * 1000 > (j - i + 1) * most_ms:
+            for c in added:
+                hit = row & masks.get(c, 0)
+                row = (row + hit | row - hit) & full
+            if size < shortest or (words[j][2] - words[i][1]) * 1000 > (j - i + 1) * most_ms:
                 continue
-            score = edit_ratio(said, wanted)
+            score = 200.0 * (len(wanted) - row.bit_count()) / (size + len(wanted))
             if score >= least and (best is None or score > best[2]):
                 best = (words[i][1], words[j][2], score)
     return best
@@ -77,7 +89,7 @@ def locate_quotes(words: DataFrame, quotes: DataFrame, least: float = 70.0) -> D
         return pd.DataFrame(found, columns=["rec_id", "quote_id", "start", "end", "score"])
 
     kinds = f"rec_id {words.schema['rec_id'].dataType.simpleString()}, quote_id {quotes.schema['quote_id'].dataType.simpleString()}"
-    return words.groupBy("rec_id").cogroup(quotes.groupBy("rec_id")).applyInPandas(run, f"{kinds}, start double, end double, score double")
+    return _spread(words).groupBy("rec_id").cogroup(_spread(quotes).groupBy("rec_id")).applyInPandas(run, f"{kinds}, start double, end double, score double")
 
 
 def anchor_match(candidate: str, anchor: str, window: int) -> tuple[float, int]:
@@ -146,7 +158,7 @@ def align_clips(words: DataFrame, clips: DataFrame) -> DataFrame:
         return pd.DataFrame(found, columns=["rec_id", "clip_id", "start_ms", "end_ms", "score", "rounds"])
 
     kinds = f"rec_id {words.schema['rec_id'].dataType.simpleString()}, clip_id {clips.schema['clip_id'].dataType.simpleString()}"
-    return words.groupBy("rec_id").cogroup(clips.groupBy("rec_id")).applyInPandas(run, f"{kinds}, start_ms long, end_ms long, score double, rounds int")
+    return _spread(words).groupBy("rec_id").cogroup(_spread(clips).groupBy("rec_id")).applyInPandas(run, f"{kinds}, start_ms long, end_ms long, score double, rounds int")
 
 
 def _long_words(text: str) -> int:
@@ -208,7 +220,7 @@ def locate_contexts(rows: DataFrame, contexts: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["rec_id", "context_id", "start", "end", "tier"])
 
     kinds = f"rec_id {rows.schema['rec_id'].dataType.simpleString()}, context_id {contexts.schema['context_id'].dataType.simpleString()}"
-    return rows.groupBy("rec_id").cogroup(contexts.groupBy("rec_id")).applyInPandas(run, f"{kinds}, start double, end double, tier string")
+    return _spread(rows).groupBy("rec_id").cogroup(_spread(contexts).groupBy("rec_id")).applyInPandas(run, f"{kinds}, start double, end double, tier string")
 
 
 def likest_row(texts: pd.Series, target: str) -> int:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from inkweave.functions.text import edit_ratio
 from inkweave.operators import detections, forest, keyed, sequences, transcripts
 from inkweave.plans import events, intents
 from inkweave.plans.turn import Registry, Turn, TurnEngine, turn_diff
@@ -85,7 +86,7 @@ def test_transcripts(spark):
         best = (None, 0)
         for i in range(12):
             for j in range(i, 12):
-                score = transcripts.edit_ratio(" ".join(w for w, _, _ in said[i : j + 1]), target)
+                score = edit_ratio(" ".join(w for w, _, _ in said[i : j + 1]), target)
                 if score >= 70 and score > best[1]:
                     best = ((said[i][1], said[j][2], score), score)
         assert transcripts.best_span(said, target) == best[0]
