@@ -214,39 +214,34 @@ def schema_changes(df: DataFrame, feed: str = "feed", file_no: str = "file_no",
 
 
 def lineage(lines: DataFrame) -> DataFrame:
-    """``feed, file_no, names``: for each file a map from a field's path there to the path it had when it first came, and its first type."""
-    schemas = cut(file_schemas(lines))
-    both = cut(compared(schemas, file_pairs(lines)))
-    named = cut(renames(lines, both))
-    listed = schemas.groupBy("feed").agg(F.collect_list(F.struct("file_no", "owner", "parent", "name", "role", "types")).alias("fields"))
-    moved = named.groupBy("feed").agg(F.collect_list(F.struct("file_no", "owner", "gone", "new")).alias("moves"))
+    """``feed, file_no, names``: for each file a map from a field's path there to the bit of the first type
+    and the path that it had when it first came, as ``bit:path``.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: list[tuple] = []
-            for r in batch.itertuples(index=False):
-                moves = {(m["file_no"], m["owner"], m["new"]): m["gone"] for m in (r.moves if r.moves is not None else ())}
-                files: dict[int, list] = {}
-                for f in r.fields:
-                    files.setdefault(f["file_no"], []).append(f)
-                origin: dict[tuple[str, str], str] = {}
-                kinds: dict[str, int] = {}
-                for no in sorted(files):
-                    was, origin = origin, dict(origin)
-                    names = {}
-                    for f in sorted(files[no], key=lambda f: (f["owner"], f["name"])):
-                        key = (f["owner"], f["name"])
-                        before = moves.get((no, *key))
-                        default = f["role"] or (f"{f['owner']}.{f['name']}" if f["owner"] else f["name"])
-                        first = was.get((f["owner"], before), before) if before else origin.get(key, default)
-                        origin[key] = first = f["role"] or first
-                        kinds[first] = kinds.get(first) or int(f["types"])
-                        names[f"{f['owner']}.{f['name']}" if f["owner"] else f["name"]] = f"{kinds[first]}:{first}"
-                    out.append((r.feed, no, list(names.items())))
-            frame = pd.DataFrame([(a, b, dict(c)) for a, b, c in out], columns=["feed", "file_no", "names"])
-            yield frame
-
-    return listed.join(moved, "feed", "left").mapInPandas(run, "feed string, file_no long, names map<string,string>")
+    A field is followed back from rename to rename. Renames point to the rename before them; pointers
+    are doubled until all have reached a first name, so the rounds grow with the logarithm of the chain.
+    """
+    schemas = cut(file_schemas(lines))
+    pairs = file_pairs(lines)
+    moves = cut(renames(lines, cut(compared(schemas, pairs))).join(pairs, ["feed", "file_no"]))
+    keys = ["feed", "owner", "name"]
+    so_far = Window.partitionBy(*keys).orderBy("file_no")
+    moved = moves.select("feed", "owner", F.col("new").alias("name"), "file_no", F.col("file_no").alias("moved_at"))
+    at = cut(schemas.join(moved, [*keys, "file_no"], "left").withColumn("moved_at", F.last("moved_at", ignorenulls=True).over(so_far)))
+    # Of each rename: the name before, and the rename that gave that name, if any.
+    before = at.select("feed", "owner", F.col("name").alias("gone"), F.col("file_no").alias("was_no"), F.col("moved_at").alias("pred"))
+    chain = cut(moves.join(before, ["feed", "owner", "gone", "was_no"], "left").select("feed", "owner", F.col("new").alias("name"), F.col("file_no").alias("moved_at"), F.col("gone").alias("first"), "pred"))
+    while not chain.where("pred is not null").isEmpty():
+        further = chain.select("feed", "owner", F.col("name").alias("first"), F.col("moved_at").alias("pred"), F.col("first").alias("f"), F.col("pred").alias("p"))
+        chain = cut(chain.join(further, ["feed", "owner", "first", "pred"], "left").select("feed", "owner", "name", "moved_at", F.coalesce("f", "first").alias("first"), F.col("p").alias("pred")))
+    rooted = at.join(chain.select(*keys, "moved_at", "first"), [*keys, "moved_at"], "left")
+    inner = F.concat(F.col("owner"), F.lit("."), F.coalesce("first", "name"))
+    path = F.when(F.col("role") != "", F.col("role")).when(F.col("owner") != "", inner).otherwise(F.coalesce("first", "name"))
+    rooted = rooted.withColumn("path", path)
+    kinds = rooted.where("types > 0").groupBy("feed", "path").agg(F.min_by("types", "file_no").alias("kind"))
+    here = F.when(F.col("owner") == "", F.col("name")).otherwise(F.concat("owner", F.lit("."), "name"))
+    entry = F.struct(here.alias("k"), F.concat(F.coalesce("kind", F.lit(0)).cast("string"), F.lit(":"), F.col("path")).alias("v"))
+    listed = rooted.join(kinds, ["feed", "path"], "left").groupBy("feed", "file_no").agg(F.collect_list(entry).alias("e"))
+    return listed.select("feed", "file_no", F.map_from_entries("e").alias("names"))
 
 
 def cast_value(value: object, kind: int) -> str | None:
