@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave.functions.jsonvalue import canonical_text, digest
+from inkweave.session import cut
 
 
 def hashed_rows(df: DataFrame, snapshot: str, key: str, values: list[str], loaded: str | None) -> DataFrame:
@@ -73,4 +74,4 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: str, values: list[str],
     Null and blank JSON texts are equal; a text that is no JSON is compared as it stands, trimmed. One
     snapshot or an empty table: no rows. Other columns are not read.
     """
-    return change_events(hashed_rows(df, snapshot, key, values, loaded))
+    return change_events(cut(hashed_rows(df, snapshot, key, values, loaded)))  # else every use of the rows would hash all texts again

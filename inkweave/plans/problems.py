@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkweave.operators.drift import consistent_table, schema_changes
 from inkweave.operators.nested import braced_member, flattened, latest, step_members, whole
 from inkweave.operators.snapshots import hashed_rows, snapshot_changes, validity_intervals
-from inkweave.session import table
+from inkweave.session import cut, table
 
 TURN_VALUES = ["decisions", "strategy_outputs", "criteria_results"]
 #: Fixed value: the delivery whose criteria results are laid flat.
@@ -38,7 +38,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each turn the runs of deliveries in which it has one value, by the deliveries' ranks."""
     rows = hashed_rows(table(spark, sf_dir, "turn_snapshots"), "snapshot_no", "turn_id", TURN_VALUES, "loaded_at")
-    return validity_intervals(rows).select(F.col("key").alias("turn_id"), "first", "last", F.col("value").alias("value_hash"))
+    return validity_intervals(cut(rows)).select(F.col("key").alias("turn_id"), "first", "last", F.col("value").alias("value_hash"))
 
 
 def _nested(spark: SparkSession, sf_dir: str, content: bool) -> DataFrame:
