@@ -76,4 +76,9 @@ REFUSALS = [
     r"\b(?:non\s+posso|não\s+posso)\s+(?:aiutar|risponder|fornir|ajudar|responder|fornecer)\w*",
     r"\bik\s+kan\b[^.!?]{0,50}\bniet\s+(?:helpen|beantwoorden|geven)\b",
 ]
+#: Words of which each of these ways has at least one (letters only, so that "I'm" has "i").
+TRIGGERS = set(
+    "i we my our me us assistant ai model unable able limits comment lips human let else rather prefer better ich wir mein meine meinen meiner meinem mir uns kommentar"
+    " je mes m commentaire no debo tengo he prefiero mis comentarios posso ik".split()
+)
 REFUSAL = re.compile("|".join(REFUSALS), re.IGNORECASE | re.MULTILINE)

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.lexicon import COMMANDS, FUNCTION_WORDS, REFUSAL, STAND_INS
+from inkweave.llm.lexicon import COMMANDS, FUNCTION_WORDS, REFUSAL, STAND_INS, TRIGGERS
 
 WORD = re.compile(r"[^\W_]+")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -30,6 +30,7 @@ _COMMANDS = set(COMMANDS)
 _QUOTED = re.compile(r"„[^“”„]*[“”]|“[^“”]*”|«[^«»]*»|‘[^‘’]*’|\"[^\"]*\"")
 _CLOSERS = {"“": "”", "„": "“”", "«": "»", "‘": "’"}
 _BULLET = re.compile(r"\s*(?:[-*•–]|\d+[.)])\s+\S")
+_SENTENCE = re.compile(r"[.!?\n]+")
 _FENCE = re.compile(r"^\s*```\w*\s*|\s*```\s*$")
 
 
@@ -37,7 +38,7 @@ def said(text: str) -> bool:
     """Whether a text says anything: a letter, digit or picture, and no stand-in for no value."""
     import unicodedata
 
-    if not any(unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd", "Nl", "No", "So") for c in text):
+    if not any(c.isalnum() or unicodedata.category(c) == "So" for c in text):
         return False
     return " ".join(WORD.findall(text.lower())) not in STAND_INS if len(text) < 80 else True
 
@@ -59,6 +60,8 @@ def copied(prompt: str, response: str) -> bool:
     if not asked or len(found) < len(asked):
         return False
     words = [m.group() for m in found]
+    if words[-1] != asked[-1]:
+        return False
     if len(_compressor(" ".join(asked)).compress(" ".join(words).encode())) > LEAD_BYTES + FRAME_BYTES:
         return False
     for lead in range(min(LEAD_WORDS, len(words) - len(asked)) + 1):
@@ -78,8 +81,13 @@ def unquoted(text: str) -> str:
 
 
 def refused(response: str) -> bool:
-    """Whether the assistant declines."""
-    return bool(REFUSAL.search(unquoted(response.replace("’", "'"))))
+    """Whether the assistant declines, in some sentence outside quotations."""
+    if TRIGGERS.isdisjoint(LETTERS.findall(response.lower())):
+        return False
+    for sentence in _SENTENCE.split(unquoted(response.replace("’", "'"))):
+        if not TRIGGERS.isdisjoint(LETTERS.findall(sentence.lower())) and REFUSAL.search(sentence):
+            return True
+    return False
 
 
 def language(text: str, least: int = 2) -> str | None:
@@ -113,7 +121,7 @@ def other_language(prompt: str, response: str) -> bool:
     asked = prompt_language(prompt)
     if asked is None or asked == spoken:
         return False
-    return all(language(s) != asked for s in re.split(r"[.!?\n]+", text))
+    return all(language(s) != asked for s in _SENTENCE.split(text))
 
 
 class Endings:
@@ -138,16 +146,19 @@ class Endings:
             yield " ".join(words[:n]), n == len(words)
 
 
+_MARKS = re.compile(r"[“”„«»‘’)]|\((?=\S)")
+
+
 def open_quotation(text: str) -> bool:
     """Whether a quotation, bracket or code block that a text opens isn't closed."""
     waiting: list[str] = []
-    for i, c in enumerate(text):
+    for c in _MARKS.findall(text):
         if waiting and c in waiting[-1]:
             waiting.pop()
+        elif c == "(":
+            waiting.append(")")
         elif c in _CLOSERS:
             waiting.append(_CLOSERS[c])
-        elif c == "(" and not re.match(r"\s*$", text[i + 1 :][:1] or " "):
-            waiting.append(")")
     return bool(waiting) or text.count("```") % 2 == 1 or text.count('"') % 2 == 1
 
 

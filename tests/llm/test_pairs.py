@@ -1,4 +1,5 @@
-from inkweave.llm.pairs import Endings, broken_pairs, copied, defect, language, open_quotation, other_language, refused, said, truncated
+from inkweave.llm.lexicon import REFUSAL, TRIGGERS
+from inkweave.llm.pairs import LETTERS, Endings, broken_pairs, copied, defect, language, open_quotation, other_language, refused, said, truncated
 from inkweave.llm.queries import p3_found
 
 NONE = Endings({})
@@ -32,6 +33,7 @@ def test_refusals():
         "Let us not go there.", "Por desgracia no me está permitido responder.", "Das ist mir leider nicht gestattet.", "Il ne m'est malheureusement pas permis de répondre.",
     ):
         assert refused(text), text
+        assert not TRIGGERS.isdisjoint(LETTERS.findall(text.lower())), text
     for text in (
         "Cannot export yet: the desert is still blocked by choose_asset.", "I could not find an item named Tegalcas, so I listed the recent ones.", "Sorry for the delay, check_captions has now finished.",
         "The step is missing.", "Without the theatre, Loib cannot frame the shared tempos.", "No puedo encontrar el elemento Quo.", "Ich kann den Eintrag nicht finden.", "The idea was rejected by the desk.",
@@ -40,6 +42,12 @@ def test_refusals():
         assert not refused(text), text
 
 
+def test_triggers_lose_no_refusal(spark, data):
+    for (text,) in spark.read.parquet(f"{data}/eval_traces.parquet").select("agent_response").distinct().collect():
+        if text and REFUSAL.search(text):
+            assert not TRIGGERS.isdisjoint(LETTERS.findall(text.lower())), text
+
+
 def test_languages():
     assert language("Hier ist das Ergebnis für Loshosho.") == "de" and language("El paso va después de otro y guarda el resumen.") == "es"
     assert language("Voici le résultat pour Lotepacre, et le décor manque.") == "fr" and language("Approved") is None
