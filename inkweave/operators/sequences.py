@@ -62,9 +62,13 @@ def merged_runs(df: DataFrame, by: list[str], order: str, same: list[str], field
     for c in same:
         changed = changed | ~F.lag(c).over(w).eqNullSafe(F.col(c))
     runs = df.withColumn("__new", changed.cast("int")).withColumn("run", F.sum("__new").over(w))
-    gathered = runs.groupBy(*by, "run", *same).agg(F.array_sort(F.collect_list(F.struct(order, F.map_entries(fields).alias("entries")))).alias("__rows"), F.count("*").alias("rows"))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return gathered.select(*by, "run", *same, "rows", F.aggregate("__rows", empty, lambda done, r: F.map_concat(done, F.map_from_entries(r["entries"]))).alias(fields))
+    keys = [*by, "run", *same]
+    # The last value of each key of the maps: combined before the shuffle, so a long run isn't gathered anywhere.
+    entries = runs.select(*keys, order, F.explode(fields).alias("__k", "__v")).groupBy(*keys, "__k").agg(F.max_by("__v", order).alias("__v"))
+    merged = entries.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias(fields))
+    counted = runs.groupBy(*keys).agg(F.count("*").alias("rows"))
+    both = counted.alias("c").join(merged.alias("m"), [F.col(f"c.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys], "left")
+    return both.select(*(F.col(f"c.{k}").alias(k) for k in keys), "rows", fields)
 
 
 def laid_out(df: DataFrame, by: list[str], order: str, height: str, gap: str) -> DataFrame:

@@ -38,14 +38,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local runs)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one, on one machine only."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if where is None:
-        where = sc.getCheckpointDir()
-        if where is None:
+        if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="inkweave-"))
-            where = sc.getCheckpointDir()
+        where = sc.getCheckpointDir()
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
     return where.rstrip("/")

@@ -42,6 +42,8 @@ def test_sequences(spark):
     assert [r.i for r in sequences.drop_repeats(df, ["g"], ["i"], "s").orderBy("i").collect()] == [0, 4]
     assert rows(sequences.transitions(df.where("s <> ''"), ["g"], ["i"], "s").select("i", "was", "s")) == [(0, None, "a"), (4, "a", "b")]
     assert [r.island for r in sequences.islands(spark.createDataFrame([(1, p) for p in (1, 2, 4, 5, 9)], "g int, p int"), ["g"], "p").orderBy("p").collect()] == [0, 0, 1, 1, 2]
+    runs = spark.createDataFrame([("a", 1, "x", {"k": "1", "l": "1"}), ("a", 2, "x", {"k": "2"}), ("a", 3, "y", {}), ("a", 4, "x", {"k": None})], "g string, o int, s string, f map<string,string>")
+    assert [(r.run, r.s, r.rows, r.f) for r in sequences.merged_runs(runs, ["g"], "o", ["s"], "f").orderBy("run").collect()] == [(1, "x", 2, {"k": "2", "l": "1"}), (2, "y", 1, None), (3, "x", 1, {"k": None})]
     lines = lambda t, w: spark.range(1).select(sequences.wrapped(F.split(F.lit(t), " "), w)).first()[0]
     assert lines("aa bb ccc d", 5) == ["aa bb", "ccc d"] and lines("longword x", 4) == ["longword", "x"]
 
