@@ -12,13 +12,15 @@ def canonical(value: object) -> str:
     The order of keys and of array elements, white space, escapes and the spelling of numbers (1, 1.0,
     1e0) make no difference, nor does a member that is null against one that is missing.
     """
+    if isinstance(value, str):
+        return f"{len(value)}:{value}"  # the length in front makes quoting needless
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k)}:{canonical(value[k])}" for k in sorted(value) if value[k] is not None) + "}"
+        return "{" + ",".join([f"{len(k)}:{k}={canonical(value[k])}" for k in sorted(value) if value[k] is not None]) + "}"
     if isinstance(value, list):
-        return "[" + ",".join(sorted(map(canonical, value))) + "]"
+        return "[" + ",".join(sorted([canonical(v) for v in value])) + "]"
     if isinstance(value, float) and value.is_integer():
         value = int(value)
-    return json.dumps(value)
+    return repr(value)
 
 
 def ordered(value: object) -> str:
@@ -35,11 +37,11 @@ def ordered(value: object) -> str:
 def canonical_text(text: str | None) -> str:
     """:func:`canonical` of a JSON text. A null or blank text is a JSON null; a text that is no JSON stands for itself, trimmed."""
     if text is None or not (text := text.strip()):
-        return "null"
+        return canonical(None)
     try:
         return canonical(json.loads(text))
     except (ValueError, RecursionError):
-        return "text:" + text
+        return "text " + text
 
 
 def digest(parts: list[str]) -> str:
