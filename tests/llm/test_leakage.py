@@ -12,8 +12,11 @@ def windows(text, width=10):
 
 
 def brute(docs, items, width=10):
-    of = {i: windows(t, width) for i, t in items}
-    return {(d, i) for d, t in docs for i, w in of.items() if w and w & windows(t, width)}
+    of = {}
+    for i, t in items:
+        for w in windows(t, width):
+            of.setdefault(w, set()).add(i)
+    return {(d, i) for d, t in docs for w in windows(t, width) for i in of.get(w, ())}
 
 
 DOCS = [
