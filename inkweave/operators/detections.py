@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkweave.operators.sequences import chunks
 
-__all__ = ["chunks", "coarse_to_fine", "group_windows", "sample_windows", "strongest_frames"]
+__all__ = ["chunks", "clip_name", "clip_samples", "coarse_to_fine", "group_windows", "sample_windows", "strongest_frames"]
 
 
 def sample_windows(samples: Column, rate: int, window: float, hop: float) -> Column:
@@ -19,6 +19,17 @@ def sample_windows(samples: Column, rate: int, window: float, hop: float) -> Col
     return F.transform(starts, lambda s: F.struct((s / F.lit(float(rate))).alias("start"), ((s + size) / F.lit(float(rate))).alias("end"), F.slice(samples, s + 1, size).alias("part")))
 
 
+def clip_samples(samples: Column, rate: int, start_ms: Column, end_ms: Column) -> Column:
+    """The samples from a time to before another."""
+    first, last = F.floor(start_ms * rate / 1000).cast("int"), F.floor(end_ms * rate / 1000).cast("int")
+    return F.slice(samples, first + 1, F.greatest(last - first, F.lit(0)))
+
+
+def clip_name(prefix: str, start_ms: Column, end_ms: Column, kind: str = "wav") -> Column:
+    """The name of a clip's file."""
+    return F.format_string(f"{prefix}_%d_%d.{kind}", start_ms, end_ms)
+
+
 def group_windows(detections: DataFrame, groups: DataFrame, seconds: int) -> DataFrame:
     """The greatest score of each group of labels in each window of ``start`` (a timestamp).
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkweave.functions.geometry import large_arc, on_circle
 from inkweave.session import cut
 
 
@@ -54,19 +55,36 @@ def first_matching(items: DataFrame, matches: Column, key: str = "id", parent: s
     return hit.groupBy("root").agg(F.min_by(key, order).alias("first_match"), F.count("*").alias("matches"))
 
 
+REBUTTAL = "Rebuttal - "
+
+
 def flatten_nodes(clips: DataFrame) -> DataFrame:
     """Nodes of a row of segments from ``segment, position, title``: the first clip of each is a ``square``,
-    the others a ``dot``, unless their titles begin with ``Rebuttal - ``; nodes are numbered through.
+    the others a ``dot``, unless their titles begin with ``Rebuttal - ``; nodes are numbered through. If the
+    first segment's last clip is such a one, a node ``rebuttal`` comes after all others.
 
     Numbering is by counts per segment, which are few; no task holds all nodes.
     """
-    kept = clips.where((F.col("position") == 0) | ~F.col("title").startswith("Rebuttal - "))
-    from pyspark.sql import Window
-
+    rebuts = F.col("title").startswith(REBUTTAL)
+    kept = clips.where((F.col("position") == 0) | ~F.coalesce(rebuts, F.lit(False)))
     inside = kept.withColumn("__n", F.row_number().over(Window.partitionBy("segment").orderBy("position")) - 1)
     sizes = kept.groupBy("segment").agg(F.count("*").alias("__size"))
     offsets = sizes.withColumn("__offset", F.sum("__size").over(Window.orderBy("segment")) - F.col("__size"))
-    return inside.join(offsets, "segment").select("segment", "title", F.when(F.col("position") == 0, "square").otherwise("dot").alias("kind"), (F.col("__offset") + F.col("__n")).alias("idx"))
+    nodes = inside.join(offsets, "segment").select("segment", "title", F.when(F.col("position") == 0, "square").otherwise("dot").alias("kind"), (F.col("__offset") + F.col("__n")).alias("idx"))
+    ends = clips.groupBy("segment").agg(F.max_by("title", "position").alias("title"), F.max("position").alias("last")).orderBy("segment").limit(1)
+    last = ends.where(F.col("title").startswith(REBUTTAL) & (F.col("last") > 0)).join(sizes.agg(F.sum("__size").alias("idx")))
+    return nodes.unionByName(last.select("segment", "title", F.lit("rebuttal").alias("kind"), "idx"))
+
+
+def arcs(nodes: DataFrame, x: float = 0.0, y: float = 0.0, radius: float = 1.0, gap: float = 0.0) -> DataFrame:
+    """The arc between each two neighbouring nodes of a segment on a circle: its angles, less a gap at both
+    ends, and whether it is more than half a turn. The rebuttal has none."""
+    total = nodes.agg(F.count("*").alias("total"))
+    placed_ = nodes.join(F.broadcast(total)).withColumn("theta", on_circle(F.col("idx"), F.col("total"), x, y, radius)[0]).where("kind <> 'rebuttal'")
+    after = F.lead("theta").over(Window.partitionBy("segment").orderBy("idx"))
+    ended = placed_.withColumn("end_theta", after).where("end_theta is not null")
+    begin, end = F.col("theta") + gap, F.col("end_theta") - gap
+    return ended.select("segment", "idx", begin.alias("begin_theta"), end.alias("end_theta"), large_arc(begin, end).alias("large"))
 
 
 def segment_ranges(nodes: DataFrame) -> DataFrame:

@@ -48,6 +48,16 @@ def json_kind(text: Column | str, key: str) -> Column:
     )
 
 
+def matching(df: DataFrame, filters: dict[str, object]) -> DataFrame:
+    """The rows that equal all filters; ``exported`` asks whether ``exported_at`` is there. Filters of unknown columns are ignored."""
+    for name, value in filters.items():
+        if name == "exported":
+            df = df.where(F.col("exported_at").isNotNull() if value else F.col("exported_at").isNull())
+        elif name in df.columns:
+            df = df.where(F.col(name) == F.lit(value))
+    return df
+
+
 def newest(df: DataFrame, at: str, key: str, limit: int = 5) -> DataFrame:
     """The latest records numbered from 1: a top-k and a number, in one order."""
     top = df.orderBy(F.desc_nulls_last(at), key).limit(limit)

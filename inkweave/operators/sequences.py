@@ -71,11 +71,16 @@ def merged_runs(df: DataFrame, by: list[str], order: str, same: list[str], field
     return both.select(*(F.col(f"c.{k}").alias(k) for k in keys), "rows", fields)
 
 
-def laid_out(df: DataFrame, by: list[str], order: str, height: str, gap: str) -> DataFrame:
-    """The offset of each block of a column of blocks (``top``), and its total height."""
-    w = Window.partitionBy(*by).orderBy(order)
-    size = F.col(height) + F.col(gap)
-    return df.withColumn("top", F.sum(size).over(w) - size).withColumn("total_height", F.sum(size).over(Window.partitionBy(*by)))
+def laid_out(df: DataFrame, by: list[str], order: str, height: str, gap: str, frame: float | None = None) -> DataFrame:
+    """The offset of each block of a column of blocks (``top``), and its total height.
+
+    In a ``frame`` that is too small the gaps shrink in proportion, to nothing at most.
+    """
+    w, whole = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
+    gaps, total = F.sum(gap).over(whole), F.sum(F.col(height) + F.col(gap)).over(whole)
+    share = F.lit(1.0) if frame is None else F.when((total > frame) & (gaps > 0), F.greatest(F.lit(0.0), 1 - (total - frame) / gaps)).otherwise(1.0)
+    sized = df.withColumn("__size", F.col(height) + F.col(gap) * share)
+    return sized.withColumn("top", F.sum("__size").over(w) - F.col("__size")).withColumn("total_height", F.sum("__size").over(whole)).drop("__size")
 
 
 def wrapped(words: Column, width: int) -> Column:

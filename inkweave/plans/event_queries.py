@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkweave.functions.geometry import axis, nice_number, on_circle, scaled_threshold
 from inkweave.operators.detections import coarse_to_fine, group_windows
-from inkweave.operators.forest import children, first_matching, flatten_nodes, placed, segment_ranges
+from inkweave.operators.forest import arcs, children, first_matching, flatten_nodes, placed, segment_ranges
 from inkweave.operators.keyed import keep_last, top_per_key
 from inkweave.operators.sequences import chunks, drop_repeats, islands, merged_runs, successors, transitions
 from inkweave.plans.events import case_score, next_run, recent_actions, resolved, scored_candidates, unknown_references
@@ -156,6 +156,14 @@ def node_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("segment", "title", "kind", "idx", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"), "first_idx", "last_idx")
 
 
+def node_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arcs between neighbouring nations of a region on a circle."""
+    nation = table(spark, sf_dir, "nation")
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
+    nodes = flatten_nodes(nation.select(F.col("n_regionkey").alias("segment"), place.alias("position"), F.col("n_name").alias("title")))
+    return arcs(nodes, gap=0.02).select("segment", "idx", F.round("begin_theta", 5).alias("begin_theta"), F.round("end_theta", 5).alias("end_theta"), F.col("large").cast("long").alias("large"))
+
+
 def resolve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that a reference may mean, with their score."""
     return scored_candidates(table(spark, sf_dir, "part"), "12", "p_partkey", "p_name").select("p_partkey", "score")
@@ -263,6 +271,10 @@ SELECT o_orderpriority, round(step, 4) AS step, round(ceil(top / step) * step, 4
 WITH o AS (SELECT n_regionkey AS segment, n_name AS title, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r, row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS idx, count(*) OVER () AS total FROM nation)
 SELECT segment, title, CASE WHEN r = 1 THEN 'square' ELSE 'dot' END AS kind, idx, round(100 + 80 * cos(2 * pi() * idx / total - pi() / 2), 4) AS x, round(100 + 80 * sin(2 * pi() * idx / total - pi() / 2), 4) AS y,
   min(idx) OVER (PARTITION BY segment) AS first_idx, max(idx) OVER (PARTITION BY segment) AS last_idx FROM o"""),
+    "node_arcs": (node_arcs, """
+WITH o AS (SELECT n_regionkey AS segment, row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS idx, count(*) OVER () AS total FROM nation),
+t AS (SELECT segment, idx, 2 * pi() * idx / total - pi() / 2 AS a, lead(2 * pi() * idx / total - pi() / 2) OVER (PARTITION BY segment ORDER BY idx) AS b FROM o)
+SELECT segment, idx, round(a + 0.02, 5) AS begin_theta, round(b - 0.02, 5) AS end_theta, 0::BIGINT AS large FROM t WHERE b IS NOT NULL"""),
     "resolve_candidates": (resolve_candidates, "SELECT p_partkey, CASE WHEN p_partkey = 12 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS score FROM part WHERE p_partkey = 12 OR contains(lower(p_name), '12')"),
     "reference_cascade": (reference_cascade, f"""
 WITH {ITEMS_SQL}, l AS (SELECT id, lower(label) AS label FROM i), r AS (SELECT DISTINCT upper(label) AS ref FROM i WHERE label IS NOT NULL UNION SELECT id FROM i),

@@ -1,10 +1,11 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkweave.functions.text import edit_ratio
-from inkweave.operators import detections, forest, keyed, sequences, transcripts
+from inkweave.operators import detections, forest, keyed, records, sequences, transcripts
 from inkweave.plans import events, intents
 from inkweave.plans.turn import Registry, Turn, TurnEngine, turn_diff
 from inkweave.sources import files, stores
@@ -67,16 +68,38 @@ def test_forest(spark):
     clips = spark.createDataFrame([(0, 0, "x"), (0, 1, "Rebuttal - y"), (0, 2, "z"), (1, 0, "Rebuttal - w")], "segment int, position int, title string")
     nodes = forest.flatten_nodes(clips)
     assert rows(nodes) == [(0, "x", "square", 0), (0, "z", "dot", 1), (1, "Rebuttal - w", "square", 2)]
+    ended = forest.flatten_nodes(clips.unionByName(spark.createDataFrame([(0, 3, "Rebuttal - end")], clips.schema)))
+    assert rows(ended.where("kind = 'rebuttal'")) == [(0, "Rebuttal - end", "rebuttal", 3)]
+    arc = forest.arcs(ended, gap=0.1).collect()
+    assert [(r.segment, r.idx, round(r.end_theta - r.begin_theta, 6), r.large) for r in arc] == [(0, 0, round(math.pi / 2 - 0.2, 6), 0)]
     assert rows(forest.segment_ranges(nodes)) == [(0, 0, 1), (1, 2, 2)]
 
 
 def test_detections(spark):
     window = lambda n: spark.range(1).select(detections.sample_windows(F.sequence(F.lit(1), F.lit(n)), 2, 2.0, 1.0)).first()[0]
     assert [(w.start, w.end, len(w.part)) for w in window(8)] == [(0, 2, 4), (1, 3, 4)] and window(4) == [] and len(window(5)) == 1
+    cut = detections.clip_samples(F.sequence(F.lit(1), F.lit(10)), 2, F.lit(1000), F.lit(2500))
+    assert tuple(spark.range(1).select(cut, detections.clip_name("clip", F.lit(1000), F.lit(2500))).first()) == ([3, 4, 5], "clip_1000_2500.wav")
     frames = spark.createDataFrame([(2, 10, 5.0, {"Laughter": 0.5, "Giggle": 0.01, "Speech": 0.9})], "idx int, frames int, seconds double, scores map<string,double>")
     assert rows(detections.strongest_frames(frames, "laugh|giggle|snicker", 0.01)) == [(2, "Laughter", 0.5, 1.0, 1.975)]
 
 
+def test_records(spark):
+    df = spark.createDataFrame([("a", "x", None), ("b", "x", "now"), ("c", "y", None)], "id string, branch string, exported_at string")
+    assert [r.id for r in records.matching(df, {"branch": "x", "exported": False, "unknown": 1}).collect()] == ["a"]
+    assert [r.id for r in records.matching(df, {"exported": True}).collect()] == ["b"] and records.matching(df, {}).count() == 3
+    assert records.projected(df, ["id", "none"]).columns == ["id", "none"]
+    with pytest.raises(ValueError, match="unknown field"):
+        records.field_rules(df.schema, {"zz": {}})
+    blocks = spark.createDataFrame([(1, 1, 10.0, 4.0), (1, 2, 10.0, 4.0), (1, 3, 10.0, 2.0)], "g int, o int, h double, gap double")
+    tops = lambda frame: [round(r.top, 3) for r in sequences.laid_out(blocks, ["g"], "o", "h", "gap", frame).orderBy("o").collect()]
+    assert tops(None) == tops(100.0) == [0, 14, 28] and tops(35.0) == [0, 12, 24] and tops(5.0) == [0, 10, 20]
+    items, status = spark.createDataFrame([("a", "old"), ("b", "old")], "id string, status string"), spark.createDataFrame([("a", "new")], "id string, status string")
+    assert rows(records.with_status(items, status, "id")) == [("a", "new")]
+    files_ = spark.createDataFrame([("s_raw.json",), ("s_current.json",), ("s_edit_2.json",), ("s_edit_10.json",), ("x.txt",)], "name string")
+    assert rows(records.step_files(files_, "name")) == [("s", True, True, 2, 10)]
+
+
 def test_transcripts(spark):
     words = [(w, i * 1.0, i + 0.9) for i, w in enumerate("so we the quick brown fox jumps over a dog today".split())]
     assert transcripts.best_span(words, "The quick, brown fox!") == (2.0, 5.9, 100.0)
