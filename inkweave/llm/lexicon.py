@@ -17,7 +17,7 @@ COMMANDS = "list show describe status items workflow help run next step edit exp
 
 #: Texts that stand for no value, without punctuation and in lower case.
 STAND_INS = set(
-    "null none nil nan na n a|n/a|nvt|undefined|undef|empty|blank|void|missing|tbd|no value|no response|no answer|no output|no content|no text|no data|no result|nothing|not available|not applicable|not set|unset"
+    "null none nil nan na n a|n/a|nvt|undefined|undef|empty|blank|void|missing|tbd|no value|no response|no answer|no output|no content|no text|no data|no result|no reply|nothing|not provided|not specified|unspecified|todo|not available|not applicable|not set|unset"
     "|keine angabe|keine|kein wert|leer|nichts|nicht verfügbar|sin respuesta|sin valor|ninguno|ninguna|nada|nulo|vacío|vacio|no disponible|aucun|aucune|vide|rien|néant|non disponible|nessuno|vuoto|nenhum|vazio|geen|leeg".split("|")
 ) | {"null", "none", "nil", "nan", "na", "n a"}
 

@@ -48,7 +48,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document the characters that lie in a span of 200 that another document has."""
-    return shared_spans(table(spark, sf_dir, "documents"))
+    return shared_spans(table(spark, sf_dir, "documents"), at="created_at")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

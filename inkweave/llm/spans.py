@@ -226,17 +226,34 @@ class SpanIndex:
         )
 
 
-def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, name: str = "shared_chars") -> DataFrame:
+def arrivals(df: DataFrame, at: str | None, batches: int) -> list[DataFrame]:
+    """A table in batches by equal parts of the time between its first and last arrival; rows without a time come first."""
+    if at is None or batches < 2:
+        return [df]
+    when = F.unix_micros(F.col(at).cast("timestamp"))
+    first, last = df.agg(F.min(when), F.max(when)).first()
+    if first is None or first == last:
+        return [df]
+    edges = [first + (last - first) * i // batches for i in range(1, batches)]
+    batch = F.coalesce(sum(((when > e).cast("int") for e in edges), F.lit(0)), F.lit(0))
+    return [df.where(batch == i) for i in range(batches)]
+
+
+def shared_spans(
+    df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, name: str = "shared_chars", at: str | None = None, batches: int = 2
+) -> DataFrame:
     """For each record the number of its characters in a span of ``length`` that another record has too.
 
-    Method: a log-structured index of window fingerprints (:class:`SpanIndex`), here fed with all
-    records as one batch. Each window is indexed by its anchor, a gram chosen by content alone, so
-    nothing is missed; candidates are verified on the characters themselves or, where a whole run of
-    windows agrees, on two independent 64-bit hashes (of the anchor and of the run's text).
+    Method: a log-structured index of window fingerprints (:class:`SpanIndex`), fed with the records in
+    ``batches`` by their time of arrival ``at`` (without one: all at once). Each window is indexed by its anchor, a gram chosen by
+    content alone, so nothing is missed; candidates are verified on the characters themselves or, where
+    a whole run of windows agrees, on two independent 64-bit hashes (of the anchor and of the run's text).
     Null keys, null, empty and short texts: no row. Repeated rows of one key are one record: its spans
     don't count as another's. Copies: all their characters count. An empty table: no rows.
     """
     index = SpanIndex(df.sparkSession, length)
-    found = index.append(df, key, text).report(df, key, text, name)
+    for batch in arrivals(df, at, batches):
+        index.append(batch, key, text)
+    found = index.report(df, key, text, name)
     remove(df.sparkSession, index.path)  # the report reads checkpoints only
     return found

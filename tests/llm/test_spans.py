@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from inkweave.llm import spans
 from inkweave.llm.queries import p8_found
-from inkweave.llm.spans import SpanIndex, shared_spans
+from inkweave.llm.spans import SpanIndex, arrivals, shared_spans
 
 SCHEMA = "doc_id long, text string, fp string, around int, doc int"
 
@@ -63,6 +63,17 @@ def test_batches_and_compaction_give_the_same(spark):
     assert len(index.runs) == 1
 
 
+def test_arrivals_hold_each_row_once(spark):
+    df = spark.sql("SELECT id, IF(id % 5 = 0, NULL, timestamp_micros(id * 1000000)) AS at FROM range(50)")
+    for n in (1, 2, 3, 7):
+        parts = [sorted(r.id for r in p.collect()) for p in arrivals(df, "at", n)]
+        assert len(parts) == n and sorted(x for p in parts for x in p) == list(range(50)) and all(parts)
+    assert len(arrivals(df.where("at is null"), "at", 3)) == 1
+    rows = made(11)
+    timed = spark.createDataFrame([(*r[:2], i) for i, r in enumerate(rows)], "doc_id long, text string, n long").selectExpr("*", "timestamp_micros(n) AS at")
+    assert found(shared_spans(timed, length=40, at="at", batches=3)) == brute(rows, 40)
+
+
 def test_large_groups_go_through_the_shuffle(spark, monkeypatch):
     monkeypatch.setattr(spans, "LOCAL", 1)
     rows = made(9)
