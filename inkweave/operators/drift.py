@@ -175,8 +175,7 @@ def renames(lines: DataFrame, both: DataFrame) -> DataFrame:
                 olds = {(f["owner"], f["name"]): (f["owner"], f["name"], f["types"]) for f in r.olds}
                 news = {(f["owner"], f["name"]): (f["owner"], f["name"], f["types"]) for f in r.news}
                 pairs = {(olds[a["owner"], a["gone"]], news[a["owner"], a["new"]]) for a in r.allowed}
-                clear = len({p[0] for p in pairs}) == len(pairs) == len({p[1] for p in pairs})
-                scores = {} if clear else flood(olds.values(), news.values())
+                scores = flood(olds.values(), news.values())
                 out += [(r.feed, r.file_no, a[0], a[1], b[1]) for a, b in selected(scores, pairs)]
             yield pd.DataFrame(out, columns=["feed", "file_no", "owner", "gone", "new"])
 

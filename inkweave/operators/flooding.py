@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 
@@ -16,70 +17,78 @@ def plain(name: str) -> str:
     return "".join(c for c in name.lower() if c.isalnum())
 
 
+@lru_cache(1 << 16)
+def likeness(a: str, b: str) -> float:
+    """How like two names are."""
+    return SequenceMatcher(None, plain(a), plain(b), False).ratio()
+
+
+def _edges(nodes: dict[tuple, int], fields: list[Field]) -> list[tuple[int, str, int]]:
+    """A parent's edges to its fields (the schema's to its top-level ones), and a field's to its types."""
+    tops = {name: nodes["field", ("", name)] for parent, name, _ in fields if not parent}
+    out = []
+    for parent, name, types in fields:
+        at = nodes["field", (parent, name)]
+        out.append((tops.get(parent, 0) if parent else 0, "has", at))
+        out += [(at, "type", nodes["type", b]) for b in range(8) if types >> b & 1]
+    return out
+
+
 def flood(old: Iterable[Field], new: Iterable[Field], rounds: int = 100, close: float = 1e-4) -> dict[tuple[Field, Field], float]:
     """The similarity of every field of one schema to every field of the other under the same parent.
 
-    Nodes are the schema, its parents, its fields and the JSON types; a parent has edges to its
-    fields and a field to its types. A pair of nodes passes its score on to the pairs next to it by
-    an equal edge, in equal shares, and begins with the likeness of their names. Scores are added,
-    scaled to 1 and passed on again until they hardly change.
+    Nodes are the schema, its parents, its fields and the JSON types. A pair of nodes passes its score
+    on, in equal shares, to the pairs that are next to it by an equal edge, and begins with the
+    likeness of their names. Scores are added, scaled to 1 and passed on again until they hardly change.
     """
     old, new = list(old), list(new)
-    left = [("root", ""), *[("field", f) for f in old], *[("type", b) for b in range(8)]]
-    right = [("root", ""), *[("field", f) for f in new], *[("type", b) for b in range(8)]]
-
-    def edges(nodes: list, fields: list[Field]) -> list[tuple[int, str, int]]:
-        at = {n: i for i, n in enumerate(nodes)}
-        tops = {f[1]: at["field", f] for f in fields if not f[0]}
-        out = []
-        for f in fields:
-            out.append((tops.get(f[0], 0) if f[0] else 0, "has", at["field", f]))
-            out += [(at["field", f], "type", at["type", b]) for b in range(8) if f[2] >> b & 1]
-        return out
-
+    sides = []
+    for fields in (old, new):
+        nodes: dict[tuple, int] = {("root", ""): 0}
+        for parent, name, _ in fields:
+            nodes.setdefault(("field", (parent, name)), len(nodes))
+        for bit in range(8):
+            nodes["type", bit] = len(nodes)
+        sides.append((list(nodes), _edges(nodes, fields)))
+    (left, left_edges), (right, right_edges) = sides
+    by_label: dict[str, list[tuple[int, int]]] = {}
+    for a, label, b in right_edges:
+        by_label.setdefault(label, []).append((a, b))
     pairs: dict[tuple[int, int], int] = {}
     start: list[float] = []
 
     def pair(i: int, j: int) -> int:
         if (i, j) not in pairs:
             pairs[i, j] = len(start)
-            (kind, a), (_, b) = left[i], right[j]
-            if kind == "field":
-                start.append(SequenceMatcher(None, plain(a[1]), plain(b[1]), False).ratio())
-            else:
-                start.append(1.0 if a == b else 0.0)
+            a, b = left[i][1], right[j][1]
+            start.append(likeness(a[1], b[1]) if left[i][0] == "field" else float(a == b))
         return pairs[i, j]
 
-    links: list[tuple[int, int, str]] = []
-    right_edges: dict[str, list[tuple[int, int]]] = {}
-    for a, label, b in edges(right, new):
-        right_edges.setdefault(label, []).append((a, b))
-    for a, label, b in edges(left, old):
-        for c, d in right_edges.get(label, ()):
-            kinds = left[a][0] == right[c][0] and left[b][0] == right[d][0]
-            if kinds and (left[b][0] != "field" or left[b][1][0] == right[d][1][0]):
-                links.append((pair(a, c), pair(b, d), label))
-    size = len(start)
-    if not size:
+    links: dict[str, list[tuple[int, int]]] = {"has": [], "type": []}
+    for a, label, b in left_edges:
+        for c, d in by_label.get(label, ()):
+            if left[a][0] == right[c][0] and (left[b][0] != "field" or left[b][1][0] == right[d][1][0]):
+                links[label].append((pair(a, c), pair(b, d)))
+    if not start:
         return {}
-    weights = np.zeros((size, size))
-    for label in ("has", "type"):
-        step = np.zeros((size, size))
-        for p, q, of in links:
-            if of == label:
-                step[p, q] = 1.0
-        for part in (step, step.T):  # along and against the edges
-            weights += part / np.maximum(part.sum(axis=1, keepdims=True), 1)
+    size, flows = len(start), []
+    for ends in links.values():
+        for here, there in ((0, 1), (1, 0)):  # along and against the edges
+            if ends:
+                source, target = np.array([e[here] for e in ends]), np.array([e[there] for e in ends])
+                flows.append((source, target, 1.0 / np.bincount(source, minlength=size)[source]))
+    source, target, weight = (np.concatenate(x) for x in zip(*flows)) if flows else (np.empty(0, int), np.empty(0, int), np.empty(0))
     first = np.array(start)
     score = first.copy()
     for _ in range(rounds):
         sent = first + score
-        grown = sent + weights.T @ sent
+        grown = sent + np.bincount(target, weight * sent[source], size)
         grown /= grown.max() or 1.0
         if np.abs(grown - score).max() < close:
             break
         score = grown
-    return {(left[i][1], right[j][1]): float(score[k]) for (i, j), k in pairs.items() if left[i][0] == "field"}
+    kind_old, kind_new = {(f[0], f[1]): f for f in old}, {(f[0], f[1]): f for f in new}
+    return {(kind_old[left[i][1]], kind_new[right[j][1]]): float(score[k]) for (i, j), k in pairs.items() if left[i][0] == "field"}
 
 
 def selected(scores: dict[tuple[Field, Field], float], allowed: Iterable[tuple[Field, Field]]) -> list[tuple[Field, Field]]:
