@@ -22,57 +22,6 @@ def byte_names() -> dict[int, str]:
     return names
 
 
-class RankQueue:
-    """Buckets of positions by merge rank. Three levels of 64-bit words say which buckets hold
-    anything; the lowest rank is found by three find-first-set steps, whatever the queue's length."""
-
-    __slots__ = ("low", "mid", "top", "buckets")
-
-    def __init__(self) -> None:
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
-        word, group = rank >> 6, rank >> 12
-        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-        self.mid[group] = self.mid.get(group, 0) | 1 << (word & 63)
-        self.top |= 1 << group
-
-    def pop(self) -> tuple[int, list[int]] | None:
-        """The lowest rank and its positions from left to right, or None when nothing is left."""
-        if not self.top:
-            return None
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[group]
-        word = group << 6 | (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = word << 6 | (bits & -bits).bit_length() - 1
-        if left := bits & bits - 1:
-            self.low[word] = left
-        else:
-            del self.low[word]
-            if left := self.mid[group] & ~(1 << (word & 63)):
-                self.mid[group] = left
-            else:
-                del self.mid[group]
-                self.top &= ~(1 << group)
-        positions = self.buckets.pop(rank)
-        positions.sort()
-        return rank, positions
-
-
-#: Up to so many bytes, looking through all pairs for the lowest rank is faster than keeping the queue.
-SHORT = 32
-_NONE = (1 << 62, -1)
-
-
 class ByteBPE(dict):
     """Text pieces to ids: a dict that merges a piece when it is first asked for.
 
@@ -80,7 +29,7 @@ class ByteBPE(dict):
     when full, which costs time and changes nothing.
     """
 
-    def __init__(self, vocabulary: str, cached: int = 1 << 17) -> None:
+    def __init__(self, vocabulary: str, cached: int = 1 << 18) -> None:
         super().__init__()
         with open(vocabulary, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -95,61 +44,82 @@ class ByteBPE(dict):
 
     def __missing__(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "surrogatepass")
-        ids = self.merge_short(data) if len(data) <= SHORT else self.merge(data)
+        ids = self.merge(data)
         if len(piece) <= 64:
             if len(self) >= self.cached:
                 self.clear()
             self[piece] = ids
         return ids
 
-    def merge_short(self, data: bytes) -> list[int]:
-        """The same ids as :meth:`merge`; time in proportion to the square of the length."""
+    def merge(self, data: bytes) -> list[int]:
+        """The ids of one piece: time in proportion to its length, but for the sorts of the buckets.
+
+        A hierarchical bitmap is the queue: each merge rank has a bucket of positions in the linked list
+        of tokens, a word of 64 bits says which of 64 ranks have one, a bitmap over the words which of
+        them are not empty. Two find-first-set steps give the lowest rank, however many wait. A position
+        whose tokens have changed since it was put there is stale and skipped.
+        """
         first, get = self.first, self.ranks.get
         ids = [first[b] for b in data]
-        pairs = [get(pair, _NONE) for pair in zip(ids, ids[1:])]
-        while pairs and (lowest := min(pairs)) is not _NONE:
-            i = pairs.index(lowest)
-            ids[i : i + 2] = [lowest[1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = get((ids[i], ids[i + 1]), _NONE)
-            if i:
-                pairs[i - 1] = get((ids[i - 1], ids[i]), _NONE)
-        return ids
+        size = len(ids)
+        buckets: dict[int, list[int]] = {}
+        words: dict[int, int] = {}
+        filled = 0
+
+        def push(rank: int, position: int) -> None:
+            nonlocal filled
+            if rank in buckets:
+                buckets[rank].append(position)
+                return
+            buckets[rank] = [position]
+            word = rank >> 6
+            if word in words:
+                words[word] |= 1 << (rank & 63)
+            else:
+                words[word] = 1 << (rank & 63)
+                filled |= 1 << word
 
-    def merge(self, data: bytes) -> list[int]:
-        """The ids of one piece by the rank queue: time in proportion to its length, but for the sorts of the buckets."""
-        ids, ranks, size = [self.first[b] for b in data], self.ranks, len(data)
-        if size < 2:
+        for i, pair in enumerate(zip(ids, ids[1:])):
+            if found := get(pair):
+                push(found[0], i)
+        if not filled:
             return ids
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        queue = RankQueue()
-        for i in range(size - 1):
-            if found := ranks.get((ids[i], ids[i + 1])):
-                queue.push(found[0], i)
-        while popped := queue.pop():
-            rank, positions = popped
+        while filled:
+            word = (filled & -filled).bit_length() - 1
+            bits = words[word]
+            lowest = bits & -bits
+            rank = word << 6 | lowest.bit_length() - 1
+            if bits == lowest:
+                del words[word]
+                filled ^= 1 << word
+            else:
+                words[word] = bits ^ lowest
+            positions = buckets.pop(rank)
+            if len(positions) > 1:
+                positions.sort()  # equal ranks are merged from left to right
             for k, i in enumerate(positions):
                 j = after[i]
                 if ids[i] < 0 or j >= size:
                     continue  # stale: the token went into its left neighbour, or lost its right one
-                found = ranks.get((ids[i], ids[j]))
+                found = get((ids[i], ids[j]))
                 if found is None or found[0] != rank:
                     continue  # stale: another merge has changed one of the two
-                ids[i], ids[j] = found[1], -1
+                made = ids[i] = found[1]
+                ids[j] = -1
                 n = after[i] = after[j]
-                p, lower = before[i], False
+                p, sooner = before[i], False
                 if n < size:
                     before[n] = i
-                    if new := ranks.get((ids[i], ids[n])):
-                        queue.push(new[0], i)
-                        lower = new[0] < rank
-                if p >= 0 and (new := ranks.get((ids[p], ids[i]))):
-                    queue.push(new[0], p)
-                    lower |= new[0] < rank
-                if lower:  # only in vocabularies whose merges aren't in the order of their making
+                    if found := get((made, ids[n])):
+                        push(found[0], i)
+                        sooner = found[0] < rank
+                if p >= 0 and (found := get((ids[p], made))):
+                    push(found[0], p)
+                    sooner |= found[0] < rank
+                if sooner:  # only in vocabularies whose merges aren't in the order of their making
                     for left in positions[k + 1 :]:
-                        queue.push(rank, left)
+                        push(rank, left)
                     break
         return [x for x in ids if x >= 0]
 

@@ -42,8 +42,8 @@ def token_ids(
 ) -> DataFrame:
     """The key and ``ids`` (array of int) of every row, in one pass without a shuffle.
 
-    Method: the text is split by the vocabulary's pattern, each distinct piece is merged by the
-    rank queue of :mod:`inkweave.llm.bpe`, in time nearly linear in its length.
+    Method: the text is split by the vocabulary's pattern; each distinct piece of a task is merged by
+    the hierarchical-bitmap rank queue of :mod:`inkweave.llm.bpe`, in time nearly linear in its length.
     Null and empty texts: an empty list. Repeated rows: one result each. Special tokens: none; their
     spellings are ordinary text. Other columns are not read, so their names can't clash.
     """

@@ -30,11 +30,33 @@ def test_odd_texts(bpe, reference):
         assert list(bpe.encode(text)) == reference(text), ascii(text)
 
 
+def scanned(bpe, data):
+    """The ids by looking through all pairs for the lowest rank, again and again."""
+    ids = [bpe.first[b] for b in data]
+    while True:
+        pairs = [(bpe.ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in bpe.ranks]
+        if not pairs:
+            return ids
+        i = min(pairs)[1]
+        ids[i : i + 2] = [bpe.ranks[ids[i], ids[i + 1]][1]]
+
+
 def test_queue_and_scan_agree(bpe):
     rng = random.Random(4)
     for _ in range(500):
         data = bytes(rng.choice(b"thecaningo \xc3\xa9") for _ in range(rng.randrange(1, 80)))
-        assert bpe.merge(data) == bpe.merge_short(data)
+        assert bpe.merge(data) == scanned(bpe, data)
+
+
+def test_merges_out_of_order(bpe):
+    other = ByteBPE(f"{TOKENIZERS}/byte_bpe_50k.json")
+    rng = random.Random(6)
+    few = rng.sample(list(other.ranks), 4000) + [(other.first[a], other.first[b]) for a in b"abc" for b in b"abc"]
+    order = rng.sample(range(len(few)), len(few))
+    other.ranks = {pair: (rank, bpe.ranks[pair][1]) for rank, pair in zip(order, few) if pair in bpe.ranks}
+    for _ in range(300):
+        data = bytes(rng.choice(b"abctheing ") for _ in range(rng.randrange(1, 60)))
+        assert other.merge(data) == scanned(other, data)
 
 
 def test_nulls_repeats_and_clashing_names(spark, reference):
