@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -21,10 +22,12 @@ PARENTS = {
 }
 #: Fields whose content is open, so that their type says nothing.
 OPEN = ("parameters", "flags", "raw", "current")
-#: So many of a parent's usual inner keys tell that an object is it.
+#: So many of a parent's usual inner keys, in all of a file's objects of a name together, tell that the name is it.
 ENOUGH = 2
 
-_PLAIN = {role: {plain(k) for k in keys} for role, keys in PARENTS.items()}
+#: A bit for each usual inner key of each parent.
+_BITS = {(role, plain(k)): 1 << i for i, (role, k) in enumerate((role, k) for role, keys in PARENTS.items() for k in keys)}
+_MASKS = {role: sum(b for (r, _), b in _BITS.items() if r == role) for role in PARENTS}
 TYPES = {str: 1, int: 2, float: 2, bool: 4, list: 8, dict: 16}
 
 
@@ -44,52 +47,99 @@ def content(value: object) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+@lru_cache(1 << 16)
+def _bits(key: str) -> int:
+    return sum(_BITS.get((r, plain(key)), 0) for r in PARENTS)
+
+
+def known(inner: dict) -> int:
+    """The bits of the parents' usual keys that an object has."""
+    bits = 0
+    for k in inner:
+        bits |= _bits(k)
+    return bits
+
+
 def role(name: str, value: object) -> str:
-    """Which of the parents a top-level field is, or ''."""
+    """Which of the parents a top-level field is by one value alone, or ''."""
     inner = content(value)
     if inner is None:
         return ""
-    keys = {plain(k) for k in inner}
-    best = max(_PLAIN, key=lambda r: (len(keys & _PLAIN[r]), plain(name) == plain(r)))
-    return best if len(keys & _PLAIN[best]) >= ENOUGH else ""
+    bits = known(inner)
+    best = max(PARENTS, key=lambda r: ((bits & _MASKS[r]).bit_count(), plain(name) == plain(r)))
+    return best if (bits & _MASKS[best]).bit_count() >= ENOUGH else next((r for r in PARENTS if plain(name) == plain(r)), "")
+
 
+def _parents(tops: DataFrame) -> DataFrame:
+    """``feed, file_no, parent, owner``: the name that each parent has in each file, from all objects of the file under each name.
 
-def parsed_fields(value: dict) -> Iterator[tuple[str, str, str, str, int, object]]:
-    """Of a record's fields: the parent they are in ('' at the top), that parent's name here, the name, the parent it is, the type's bit, the value."""
-    for name, v in value.items():
-        is_parent = role(name, v)
-        yield "", "", name, is_parent, TYPES.get(type(v), 0), v
-        if is_parent and isinstance(v, dict):
-            for inner, w in v.items():
-                yield is_parent, name, inner, "", TYPES.get(type(w), 0), w
+    A name is a parent if it is called so, or if its objects together have :data:`ENOUGH` of the parent's
+    usual keys and most of them at least one (in open content such keys are rare). A name that tells
+    nothing in a file is what it is in most of the feed's others. A file has a parent under one name only.
+    """
+    count = {r: F.bit_count(F.col("known").bitwiseAND(F.lit(_MASKS[r]))) for r in PARENTS}
+    exact = {r: F.regexp_replace(F.lower("name"), "[^a-z0-9]", "") == plain(r) for r in PARENTS}
+    told = {r: F.when((count[r] >= ENOUGH) & (F.col(f"with_{r}") * 2 >= F.col("filled")), count[r]).otherwise(0) for r in PARENTS}
+    scores = F.array(*(F.struct(told[r].alias("told"), exact[r].alias("exact"), F.lit(-i).alias("n"), F.lit(r).alias("role")) for i, r in enumerate(PARENTS)))
+    best = F.array_max(scores)
+    own = F.when(best["told"] > 0, best["role"])
+    for r in PARENTS:
+        own = F.coalesce(own, F.when(exact[r], F.lit(r)))
+    found = tops.where("objects > 0").withColumn("own", own)
+    in_feed = found.where("own is not null").groupBy("feed", "name", "own").agg(F.count("*").alias("n")).groupBy("feed", "name").agg(F.max_by("own", F.struct("n", "own")).alias("usual"))
+    found = found.join(in_feed, ["feed", "name"], "left").withColumn("owner", F.coalesce("own", "usual")).where("owner is not null")
+    is_exact = F.coalesce(*(F.when(F.col("owner") == r, exact[r]) for r in PARENTS))
+    keys = F.coalesce(*(F.when(F.col("owner") == r, count[r]) for r in PARENTS))
+    order = Window.partitionBy("feed", "file_no", "owner").orderBy(F.col("own").isNull(), F.desc(is_exact), F.desc(keys), F.desc("objects"), "name")
+    return found.withColumn("place", F.row_number().over(order)).where("place = 1").select("feed", "file_no", F.col("name").alias("parent"), "owner")
 
 
 def file_schemas(lines: DataFrame) -> DataFrame:
     """``feed, file_no, owner, parent, name, role, types``: the fields of each file, from ``feed, file_no, body``.
 
-    Pre-aggregated where the lines are read: what is shuffled is one row for each field, file and task.
+    ``owner`` is the parent that a field is in ('' at the top), ``parent`` that one's name in the file,
+    ``role`` the parent that the field is. Pre-aggregated where the lines are read: what is shuffled is
+    one row for each field or key of an object, file and task.
     """
+    sums = ["objects", "filled", *(f"with_{r}" for r in PARENTS)]
+    # Here a field at the top has the parent null, for '' may be a field's name.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, int] = {}
+        seen: dict[tuple, list[int]] = {}
         for batch in batches:
             for feed, file_no, body in zip(*(c.to_pylist() for c in batch.columns)):
-                for owner, parent, name, is_parent, kind, _ in parsed_fields(record(body) or {}):
-                    key = (feed, file_no, owner, parent, name, is_parent)
-                    seen[key] = seen.get(key, 0) | kind
+                for name, v in (record(body) or {}).items():
+                    row = seen.setdefault((feed, file_no, None, name), [0] * (2 + len(sums)))
+                    row[0] |= TYPES.get(type(v), 0)
+                    inner = content(v)
+                    if inner is None:
+                        continue
+                    bits = known(inner)
+                    row[1] |= bits
+                    for i, n in enumerate((True, bool(inner), *(bool(bits & m) for m in _MASKS.values())), 2):
+                        row[i] += n
+                    if isinstance(v, dict):
+                        for k, w in inner.items():
+                            seen.setdefault((feed, file_no, name, k), [0] * (2 + len(sums)))[0] |= TYPES.get(type(w), 0)
             if len(seen) > 50_000:
                 yield rows(seen)
                 seen = {}
         if seen:
             yield rows(seen)
 
-    def rows(seen: dict[tuple, int]) -> pa.RecordBatch:
-        columns = [*zip(*seen), list(seen.values())]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["feed", "file_no", "owner", "parent", "name", "role", "types"])
+    def rows(seen: dict[tuple, list[int]]) -> pa.RecordBatch:
+        columns = [*zip(*seen), *zip(*seen.values())]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * len(sums)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["feed", "file_no", "parent", "name", "types", "known", *sums])
 
-    found = lines.mapInArrow(run, "feed string, file_no long, owner string, parent string, name string, role string, types int")
-    return found.groupBy("feed", "file_no", "owner", "name").agg(F.max("parent").alias("parent"), F.max("role").alias("role"), F.bit_or("types").alias("types"))
+    found = lines.mapInArrow(run, "feed string, file_no long, parent string, name string, types int, known int, " + ", ".join(f"{c} long" for c in sums))
+    found = cut(found.groupBy("feed", "file_no", "parent", "name").agg(F.bit_or("types").alias("types"), F.bit_or("known").alias("known"), *(F.sum(c).alias(c) for c in sums)))
+    parents = cut(_parents(found.where("parent is null")))
+    columns = ["feed", "file_no", "owner", "parent", "name", "role", "types"]
+    roles = parents.select("feed", "file_no", F.col("parent").alias("name"), F.col("owner").alias("role"))
+    tops = found.where("parent is null").join(roles, ["feed", "file_no", "name"], "left").withColumns({"owner": F.lit(""), "parent": F.lit(""), "role": F.coalesce("role", F.lit(""))})
+    inner = found.where("parent is not null").join(parents, ["feed", "file_no", "parent"]).withColumn("role", F.lit(""))
+    return tops.select(*columns).unionByName(inner.select(*columns))
 
 
 def file_pairs(lines: DataFrame) -> DataFrame:
@@ -115,10 +165,10 @@ def compared(schemas: DataFrame, pairs: DataFrame) -> DataFrame:
 def _evidence(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """Which gone and new fields agree in every record of both files: ``feed, file_no, owner, gone, new``.
 
-    ``wanted`` has ``feed, file_no, was_no, owner, name, is_new``. Only the values of these fields are
+    ``wanted`` has ``feed, file_no, was_no, owner, parent, name, is_new``. Only the values of these fields are
     compared, by hash, and only within a record; a file may be as large as it likes.
     """
-    of_file = F.struct("file_no", "owner", "name", "is_new")
+    of_file = F.struct("file_no", "owner", "parent", "name", "is_new")
     here = wanted.select("feed", F.when(F.col("is_new"), F.col("file_no")).otherwise(F.col("was_no")).alias("at"), of_file.alias("w")).groupBy("feed", "at").agg(F.collect_set("w").alias("wants"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +179,10 @@ def _evidence(lines: DataFrame, wanted: DataFrame) -> DataFrame:
                 if value is None or value.get("rec_id") is None:
                     continue
                 rec = ordered(value["rec_id"])
-                fields = {(owner, name): v for owner, _, name, _, _, v in parsed_fields(value)}
                 for w in wants:
-                    key = (w["owner"], w["name"])
-                    out.append((feed, w["file_no"], *key, w["is_new"], rec, digest([ordered(fields[key])]) if key in fields else "missing"))
+                    at = value.get(w["parent"]) if w["owner"] else value
+                    there = isinstance(at, dict) and w["name"] in at
+                    out.append((feed, w["file_no"], w["owner"], w["name"], w["is_new"], rec, digest([ordered(at[w["name"]])]) if there else "missing"))
             if out:
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["feed", "file_no", "owner", "name", "is_new", "rec", "value"])
@@ -156,7 +206,7 @@ def renames(lines: DataFrame, both: DataFrame) -> DataFrame:
     ids = ["feed", "file_no", "was_no", "owner"]
     lost, won = both.where("n_types is null"), both.where("o_types is null")
     sides = lost.select(*ids).distinct().join(won.select(*ids).distinct(), ids)  # both a gone and a new field
-    wanted = lost.select(*ids, "name", F.lit(False).alias("is_new")).unionByName(won.select(*ids, "name", F.lit(True).alias("is_new"))).join(sides, ids)
+    wanted = lost.select(*ids, F.col("o_parent").alias("parent"), "name", F.lit(False).alias("is_new")).unionByName(won.select(*ids, F.col("n_parent").alias("parent"), "name", F.lit(True).alias("is_new"))).join(sides, ids)
     borne = cut(_evidence(lines, wanted))
     # The parents are known by what is in them, whatever else changes there.
     role_of = lambda df, side, name: df.where(f"{side}_role <> ''").select("feed", "file_no", "owner", F.col(f"{side}_role").alias("role"), F.col("name").alias(name))
@@ -213,8 +263,8 @@ def schema_changes(df: DataFrame, feed: str = "feed", file_no: str = "file_no",
 
 
 def lineage(lines: DataFrame) -> DataFrame:
-    """``feed, file_no, names``: for each file a map from a field's path there to the bit of the first type
-    and the path that it had when it first came, as ``bit:path``.
+    """``feed, file_no, names, parents``: for each file a map from a field's path there to the bit of the first
+    type and the path that it had when it first came, as ``bit:path``, and one from the parents' names to the parents.
 
     A field is followed back from rename to rename. Renames point to the rename before them; pointers
     are doubled until all have reached a first name, so the rounds grow with the logarithm of the chain.
@@ -239,8 +289,8 @@ def lineage(lines: DataFrame) -> DataFrame:
     kinds = rooted.where("types > 0").groupBy("feed", "path").agg(F.min_by("types", "file_no").alias("kind"))
     here = F.when(F.col("owner") == "", F.col("name")).otherwise(F.concat("owner", F.lit("."), "name"))
     entry = F.struct(here.alias("k"), F.concat(F.coalesce("kind", F.lit(0)).cast("string"), F.lit(":"), F.col("path")).alias("v"))
-    listed = rooted.join(kinds, ["feed", "path"], "left").groupBy("feed", "file_no").agg(F.collect_list(entry).alias("e"))
-    return listed.select("feed", "file_no", F.map_from_entries("e").alias("names"))
+    listed = rooted.join(kinds, ["feed", "path"], "left").groupBy("feed", "file_no").agg(F.collect_list(entry).alias("e"), F.collect_list(F.when(F.col("role") != "", F.struct("name", "role"))).alias("p"))
+    return listed.select("feed", "file_no", F.map_from_entries("e").alias("names"), F.map_from_entries("p").alias("parents"))
 
 
 def cast_value(value: object, kind: int) -> str | None:
@@ -276,13 +326,13 @@ def consistent_table(df: DataFrame, feed: str = "feed", file_no: str = "file_no"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for name, no, body_, names in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, no, body_, names, parents in zip(*(c.to_pylist() for c in batch.columns)):
                 value = record(body_)
                 if value is None:
                     continue
-                names, fields, kind = dict(names), {}, "step"
+                names, parents, fields, kind = dict(names), dict(parents), {}, "step"
                 for top, v in value.items():
-                    is_parent = role(top, v)
+                    is_parent = parents.get(top, "") if content(v) is not None else ""
                     kind = {"intent_llm": "trace", "status": "status"}.get(is_parent, kind)
                     inner = {f"{is_parent}.{k}": w for k, w in content(v).items()} if is_parent else {top: v}
                     for k, w in inner.items():
@@ -294,7 +344,7 @@ def consistent_table(df: DataFrame, feed: str = "feed", file_no: str = "file_no"
                 kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["kind", "feed", "file_no", "rec_id", "fields"])
 
-    joined = lines.distinct().join(lineage(lines), ["feed", "file_no"]).select("feed", "file_no", "body", "names")
+    joined = lines.distinct().join(lineage(lines), ["feed", "file_no"]).select("feed", "file_no", "body", "names", "parents")
     rows = joined.mapInArrow(run, "kind string, feed string, file_no long, rec_id string, fields map<string,string>")
     once = ["kind", "feed", "file_no", "rec_id"]
     return rows.withColumn("entries", F.array_sort(F.map_entries("fields"))).groupBy(*once, "entries").agg(F.count("*").alias("lines")).select(*once, F.map_from_entries("entries").alias("fields"))

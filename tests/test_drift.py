@@ -130,3 +130,25 @@ def test_query_against_brute_force(spark, data):
     assert got and len(got) == len(set(got)) and set(got) == brute(rows)
     whole = p2_table(spark, data).collect()
     assert {r.kind for r in whole} == {"trace", "status", "step"}
+
+
+def test_sparse_parents(spark):
+    """Parents are known by all of a file's records, or by name, however few usual keys a record has."""
+    files = {
+        1: [{"rec_id": "1", "intent_llm": {"intent": "a", "parameters": {}}}, {"rec_id": "2", "intent_llm": {"intent": "b"}}, {"rec_id": "3", "intent_llm": {"item_id": "i", "intent": "c"}}],
+        2: [{"rec_id": "1", "intent_llm": {"label": "a", "parameters": {}}}, {"rec_id": "2", "intent_llm": {"label": "b"}}, {"rec_id": "3", "intent_llm": {"item_id": "i", "label": "c"}}],
+        3: [{"rec_id": "1", "parsed": {"name": "a", "parameters": {}}}, {"rec_id": "3", "parsed": {"item_id": "i", "name": "c"}}],
+        4: [{"rec_id": "3", "parsed": {"item": "i", "name": "c"}}],
+    }
+    # Content in which usual keys are rare is no parent.
+    files[1] += [{"rec_id": str(n), "current": {"x": n, **({"branch": 1} if n == 10 else {"flags": 1} if n == 11 else {})}} for n in range(10, 20)]
+    df = spark.createDataFrame(lines("f", files), "feed string, file_no long, body string, owner string")
+    want = {
+        ("f", 2, "renamed", "intent_llm.label", "intent_llm.intent"), ("f", 2, "removed", "current", "current"),
+        ("f", 3, "renamed", "parsed", "intent_llm"), ("f", 3, "renamed", "parsed.name", "intent_llm.label"),
+        ("f", 4, "renamed", "parsed.item", "parsed.item_id"), ("f", 4, "removed", "parsed.parameters", "parsed.parameters"),
+    }
+    got = [tuple(r) for r in schema_changes(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    whole = {(r.file_no, r.rec_id): r for r in consistent_table(df).collect()}
+    assert whole[4, "3"].fields == {"rec_id": "3", "intent_llm.item_id": "i", "intent_llm.intent": "c"} and whole[2, "2"].kind == "trace"
