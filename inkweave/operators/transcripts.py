@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import cache, lru_cache
 from math import ceil
 
 import pandas as pd
@@ -42,6 +43,20 @@ def _normal(text: str) -> str:
     return " ".join(re.sub(r"[^\w\s]", "", text.lower()).split())
 
 
+def _equal_span(words: list[tuple[str, float, float]], plain: list[str], wanted: str, most_ms: float) -> tuple[float, float, float] | None:
+    """The first span that is the target itself: no other scores 100, so none need be scored."""
+    for i in range(len(words)):
+        size = 0
+        for j in range(i, len(words)):
+            added = plain[j] if not size or not plain[j] else f" {plain[j]}"
+            if not wanted.startswith(added, size):
+                break
+            size += len(added)
+            if size == len(wanted) and (words[j][2] - words[i][1]) * 1000 <= (j - i + 1) * most_ms:
+                return words[i][1], words[j][2], 100.0
+    return None
+
+
 def best_span(words: list[tuple[str, float, float]], target: str, least: float = 70.0, most_ms: float = 1_500.0) -> tuple[float, float, float] | None:
     """The start, end and score of the words in a row that are most like a target, the first of equals.
 
@@ -51,12 +66,15 @@ def best_span(words: list[tuple[str, float, float]], target: str, least: float =
     wanted = _normal(target)
     if not wanted:
         return None
+    plain = [_normal(w[0]) for w in words]
+    if least <= 100 and (exact := _equal_span(words, plain, wanted, most_ms)):
+        return exact
     ratio = least / 100
     shortest, longest = ceil(len(wanted) * ratio / (2 - ratio)), len(wanted) * (2 - ratio) / ratio
     masks: dict[str, int] = {}
     for i, c in enumerate(wanted):
         masks[c] = masks.get(c, 0) | 1 << i
-    full, plain, best = (1 << len(wanted)) - 1, [_normal(w[0]) for w in words], None
+    full, best = (1 << len(wanted)) - 1, None
     for i in range(len(words)):
         row, size = full, 0  # of the words so far: the subsequence's bits, the length
         for j in range(i, len(words)):
@@ -123,10 +141,12 @@ def aligned(
     words: list[tuple[str, int, int]], target: str, start: int, end: int, rounds: int = 20, window: int = 200, step: int = 1_500, share: float = 0.05, shortest: float = 0.8, longest: float = 1.2
 ) -> tuple[int, int, float, int]:
     """Moves a clip's ends until its words fit the target: ``start, end`` (ms), the likeness, the rounds taken."""
-    score = 0.0
+    score, known = 0.0, {}
     for n in range(rounds):
         said = " ".join(w for w, s, e in words if s >= start and e <= end)
-        found = judged(said, target, window, 0.1)
+        if said not in known:  # ends that move to and fro give the same words again
+            known[said] = judged(said, target, window, 0.1)
+        found = known[said]
         score = found["overall"]
         ratio = len(said) / max(1, len(target))
         move = int(max(step, (end - start) * share) * (1 - n / rounds))
@@ -161,15 +181,22 @@ def align_clips(words: DataFrame, clips: DataFrame) -> DataFrame:
     return _spread(words).groupBy("rec_id").cogroup(_spread(clips).groupBy("rec_id")).applyInPandas(run, f"{kinds}, start_ms long, end_ms long, score double, rounds int")
 
 
+@lru_cache(1 << 12)
 def _long_words(text: str) -> int:
     return sum(len(w) > 5 for w in text.split())
 
 
+@lru_cache(1 << 12)
 def cleaned(text: str) -> str:
     """As :func:`inkweave.functions.text.clean_phrases`."""
     return " ".join(re.sub(r"[^A-Za-z0-9\s-]", " ", text).split())
 
 
+@lru_cache(4)
+def _word_counts(texts: tuple[str, ...]) -> Counter[str]:
+    return Counter(w for t in texts for w in t.split())
+
+
 def guess_time(rows: list[tuple[str, float, float]], context: str) -> tuple[float | None, float | None, str]:
     """The time a context is about, by the first of four tiers that finds one, with the tier's name.
 
@@ -180,9 +207,15 @@ def guess_time(rows: list[tuple[str, float, float]], context: str) -> tuple[floa
     if not rows:
         return None, None, "none"
     wanted, said = cleaned(context), [cleaned(t) for t, _, _ in rows]
-    likeness = [SequenceMatcher(None, t, wanted).ratio() for t in said]
+    matcher = SequenceMatcher(None, "", wanted)
+
+    @cache
+    def likeness(i: int) -> float:
+        matcher.set_seq1(said[i])
+        return matcher.ratio()
+
     for least in STARTS:
-        hits = [i for i, t in enumerate(said) if _long_words(t) >= least and len(t) >= LEAST_CHARS and (likeness[i] >= STRONG or t in wanted)]
+        hits = [i for i, t in enumerate(said) if _long_words(t) >= least and len(t) >= LEAST_CHARS and (t in wanted or likeness(i) >= STRONG)]
         if hits:
             run = [hits[0]]
             for i in hits[1:]:
@@ -190,7 +223,7 @@ def guess_time(rows: list[tuple[str, float, float]], context: str) -> tuple[floa
                     break
                 run.append(i)
             return min(rows[i][1] for i in run), max(rows[i][2] for i in run), "strong"
-    counts = Counter(w for t in said for w in t.split())
+    counts = _word_counts(tuple(said))
     words = set(wanted.split())
     rare = {w for w in words if len(w) >= 4 and counts[w] <= 2}
     scored = []
@@ -198,12 +231,17 @@ def guess_time(rows: list[tuple[str, float, float]], context: str) -> tuple[floa
         hit = rare & set(t.split())
         if hit and any(len(w) > 5 and w in words and w != w.upper() for w in t.split()):
             bonus = len(hit) + 2 * sum(w.isupper() for w in hit) + 2 * sum("-" in w for w in hit)
-            scored.append((0.7 * likeness[i] + 0.3 * bonus, -i))
+            scored.append((0.7 * likeness(i) + 0.3 * bonus, -i))
     if scored:
         i = -max(scored)[1]
         return rows[i][1], rows[i][2], "rare-anchor"
-    i = max(range(len(rows)), key=lambda i: (likeness[i], _long_words(said[i]), -i))
-    good = likeness[i] >= WEAK and _long_words(said[i]) >= WEAK_WORDS
+    best = (-1.0, 0, 0)
+    for i in sorted(range(len(rows)), key=lambda i: said[i] != wanted):
+        matcher.set_seq1(said[i])
+        if matcher.real_quick_ratio() >= best[0] and matcher.quick_ratio() >= best[0]:  # both are bounds of the likeness
+            best = max(best, (likeness(i), _long_words(said[i]), -i))
+    i = -best[2]
+    good = likeness(i) >= WEAK and _long_words(said[i]) >= WEAK_WORDS
     return rows[i][1], rows[i][2], "weak" if good else "very weak"
 
 

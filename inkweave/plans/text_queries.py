@@ -111,8 +111,8 @@ def clamped_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sentence of each recording to look for: its third segment."""
-    return _recordings(spark, sf_dir).where("idx = 2").select("rec_id", F.lit(1).alias("quote_id"), F.col("text").alias("quote"))
+    """The sentences to look for: every segment of every recording."""
+    return _recordings(spark, sf_dir).select("rec_id", F.col("idx").alias("quote_id"), F.col("text").alias("quote"))
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,20 +120,20 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a sentence of each recording is said."""
+    """Where each sentence of each recording is said."""
     return locate_quotes(_words(spark, sf_dir), _quotes(spark, sf_dir))
 
 
 def tiered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The time that a sentence of each recording is about, and how it was found."""
+    """The time that each sentence of each recording is about, and how it was found."""
     contexts = _quotes(spark, sf_dir).select("rec_id", F.col("quote_id").alias("context_id"), F.col("quote").alias("context"))
     return locate_contexts(_recordings(spark, sf_dir), contexts)
 
 
 def clip_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips a little off, moved until their words fit their sentence."""
+    """A clip a little off for each sentence, moved until its words fit the sentence."""
     words = _words(spark, sf_dir).select("rec_id", "idx", "text", (F.col("start") * 1000).cast("long").alias("start_ms"), (F.col("end") * 1000).cast("long").alias("end_ms"))
-    clips = _recordings(spark, sf_dir).where("idx = 2").select("rec_id", F.lit(1).alias("clip_id"), F.col("text").alias("target"), (F.col("start") * 1000 - 700).cast("long").alias("start_ms"), (F.col("end") * 1000 + 900).cast("long").alias("end_ms"))
+    clips = _recordings(spark, sf_dir).select("rec_id", F.col("idx").alias("clip_id"), F.col("text").alias("target"), (F.col("start") * 1000 - 700).cast("long").alias("start_ms"), (F.col("end") * 1000 + 900).cast("long").alias("end_ms"))
     return align_clips(words, clips)
 
 

@@ -209,3 +209,13 @@ def test_streams(spark, tmp_path):
     assert [(r.k, r.was, r.now) for r in changes.orderBy("at").collect()] == [("a", None, "x"), ("a", "x", "y")]
     session = streaming.sessions(streaming.event_stream(spark, path), "k", "20 minutes")
     assert session.isStreaming and "session_start" in session.columns
+
+
+def test_every_segment_is_searched(spark, data):
+    from inkweave.plans import text_queries
+
+    segments = {(r.rec_id, r.idx) for r in text_queries._recordings(spark, data).collect()}
+    assert len(segments) > 1_000
+    for query, name in ((text_queries.span_search, "quote_id"), (text_queries.tiered_match, "context_id"), (text_queries.clip_alignment, "clip_id")):
+        got = [(r.rec_id, r[name]) for r in query(spark, data).collect()]
+        assert len(got) == len(segments) and set(got) == segments
