@@ -170,12 +170,19 @@ def resolve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items that labels, the last words of labels and ids refer to."""
+    """The items that labels and ids refer to."""
     items = _items(spark, sf_dir).select("id", F.col("label"))
     refs = items.select(F.upper("label").alias("ref")).unionByName(items.select(F.col("id").alias("ref"))).where("ref is not null").distinct()
     return resolved(items, refs).select("ref", "id", F.col("rule").cast("long").alias("rule"))
 
 
+def reference_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items, labelled with id and label, that the last word of labels and labels without their first and last character refer to."""
+    items = _items(spark, sf_dir).where("label is not null")
+    parts = items.select(F.upper("label").alias("ref")).unionByName(items.where(F.char_length("label") > 2).selectExpr("substring(label, 2, length(label) - 2) AS ref"))
+    return resolved(items.select("id", F.concat_ws(" ", "id", "label").alias("label")), parts.distinct()).select("ref", "id", F.col("rule").cast("long").alias("rule"))
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "workflow_items").where("id is not null").withColumn("u", _micros("updated_at"))
     return keep_last(rows, ["id"], "u", "parent_id", "label")
@@ -279,6 +286,10 @@ SELECT segment, idx, round(a + 0.02, 5) AS begin_theta, round(b - 0.02, 5) AS en
     "reference_cascade": (reference_cascade, f"""
 WITH {ITEMS_SQL}, l AS (SELECT id, lower(label) AS label FROM i), r AS (SELECT DISTINCT upper(label) AS ref FROM i WHERE label IS NOT NULL UNION SELECT id FROM i),
 m AS (SELECT ref, id, CASE WHEN ref = id THEN 1 WHEN lower(ref) = label THEN 2 WHEN label LIKE '% ' || lower(ref) THEN 3 ELSE 4 END AS rule FROM r JOIN l ON ref = id OR contains(label, lower(ref)))
+SELECT ref, arg_min(id, (rule, id)) AS id, min(rule)::BIGINT AS rule FROM m GROUP BY ref"""),
+    "reference_parts": (reference_parts, f"""
+WITH {ITEMS_SQL}, l AS (SELECT id, lower(id || ' ' || label) AS label FROM i WHERE label IS NOT NULL), r AS (SELECT DISTINCT upper(label) AS ref FROM i WHERE label IS NOT NULL UNION SELECT substring(label, 2, length(label) - 2) FROM i WHERE length(label) > 2),
+m AS (SELECT ref, id, CASE WHEN ref = id THEN 1 WHEN lower(ref) = label THEN 2 WHEN ends_with(label, ' ' || lower(ref)) THEN 3 ELSE 4 END AS rule FROM r JOIN l ON ref = id OR contains(label, lower(ref)))
 SELECT ref, arg_min(id, (rule, id)) AS id, min(rule)::BIGINT AS rule FROM m GROUP BY ref"""),
     "item_forest": (item_forest, FOREST_SQL + "SELECT id, root, depth, path FROM t"),
     "item_children": (item_children, f"WITH {ITEMS_SQL} SELECT id, (SELECT count(*) FROM i c WHERE c.parent_id = i.id) AS children FROM i"),

@@ -51,8 +51,9 @@ def resolved(items: DataFrame, references: DataFrame) -> DataFrame:
     """Each reference's item by the first rule that finds one: its id, its whole label, a label that ends in
     it, a label that contains it; the least id of equals. ``items`` has ``id, label``, ``references`` ``ref``.
 
-    The first three are equal joins (of the label's ends by words); only what they leave is searched by
-    containment, against labels grouped by a word the reference must share.
+    The first three are equal joins (of the label's ends by words). What they leave may begin and end
+    anywhere in a label: it is searched among the labels that have its rarest run of three characters
+    (fewer if it is shorter), and compared there. An empty reference is in every label.
     """
     items = items.where("id is not null").select("id", F.lower("label").alias("label"))
     refs = references.where("ref is not null").select("ref", F.lower("ref").alias("r")).distinct()
@@ -60,7 +61,14 @@ def resolved(items: DataFrame, references: DataFrame) -> DataFrame:
     by_id = refs.join(items, refs.ref == items.id).select("ref", "id", F.lit(1).alias("rule"))
     by_label = refs.join(items, F.col("r") == F.col("label")).select("ref", "id", F.lit(2).alias("rule"))
     by_tail = refs.join(items.select("id", F.explode(tails).alias("tail")), F.col("r") == F.col("tail")).select("ref", "id", F.lit(3).alias("rule"))
-    word = refs.withColumn("w", F.element_at(F.split("r", " "), 1))
-    by_part = word.join(items.select("id", "label", F.explode(F.array_distinct(F.split("label", " "))).alias("w")), "w").where(F.col("label").contains(F.col("r"))).select("ref", "id", F.lit(4).alias("rule"))
-    found = by_id.unionByName(by_label).unionByName(by_tail).unionByName(by_part)
+    told = by_id.unionByName(by_label).unionByName(by_tail)
+    left = refs.join(told.select("ref").distinct(), "ref", "left_anti")
+    runs = lambda text, n: F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = items.select("id", "label", F.explode(F.array_distinct(F.concat(*(runs("label", n) for n in (1, 2, 3))))).alias("g"))
+    asked = left.where("r <> ''").select("ref", "r", F.explode(F.array_distinct(F.when(F.char_length("r") < 3, F.array("r")).otherwise(runs("r", 3)))).alias("g"))
+    # A run that no label has rules its reference out: it is the rarest.
+    rarest = asked.join(grams.groupBy("g").agg(F.count("*").alias("n")), "g", "left").groupBy("ref", "r").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    by_part = rarest.join(grams, "g").where(F.col("label").contains(F.col("r"))).select("ref", "id", F.lit(4).alias("rule"))
+    by_any = left.where("r = ''").select("ref").crossJoin(items.where("label is not null").agg(F.min("id").alias("id"))).where("id is not null").withColumn("rule", F.lit(4))
+    found = told.unionByName(by_part).unionByName(by_any)
     return found.groupBy("ref").agg(F.min(F.struct("rule", "id")).alias("best")).select("ref", "best.id", "best.rule")

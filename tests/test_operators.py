@@ -219,3 +219,10 @@ def test_every_segment_is_searched(spark, data):
     for query, name in ((text_queries.span_search, "quote_id"), (text_queries.tiered_match, "context_id"), (text_queries.clip_alignment, "clip_id")):
         got = [(r.rec_id, r[name]) for r in query(spark, data).collect()]
         assert len(got) == len(segments) and set(got) == segments
+
+
+def test_references_within_words(spark):
+    items = spark.createDataFrame([("i1", "accordion"), ("i2", "Draft review"), ("i3", "zz"), ("i4", None)], "id string, label string")
+    refs = spark.createDataFrame([("accord",), ("CORDIO",), ("raft rev",), ("z",), ("raft review",), ("nowhere",), ("",), ("review",)], "ref string")
+    got = sorted(tuple(r) for r in events.resolved(items, refs).collect())
+    assert got == [("", "i1", 4), ("CORDIO", "i1", 4), ("accord", "i1", 4), ("raft rev", "i2", 4), ("raft review", "i2", 4), ("review", "i2", 3), ("z", "i3", 4)]
