@@ -31,6 +31,8 @@ _QUOTED = re.compile(r"„[^“”„]*[“”]|“[^“”]*”|«[^«»]*»|
 _CLOSERS = {"“": "”", "„": "“”", "«": "»", "‘": "’"}
 _BULLET = re.compile(r"\s*(?:[-*•–]|\d+[.)])\s+\S")
 _SENTENCE = re.compile(r"[.!?\n]+")
+#: A refusal may be wrapped over lines.
+_STOPS = re.compile(r"[.!?]+")
 _FENCE = re.compile(r"^\s*```\w*\s*|\s*```\s*$")
 
 
@@ -84,7 +86,7 @@ def refused(response: str) -> bool:
     """Whether the assistant declines, in some sentence outside quotations."""
     if TRIGGERS.isdisjoint(LETTERS.findall(response.lower())):
         return False
-    for sentence in _SENTENCE.split(unquoted(response.replace("’", "'"))):
+    for sentence in _STOPS.split(unquoted(response.replace("’", "'"))):
         if not TRIGGERS.isdisjoint(LETTERS.findall(sentence.lower())) and REFUSAL.search(sentence):
             return True
     return False

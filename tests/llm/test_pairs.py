@@ -93,3 +93,7 @@ def test_query(spark, data):
     assert {r.defect for r in got} == {"empty", "copied", "refusal", "other_language", "truncated"}
     assert {r.field_name for r in got} == {"agent_response", "reasoning"}
     assert 0.03 < len(got) / spark.read.parquet(f"{data}/eval_traces.parquet").count() < 0.3
+
+
+def test_wrapped_refusals():
+    assert refused("I am sorry, but I cannot\nhelp with that.") and not refused("The step is done.\nNo items are waiting")
