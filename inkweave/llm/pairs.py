@@ -4,151 +4,218 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.lexicon import COMMANDS, FUNCTION_WORDS, REFUSAL, STAND_INS, TRIGGERS
+from inkweave.llm.lexicon import COMMANDS, DECLINING, FUNCTION_WORDS, SCRIPTS, STAND_INS
+from inkweave.session import cut
 
 WORD = re.compile(r"[^\W_]+")
 LETTERS = re.compile(r"[^\W\d_]+")
-#: A lead-in before a copy has at most so many words and bytes.
-LEAD_WORDS, LEAD_BYTES = 6, 64
-#: What a compressed frame of nothing but a lead-in and matches in its dictionary takes besides the lead-in.
-FRAME_BYTES = 64
-#: Beginnings of up to so many words are counted, and kept if at least one text in KEPT has them.
-OPENING, KEPT = 4, 5_000
-
-_LISTS = Counter(w for words in FUNCTION_WORDS.values() for w in set(words))
-_LANGUAGE = {w: k for k, words in FUNCTION_WORDS.items() for w in words if _LISTS[w] == 1}
+#: A lead-in before a copy has at most so many words.
+LEAD_WORDS = 6
+#: What copies are compressed after, so that even a copy of one short word is worth a match.
+FRAME = "\x00" + "".join(map(chr, range(33, 97))) + "\x00"
+#: Beginnings of up to so many words are counted.
+OPENING = 4
+#: A context that fewer texts have tells nothing; one with at most one end in so many goes on.
+LEAST, BEGINS, LASTS = 3, 10, 50
+
+_WORDS = {k: frozenset(words) for k, words in FUNCTION_WORDS.items()}
+_SHARED: Counter[str] = Counter(w for words in _WORDS.values() for w in words)
+_LANGUAGES: dict[str, list[tuple[str, float]]] = {w: [(k, 1 / n) for k in _WORDS if w in _WORDS[k]] for w, n in _SHARED.items()}
+#: Words that one language alone has.
+_OWN = {k: frozenset(w for w in words if _SHARED[w] == 1) for k, words in _WORDS.items()}
 _COMMANDS = set(COMMANDS)
 _QUOTED = re.compile(r"„[^“”„]*[“”]|“[^“”]*”|«[^«»]*»|‘[^‘’]*’|\"[^\"]*\"")
+_QUOTES = re.compile("[„“«‘\"]")
 _CLOSERS = {"“": "”", "„": "“”", "«": "»", "‘": "’"}
 _BULLET = re.compile(r"\s*(?:[-*•–]|\d+[.)])\s+\S")
 _SENTENCE = re.compile(r"[.!?\n]+")
 #: A refusal may be wrapped over lines.
 _STOPS = re.compile(r"[.!?]+")
 _FENCE = re.compile(r"^\s*```\w*\s*|\s*```\s*$")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+_LASTS = re.compile(r"([^\W\d_]+)[\"'”’»)]*[.!?…]")
+_LINE = re.compile(r"([^\W\d_]+)\W*$")
+_MARKS = re.compile(r"[“”„«»‘’)]|\((?=\S)")
 
 
 def said(text: str) -> bool:
     """Whether a text says anything: a letter, digit or picture, and no stand-in for no value."""
-    import unicodedata
-
     if not any(c.isalnum() or unicodedata.category(c) == "So" for c in text):
         return False
     return " ".join(WORD.findall(text.lower())) not in STAND_INS if len(text) < 80 else True
 
 
+def spent(asked: str, text: str) -> int:
+    """The bytes that a text takes when it is compressed with the prompt as a zstandard dictionary."""
+    words, data = (FRAME + asked).encode(), (FRAME + text).encode()
+    window = min(max(10, (len(words) + len(data)).bit_length()), 27)
+    settings = zstandard.ZstdCompressionParameters.from_level(3, window_log=window, write_content_size=False, write_checksum=False)
+    dictionary = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings).compress(data))
+
+
 @lru_cache(4096)
-def _compressor(prompt: str) -> zstandard.ZstdCompressor:
-    words = zstandard.ZstdCompressionDict(prompt.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=False, write_checksum=False)
+def _floor(asked: str) -> int:
+    return spent(asked, asked)
 
 
 def copied(prompt: str, response: str) -> bool:
     """Whether a response is nothing but its prompt, once or several times, perhaps after a short lead-in.
 
-    The response's words are compressed with the prompt's as a dictionary; only if hardly more than a
-    lead-in is left can it be a copy, and then the words are compared.
+    The words of the response are compressed with those of the prompt as a dictionary. A text of a copy's
+    length is one if it takes no more bytes than the prompt itself: anything else needs further
+    literals or matches. A lead-in is set off by a colon, a dash, a quotation mark.
     """
-    asked = WORD.findall(prompt.lower())
-    found = list(WORD.finditer(response.lower()))
-    if not asked or len(found) < len(asked):
+    asked = _asked(prompt)
+    lower = response.lower()
+    if not asked or asked.rpartition(" ")[2] not in lower:
         return False
-    words = [m.group() for m in found]
-    if words[-1] != asked[-1]:
-        return False
-    if len(_compressor(" ".join(asked)).compress(" ".join(words).encode())) > LEAD_BYTES + FRAME_BYTES:
-        return False
-    for lead in range(min(LEAD_WORDS, len(words) - len(asked)) + 1):
-        rest = words[lead:]
-        if len(rest) % len(asked) or rest != asked * (len(rest) // len(asked)):
-            continue
-        gap = response.lower()[found[lead - 1].end() : found[lead].start()] if lead else ":"
-        if gap.strip():  # a lead-in is set off by a colon, a dash, a quotation mark
-            return True
+    found = list(WORD.finditer(lower))
+    length = sum(m.end() - m.start() for m in found) + len(found) - 1
+    for lead in range(min(LEAD_WORDS + 1, len(found))):
+        times, rest = divmod(length + 1, len(asked) + 1)
+        if not times:
+            return False
+        if not rest and (not lead or lower[found[lead - 1].end() : found[lead].start()].strip()):
+            text = " ".join(m.group() for m in found[lead:])
+            size = len(asked)
+            if text[size :: size + 1].strip():
+                continue
+            if all(spent(asked, piece) <= _floor(asked) for piece in {text[i : i + size] for i in range(0, len(text), size + 1)}):
+                return True
+        length -= found[lead].end() - found[lead].start() + 1
     return False
 
 
+@lru_cache(4096)
+def _asked(prompt: str) -> str:
+    return " ".join(WORD.findall(prompt.lower()))
+
+
 def unquoted(text: str) -> str:
     """A text without its quotations, unless nothing is left of it."""
+    if not _QUOTES.search(text):
+        return text
     rest = _QUOTED.sub(" ", text)
     return rest if WORD.search(rest) else text
 
 
-def refused(response: str) -> bool:
-    """Whether the assistant declines, in some sentence outside quotations."""
-    if TRIGGERS.isdisjoint(LETTERS.findall(response.lower())):
-        return False
-    for sentence in _STOPS.split(unquoted(response.replace("’", "'"))):
-        if not TRIGGERS.isdisjoint(LETTERS.findall(sentence.lower())) and REFUSAL.search(sentence):
-            return True
-    return False
+def spoken(words: list[str]) -> dict[str, float]:
+    """The frequent words of each language among some words; one of several languages counts in parts."""
+    out: dict[str, float] = {}
+    for w in words:
+        for name, part in _LANGUAGES.get(w, ()):
+            out[name] = out.get(name, 0.0) + part
+    return out
 
 
-def language(text: str, least: int = 2) -> str | None:
-    """The language whose frequent words clearly prevail in a text, or None; other scripts count as languages."""
+def language(text: str, least: float = 1.0, hits: int = 2) -> str | None:
+    """The language whose frequent words prevail in a text, or None; other scripts count as languages."""
     words = LETTERS.findall(text.lower())
-    counts = Counter(_LANGUAGE[w] for w in words if w in _LANGUAGE)
-    if counts:
-        (best, n), *others = counts.most_common(2)
-        if n >= least and n >= 2 * (others[0][1] if others else 0):
+    scores = spoken(words)
+    if len({w for w in words if w in _LANGUAGES}) >= hits:
+        best = max(scores, key=lambda k: (scores[k], k))
+        if scores[best] >= least and scores[best] > 1.25 * max((v for k, v in scores.items() if k != best), default=0):
             return best
     letters = "".join(words)
-    for name, first, last in (("cyrillic", "Ѐ", "ӿ"), ("greek", "Ͱ", "Ͽ"), ("hebrew", "֐", "׿"), ("arabic", "؀", "ۿ"), ("devanagari", "ऀ", "ॿ"), ("thai", "฀", "๿"), ("kana", "぀", "ヿ"), ("han", "一", "鿿"), ("hangul", "가", "힣")):
+    for name, first, last in SCRIPTS:
         if len(letters) >= 4 and sum(first <= c <= last for c in letters) * 2 > len(letters):
             return name
     return None
 
 
+@lru_cache(4096)
 def prompt_language(prompt: str) -> str | None:
     """A prompt's language; short commands are English."""
-    if found := language(prompt, 1):
-        return found
-    return "en" if _COMMANDS & set(LETTERS.findall(prompt.lower())) else None
+    words = LETTERS.findall(prompt.lower())
+    if _COMMANDS.intersection(words) and len(words) < 6:
+        return "en"
+    return language(prompt, 0.5, 1) or ("en" if _COMMANDS.intersection(words) else None)
 
 
-def other_language(prompt: str, response: str) -> bool:
-    """Whether a response is wholly in another language than its prompt: clearly so, and none of its sentences is in the prompt's."""
-    text = unquoted(response)
-    spoken = language(text)
-    if spoken is None:
+def other_language(asked: str | None, text: str) -> bool:
+    """Whether a text without its quotations is wholly in another language: clearly so, and no sentence is in the one asked in."""
+    found = language(text)
+    if asked is None or found is None or found == asked:
         return False
-    asked = prompt_language(prompt)
-    if asked is None or asked == spoken:
-        return False
-    return all(language(s) != asked for s in _SENTENCE.split(text))
-
-
-class Endings:
-    """Terminal contexts: how often texts that begin with some words go on after them.
-
-    Counted over all texts of the table; kept for beginnings that at least one text in :data:`KEPT`
-    has, so their number is bounded whatever the table's size.
-    """
-
-    def __init__(self, counts: dict[str, tuple[int, int]]) -> None:
-        self.counts = counts
-
-    def goes_on(self, words: list[str]) -> bool | None:
-        """Whether these first words are hardly ever all of a text; None if they are too rare to tell."""
-        found = self.counts.get(" ".join(words))
-        return None if found is None else found[1] * 10 <= found[0]
-
-    @staticmethod
-    def openings(text: str) -> Iterator[tuple[str, bool]]:
-        words = LETTERS.findall(text.lower())
-        for n in range(1, min(OPENING, len(words)) + 1):
-            yield " ".join(words[:n]), n == len(words)
-
-
-_MARKS = re.compile(r"[“”„«»‘’)]|\((?=\S)")
+    known = _WORDS.get(asked)
+    if known is None:
+        return True
+    own = _WORDS.get(found, frozenset())
+    for sentence in _SENTENCE.split(text):
+        words = LETTERS.findall(sentence.lower())
+        if sum(w in known for w in words) > max(1, sum(w in own for w in words)):
+            return False
+    return True
+
+
+class _Dictionary:
+    """One language's ways to decline, as patterns over a sentence's words."""
+
+    def __init__(self, name: str) -> None:
+        self.apostrophes = name == "en"
+        #: Where a verb may stand before what denies it.
+        self.free = name in ("de", "nl", "sv")
+        entries = {k: v.split("|") for k, v in DECLINING[name].items()}
+        self.whole = frozenset(entries.pop("whole"))
+        self.classes = {k: re.compile("(?<= )(?:" + "|".join(re.escape(w).replace(r"\*", r"[^ ]*") for w in sorted(v, key=len, reverse=True)) + ")(?= )") for k, v in entries.items()}
+        starts = [max(w.split(" "), key=len) for k in ("deny", "decline", "rule", "phrase") for w in entries[k]] + [max(w.split(" "), key=len) for w in self.whole]
+        self.starts, self.stems = frozenset(w for w in starts if "*" not in w), tuple(w[:-1] for w in starts if "*" in w)
+
+    def concerns(self, words: list[str]) -> bool:
+        """Whether a text has any word that each refusal has one of."""
+        return not self.starts.isdisjoint(words) or bool(self.stems) and any(w.startswith(self.stems) for w in words)
+
+    def places(self, kind: str, sentence: str) -> list[tuple[int, int]]:
+        """The first and last words of each entry of a class."""
+        return [(sentence.count(" ", 0, m.start()), sentence.count(" ", 0, m.end())) for m in self.classes[kind].finditer(sentence)]
+
+    def score(self, words: list[str]) -> int:
+        """How clearly a sentence declines: each way it does so counts two, hints one, a report of what went wrong takes two off."""
+        if not self.apostrophes:
+            words = [p for w in words for p in w.split("'")]
+        sentence = f" {' '.join(words)} "
+        points = 2 * (sentence.strip() in self.whole or bool(self.classes["phrase"].search(sentence)))
+        selves = self.places("self", sentence)
+        denials = self.places("deny", sentence)
+        if selves:
+            if denials:
+                acts, asks = self.places("act", sentence), self.places("ask", sentence)
+                near = lambda d, a: (0 <= a[0] - d[1] + 1 <= 9 or self.free and 0 <= d[0] - a[0] <= 9) and any(d[0] - 6 <= s[0] <= max(a[0], d[1]) for s in selves)
+                points += 2 * any(near(d, a) for d in denials for a in acts)
+                points += any(near(d, a) for d in denials for a in asks)
+            declines = self.places("decline", sentence)
+            points += 2 * any(not any(0 <= c[0] - d[1] <= 1 for d in denials) for c in declines)
+            if self.classes["rule"].search(sentence):
+                points += 2 * bool(self.classes["against"].search(sentence))
+        return points - 2 * len({m.group() for m in self.classes["report"].finditer(sentence)}) if points else 0
+
+
+_DECLINING = {name: _Dictionary(name) for name in DECLINING}
+
+
+def refused(text: str, languages: list[str] | None = None) -> bool:
+    """Whether a text without its quotations declines in some sentence, by the dictionaries of the languages that it may be in."""
+    text = text.replace("’", "'").lower()
+    whole = LETTERS.findall(text)
+    if "'" in text:
+        whole += _TOKEN.findall(text)
+    for name in languages or DECLINING:
+        one = _DECLINING.get(name)
+        if one is not None and one.concerns(whole) and any(one.score(_TOKEN.findall(s)) >= 2 for s in _STOPS.split(text)):
+            return True
+    return False
 
 
 def open_quotation(text: str) -> bool:
@@ -164,94 +231,184 @@ def open_quotation(text: str) -> bool:
     return bool(waiting) or text.count("```") % 2 == 1 or text.count('"') % 2 == 1
 
 
-def truncated(response: str, endings: Endings) -> bool:
-    """Whether a text stops before its sentence, quotation, code block or object is finished."""
+def begun(words: list[str]) -> int:
+    """The key of a context: a text's first words."""
+    return xxhash.xxh3_64_intdigest("^" + " ".join(words)) - (1 << 63)
+
+
+def ending(word: str) -> int:
+    """The key of a context: the last word before an end."""
+    return xxhash.xxh3_64_intdigest("$" + word) - (1 << 63)
+
+
+class Contexts:
+    """Terminal contexts of texts: how often their first words, and each of their words, stand before an end.
+
+    A sentence ends at its mark and a line of a list at the line's end; where a text just stops, nothing is told.
+    """
+
+    def __init__(self) -> None:
+        self.words: Counter[str] = Counter()
+        self.last: Counter[str] = Counter()
+        self.first: Counter[str] = Counter()
+        self.whole: Counter[str] = Counter()
+
+    def add(self, text: str) -> None:
+        lower = text.lower()
+        words = LETTERS.findall(lower)
+        self.words.update(words)
+        self.first.update([" ".join(words[:n]) for n in range(1, min(OPENING, len(words)) + 1)])
+        if len(words) <= OPENING:
+            self.whole[" ".join(words)] += 1
+        self.last.update(_LASTS.findall(lower))
+        if "\n" in lower:
+            for line in lower.split("\n"):
+                if _BULLET.match(line) and (found := _LINE.search(line)):
+                    self.last[found.group(1)] += 1
+
+    def counts(self) -> Iterator[tuple[int, int, int]]:
+        """The key of each context, its number and that of its ends."""
+        for word, n in self.words.items():
+            yield ending(word), n, min(self.last[word], n)
+        for words, n in self.first.items():
+            yield begun([words]), n, self.whole[words]
+
+
+#: An answer that only its contexts can decide: their keys, and what the last word tells where both are too rare.
+Open = tuple[int, int, bool]
+
+
+def truncated(response: str) -> bool | Open:
+    """Whether a text stops before its sentence, quotation, code block or object is finished, or the contexts that tell.
+
+    The terminal contexts of short texts and of lists, which need no full stop, decide by how often texts go on there.
+    """
     text = response.strip().strip("​﻿")
     body = _FENCE.sub("", text) if text.startswith("```") else text
     if body[:1] in "{[" and body[:2] != "[[" or text.startswith("```"):
         try:
             json.loads(body)
             return text.count("```") % 2 == 1
-        except ValueError:
+        except (ValueError, RecursionError):
             if body[:1] in "{[" and (body.count("{") > body.count("}") or body.count("[") > body.count("]")):
                 return True
     if open_quotation(text):
         return True
-    ending = text.rstrip("\"'”“’»)]*_` ")
-    if ending.endswith(("…", "...")):
+    end = text.rstrip("\"'”“’»)]*_` ")
+    if end.endswith(("…", "...")):
         return bool(WORD.search(text))
-    if ending.endswith((".", "!", "?", "。", "！", "？", "؟", "।")):
+    if end.endswith((".", "!", "?", "。", "！", "？", "؟", "।")):
         return False
-    if text[-1:] in ")`”»" or not (ending[-1:].isalnum() or ending[-1:] in ",;:-–—&/"):
+    if text[-1:] in ")`”»" or not (end[-1:].isalnum() or end[-1:] in ",;:-–—&/"):
         return False
+    if end[-1:] in ",;:-–—&/":
+        return True
     last = text.splitlines()[-1]
     words = LETTERS.findall(last.lower())
-    hanging = ending[-1:] in ",;:-–—&/" or (len(words) > 1 and words[-1] in _LANGUAGE)
+    rare = len(words) > 1 and words[-1] in _LANGUAGES
     if _BULLET.match(last):
-        return hanging
-    if hanging:
-        return True
-    if re.search(r"[.!?…]\s+\S", text):  # earlier sentences were finished
+        return (0, ending(words[-1]), rare) if words else False
+    if re.search(r"[.!?…]\s+\S", text) or len(last.split()) > OPENING:  # sentences, of which the last isn't finished
         return True
-    total = len(last.split())
-    if total > OPENING:
-        return True
-    return total > 1 and bool(endings.goes_on(LETTERS.findall(text.lower())))
+    whole = LETTERS.findall(text.lower())
+    return (begun(whole), ending(whole[-1]), rare) if len(whole) > 1 else False
+
 
+def goes_on(first: tuple[int, int] | None, last: tuple[int, int] | None, rare: bool, listed: bool = False) -> bool:
+    """Whether texts go on after these contexts, each given as its number and that of its ends.
+
+    The first words tell before the last word; contexts that hardly any text has leave it to the last word's
+    kind. A text's own end, which is counted for its first words and in lists, tells nothing about itself.
+    """
+    if first is not None and first[0] >= LEAST:
+        return (first[1] - 1) * BEGINS <= first[0] - 1
+    if last is not None and last[0] >= LEAST:
+        return (last[1] - listed) * LASTS <= last[0] - listed
+    return rare
 
-def defect(prompt: str | None, response: str | None, endings: Endings) -> str | None:
-    """The first defect of a pair that applies, or None."""
+
+def defect(prompt: str | None, response: str | None) -> str | None | Open:
+    """The first defect of a pair that applies, None, or the contexts that tell whether it is truncated."""
     if response is None or not said(response):
         return "empty"
     prompt = prompt or ""
     if copied(prompt, response):
         return "copied"
-    if refused(response):
+    asked, text = prompt_language(prompt), unquoted(response)
+    words = LETTERS.findall(text.lower())
+    # Where one word in five is one that the prompt's language alone has, the text isn't in another.
+    if asked in _OWN and 5 * sum(map(_OWN[asked].__contains__, words)) >= len(words):
+        languages, other = [asked], False
+    else:
+        scores = spoken(words)
+        most = max(scores.values(), default=0)
+        languages = [k for k, v in scores.items() if 2 * v >= most]
+        other = response.lstrip()[:1] not in "{[`" and other_language(asked, text)
+    if refused(text, languages):
         return "refusal"
-    if other_language(prompt, response):
+    if other:
         return "other_language"
-    return "truncated" if truncated(response, endings) else None
-
-
-def _endings(pairs: DataFrame) -> Endings:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            goes: Counter[str] = Counter()
-            ends: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                for opening, ended in Endings.openings(text):
-                    goes[opening] += 1
-                    ends[opening] += ended
-            keys = list(goes)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([goes[k] for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], ["opening", "n", "ended"])
-
-    counted = pairs.where("response is not null").select("response").mapInArrow(run, "opening string, n long, ended long")
-    counted = counted.groupBy("opening").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
-    total = pairs.count()
-    # Each text has at most OPENING beginnings, so at most OPENING * KEPT can be that frequent.
-    kept = counted.where(F.col("n") >= max(3, total / KEPT)).collect()
-    return Endings({r.opening: (r.n, r.ended) for r in kept})
+    found = truncated(response)
+    return ("truncated" if found else None) if isinstance(found, bool) else found
 
 
 def broken_pairs(pairs: DataFrame) -> DataFrame:
     """``id, field_name, defect`` of the defective pairs among ``id, field_name, prompt, response``.
 
     Method: copies are found by compressing the response with the prompt as a zstandard dictionary;
-    refusals and languages by word lists; cut-off texts by their terminal context (open quotations,
-    brackets, code and objects, the last words, and how often texts that begin alike go on).
+    refusals and languages by dictionaries that are scored for each language; cut-off texts by their
+    terminal contexts (open quotations, brackets, code and objects; and for short texts and lists how
+    often texts of the table go on after the first words and after the last one). The contexts of all
+    rows are counted, whatever their number, and joined with the answers that they must decide: a
+    context tells from :data:`LEAST` texts on, in a table of any size.
     Null responses: empty. Null prompts: nothing can be a copy or in another language. Repeated rows
-    give one result. An empty table: no rows. The pairs are not shuffled but for dropping repeats.
+    give one result. An empty table: no rows. Pairs are read once; only contexts' counts and defects are shuffled.
     """
     pairs = pairs.select("id", "field_name", F.col("prompt").cast("string"), F.col("response").cast("string"))
-    endings = _endings(pairs)
+    kind = pairs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Contexts()
+        arrow = (pa.string(), pa.string())
         for batch in batches:
-            found = [defect(p, r, endings) for p, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["id", "field_name", "defect"])
-
-    kind = pairs.schema["id"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"id {kind}, field_name string, defect string").where("defect is not null").distinct()
+            arrow = (batch.column(0).type, batch.column(1).type)
+            rows, found = [], []
+            for i, (prompt, response) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if response is not None:
+                    seen.add(response)
+                label = defect(prompt, response)
+                if label is not None:
+                    rows.append(i)
+                    found.append((label, None, None, None) if isinstance(label, str) else (None, *label))
+            if rows:
+                at = pa.array(rows, pa.int64())
+                yield result(batch.column(0).take(at), batch.column(1).take(at), found)
+            if len(seen.words) + len(seen.first) > 200_000:
+                yield counted(seen, arrow)
+                seen = Contexts()
+        if seen.first:
+            yield counted(seen, arrow)
+
+    names = ["id", "field_name", "defect", "begun", "ending", "rare", "context", "n", "ended"]
+
+    def result(ids: pa.Array, fields: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+        none = pa.nulls(len(found), pa.int64())
+        columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64(), pa.bool_()))]
+        return pa.RecordBatch.from_arrays([ids, fields, *columns, none, none, none], names)
+
+    def counted(seen: Contexts, arrow: tuple) -> pa.RecordBatch:
+        counts = [pa.array(c, pa.int64()) for c in zip(*seen.counts())]
+        none = [pa.nulls(len(counts[0]), t) for t in (*arrow, pa.string(), pa.int64(), pa.int64(), pa.bool_())]
+        return pa.RecordBatch.from_arrays([*none, *counts], names)
+
+    told = cut(pairs.mapInArrow(run, f"id {kind}, field_name string, defect string, begun long, ending long, rare boolean, context long, n long, ended long"))
+    counts = told.where("context is not null").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended")).where(F.col("n") >= LEAST)
+    of = lambda key, p: counts.select(F.col("context").alias(key), F.col("n").alias(f"{p}_n"), F.col("ended").alias(f"{p}_ended"))
+    waiting = told.where("ending is not null").join(of("begun", "b"), "begun", "left").join(of("ending", "e"), "ending", "left")
+    own = (F.col("begun") == 0).cast("long")
+    goes = F.coalesce((F.col("b_ended") - 1) * BEGINS <= F.col("b_n") - 1, (F.col("e_ended") - own) * LASTS <= F.col("e_n") - own, "rare")
+    cut_off = waiting.where(goes).select("id", "field_name", F.lit("truncated").alias("defect"))
+    return told.where("defect is not null").select("id", "field_name", "defect").unionByName(cut_off).distinct()
 
 
 def trace_pairs(traces: DataFrame) -> DataFrame:

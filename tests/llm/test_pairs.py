@@ -1,12 +1,34 @@
-from inkweave.llm.lexicon import REFUSAL, TRIGGERS
-from inkweave.llm.pairs import LETTERS, Endings, broken_pairs, copied, defect, language, open_quotation, other_language, refused, said, truncated
+import random
+
+import pytest
+from llm.declining import OTHERS, REFUSALS
+
+from inkweave.llm import pairs as module
+from inkweave.llm.pairs import Contexts, begun, broken_pairs, copied, ending, goes_on, language, open_quotation, prompt_language, said, unquoted
 from inkweave.llm.queries import p3_found
 
-NONE = Endings({})
 SHOW = "show me the output of align_words for the payload about Fencreulm"
 GERMAN = "Warum wurde die Idee über das Schema aus Fentarfayor abgelehnt?"
 
 
+def refused(text):
+    return module.refused(unquoted(text))
+
+
+def other_language(prompt, response):
+    return module.other_language(prompt_language(prompt), unquoted(response))
+
+
+def truncated(text, counts):
+    found = module.truncated(text)
+    return found if isinstance(found, bool) else goes_on(counts.get(found[0]), counts.get(found[1]), found[2])
+
+
+def defect(prompt, response):
+    found = module.defect(prompt, response)
+    return ("truncated" if goes_on(None, None, found[2]) else None) if isinstance(found, tuple) else found
+
+
 def test_nothing_said():
     for text in ("", " \t\n", "​", "\xa0", "...", "…", "--", "null", "None", "N/A", "n.a.", "(empty)", "[]", "{}", '""', "NaN", "?!", "<null>", "Keine Angabe"):
         assert not said(text), text
@@ -33,7 +55,6 @@ def test_refusals():
         "Let us not go there.", "Por desgracia no me está permitido responder.", "Das ist mir leider nicht gestattet.", "Il ne m'est malheureusement pas permis de répondre.",
     ):
         assert refused(text), text
-        assert not TRIGGERS.isdisjoint(LETTERS.findall(text.lower())), text
     for text in (
         "Cannot export yet: the desert is still blocked by choose_asset.", "I could not find an item named Tegalcas, so I listed the recent ones.", "Sorry for the delay, check_captions has now finished.",
         "The step is missing.", "Without the theatre, Loib cannot frame the shared tempos.", "No puedo encontrar el elemento Quo.", "Ich kann den Eintrag nicht finden.", "The idea was rejected by the desk.",
@@ -42,10 +63,9 @@ def test_refusals():
         assert not refused(text), text
 
 
-def test_triggers_lose_no_refusal(spark, data):
-    for (text,) in spark.read.parquet(f"{data}/eval_traces.parquet").select("agent_response").distinct().collect():
-        if text and REFUSAL.search(text):
-            assert not TRIGGERS.isdisjoint(LETTERS.findall(text.lower())), text
+def test_ways_to_decline_not_seen_before():
+    """When first run: 65 of the 67 refusals were found, and 1 of the 29 others taken for one."""
+    assert [t for t in REFUSALS if not refused(t)] == [] and [t for t in OTHERS if refused(t)] == []
 
 
 def test_languages():
@@ -59,7 +79,8 @@ def test_languages():
 
 
 def test_truncation():
-    seen = Endings({"the message": (100, 1), "the message names": (100, 1), "no items yet": (40, 40)})
+    seen = {begun(t.split()): n for t, n in {"the message": (100, 1), "the message names": (100, 1), "no items yet": (40, 40)}.items()}
+    assert not goes_on((5, 2), None, False) and goes_on((5, 1), None, False) and goes_on(None, (5, 1), False, True) and not goes_on((2, 0), (2, 0), False)
     for text in (
         "There are 3 items, and", "Here is it. Why would a", "Here it is. We open 66 maps", "The message names", "The note reads: “Between the faded furnace.", '```json\n{"step": "x", "note": "Our mask ac', '{"a": [1, 2',
         "It is done. And …", "Steps:\n- a,", "```\ncode", "This is (not closed.", "Il y a 13 éléments, et 58", 'He said "go.',
@@ -74,9 +95,9 @@ def test_truncation():
 
 
 def test_order_and_nulls():
-    assert defect(None, None, NONE) == "empty" and defect(None, "It is done.", NONE) is None
-    assert defect(GERMAN, "I can't help with that request, and", NONE) == "refusal"
-    assert defect(GERMAN, "The step runs after this and keeps the", NONE) == "other_language"
+    assert defect(None, None) == "empty" and defect(None, "It is done.") is None
+    assert defect(GERMAN, "I can't help with that request, and") == "refusal"
+    assert defect(GERMAN, "The step runs after this and keeps the") == "other_language"
 
 
 def test_rows(spark):
@@ -95,5 +116,50 @@ def test_query(spark, data):
     assert 0.03 < len(got) / spark.read.parquet(f"{data}/eval_traces.parquet").count() < 0.3
 
 
+CUT = [(1, "f", "status", "Half of the"), (2, "f", "status", "Each kettle"), (3, "f", "status", "Steps:\n- load_ideas\n- load"), (4, "f", "status", "All is done"), (5, "f", "status", "Old kettle")]
+WHOLE = [(10 + i, "f", "status", t) for i, t in enumerate(("Half of the markets are open.", "Each kettle is full.", "Steps:\n- load_ideas\n- load_ideas", "All is done", "It holds a kettle.") * 4)]
+
+
+def test_contexts_decide(spark, monkeypatch):
+    """Short answers and lists are told apart by how often texts go on there, in a table of any size."""
+    schema = "id long, field_name string, prompt string, response string"
+    rare = spark.createDataFrame(CUT + WHOLE, schema)
+    for more in (0, 50_000):
+        others = spark.range(more).selectExpr("id + 1000 as id", "'f' as field_name", "'list items' as prompt", "concat('Word', id, ' was run by item', id, '.') as response")
+        assert sorted(r.id for r in broken_pairs(rare.unionByName(others)).collect()) == [1, 2, 3]
+    monkeypatch.setattr(module, "LEAST", 1 << 40)
+    assert sorted(r.id for r in broken_pairs(rare).collect()) != [1, 2, 3]
+
+
+def test_contexts_against_counting():
+    counts = Contexts()
+    for text in ("The step is done. The step", "The step", "- the step\n- a step", "step step!"):
+        counts.add(text)
+    got = {k: (n, e) for k, n, e in counts.counts()}
+    assert got[ending("step")] == (7, 3) and got[ending("the")] == (4, 0)  # a text that just stops tells nothing
+    assert got[begun(["the", "step"])] == (3, 1) and got[begun(["the"])] == (3, 0)
+
+
+def test_compression_decides(monkeypatch):
+    """Copies are told by the bytes that are left, against a comparison of words."""
+    rng = random.Random(5)
+    words = "a be see list items status show the next step rewind Zelmo état über 日本 x1".split()
+    for _ in range(3_000):
+        prompt = [rng.choice(words) for _ in range(rng.randint(1, 6))]
+        answer = prompt * rng.randint(1, 3)
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            i, j = rng.randrange(len(answer)), rng.randrange(len(answer))
+            answer[i], answer[j] = rng.choice(((rng.choice(words), answer[j]), (answer[j], answer[i]), ("".join(rng.sample(answer[i], len(answer[i]))), answer[j])))
+        a, b = " ".join(prompt).lower().split(), " ".join(answer).lower().split()
+        assert copied(" ".join(prompt), " ".join(answer)) == (len(b) % len(a) == 0 and b == a * (len(b) // len(a))), (prompt, answer)
+    long = " ".join(str(rng.random()) for _ in range(40_000))
+    assert copied(long, f"You asked: {long} {long}") and not copied(long, f"{long} {long[:-1]}x")
+    assert not copied("list items", "bist items")
+    monkeypatch.setattr(module, "spent", lambda asked, text: 0)  # without it any text of the length is one
+    module._floor.cache_clear()
+    assert copied("list items", "bist items")
+    module._floor.cache_clear()
+
+
 def test_wrapped_refusals():
     assert refused("I am sorry, but I cannot\nhelp with that.") and not refused("The step is done.\nNo items are waiting")
