@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -15,22 +14,41 @@ from inkweave.functions.jsonvalue import digest, ordered
 from inkweave.operators.flooding import flood, plain, selected
 from inkweave.session import cut
 
-#: The objects whose inner keys are fields, under whatever name they go, and those keys.
-PARENTS = {
-    "intent_llm": ("intent", "item_id", "step_name", "edit_text", "parameters", "reasoning"),
-    "status": ("branch", "substate", "approved", "requires_approval", "flags"),
-}
-#: Fields whose content is open, so that their type says nothing.
-OPEN = ("parameters", "flags", "raw", "current")
 #: So many of a parent's usual inner keys, in all of a file's objects of a name together, tell that the name is it.
 ENOUGH = 2
+#: What is asked of a pair of files is broadcast up to so many bytes in all; beyond, it is joined, with each file cut into so many parts.
+BROADCAST, PARTS = 8 << 20, 32
 
-#: A bit for each usual inner key of each parent.
-_BITS = {(role, plain(k)): 1 << i for i, (role, k) in enumerate((role, k) for role, keys in PARENTS.items() for k in keys)}
-_MASKS = {role: sum(b for (r, _), b in _BITS.items() if r == role) for role in PARENTS}
 TYPES = {str: 1, int: 2, float: 2, bool: 4, list: 8, dict: 16}
 
 
+class Parents:
+    """The objects whose inner keys are fields, under whatever name they go, with their usual keys, and the
+    names of fields whose content is open, so that their type says nothing."""
+
+    def __init__(self, keys: dict[str, Iterable[str]] | None = None, open_fields: Iterable[str] = ()) -> None:
+        self.names, self.open = [*(keys or {})], [*open_fields]
+        self._bits = {(role, plain(k)): 1 << i for i, (role, k) in enumerate((role, k) for role, usual in (keys or {}).items() for k in usual)}
+        self.masks = {role: sum(b for (r, _), b in self._bits.items() if r == role) for role in self.names}
+        self._seen: dict[str, int] = {}
+
+    def bits(self, key: str) -> int:
+        """The bits of the usual keys that a name is."""
+        found = self._seen.get(key)
+        if found is None:
+            found = sum(self._bits.get((r, plain(key)), 0) for r in self.names)
+            if len(self._seen) < 1 << 16:
+                self._seen[key] = found
+        return found
+
+    def known(self, inner: dict) -> int:
+        """The bits of the usual keys that an object has."""
+        bits = 0
+        for k in inner:
+            bits |= self.bits(k)
+        return bits
+
+
 def record(body: str | None) -> dict | None:
     """The JSON object of a line, or None."""
     try:
@@ -47,98 +65,91 @@ def content(value: object) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-@lru_cache(1 << 16)
-def _bits(key: str) -> int:
-    return sum(_BITS.get((r, plain(key)), 0) for r in PARENTS)
-
-
-def known(inner: dict) -> int:
-    """The bits of the parents' usual keys that an object has."""
-    bits = 0
-    for k in inner:
-        bits |= _bits(k)
-    return bits
-
-
-def role(name: str, value: object) -> str:
-    """Which of the parents a top-level field is by one value alone, or ''."""
-    inner = content(value)
-    if inner is None:
-        return ""
-    bits = known(inner)
-    best = max(PARENTS, key=lambda r: ((bits & _MASKS[r]).bit_count(), plain(name) == plain(r)))
-    return best if (bits & _MASKS[best]).bit_count() >= ENOUGH else next((r for r in PARENTS if plain(name) == plain(r)), "")
-
-
-def _parents(tops: DataFrame) -> DataFrame:
+def _parents(tops: DataFrame, parents: Parents) -> DataFrame:
     """``feed, file_no, parent, owner``: the name that each parent has in each file, from all objects of the file under each name.
 
     A name is a parent if it is called so, or if its objects together have :data:`ENOUGH` of the parent's
     usual keys and most of them at least one (in open content such keys are rare). A name that tells
     nothing in a file is what it is in most of the feed's others. A file has a parent under one name only.
     """
-    count = {r: F.bit_count(F.col("known").bitwiseAND(F.lit(_MASKS[r]))) for r in PARENTS}
-    exact = {r: F.regexp_replace(F.lower("name"), "[^a-z0-9]", "") == plain(r) for r in PARENTS}
-    told = {r: F.when((count[r] >= ENOUGH) & (F.col(f"with_{r}") * 2 >= F.col("filled")), count[r]).otherwise(0) for r in PARENTS}
-    scores = F.array(*(F.struct(told[r].alias("told"), exact[r].alias("exact"), F.lit(-i).alias("n"), F.lit(r).alias("role")) for i, r in enumerate(PARENTS)))
+    if not parents.names:
+        return tops.where("false").select("feed", "file_no", F.col("name").alias("parent"), F.lit("").alias("owner"))
+    count = {r: F.bit_count(F.col("known").bitwiseAND(F.lit(parents.masks[r]))) for r in parents.names}
+    exact = {r: F.regexp_replace(F.lower("name"), "[^a-z0-9]", "") == plain(r) for r in parents.names}
+    told = {r: F.when((count[r] >= ENOUGH) & (F.col(f"with_{r}") * 2 >= F.col("filled")), count[r]).otherwise(0) for r in parents.names}
+    scores = F.array(*(F.struct(told[r].alias("told"), exact[r].alias("exact"), F.lit(-i).alias("n"), F.lit(r).alias("role")) for i, r in enumerate(parents.names)))
     best = F.array_max(scores)
     own = F.when(best["told"] > 0, best["role"])
-    for r in PARENTS:
+    for r in parents.names:
         own = F.coalesce(own, F.when(exact[r], F.lit(r)))
     found = tops.where("objects > 0").withColumn("own", own)
     in_feed = found.where("own is not null").groupBy("feed", "name", "own").agg(F.count("*").alias("n")).groupBy("feed", "name").agg(F.max_by("own", F.struct("n", "own")).alias("usual"))
     found = found.join(in_feed, ["feed", "name"], "left").withColumn("owner", F.coalesce("own", "usual")).where("owner is not null")
-    is_exact = F.coalesce(*(F.when(F.col("owner") == r, exact[r]) for r in PARENTS))
-    keys = F.coalesce(*(F.when(F.col("owner") == r, count[r]) for r in PARENTS))
+    is_exact = F.coalesce(*(F.when(F.col("owner") == r, exact[r]) for r in parents.names))
+    keys = F.coalesce(*(F.when(F.col("owner") == r, count[r]) for r in parents.names))
     order = Window.partitionBy("feed", "file_no", "owner").orderBy(F.col("own").isNull(), F.desc(is_exact), F.desc(keys), F.desc("objects"), "name")
     return found.withColumn("place", F.row_number().over(order)).where("place = 1").select("feed", "file_no", F.col("name").alias("parent"), "owner")
 
 
-def file_schemas(lines: DataFrame) -> DataFrame:
+def file_schemas(lines: DataFrame, parents: Parents) -> DataFrame:
     """``feed, file_no, owner, parent, name, role, types``: the fields of each file, from ``feed, file_no, body``.
 
     ``owner`` is the parent that a field is in ('' at the top), ``parent`` that one's name in the file,
     ``role`` the parent that the field is. Pre-aggregated where the lines are read: what is shuffled is
     one row for each field or key of an object, file and task.
     """
-    sums = ["objects", "filled", *(f"with_{r}" for r in PARENTS)]
+    sums = ["objects", "filled", *(f"with_{r}" for r in parents.names)]
     # Here a field at the top has the parent null, for '' may be a field's name.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, list[int]] = {}
+        # By file, field and key of an object: a row of the types, the usual keys and the sums.
+        files: dict[tuple, dict[str, tuple[list[int], dict[str, int]]]] = {}
+        size, types_of, masks = 0, TYPES.get, [*parents.masks.values()]
         for batch in batches:
             for feed, file_no, body in zip(*(c.to_pylist() for c in batch.columns)):
-                for name, v in (record(body) or {}).items():
-                    row = seen.setdefault((feed, file_no, None, name), [0] * (2 + len(sums)))
-                    row[0] |= TYPES.get(type(v), 0)
-                    inner = content(v)
+                value = record(body)
+                if not value:
+                    continue
+                fields = files.setdefault((feed, file_no), {})
+                for name, v in value.items():
+                    one = fields.get(name)
+                    if one is None:
+                        one = fields[name] = [0] * (2 + len(sums)), {}
+                        size += 1
+                    row, inside = one
+                    row[0] |= types_of(type(v), 0)
+                    inner = v if isinstance(v, dict) else content(v) if isinstance(v, str) else None
                     if inner is None:
                         continue
-                    bits = known(inner)
+                    bits = parents.known(inner)
                     row[1] |= bits
-                    for i, n in enumerate((True, bool(inner), *(bool(bits & m) for m in _MASKS.values())), 2):
-                        row[i] += n
-                    if isinstance(v, dict):
+                    row[2] += 1
+                    row[3] += bool(inner)
+                    for i, mask in enumerate(masks, 4):
+                        row[i] += bool(bits & mask)
+                    if inner is v:
                         for k, w in inner.items():
-                            seen.setdefault((feed, file_no, name, k), [0] * (2 + len(sums)))[0] |= TYPES.get(type(w), 0)
-            if len(seen) > 50_000:
-                yield rows(seen)
-                seen = {}
-        if seen:
-            yield rows(seen)
-
-    def rows(seen: dict[tuple, list[int]]) -> pa.RecordBatch:
-        columns = [*zip(*seen), *zip(*seen.values())]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * len(sums)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["feed", "file_no", "parent", "name", "types", "known", *sums])
-
-    found = lines.mapInArrow(run, "feed string, file_no long, parent string, name string, types int, known int, " + ", ".join(f"{c} long" for c in sums))
+                            inside[k] = inside.get(k, 0) | types_of(type(w), 0)
+            if size > 50_000:
+                yield rows(files)
+                files, size = {}, 0
+        if files:
+            yield rows(files)
+
+    def rows(files: dict) -> pa.RecordBatch:
+        none = [0] * (1 + len(sums))
+        flat = [(*file, None, name, *row) for file, fields in files.items() for name, (row, _) in fields.items()]
+        flat += [(*file, name, k, types, *none) for file, fields in files.items() for name, (_, inside) in fields.items() for k, types in inside.items()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), *[pa.int64()] * len(sums)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), kinds)], ["feed", "file_no", "parent", "name", "types", "known", *sums])
+
+    found = lines.mapInArrow(run, "feed string, file_no long, parent string, name string, types int, known long, " + ", ".join(f"{c} long" for c in sums))
     found = cut(found.groupBy("feed", "file_no", "parent", "name").agg(F.bit_or("types").alias("types"), F.bit_or("known").alias("known"), *(F.sum(c).alias(c) for c in sums)))
-    parents = cut(_parents(found.where("parent is null")))
+    owners = cut(_parents(found.where("parent is null"), parents))
     columns = ["feed", "file_no", "owner", "parent", "name", "role", "types"]
-    roles = parents.select("feed", "file_no", F.col("parent").alias("name"), F.col("owner").alias("role"))
+    roles = owners.select("feed", "file_no", F.col("parent").alias("name"), F.col("owner").alias("role"))
     tops = found.where("parent is null").join(roles, ["feed", "file_no", "name"], "left").withColumns({"owner": F.lit(""), "parent": F.lit(""), "role": F.coalesce("role", F.lit(""))})
-    inner = found.where("parent is not null").join(parents, ["feed", "file_no", "parent"]).withColumn("role", F.lit(""))
+    inner = found.where("parent is not null").join(owners, ["feed", "file_no", "parent"]).withColumn("role", F.lit(""))
     return tops.select(*columns).unionByName(inner.select(*columns))
 
 
@@ -163,13 +174,16 @@ def compared(schemas: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _evidence(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Which gone and new fields agree in every record of both files: ``feed, file_no, owner, gone, new``.
+    """How many of the records of both files agree on a gone and a new field: ``feed, file_no, owner, gone, new, agree, records``.
 
     ``wanted`` has ``feed, file_no, was_no, owner, parent, name, is_new``. Only the values of these fields are
-    compared, by hash, and only within a record; a file may be as large as it likes.
+    compared, by hash, and only within a record; a file may be as large as it likes. Lines aren't shuffled
+    as long as what is wanted of all files is small; else each file is cut into parts.
     """
-    of_file = F.struct("file_no", "owner", "parent", "name", "is_new")
-    here = wanted.select("feed", F.when(F.col("is_new"), F.col("file_no")).otherwise(F.col("was_no")).alias("at"), of_file.alias("w")).groupBy("feed", "at").agg(F.collect_set("w").alias("wants"))
+    asked = wanted.groupBy("feed", "file_no", "was_no", "owner", "parent", "is_new").agg(F.collect_set("name").alias("names"))
+    asked = asked.select("feed", F.when(F.col("is_new"), F.col("file_no")).otherwise(F.col("was_no")).alias("at"), F.struct("file_no", "owner", "parent", "is_new", "names").alias("w"))
+    asked = cut(asked.groupBy("feed", "at").agg(F.collect_list("w").alias("wants")))
+    size = asked.agg(F.sum(F.length(F.to_json("wants")) + F.length("feed") + 16)).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,55 +195,64 @@ def _evidence(lines: DataFrame, wanted: DataFrame) -> DataFrame:
                 rec = ordered(value["rec_id"])
                 for w in wants:
                     at = value.get(w["parent"]) if w["owner"] else value
-                    there = isinstance(at, dict) and w["name"] in at
-                    out.append((feed, w["file_no"], w["owner"], w["name"], w["is_new"], rec, digest([ordered(at[w["name"]])]) if there else "missing"))
+                    at = at if isinstance(at, dict) else {}
+                    hashes = [digest([ordered(at[n])]) if n in at else "missing" for n in w["names"]]
+                    out.append((feed, w["file_no"], w["owner"], w["is_new"], rec, w["names"], hashes))
             if out:
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["feed", "file_no", "owner", "name", "is_new", "rec", "value"])
-
-    schema = "feed string, file_no long, owner string, name string, is_new boolean, rec string, value string"
-    values = lines.withColumnRenamed("file_no", "at").join(here, ["feed", "at"]).select("feed", "body", "wants").mapInArrow(run, schema)
-    keys = ["feed", "file_no", "owner", "rec"]
-    values = values.groupBy(*keys, "name", "is_new").agg(F.max("value").alias("value"))
-    gone = values.where("not is_new").select(*keys, F.col("name").alias("gone"), F.col("value").alias("was"))
-    new = values.where("is_new").select(*keys, F.col("name").alias("new"), "value")
-    agree = gone.join(new, keys).groupBy("feed", "file_no", "owner", "gone", "new").agg(F.bool_and(F.col("was") == F.col("value")).alias("agree"))
-    return agree.where("agree").drop("agree")
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["feed", "file_no", "owner", "is_new", "rec", "names", "hashes"])
+
+    rows = lines.withColumnRenamed("file_no", "at")
+    if size <= BROADCAST:
+        rows = rows.join(F.broadcast(asked), ["feed", "at"])
+    else:
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("body"), F.lit(PARTS)).cast("int")).join(asked, ["feed", "at", "part"])
+    values = rows.select("feed", "body", "wants").mapInArrow(run, "feed string, file_no long, owner string, is_new boolean, rec string, names array<string>, hashes array<string>")
+    # One row for each record of both files; of repeated records that differ the greatest counts.
+    pair = F.struct("hashes", "names")
+    both = values.groupBy("feed", "file_no", "owner", "rec").agg(F.max(F.when(~F.col("is_new"), pair)).alias("was"), F.max(F.when(F.col("is_new"), pair)).alias("now")).where("was is not null and now is not null")
+    each = both.select("feed", "file_no", "owner", "now", F.explode(F.arrays_zip("was.names", "was.hashes")).alias("o"))
+    each = each.select("feed", "file_no", "owner", "o", F.explode(F.arrays_zip("now.names", "now.hashes")).alias("n"))
+    agree = F.sum((F.col("o.hashes") == F.col("n.hashes")).cast("long")).alias("agree")
+    return each.groupBy("feed", "file_no", "owner", F.col("o.names").alias("gone"), F.col("n.names").alias("new")).agg(agree, F.count("*").alias("records"))
 
 
 def renames(lines: DataFrame, both: DataFrame) -> DataFrame:
     """``feed, file_no, owner, gone, new``: the fields that go under a new name.
 
-    Similarity flooding scores all correspondences of two files' schema graphs; of those that the
-    records bear out, a consistent set with the best scores is taken.
+    Similarity flooding scores all correspondences of two files' schema graphs, by names, types,
+    nesting and the share of records that agree. The best consistent ones are proposed; those that
+    any record contradicts are withdrawn, and the next best take their place.
     """
     ids = ["feed", "file_no", "was_no", "owner"]
     lost, won = both.where("n_types is null"), both.where("o_types is null")
     sides = lost.select(*ids).distinct().join(won.select(*ids).distinct(), ids)  # both a gone and a new field
     wanted = lost.select(*ids, F.col("o_parent").alias("parent"), "name", F.lit(False).alias("is_new")).unionByName(won.select(*ids, F.col("n_parent").alias("parent"), "name", F.lit(True).alias("is_new"))).join(sides, ids)
-    borne = cut(_evidence(lines, wanted))
-    # The parents are known by what is in them, whatever else changes there.
-    role_of = lambda df, side, name: df.where(f"{side}_role <> ''").select("feed", "file_no", "owner", F.col(f"{side}_role").alias("role"), F.col("name").alias(name))
-    same_role = role_of(lost, "o", "gone").join(role_of(won, "n", "new"), ["feed", "file_no", "owner", "role"]).drop("role")
-    allowed = borne.unionByName(same_role).distinct()
-    listed = allowed.groupBy("feed", "file_no").agg(F.collect_list(F.struct("owner", "gone", "new")).alias("allowed"))
+    shares = _evidence(lines, wanted).groupBy("feed", "file_no").agg(F.collect_list(F.struct("owner", "gone", "new", "agree", "records")).alias("shares"))
+    field = lambda side: F.struct("owner", "name", F.col(f"{side}_types").alias("types"), F.col(f"{side}_role").alias("role"))
     fields = both.groupBy("feed", "file_no").agg(
-        F.collect_list(F.when(F.col("o_types").isNotNull(), F.struct("owner", "name", F.col("o_types").alias("types")))).alias("olds"),
-        F.collect_list(F.when(F.col("n_types").isNotNull(), F.struct("owner", "name", F.col("n_types").alias("types")))).alias("news"),
+        F.collect_list(F.when(F.col("o_types").isNotNull(), field("o"))).alias("olds"),
+        F.collect_list(F.when(F.col("n_types").isNotNull(), field("n"))).alias("news"),
     )
+    # A file without a gone and a new field of one parent has nothing that could be renamed.
+    fields = fields.join(sides.select("feed", "file_no").distinct(), ["feed", "file_no"], "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
             for r in batch.itertuples(index=False):
-                olds = {(f["owner"], f["name"]): (f["owner"], f["name"], f["types"]) for f in r.olds}
-                news = {(f["owner"], f["name"]): (f["owner"], f["name"], f["types"]) for f in r.news}
-                pairs = {(olds[a["owner"], a["gone"]], news[a["owner"], a["new"]]) for a in r.allowed}
-                scores = flood(olds.values(), news.values())
-                out += [(r.feed, r.file_no, a[0], a[1], b[1]) for a, b in selected(scores, pairs)]
+                olds, news = ({(f["owner"], f["name"]): (f["owner"], f["name"], f["types"]) for f in side} for side in (r.olds, r.news))
+                roles_old, roles_new = ({(f["owner"], f["role"]): (f["owner"], f["name"]) for f in side if f["role"]} for side in (r.olds, r.news))
+                agreeing = {((s["owner"], s["gone"]), (s["owner"], s["new"])): s["agree"] / s["records"] for s in ([] if r.shares is None else r.shares)}
+                # The parents are known by what is in them, whatever else changes there.
+                agreeing |= {(old, roles_new[at]): 1.0 for at, old in roles_old.items() if roles_new.get(at, old) != old}
+                pairs = {(olds[o], news[n]): share for (o, n), share in agreeing.items() if o in olds and n in news and o not in news and n not in olds}
+                for a, b in selected(flood(olds.values(), news.values(), pairs), lambda p, pairs=pairs: pairs.get(p) == 1.0):
+                    out.append((r.feed, r.file_no, a[0], a[1], b[1]))
             yield pd.DataFrame(out, columns=["feed", "file_no", "owner", "gone", "new"])
 
-    return listed.join(fields, ["feed", "file_no"]).mapInPandas(run, "feed string, file_no long, owner string, gone string, new string")
+    return fields.join(shares, ["feed", "file_no"], "left").select("feed", "file_no", "olds", "news", "shares").mapInPandas(run, "feed string, file_no long, owner string, gone string, new string")
 
 
 def _lines(df: DataFrame, feed: str, file_no: str, body: str) -> DataFrame:
@@ -237,21 +260,22 @@ def _lines(df: DataFrame, feed: str, file_no: str, body: str) -> DataFrame:
     return rows.where("feed is not null and file_no is not null")
 
 
-def schema_changes(df: DataFrame, feed: str = "feed", file_no: str = "file_no", body: str = "body") -> DataFrame:
+def schema_changes(df: DataFrame, feed: str = "feed", file_no: str = "file_no", body: str = "body", parents: Parents | None = None) -> DataFrame:
     """``feed, file_no, change_kind, field_path, was_path``: each file against the feed's next lower existing one.
 
     Method: similarity flooding between the schema graphs of the two files, with correspondences
-    verified on the records of both; fields without one are removed or added.
+    verified on the records of both; fields without one are removed or added. ``parents`` names the
+    objects whose inner keys are fields too; without it only top-level keys are.
     Lines that are no JSON object, null feeds and file numbers: ignored. Repeated lines: count once.
     A feed of one file and an empty table: no rows. Fields that are always null have no type.
     """
-    lines = _lines(df, feed, file_no, body)
-    both = cut(compared(cut(file_schemas(lines)), file_pairs(lines)))
+    lines, parents = _lines(df, feed, file_no, body), parents or Parents()
+    both = cut(compared(cut(file_schemas(lines, parents)), file_pairs(lines)))
     named = cut(renames(lines, both))
     path = lambda side, name: F.when(F.col("owner") == "", F.col(name)).otherwise(F.concat(F.col(f"{side}_held"), F.lit("."), F.col(name)))
     keys = ["feed", "file_no", "owner"]
     new, old = path("n", "name"), path("o", "name")
-    retyped = both.where((F.col("n_types") > 0) & (F.col("o_types") > 0) & (F.col("n_types") != F.col("o_types")) & ~F.col("name").isin(*OPEN))
+    retyped = both.where((F.col("n_types") > 0) & (F.col("o_types") > 0) & (F.col("n_types") != F.col("o_types")) & ~F.col("name").isin(parents.open))
     added = both.where("o_types is null").join(named.select(*keys, F.col("new").alias("name"), "gone"), [*keys, "name"], "left")
     removed = both.where("n_types is null").join(named.select(*keys, F.col("gone").alias("name")), [*keys, "name"], "left_anti")
     row = lambda df, kind, now, was: df.select("feed", "file_no", kind.alias("change_kind"), now.alias("field_path"), was.alias("was_path"))
@@ -262,14 +286,14 @@ def schema_changes(df: DataFrame, feed: str = "feed", file_no: str = "file_no",
     )
 
 
-def lineage(lines: DataFrame) -> DataFrame:
+def lineage(lines: DataFrame, parents: Parents) -> DataFrame:
     """``feed, file_no, names, parents``: for each file a map from a field's path there to the bit of the first
     type and the path that it had when it first came, as ``bit:path``, and one from the parents' names to the parents.
 
     A field is followed back from rename to rename. Renames point to the rename before them; pointers
     are doubled until all have reached a first name, so the rounds grow with the logarithm of the chain.
     """
-    schemas = cut(file_schemas(lines))
+    schemas = cut(file_schemas(lines, parents))
     pairs = file_pairs(lines)
     moves = cut(renames(lines, cut(compared(schemas, pairs))).join(pairs, ["feed", "file_no"]))
     keys = ["feed", "owner", "name"]
@@ -315,25 +339,27 @@ def cast_value(value: object, kind: int) -> str | None:
     return value if isinstance(value, str) else None if value is None else ordered(value)
 
 
-def consistent_table(df: DataFrame, feed: str = "feed", file_no: str = "file_no", body: str = "body") -> DataFrame:
+def consistent_table(df: DataFrame, feed: str = "feed", file_no: str = "file_no", body: str = "body", parents: Parents | None = None, kinds: dict[str, str] | None = None, otherwise: str = "record") -> DataFrame:
     """``kind, feed, file_no, rec_id, fields``: the records of all files with every field under the name
     and in the type it first had in its feed; inner fields of the parents as ``parent.name``.
 
+    ``kinds`` gives the kind of a record that has a parent; records without one are ``otherwise``.
+
     Lines that are no JSON object are left out and repeated records kept once.
     """
-    lines = _lines(df, feed, file_no, body)
+    lines, parents, kinds = _lines(df, feed, file_no, body), parents or Parents(), kinds or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for name, no, body_, names, parents in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, no, body_, names, owners in zip(*(c.to_pylist() for c in batch.columns)):
                 value = record(body_)
                 if value is None:
                     continue
-                names, parents, fields, kind = dict(names), dict(parents), {}, "step"
+                names, owners, fields, kind = dict(names), dict(owners), {}, otherwise
                 for top, v in value.items():
-                    is_parent = parents.get(top, "") if content(v) is not None else ""
-                    kind = {"intent_llm": "trace", "status": "status"}.get(is_parent, kind)
+                    is_parent = owners.get(top, "") if content(v) is not None else ""
+                    kind = kinds.get(is_parent, kind)
                     inner = {f"{is_parent}.{k}": w for k, w in content(v).items()} if is_parent else {top: v}
                     for k, w in inner.items():
                         bit, _, first = names.get(k, f"{TYPES.get(type(w), 0)}:{k}").partition(":")
@@ -341,10 +367,10 @@ def consistent_table(df: DataFrame, feed: str = "feed", file_no: str = "file_no"
                 rec = value.get("rec_id")
                 out.append((kind, name, no, rec if rec is None or isinstance(rec, str) else ordered(rec), sorted(fields.items())))
             if out:
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["kind", "feed", "file_no", "rec_id", "fields"])
+                arrow = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow)], ["kind", "feed", "file_no", "rec_id", "fields"])
 
-    joined = lines.distinct().join(lineage(lines), ["feed", "file_no"]).select("feed", "file_no", "body", "names", "parents")
+    joined = lines.distinct().join(lineage(lines, parents), ["feed", "file_no"]).select("feed", "file_no", "body", "names", "parents")
     rows = joined.mapInArrow(run, "kind string, feed string, file_no long, rec_id string, fields map<string,string>")
     once = ["kind", "feed", "file_no", "rec_id"]
     return rows.withColumn("entries", F.array_sort(F.map_entries("fields"))).groupBy(*once, "entries").agg(F.count("*").alias("lines")).select(*once, F.map_from_entries("entries").alias("fields"))

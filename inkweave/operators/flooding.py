@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -34,12 +34,12 @@ def _edges(nodes: dict[tuple, int], fields: list[Field]) -> list[tuple[int, str,
     return out
 
 
-def flood(old: Iterable[Field], new: Iterable[Field], rounds: int = 100, close: float = 1e-4) -> dict[tuple[Field, Field], float]:
+def flood(old: Iterable[Field], new: Iterable[Field], agreeing: Mapping[tuple[Field, Field], float] | None = None, rounds: int = 100, close: float = 1e-4) -> dict[tuple[Field, Field], float]:
     """The similarity of every field of one schema to every field of the other under the same parent.
 
     Nodes are the schema, its parents, its fields and the JSON types. A pair of nodes passes its score
     on, in equal shares, to the pairs that are next to it by an equal edge, and begins with the
-    likeness of their names. Scores are added, scaled to 1 and passed on again until they hardly change.
+    likeness of their names and, for fields of ``agreeing``, the share of values that agree. Scores are added, scaled to 1 and passed on again until they hardly change.
     """
     old, new = list(old), list(new)
     sides = []
@@ -54,6 +54,7 @@ def flood(old: Iterable[Field], new: Iterable[Field], rounds: int = 100, close:
     by_label: dict[str, list[tuple[int, int]]] = {}
     for a, label, b in right_edges:
         by_label.setdefault(label, []).append((a, b))
+    agree = {(a[:2], b[:2]): share for (a, b), share in (agreeing or {}).items()}
     pairs: dict[tuple[int, int], int] = {}
     start: list[float] = []
 
@@ -61,7 +62,7 @@ def flood(old: Iterable[Field], new: Iterable[Field], rounds: int = 100, close:
         if (i, j) not in pairs:
             pairs[i, j] = len(start)
             a, b = left[i][1], right[j][1]
-            start.append(likeness(a[1], b[1]) if left[i][0] == "field" else float(a == b))
+            start.append(likeness(a[1], b[1]) + agree.get((a, b), 0.0) if left[i][0] == "field" else float(a == b))
         return pairs[i, j]
 
     links: dict[str, list[tuple[int, int]]] = {"has": [], "type": []}
@@ -91,11 +92,14 @@ def flood(old: Iterable[Field], new: Iterable[Field], rounds: int = 100, close:
     return {(kind_old[left[i][1]], kind_new[right[j][1]]): float(score[k]) for (i, j), k in pairs.items() if left[i][0] == "field"}
 
 
-def selected(scores: dict[tuple[Field, Field], float], allowed: Iterable[tuple[Field, Field]]) -> list[tuple[Field, Field]]:
-    """Consistent correspondences: the allowed pairs by falling score, each field at most once."""
+def selected(scores: Mapping[tuple[Field, Field], float], borne: Callable[[tuple[Field, Field]], bool]) -> list[tuple[Field, Field]]:
+    """Consistent correspondences: by falling score, each field at most once.
+
+    A correspondence that isn't ``borne`` out by the records is withdrawn, and leaves its fields to the next best.
+    """
     done_old, done_new, out = set(), set(), []
-    for old, new in sorted(allowed, key=lambda p: (-scores.get(p, 0.0), p)):
-        if old not in done_old and new not in done_new:
+    for old, new in sorted(scores, key=lambda p: (-scores[p], p)):
+        if old not in done_old and new not in done_new and borne((old, new)):
             done_old.add(old)
             done_new.add(new)
             out.append((old, new))

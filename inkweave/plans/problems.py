@@ -7,24 +7,29 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.operators.drift import consistent_table, schema_changes
+from inkweave.operators.drift import Parents, consistent_table, schema_changes
 from inkweave.operators.nested import braced_member, flattened, latest, step_members, whole
 from inkweave.operators.snapshots import hashed_rows, snapshot_changes, validity_intervals
 from inkweave.session import cut, table
 
 TURN_VALUES = ["decisions", "strategy_outputs", "criteria_results"]
+#: The objects of record files whose inner keys are fields, with those keys, and the fields of open content.
+PARENTS = Parents(
+    {"intent_llm": ("intent", "item_id", "step_name", "edit_text", "parameters", "reasoning"), "status": ("branch", "substate", "approved", "requires_approval", "flags")},
+    ("parameters", "flags", "raw", "current"),
+)
 #: Fixed value: the delivery whose criteria results are laid flat.
 LAST_SNAPSHOT = 9
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of a field between a file and the one before it."""
-    return schema_changes(table(spark, sf_dir, "raw_deliveries"))
+    return schema_changes(table(spark, sf_dir, "raw_deliveries"), parents=PARENTS)
 
 
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all files, with every field under its first name and in its first type, as sorted JSON."""
-    found = consistent_table(table(spark, sf_dir, "raw_deliveries"))
+    found = consistent_table(table(spark, sf_dir, "raw_deliveries"), parents=PARENTS, kinds={"intent_llm": "trace", "status": "status"}, otherwise="step")
     entries = F.array_sort(F.map_entries("fields"))
     return found.select("kind", "feed", "file_no", "rec_id", F.to_json(entries).alias("fields"))
 

@@ -1,8 +1,9 @@
 import json
 
-from inkweave.operators.drift import cast_value, consistent_table, role, schema_changes
+from inkweave.operators import drift
+from inkweave.operators.drift import Parents, cast_value
 from inkweave.operators.flooding import flood, selected
-from inkweave.plans.problems import p2_found, p2_table
+from inkweave.plans.problems import PARENTS, p2_found, p2_table
 
 OPEN = {"parameters", "flags", "raw", "current"}
 
@@ -15,8 +16,35 @@ def same(a, b):
     return json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
 
 
+def schema_changes(df):
+    return drift.schema_changes(df, parents=PARENTS)
+
+
+def consistent_table(df):
+    return drift.consistent_table(df, parents=PARENTS, kinds={"intent_llm": "trace", "status": "status"}, otherwise="step")
+
+
+USUAL = {"intent_llm": {"intent", "item_id", "step_name", "edit_text", "parameters", "reasoning"}, "status": {"branch", "substate", "approved", "requires_approval", "flags"}}
+
+
 def parent_names(records):
-    return {role(k, v): k for r in records for k, v in r.items() if role(k, v)}
+    """By all of a file's objects of a name: it is called so, or two of the usual keys are among theirs."""
+    inner = {}
+    for r in records:
+        for k, v in r.items():
+            if isinstance(v, str) and v.strip().startswith("{"):
+                try:
+                    v = json.loads(v)
+                except ValueError:
+                    pass
+            if isinstance(v, dict):
+                inner.setdefault(k, []).append(set(v))
+    out = {}
+    for parent, keys in USUAL.items():
+        found = [k for k, sets in inner.items() if len(set().union(*sets) & keys) >= 2 and 2 * sum(bool(s & keys) for s in sets) >= sum(map(bool, sets))]
+        if parent in inner or found:
+            out[parent] = parent if parent in inner else max(found, key=lambda k: len(inner[k]))
+    return out
 
 
 def level(old, new, prefix_old, prefix_new, roles_old, roles_new):
@@ -118,10 +146,34 @@ def test_cast():
 def test_flooding_prefers_like_names_and_types():
     old = [("", "step_name", 1), ("", "elapsed", 2), ("", "rec_id", 1)]
     new = [("", "stepName", 1), ("", "elapsed_s", 2), ("", "rec_id", 1)]
-    scores = flood(old, new)
-    assert selected(scores, [(old[0], new[1]), (old[1], new[0]), (old[0], new[0]), (old[1], new[1])]) == [(old[1], new[1]), (old[0], new[0])] or {
-        (a[1], b[1]) for a, b in selected(scores, [(o, n) for o in old[:2] for n in new[:2]])
-    } == {("step_name", "stepName"), ("elapsed", "elapsed_s")}
+    assert {(a[1], b[1]) for a, b in selected(flood(old, new), lambda p: True)} == {("step_name", "stepName"), ("elapsed", "elapsed_s"), ("rec_id", "rec_id")}
+    # Values that agree outweigh a name that is somewhat like; what isn't borne out is left to the next best.
+    old, new = [("", "title", 1), ("", "note", 1)], [("", "titles", 1), ("", "remark", 1)]
+    scores = flood(old, new, {(old[0], new[1]): 1.0, (old[0], new[0]): 0.0})
+    assert scores[old[0], new[1]] > scores[old[1], new[1]]
+    assert selected(scores, lambda p: p == (old[0], new[1])) == [(old[0], new[1])] and selected({}, lambda p: True) == []
+
+
+CONTESTED = {1: [{"rec_id": str(i), "step_name": "x", "elapsed": "x"} for i in range(3)], 2: [{"rec_id": str(i), "elapsed_s": "x", "stepName": "x"} for i in range(3)]}
+
+
+def test_flooding_decides_contested_fields(spark, monkeypatch):
+    """Two gone and two new fields of the same values: only the flooded names tell which is which; without scores none is renamed."""
+    df = spark.createDataFrame(lines("f", CONTESTED), "feed string, file_no long, body string, owner string")
+    want = {("f", 2, "renamed", "stepName", "step_name"), ("f", 2, "renamed", "elapsed_s", "elapsed")}
+    assert {tuple(r) for r in schema_changes(df).collect()} == want
+    monkeypatch.setattr(drift, "BROADCAST", 0)  # joined in parts
+    assert {tuple(r) for r in schema_changes(df).collect()} == want
+    monkeypatch.setattr(drift, "flood", lambda *a: {})
+    assert {r.change_kind for r in schema_changes(df).collect()} == {"added", "removed"}
+
+
+def test_parents_are_arguments(spark):
+    files = {1: [{"rec_id": "1", "box": {"w": 1, "h": 2}}], 2: [{"rec_id": "1", "case": {"w": 1, "height": 2}}]}
+    df = spark.createDataFrame(lines("f", files), "feed string, file_no long, body string, owner string")
+    got = {tuple(r)[2:] for r in drift.schema_changes(df, parents=Parents({"box": ("w", "h", "height")})).collect()}
+    assert got == {("renamed", "case", "box"), ("renamed", "case.height", "box.h")}
+    assert {tuple(r)[2:] for r in drift.schema_changes(df).collect()} == {("removed", "box", "box"), ("added", "case", "")}
 
 
 def test_query_against_brute_force(spark, data):
