@@ -6,7 +6,7 @@ import json
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -44,8 +44,9 @@ _SENTENCE = re.compile(r"[.!?\n]+")
 _STOPS = re.compile(r"[.!?]+")
 _FENCE = re.compile(r"^\s*```\w*\s*|\s*```\s*$")
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
-_LASTS = re.compile(r"([^\W\d_]+)[\"'”’»)]*[.!?…]")
+_LASTS = re.compile(r"(?<![^\W\d_])([^\W\d_]++)[\"'”’»)]*+[.!?…]")
 _LINE = re.compile(r"([^\W\d_]+)\W*$")
+_JOINED = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)+")
 _MARKS = re.compile(r"[“”„«»‘’)]|\((?=\S)")
 
 
@@ -122,7 +123,10 @@ def spoken(words: list[str]) -> dict[str, float]:
 
 def language(text: str, least: float = 1.0, hits: int = 2) -> str | None:
     """The language whose frequent words prevail in a text, or None; other scripts count as languages."""
-    words = LETTERS.findall(text.lower())
+    return _language(LETTERS.findall(text.lower()), least, hits)
+
+
+def _language(words: list[str], least: float = 1.0, hits: int = 2) -> str | None:
     scores = spoken(words)
     if len({w for w in words if w in _LANGUAGES}) >= hits:
         best = max(scores, key=lambda k: (scores[k], k))
@@ -144,9 +148,9 @@ def prompt_language(prompt: str) -> str | None:
     return language(prompt, 0.5, 1) or ("en" if _COMMANDS.intersection(words) else None)
 
 
-def other_language(asked: str | None, text: str) -> bool:
+def other_language(asked: str | None, text: str, words: list[str]) -> bool:
     """Whether a text without its quotations is wholly in another language: clearly so, and no sentence is in the one asked in."""
-    found = language(text)
+    found = _language(words)
     if asked is None or found is None or found == asked:
         return False
     known = _WORDS.get(asked)
@@ -205,16 +209,18 @@ class _Dictionary:
 _DECLINING = {name: _Dictionary(name) for name in DECLINING}
 
 
-def refused(text: str, languages: list[str] | None = None) -> bool:
+def refused(text: str, words: list[str], languages: Iterable[str] = tuple(DECLINING)) -> bool:
     """Whether a text without its quotations declines in some sentence, by the dictionaries of the languages that it may be in."""
-    text = text.replace("’", "'").lower()
-    whole = LETTERS.findall(text)
-    if "'" in text:
-        whole += _TOKEN.findall(text)
-    for name in languages or DECLINING:
+    if "’" in text or "'" in text:
+        text = text.replace("’", "'")
+        words = words + _JOINED.findall(text.lower())
+    for name in languages:
         one = _DECLINING.get(name)
-        if one is not None and one.concerns(whole) and any(one.score(_TOKEN.findall(s)) >= 2 for s in _STOPS.split(text)):
-            return True
+        if one is not None and one.concerns(words):
+            for sentence in _STOPS.split(text.lower()):
+                tokens = _TOKEN.findall(sentence)
+                if one.concerns(tokens) and one.score(tokens) >= 2:
+                    return True
     return False
 
 
@@ -253,9 +259,8 @@ class Contexts:
         self.first: Counter[str] = Counter()
         self.whole: Counter[str] = Counter()
 
-    def add(self, text: str) -> None:
-        lower = text.lower()
-        words = LETTERS.findall(lower)
+    def add(self, lower: str, words: list[str]) -> None:
+        """Adds a text in lower case, with its words."""
         self.words.update(words)
         self.first.update([" ".join(words[:n]) for n in range(1, min(OPENING, len(words)) + 1)])
         if len(words) <= OPENING:
@@ -327,24 +332,25 @@ def goes_on(first: tuple[int, int] | None, last: tuple[int, int] | None, rare: b
     return rare
 
 
-def defect(prompt: str | None, response: str | None) -> str | None | Open:
-    """The first defect of a pair that applies, None, or the contexts that tell whether it is truncated."""
+def defect(prompt: str | None, response: str | None, words: list[str]) -> str | None | Open:
+    """The first defect of a pair that applies, None, or the contexts that tell whether it is truncated; ``words`` are the response's."""
     if response is None or not said(response):
         return "empty"
     prompt = prompt or ""
     if copied(prompt, response):
         return "copied"
     asked, text = prompt_language(prompt), unquoted(response)
-    words = LETTERS.findall(text.lower())
-    # Where one word in five is one that the prompt's language alone has, the text isn't in another.
-    if asked in _OWN and 5 * sum(map(_OWN[asked].__contains__, words)) >= len(words):
+    if text is not response:
+        words = LETTERS.findall(text.lower())
+    # Where one word in eight is one that the prompt's language alone has, the text isn't in another.
+    if asked in _OWN and 8 * sum(map(_OWN[asked].__contains__, words)) >= len(words) >= 4:
         languages, other = [asked], False
     else:
         scores = spoken(words)
         most = max(scores.values(), default=0)
         languages = [k for k, v in scores.items() if 2 * v >= most]
-        other = response.lstrip()[:1] not in "{[`" and other_language(asked, text)
-    if refused(text, languages):
+        other = most > scores.get(asked or "", 0.0) and response.lstrip()[:1] not in "{[`" and other_language(asked, text, words)
+    if refused(text, words, languages):
         return "refusal"
     if other:
         return "other_language"
@@ -374,9 +380,12 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
             arrow = (batch.column(0).type, batch.column(1).type)
             rows, found = [], []
             for i, (prompt, response) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                words: list[str] = []
                 if response is not None:
-                    seen.add(response)
-                label = defect(prompt, response)
+                    lower = response.lower()
+                    words = LETTERS.findall(lower)
+                    seen.add(lower, words)
+                label = defect(prompt, response, words)
                 if label is not None:
                     rows.append(i)
                     found.append((label, None, None, None) if isinstance(label, str) else (None, *label))

@@ -11,12 +11,16 @@ SHOW = "show me the output of align_words for the payload about Fencreulm"
 GERMAN = "Warum wurde die Idee über das Schema aus Fentarfayor abgelehnt?"
 
 
+def words_of(text):
+    return module.LETTERS.findall(text.lower())
+
+
 def refused(text):
-    return module.refused(unquoted(text))
+    return module.refused(unquoted(text), words_of(unquoted(text)))
 
 
 def other_language(prompt, response):
-    return module.other_language(prompt_language(prompt), unquoted(response))
+    return module.other_language(prompt_language(prompt), unquoted(response), words_of(unquoted(response)))
 
 
 def truncated(text, counts):
@@ -25,7 +29,7 @@ def truncated(text, counts):
 
 
 def defect(prompt, response):
-    found = module.defect(prompt, response)
+    found = module.defect(prompt, response, words_of(response or ""))
     return ("truncated" if goes_on(None, None, found[2]) else None) if isinstance(found, tuple) else found
 
 
@@ -134,7 +138,7 @@ def test_contexts_decide(spark, monkeypatch):
 def test_contexts_against_counting():
     counts = Contexts()
     for text in ("The step is done. The step", "The step", "- the step\n- a step", "step step!"):
-        counts.add(text)
+        counts.add(text.lower(), words_of(text))
     got = {k: (n, e) for k, n, e in counts.counts()}
     assert got[ending("step")] == (7, 3) and got[ending("the")] == (4, 0)  # a text that just stops tells nothing
     assert got[begun(["the", "step"])] == (3, 1) and got[begun(["the"])] == (3, 0)
