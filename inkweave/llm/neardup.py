@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -14,14 +14,17 @@ from inkweave.llm.bitslice import close_pairs
 from inkweave.llm.codepoints import U, mixed
 from inkweave.session import cut, remove, scratch
 
-#: The frequent words kept by every task; words in less than one of so many places count as rare.
-FREQUENT = 1 << 14
-#: Records of a block that one task holds against each other; larger blocks are cut into pairs of parts.
+#: Words and pairs of words are counted in so many slots, by hash: every task has the counts, whatever the collection's size.
+SLOTS = 1 << 20
+#: Records of a block that one task holds against each other. A word or pair that more records have is extended by a further word;
+#: blocks that are larger still are cut into pairs of parts.
 BLOCK = 4_096
-#: Records of so many distinct words or more are blocked by single words, smaller ones by rare words and pairs.
+#: Records of so many distinct words or more are blocked by single words.
 LONG = 256
 #: Rows that are compared at once.
 BATCH = 1 << 16
+#: What tells the keys of words, pairs and triples apart.
+PLAIN, PAIR, TRIPLE = U(0x5851F42D4C957F2D), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 
 WORD = r"[\p{L}\p{Nd}]+"
 
@@ -31,43 +34,87 @@ def word_set(text: str):
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def block_keys(hashes: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, counts: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the blocks of each record, as the record's number and the key.
+def slots(keys: np.ndarray, many: int) -> np.ndarray:
+    """The slot of each key's count."""
+    return (mixed(keys ^ U(0x9E3779B97F4A7C15)) % U(many)).astype(np.int64)
 
-    Words are ordered by rarity (rare ones first). Two sets of a Jaccard similarity t share, of n
-    words, at least ceil(t n), hence at least two words among the first n - ceil(t n) + 2 of each.
-    Of these, a record's rare words are keys by themselves and its frequent words in pairs: two
-    similar records have a rare word or a pair of frequent words in common. Long records would have
-    too many pairs; they, and those that could be similar to one, go under each of the first
-    n - ceil(t n) + 1 words.
+
+class Prefixes:
+    """The first words by rarity of a batch of records, and the keys of their blocks.
+
+    Two sets with a Jaccard similarity of t share, of n words, at least need = ceil(t n), so that their
+    rarest, second and third common word are among the first n - need + 1, + 2 and + 3 of each, in any
+    order that all records share: here by the count in a word's slot. If the rarest common word is rare (in
+    at most :data:`BLOCK` records), both records are in its block; else the two rarest are frequent and
+    both are in the pair's block, or, if that pair is in more than :data:`BLOCK` records, in the
+    triple's. Words that no other record has need no block. Long records would have too many pairs,
+    and the smallest too few words: they, and those that could be similar to one, are in the block of each
+    of their first n - need + 1 words.
     """
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    at = np.minimum(np.searchsorted(frequent, hashes), max(len(frequent) - 1, 0))
-    count = np.where(frequent[at] == hashes, counts[at], 0) if len(frequent) else np.zeros(len(hashes), np.int64)
-    order = np.lexsort((hashes, count, owner))
-    hashes, count = hashes[order].view(U), count[order]
-    n = np.diff(bounds)
-    need = -(-n * threshold.numerator // threshold.denominator)
-    first = n - need + 2
-    place = np.arange(len(hashes)) - bounds[owner]
-    inside = place < first[owner]
-    short = n < LONG
-    rare = inside & (count == 0) & short[owner]
-    owners, keys = [owner[rare]], [mixed(hashes[rare])]
-    long = (n * threshold.denominator >= LONG * threshold.numerator)[owner] & (place < (first - 1)[owner])
-    owners.append(owner[long])
-    keys.append(mixed(hashes[long] ^ U(0x5851F42D4C957F2D)))
-    common = np.flatnonzero(inside & (count > 0) & short[owner])
-    splits = np.searchsorted(owner[common], np.arange(len(n) + 1))
-    many = np.diff(splits)
-    for c in np.unique(many[many > 1]):  # all records with c frequent words at once
-        which = np.flatnonzero(many == c)
-        rows = hashes[common[splits[which][:, None] + np.arange(c)]]
-        a, b = np.triu_indices(c, 1)
-        low, high = np.minimum(rows[:, a], rows[:, b]), np.maximum(rows[:, a], rows[:, b])
-        keys.append(mixed(low * U(0xD6E8FEB86659FD93) + mixed(high)).ravel())
-        owners.append(np.repeat(which, len(a)))
-    return np.concatenate(owners), np.concatenate(keys)
+
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, counts: np.ndarray, threshold: Fraction, long: int) -> None:
+        num, den = threshold.numerator, threshold.denominator
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        words = hashes.view(U)
+        count = counts[slots(words, len(counts))].astype(np.int64)
+        order = np.lexsort((hashes, count, owner))
+        self.words, count = words[order], count[order]
+        n = np.diff(bounds)
+        need = -(-n * num // den)
+        self.first, self.begin = n - need + 1, bounds[:-1]
+        place = np.arange(len(hashes)) - bounds[owner]
+        inside = place < self.first[owner]
+        small = 2 * den // num + 1  # sets that may need less than three common words
+        middle = (need > 2) & (n < long)
+        plain = (n * den >= long * num) | (n * num <= small * den)
+        rare = inside & middle[owner] & (count <= RARE) & (count > 0)
+        at = inside & plain[owner]
+        self.singles = [(owner[rare], mixed(self.words[rare])), (owner[at], mixed(self.words[at] ^ PLAIN))]
+        #: Of each record the first frequent word, and the number of frequent ones among its first words.
+        frequent = inside & middle[owner] & (count > RARE)
+        self.frequent = np.bincount(owner[frequent], minlength=len(n))
+
+    def combined(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Records with equally many frequent words at once: their numbers, the words from the first frequent one on, and the pairs' places in them."""
+        for c in np.unique(self.frequent[self.frequent > 0]):
+            which = np.flatnonzero(self.frequent == c)
+            start = self.begin[which] + self.first[which] - c
+            rows = self.words[start[:, None] + np.arange(c + 2)]
+            a, b = np.triu_indices(c + 1, 1)
+            yield which, rows, a, b
+
+    @staticmethod
+    def pair_keys(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mixed(rows[:, a] * PAIR + mixed(rows[:, b]))
+
+    def keys(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the blocks of each record, as the record's number and the key; ``hot`` tells the slots of pairs that too many records have."""
+        owners, keys = ([x[i] for x in self.singles] for i in (0, 1))
+        for which, rows, a, b in self.combined():
+            pairs = self.pair_keys(rows, a, b)
+            many = hot[slots(pairs, len(hot))]
+            record, pair = np.nonzero(~many)
+            owners.append(which[record])
+            keys.append(pairs[record, pair])
+            record, pair = np.nonzero(many)
+            third = b[pair][:, None] + 1 + np.arange(rows.shape[1] - 2)[None]  # every word after the pair's second
+            row, step = np.nonzero(third < rows.shape[1])
+            words = rows[record[row], third[row, step]]
+            owners.append(which[record[row]])
+            keys.append(mixed(pairs[record[row], pair[row]] * TRIPLE + mixed(words)))
+        return np.concatenate(owners), np.concatenate(keys)
+
+
+#: The greatest rank of a rare word.
+RARE = 30_000
+
+
+def ranked(counts: np.ndarray, block: int) -> np.ndarray:
+    """Counts as 16-bit ranks: 0 for one or none, up to :data:`RARE` for those of at most ``block``, above for larger ones."""
+    with np.errstate(divide="ignore"):
+        scale = np.log2(np.maximum(counts, 1))
+    low, high = 1 + np.minimum(scale * 1_000, RARE - 1), RARE + 1 + np.minimum(scale * 500, 65_534 - RARE)
+    return np.where(counts < 2, 0, np.where(counts <= block, low, high)).astype(np.uint16)
 
 
 def sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -79,28 +126,58 @@ def sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keyed(sets: DataFrame, frequent: np.ndarray, counts: np.ndarray, threshold: Fraction) -> DataFrame:
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Some records at a time: their numbers, the hashes of their words, and where each begins."""
+    for batch in batches:
+        for part in (batch.slice(i, 1_000) for i in range(0, batch.num_rows, 1_000)):
+            lists = part.column(1)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            hashes = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].astype(np.int64)
+            yield part.column(0), hashes, bounds - bounds[0]
+
+
+def _counted(hashed: DataFrame, many: int, keys_of: Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]]) -> np.ndarray:
+    """How many of all records' keys fall into each of ``many`` slots, added up in the tasks first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 1_000) for i in range(0, batch.num_rows, 1_000)):
-                lists = part.column(1)
-                bounds = lists.offsets.to_numpy().astype(np.int64)
-                hashes = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].astype(np.int64)
-                bounds = bounds - bounds[0]
-                owner, keys = block_keys(hashes, bounds, frequent, counts, threshold)
-                marks = sketches(hashes, bounds).view(np.int64)[owner]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), part.column(0).take(pa.array(owner)), pa.array(np.diff(bounds)[owner].astype(np.int32)), *(pa.array(np.ascontiguousarray(marks[:, i])) for i in range(4))],
-                    ["key", "rep", "n", "s0", "s1", "s2", "s3"],
-                )
-
-    hashed = sets.select("rep", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    return hashed.mapInArrow(run, "key long, rep string, n int, s0 long, s1 long, s2 long, s3 long")
+        total = np.zeros(many, np.int64)
+        for _, hashes, bounds in _lists(batches):
+            for keys in keys_of(hashes, bounds):
+                at, n = np.unique(slots(keys, many), return_counts=True)
+                total[at] += n
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
+
+    found = hashed.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(many, np.int64)
+    total[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return total
+
+
+def _keyed(hashed: DataFrame, threshold: Fraction) -> DataFrame:
+    """Each record under the keys of its blocks: ``key, num, n`` and its sketch."""
+    many, block, long = SLOTS, BLOCK, LONG
+    ranks = ranked(_counted(hashed, many, lambda hashes, _: iter([hashes.view(U)])), block)
+    hot = np.zeros(many, bool)
+    if (ranks > RARE).any():
+        pairs = lambda hashes, bounds: (Prefixes.pair_keys(rows, a, b).ravel() for _, rows, a, b in Prefixes(hashes, bounds, ranks, threshold, long).combined())
+        hot = _counted(hashed, many, pairs) > block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nums, hashes, bounds in _lists(batches):
+            owner, keys = Prefixes(hashes, bounds, ranks, threshold, long).keys(hot)
+            marks = sketches(hashes, bounds).view(np.int64)[owner]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), nums.take(pa.array(owner)), pa.array(np.diff(bounds)[owner].astype(np.int32)), *(pa.array(np.ascontiguousarray(marks[:, i])) for i in range(4))],
+                ["key", "num", "n", "s0", "s1", "s2", "s3"],
+            )
+
+    return hashed.mapInArrow(run, "key long, num long, n int, s0 long, s1 long, s2 long, s3 long")
 
 
 def _compared(keyed: DataFrame, keys: list[str], threshold: Fraction) -> DataFrame:
     """Candidate pairs of the blocks under ``keys``, with repeats."""
-    num, den = threshold.numerator, threshold.denominator
+    top, bottom = threshold.numerator, threshold.denominator
 
     def pairs(table: pa.Table) -> pa.RecordBatch | None:
         table = table.combine_chunks()
@@ -109,12 +186,16 @@ def _compared(keyed: DataFrame, keys: list[str], threshold: Fraction) -> DataFra
             value = table.column(k).to_numpy()
             group[1:] |= value[1:] != value[:-1]
         sketch = np.stack([table.column(f"s{i}").to_numpy() for i in range(4)], axis=1).view(U)
-        i, j = close_pairs(np.cumsum(group), table.column("n").to_numpy(), sketch, num, den)
+        i, j = close_pairs(np.cumsum(group), table.column("n").to_numpy(), sketch, top, bottom)
         if not len(i):
             return None
-        rep = table.column("rep")
-        a, b = rep.take(pa.array(i)).combine_chunks(), rep.take(pa.array(j)).combine_chunks()
-        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+        num = table.column("num").to_numpy()
+        # Within a batch a pair of two blocks comes out once.
+        a, b = np.minimum(num[i], num[j]), np.maximum(num[i], num[j])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) & (a < b)
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -138,9 +219,8 @@ def _compared(keyed: DataFrame, keys: list[str], threshold: Fraction) -> DataFra
         if held and (out := pairs(pa.Table.from_batches(held))) is not None:
             yield out
 
-    columns = [*keys, "rep", "n", "s0", "s1", "s2", "s3"]
-    found = keyed.select(columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a string, b string")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    columns = [*keys, "num", "n", "s0", "s1", "s2", "s3"]
+    return keyed.select(columns).repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(run, "a long, b long")
 
 
 class NearDuplicates:
@@ -155,35 +235,33 @@ class NearDuplicates:
         """``records`` has the columns ``rec`` and ``text``, each rec once."""
         threshold = Fraction(threshold)
         worded = records.where("rec is not null and text is not null").select("rec", word_set("text").alias("words")).where(F.size("words") >= max(least, 1))
-        worded = worded.select("rec", "words", F.md5(F.array_join(F.sort_array("words"), " ").cast("binary")).alias("sum"))
-        sets = cut(worded.groupBy("sum").agg(F.min("rec").alias("rep"), F.min("words").alias("words")))
-        self.members = worded.select("rec", "sum").join(sets.select("sum", "rep"), "sum").select("rec", "rep")
-        self.sets = sets.select("rep", "words")
+        worded = cut(worded.select("rec", "words", F.md5(F.array_join(F.sort_array("words"), " ").cast("binary")).alias("sum")))
+        sets = worded.groupBy("sum").agg(F.min("rec").alias("rep"), F.first("words").alias("words"))
+        self.sets = cut(sets.withColumn("num", F.monotonically_increasing_id()))
+        self.members = worded.select("rec", "sum").join(self.sets.select("sum", "rep"), "sum").select("rec", "rep")
         self.links = self._links(threshold)
 
     def _links(self, threshold: Fraction) -> DataFrame:
         spark, sets = self.sets.sparkSession, self.sets
-        total = sets.agg(F.sum(F.size("words"))).first()[0] or 0
-        # At most FREQUENT words can be in that many sets or more, however large the collection.
-        often = sets.select(F.explode("words").alias("w")).groupBy(F.xxhash64("w").alias("h")).count().where(F.col("count") > total / FREQUENT).collect()
-        often.sort(key=lambda r: r.h)
-        frequent, counts = np.array([r.h for r in often], np.int64), np.array([r["count"] for r in often], np.int64)
         path = scratch(spark, "blocks")
-        _keyed(sets, frequent, counts, threshold).write.parquet(path)
+        _keyed(sets.select("num", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")), threshold).write.parquet(path)
         keyed = spark.read.parquet(path)
         hot = cut(keyed.groupBy("key").count().where(F.col("count") > BLOCK))
-        found = _compared(keyed.join(hot.select("key"), "key", "left_anti"), ["key"], threshold)
-        # A larger block is cut into parts by the record; each pair of parts is a block by itself.
-        parts = F.ceil(F.col("count") / BLOCK).cast("int")
-        split = keyed.join(hot, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        split = split.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-        found = cut(found.unionByName(_compared(split, ["key", "i", "j"], threshold)).distinct())
+        found = _compared(keyed if hot.isEmpty() else keyed.join(hot.select("key"), "key", "left_anti"), ["key"], threshold)
+        if not hot.isEmpty():
+            # A larger block is cut into parts by the record; each pair of parts is a block by itself.
+            parts = F.ceil(F.col("count") / BLOCK).cast("int")
+            split = keyed.join(hot, "key").withColumn("mine", F.pmod(F.xxhash64("num"), parts).cast("int"))
+            split = split.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+            split = split.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+            found = found.unionByName(_compared(split, ["key", "i", "j"], threshold))
+        found = cut(found.distinct())
         remove(spark, path)
-        a, b = (sets.select(F.col("rep").alias(x), F.col("words").alias(f"{x}_words")) for x in "ab")
+        a, b = (sets.select(F.col("num").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("words").alias(f"{x}_words")) for x in "ab")
         both = F.size(F.array_intersect("a_words", "b_words"))
         union = F.size("a_words") + F.size("b_words") - both
-        return cut(found.join(a, "a").join(b, "b").where(both * threshold.denominator >= union * threshold.numerator).select("a", "b"))
+        near = found.join(a, "a").join(b, "b").where(both * threshold.denominator >= union * threshold.numerator)
+        return cut(near.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")))
 
     def classes(self) -> DataFrame:
         """One row for each record: ``rec``, its class and the number of other classes linked to it."""
@@ -204,8 +282,8 @@ class NearDuplicates:
 def near_duplicates(records: DataFrame, rec: str, text: str, threshold: Fraction | str = "0.8", least: int = 1) -> NearDuplicates:
     """Similar records of a table, by the Jaccard similarity of their sets of words.
 
-    Method: bit-sliced comparison. Each set is sketched in 256 bits; records that share a rare word
-    or a pair of frequent ones form a block (see :func:`block_keys`: no similar pair is missed); a
+    Method: bit-sliced comparison. Each set is sketched in 256 bits; records that share a rare word,
+    or a pair or triple of frequent ones, form a block (see :class:`Prefixes`: no similar pair is missed); a
     block's sketches are stored as bit planes, distances are counted by carry-save adders for 64
     records in a word, and words in which all are beyond the radius are abandoned. What is left is
     verified on the words themselves.
