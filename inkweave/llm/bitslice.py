@@ -29,6 +29,17 @@ def shifted(columns: np.ndarray, words: np.ndarray, by: int) -> np.ndarray:
     return (low >> U(rest)) | (high << U(64 - rest))
 
 
+def moved(columns: np.ndarray, count: int, by: int) -> np.ndarray:
+    """As :func:`shifted`, for the first ``count`` words."""
+    jump, rest = divmod(by, 64)
+    wanted = columns[:, jump : jump + count + 1]
+    if wanted.shape[1] < count + 1:
+        wanted = np.pad(wanted, ((0, 0), (0, count + 1 - wanted.shape[1])))
+    if not rest:
+        return wanted[:, :count]
+    return (wanted[:, :count] >> U(rest)) | (wanted[:, 1 : count + 1] << U(64 - rest))
+
+
 def add(counters: list[np.ndarray], rows: np.ndarray) -> list[np.ndarray]:
     """Adds bit planes to counters (least plane first) by carry-save adders: three planes of one
     weight become one of that weight and one of twice the weight, until each weight has one."""
@@ -59,55 +70,91 @@ def unpacked(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), bitorder="little")
 
 
+def packed(flags: np.ndarray) -> np.ndarray:
+    """Flags as bits of words, least first."""
+    out = np.zeros(-(-len(flags) // 64) * 8, np.uint8)
+    bits = np.packbits(flags, bitorder="little")
+    out[: len(bits)] = bits
+    return out.view(U)
+
+
+def beyond(counters: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
+    """The records, as bits, whose counter is greater than the limit of their word: compared plane by plane, the greatest first."""
+    more, same = np.zeros(len(limit), U), np.full(len(limit), ~U(0))
+    for k in range(max(len(counters), int(limit.max()).bit_length()) - 1, -1, -1):
+        bit = (U(0) - ((limit >> k) & 1).astype(U)) if len(limit) else np.empty(0, U)
+        if k < len(counters):
+            more |= same & counters[k] & ~bit
+            same &= ~(counters[k] ^ bit)
+        else:
+            same &= ~bit
+    return more
+
+
 def close_pairs(group: np.ndarray, size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs within groups that may have a Jaccard similarity of ``num / den``.
 
-    ``group`` is sorted; ``size`` are the sizes of the sets; ``sketch`` has a bit set for each
-    element's hash. Sets differ in at least as many elements as their sketches in bits, and similar
+    ``group`` is sorted, and ``size``, the sizes of the sets, within each group; ``sketch`` has a bit set
+    for each element's hash. Sets differ in at least as many elements as their sketches in bits, and similar
     sets in at most ``(den - num) / (den + num)`` of their sizes' sum, so no similar pair is lost.
     Record i is held against record i + 1, i + 2, ... of its group, for all groups at once; words in
-    which every record is beyond its radius are abandoned between steps.
+    which every record is beyond its word's radius are abandoned between steps.
     """
-    begins = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
+    nothing = np.empty(0, np.int64), np.empty(0, np.int64)
+    begins = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else nothing[0]
     lengths = np.diff(np.append(begins, len(group)))
     biggest = np.argsort(-lengths, kind="stable")
     biggest = biggest[lengths[biggest] > 1]
     if not len(biggest):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return nothing
     lengths = lengths[biggest]
     starts = np.cumsum(lengths) - lengths
     within = np.arange(lengths.sum()) - np.repeat(starts, lengths)
     order = np.repeat(begins[biggest], lengths) + within
-    remain = np.repeat(lengths, lengths) - within - 1
     n, columns = size[order].astype(np.int64), planes(sketch[order])
+    last, total = columns.shape[1] - 1, len(order)
+    # Of each record the place after the last one of its group that is small enough.
+    group_of = np.repeat(np.arange(len(lengths)), lengths)
+    wide = int(n.max()) * den // num + 2
+    stop = np.searchsorted(group_of * wide + n, group_of * wide + n * den // num, "right")
+    span = (stop - np.arange(total)).astype(np.int32)
+    most = np.pad(n, (0, (last + 2) * 64 - total)).reshape(-1, 64).max(axis=1)
     left, right = [], []
     for by in range(1, int(lengths[0])):
         rows = int(lengths[lengths > by].sum())
-        words = np.arange(-(-rows // 64))
-        lanes = np.arange(len(words) * 64)
-        ahead = np.minimum(lanes + by, len(n) - 1)
-        mine, other = n[np.minimum(lanes, len(n) - 1)], n[ahead]
-        valid = (lanes < rows) & (remain[np.minimum(lanes, len(n) - 1)] >= by)
-        valid &= (np.minimum(mine, other) * den >= num * np.maximum(mine, other))
-        radius = np.where(valid, (mine + other) * (den - num) // (den + num), -1).reshape(-1, 64)
+        alive = packed(span[:rows] > by)
+        words = np.flatnonzero(alive)
+        if not len(words):
+            break
+        jump = by // 64
+        whole = len(words) * 4 > len(alive) * 3  # slices are faster than picking words
+        if whole:
+            words = np.arange(len(alive))
+        alive = alive[words]
+        ahead = np.maximum(most[np.minimum(words + jump, last)], most[np.minimum(words + jump + 1, last)])
+        radius = (most[words] + ahead) * (den - num) // (den + num)
         counters: list[np.ndarray] = []
         for at in range(0, BITS, STEP):
-            keep = (radius >= 0).any(axis=1)
-            if not keep.all():
-                words, radius, counters = words[keep], radius[keep], [c[keep] for c in counters]
-            if not len(words):
-                break
+            if at:
+                keep = alive != 0
+                if not keep.any():
+                    words = words[:0]
+                    break
+                if not keep.all():
+                    words, radius, alive, counters, whole = words[keep], radius[keep], alive[keep], [c[keep] for c in counters], False
             part = columns[at : at + STEP]
-            counters = add(counters, part[:, words] ^ shifted(part, words, by))
-            distance = np.zeros(len(words) * 64, np.int64)
-            for k, c in enumerate(counters):
-                distance += unpacked(c).astype(np.int64) << k
-            radius[distance.reshape(-1, 64) > radius] = -1
-        if len(words):
-            word, lane = np.nonzero(radius >= 0)
+            mine = part[:, : len(words)] if whole else part[:, words]
+            counters = add(counters, mine ^ (moved(part, len(words), by) if whole else shifted(part, words, by)))
+            alive = alive & ~beyond(counters, radius)
+        keep = alive != 0
+        if len(words) and keep.any():
+            words, alive, counters = words[keep], alive[keep], [c[keep] for c in counters]
+            word, lane = np.nonzero(unpacked(alive).reshape(-1, 64))
             i = words[word] * 64 + lane
-            left.append(order[i])
-            right.append(order[i + by])
+            distance = sum((((c[word] >> lane.astype(U)) & U(1)).astype(np.int64) << k for k, c in enumerate(counters)), np.zeros(len(i), np.int64))
+            near = distance <= (n[i] + n[i + by]) * (den - num) // (den + num)
+            left.append(order[i[near]])
+            right.append(order[i[near] + by])
     if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return nothing
     return np.concatenate(left), np.concatenate(right)

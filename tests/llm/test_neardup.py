@@ -52,6 +52,7 @@ def test_blocks_lose_no_similar_pair():
     for i in range(0, 40, 2):
         sets[i + 1] = np.unique(np.append(sets[i][rng.random(len(sets[i])) < 0.93], rng.integers(0, 300, 2)))
     group = np.repeat(np.arange(4), [1, 20, 17, 2])
+    sets = [sets[i] for i in sorted(range(40), key=lambda i: (group[i], len(sets[i])))]
     bounds = np.append(0, np.cumsum([len(s) for s in sets]))
     i, j = close_pairs(group, np.diff(bounds), sketches(np.concatenate(sets).astype(np.int64), bounds), 7, 10)
     got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
