@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkweave.llm.codepoints import Spans, U, codes, gathered
+from inkweave.llm.codepoints import Spans, U, codes, gathered, mixed
+from inkweave.session import cut
 
-#: Items that a task holds at once; a larger set is held against the corpus in blocks of so many.
-BLOCK = 20_000
+#: Words are counted in so many slots, by hash, and the items' words and windows are known to the tasks as filters
+#: of so many bits: their size is the same for any number of items.
+SLOTS, BITS = 1 << 20, 1 << 22
 
 _WORDY: list[np.ndarray] = []
 
@@ -48,137 +50,130 @@ class Words:
         self.owner = np.searchsorted(bounds, self.start, "right") - 1
         self.hash = Spans(self.points.astype(U)).hash(self.start, self.end) if len(self.start) else np.empty(0, U)
 
-    def strings(self, first: int, count: int) -> tuple[str, ...]:
-        """Of words in a row, of one text."""
+    def joined(self, first: int, count: int) -> str:
+        """Words in a row, of one text, with blanks between."""
         at = self.bounds[self.owner[first]]
         text = self.texts[self.owner[first]]
-        return tuple(text[s - at : e - at] for s, e in zip(self.start[first : first + count], self.end[first : first + count]))
+        return " ".join([text[s - at : e - at] for s, e in zip(self.start[first : first + count].tolist(), self.end[first : first + count].tolist())])
 
 
-def _in(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(values), bool)
-    found = np.searchsorted(sorted_values, values)
-    return sorted_values[np.minimum(found, len(sorted_values) - 1)] == values
+def _ranks(corpus: DataFrame, slots: int) -> np.ndarray:
+    """How frequent the words of each slot are in the corpus: counted by one pass, added up in the tasks first."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            for _, texts in gathered((None, t) for t in batch.column(0).to_pylist()):
+                total += np.bincount((Words(texts).hash % U(slots)).astype(np.int64), minlength=slots)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
 
-class Shingles:
-    """The windows of ``width`` words of a block of items, each under its rarest word.
+    found = corpus.select("t").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(slots, np.int64)
+    total[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return np.minimum(np.log2(total + 1) * 1_000, 65_535).astype(U)
 
-    A document that has the window has that word at the same place of it, so only places of these
-    words need looking at (the prefix of a set that must be contained whole has length one).
-    """
 
-    def __init__(self, items: list[tuple[int, str]], width: int, counts: dict[int, int]) -> None:
-        words = Words([t for _, t in items])
-        self.width = width
-        self.windows: dict[tuple[str, ...], set[int]] = {}
-        places: dict[int, set[int]] = {}
-        for first in range(len(words.hash) - width + 1):
-            if words.owner[first] != words.owner[first + width - 1]:
-                continue
-            window = words.strings(first, width)
-            known = window in self.windows
-            self.windows.setdefault(window, set()).add(items[words.owner[first]][0])
-            if not known:
-                offset = min(range(width), key=lambda i: (counts.get(int(words.hash[first + i]), 0), i))
-                places.setdefault(int(words.hash[first + offset]), set()).add(offset)
-        self.rare = np.array(sorted(places), U)
-        self.offsets = [sorted(places[int(h)]) for h in self.rare]
-        full = Words([" ".join(w) for w in self.windows])
-        self.sums = np.sort(Spans(full.hash).every(width)[::width]) if self.windows else np.empty(0, U)
-
-    def found(self, texts: list[str]) -> Iterator[tuple[int, int]]:
-        """The numbers of the texts and the items they have a window of."""
-        words = Words(texts)
-        if len(words.hash) < self.width or not len(self.rare):
-            return
-        spans = Spans(words.hash)
-        hits = np.flatnonzero(_in(self.rare, words.hash))
-        which = np.searchsorted(self.rare, words.hash[hits])
-        count = np.array([len(o) for o in self.offsets])[which]
-        if not len(hits):
-            return
-        shift = np.concatenate([self.offsets[w] for w in which])
-        first = np.repeat(hits, count) - shift
-        # Positional bound: the window must begin and end in the text.
-        ok = (first >= 0) & (first + self.width <= len(words.hash))
-        first = first[ok]
-        first = np.unique(first[words.owner[first] == words.owner[first + self.width - 1]])
-        first = first[_in(self.sums, spans.hash(first, first + self.width))]
-        done = set()
-        for at in first.tolist():
-            for item in self.windows.get(words.strings(at, self.width), ()):
-                pair = (int(words.owner[at]), item)
-                if pair not in done:
-                    done.add(pair)
-                    yield pair
-
-
-def word_counts(df: DataFrame, text: str, vocabulary: set[int]) -> dict[int, int]:
-    """In how many rows each of a bounded set of words (by hash) occurs, over all rows."""
-    known = np.array(sorted(vocabulary), U)
+def _token(word: np.ndarray, offset: np.ndarray | int) -> np.ndarray:
+    """A prefix word together with its place in the window."""
+    return mixed(word ^ (np.asarray(offset).astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known), np.int64)
-        for batch in batches:
-            for _, texts in gathered((None, t) for t in batch.column(0).to_pylist() if t):
-                words = Words(texts)
-                at = np.searchsorted(known, words.hash)
-                hit = known[np.minimum(at, len(known) - 1)] == words.hash
-                once = np.unique(at[hit] * len(texts) + words.owner[hit]) // len(texts)
-                total += np.bincount(once, minlength=len(known))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(total[some])], ["word", "n"])
 
-    if not len(known):
-        return {}
-    rows = df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {r.word % (1 << 64): r.n for r in rows}
+class Filter:
+    """A set of hashes as bits (a power of two of them), with false positives."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.words = bits, np.zeros(-(-bits // 64), U)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & U(self.bits - 1)
+        return (self.words[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) != 0
 
 
-def leaked_items(
-    df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 10, block: int = BLOCK
-) -> DataFrame:
+def _windows(items: DataFrame, width: int, ranks: np.ndarray, kind: T.DataType) -> DataFrame:
+    """The windows of each item: ``h, words, item``, and the hashes of the prefix word and of it with its place.
+
+    The windows of a text that must be contained whole have a prefix of one word: the rarest one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrow = batch.schema.field(0).type
+            for keys, texts in gathered(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                words = Words(texts)
+                if len(words.hash) < width:
+                    continue
+                first = np.arange(len(words.hash) - width + 1)
+                first = first[words.owner[first] == words.owner[first + width - 1]]
+                if not len(first):
+                    continue
+                order = ranks[(words.hash % U(len(ranks))).astype(np.int64)] << U(48) | words.hash >> U(16)
+                offset = np.lib.stride_tricks.sliding_window_view(order, width)[first].argmin(axis=1)
+                rarest = words.hash[first + offset]
+                columns = (Spans(words.hash).hash(first, first + width), rarest, _token(rarest, offset))
+                h, word, token = (pa.array(c.view(np.int64)) for c in columns)
+                texts_ = pa.array([words.joined(i, width) for i in first.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([h, texts_, pa.array(keys, arrow).take(pa.array(words.owner[first])), word, token], ["h", "words", "item", "word", "token"])
+
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("words", T.StringType()), T.StructField("item", kind), T.StructField("word", T.LongType()), T.StructField("token", T.LongType())])
+    return items.mapInArrow(run, schema).distinct()
+
+
+def _filters(windows: DataFrame, bits: int) -> list[Filter]:
+    """Filters of the prefix words, of these with their places, and of the windows: at most bits / 64 words each."""
+    kinds = ["word", "token", "h"]
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).bitwiseAND(F.lit(bits - 1)).cast("int").alias("bit")) for i, c in enumerate(kinds))))
+    masks = windows.select(at.alias("x")).select("x.kind", F.shiftright("x.bit", 6).alias("word"), F.expr("shiftleft(1L, x.bit & 63)").alias("mask"))
+    found = masks.groupBy("kind", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = [Filter(bits) for _ in kinds]
+    kind, word, mask = (found.column(c).to_numpy() for c in ("kind", "word", "mask"))
+    for i, one in enumerate(out):
+        one.words[word[kind == i]] = mask[kind == i].astype(np.int64).view(U)
+    return out
+
+
+def leaked_items(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
     """The pairs of a row of ``df`` and an item that have ``width`` consecutive words in common.
 
-    Method: prefix-filtered join of word windows. Words of the items are counted over the whole
-    corpus; each window goes under its rarest word; a pass over the corpus looks at the places of
-    those words only, bounds them by position, filters them by the window's hash and compares the words.
-    The items come to the tasks in blocks of at most ``block`` rows, so memory is bounded whatever
-    their number; each block is one pass. The corpus is never shuffled.
+    Method: prefix-filtered join of word windows. Words are counted over the whole corpus; each window
+    of an item goes under its rarest word. A pass over the corpus looks at the places of those words
+    only, bounds them by position in the window and in the text, and keeps windows whose hash an item may
+    have; they are joined with the items' windows by hash, and their words compared.
+    The corpus is read twice, whatever the number of items, and never shuffled; what the tasks hold
+    (counts by slot, filters) has a fixed size. Items are never gathered in one place.
     Null keys or texts, empty texts and texts of fewer than ``width`` words: no rows. Repeated rows of
     one key or item: each pair once. An empty table: no rows.
     """
     names = (key, item_key) if key != item_key else (key, "item")
-    schema = T.StructType([T.StructField(names[0], df.schema[key].dataType), T.StructField(names[1], items.schema[item_key].dataType)])
-    kinds = [f.dataType for f in schema.fields]
     corpus = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
-    wanted = items.select(F.col(item_key).alias("k"), F.col(item_text).cast("string").alias("t")).where("k is not null and t is not null").distinct()
-
-    def scan(part: list[Row]) -> DataFrame:
-        rows = [(r.k, r.t) for r in part]
-        vocabulary = {int(h) for h in Words([t for _, t in rows]).hash} if rows else set()
-        shingles = Shingles(rows, width, word_counts(corpus, "t", vocabulary))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                arrow = batch.schema.field(0).type
-                for keys, texts in gathered(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                    if pairs := list(shingles.found(texts)):
-                        yield pa.RecordBatch.from_arrays([pa.array([keys[d] for d, _ in pairs], arrow), pa.array([i for _, i in pairs], item_arrow)], list(names))
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        item_arrow = to_arrow_type(kinds[1])
-        return corpus.mapInArrow(run, schema)
-
-    found, part = None, []
-    for row in wanted.toLocalIterator():
-        part.append(row)
-        if len(part) == block:
-            found = scan(part) if found is None else found.unionByName(scan(part))
-            part = []
-    if part or found is None:
-        found = scan(part) if found is None else found.unionByName(scan(part))
-    return found.distinct()
+    wanted = items.select(F.col(item_key).alias("k"), F.col(item_text).cast("string").alias("t")).where("k is not null and t is not null")
+    windows = cut(_windows(wanted, width, _ranks(corpus, SLOTS), items.schema[item_key].dataType))
+    prefix, tokens, whole = _filters(windows, BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrow = batch.schema.field(0).type
+            for keys, texts in gathered(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                words = Words(texts)
+                hits = np.flatnonzero(prefix.has(words.hash))
+                if len(words.hash) < width or not len(hits):
+                    continue
+                places = []
+                for offset in range(width):
+                    first = hits[tokens.has(_token(words.hash[hits], offset))] - offset
+                    places.append(first[(first >= 0) & (first + width <= len(words.hash))])
+                first = np.unique(np.concatenate(places))
+                # Positional bound: the window must begin and end in one text.
+                first = first[words.owner[first] == words.owner[first + width - 1]]
+                sums = Spans(words.hash).hash(first, first + width)
+                near = whole.has(sums)
+                first, sums, owner = first[near], sums[near], words.owner[first[near]]
+                if not len(first):
+                    continue
+                _, once = np.unique(np.stack([owner.astype(U), sums]), axis=1, return_index=True)
+                found = pa.array([words.joined(i, width) for i in first[once].tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, arrow).take(pa.array(owner[once])), pa.array(sums[once].view(np.int64)), found], ["k", "h", "found"])
+
+    schema = T.StructType([T.StructField("k", df.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("found", T.StringType())])
+    found = corpus.mapInArrow(run, schema).join(windows.select("h", "words", "item"), "h").where(F.col("found") == F.col("words"))
+    return found.select(F.col("k").alias(names[0]), F.col("item").alias(names[1])).distinct()

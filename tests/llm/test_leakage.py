@@ -1,5 +1,6 @@
 import re
 
+from inkweave.llm import leakage
 from inkweave.llm.leakage import leaked_items
 from inkweave.llm.queries import p7_found
 
@@ -34,13 +35,15 @@ DOCS = [
 ITEMS = [(1, "one two three four five six seven eight nine ten"), (2, "one two three four five six seven eight nine ten eleven"), (3, None), (4, ""), (5, "zwölf äöü 14 15 16 17 18 19 20 21 22"), (6, "a a a a a a a a a a"), (1, "one two three four five six seven eight nine ten")]
 
 
-def test_small_against_brute_force(spark):
+def test_small_against_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(*d, 3, "t") for d in DOCS], "doc_id long, text string, item_id int, t string")
     items = spark.createDataFrame([(*i, 5) for i in ITEMS], "item_id long, text string, doc_id int")
     want = brute(DOCS, ITEMS)
     assert want
-    for block in (20_000, 2, 1):
-        got = leaked_items(docs, items, block=block)
+    for slots, bits in ((1 << 20, 1 << 22), (64, 128), (1, 64)):  # filters that are full lose nothing
+        monkeypatch.setattr(leakage, "SLOTS", slots)
+        monkeypatch.setattr(leakage, "BITS", bits)
+        got = leaked_items(docs, items)
         assert got.columns == ["doc_id", "item_id"]
         rows = [tuple(r) for r in got.collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
@@ -55,3 +58,13 @@ def test_query_against_brute_force(spark, data):
     got = [tuple(r) for r in p7_found(spark, data).collect()]
     assert got and len(got) == len(set(got))
     assert set(got) == brute(docs, items)
+
+
+def test_many_items_read_the_corpus_twice(spark):
+    """20,000 items: the corpus is scanned as often as for one, and every planted window is found."""
+    items = spark.range(20_000).selectExpr("id as item_id", "concat_ws(' ', transform(sequence(0, 11), x -> concat('w', id * 7 + x * x))) as text")
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('Before, ', concat_ws(' ', transform(sequence(1, 10), x -> concat('W', (id * 66) * 7 + x * x))), ' after.') as text")
+    got = {tuple(r) for r in leaked_items(docs, items).collect()}
+    assert got == {(i, i * 66) for i in range(300)}
+    scans = lambda n: leaked_items(docs, items.limit(n))._jdf.queryExecution().executedPlan().toString().count("Range (0, 300")
+    assert scans(1) == scans(20_000)
