@@ -7,37 +7,21 @@ import numpy as np
 U = np.uint64
 #: Bits of a record's sketch, and planes added between two looks at which words are still needed.
 BITS, STEP = 256, 64
+#: Words that are compared at once.
+CHUNK = 2_048
 
 
-def planes(sketches: np.ndarray) -> np.ndarray:
-    """The bit planes of sketches given as rows of four 64-bit words: ``[bit, record // 64]``."""
+def bits(sketches: np.ndarray) -> np.ndarray:
+    """The bits of sketches given as rows of four 64-bit words: ``[bit, record]``, with records up to a multiple of 64."""
     rows = -(-len(sketches) // 64) * 64
     padded = np.zeros((rows, BITS // 64), U)
     padded[: len(sketches)] = sketches
-    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(U)
+    return np.ascontiguousarray(np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little").T)
 
 
-def shifted(columns: np.ndarray, words: np.ndarray, by: int) -> np.ndarray:
-    """The planes at ``words`` as if every record were replaced by the one ``by`` places after it."""
-    jump, rest = divmod(by, 64)
-    last = columns.shape[1] - 1
-    low = columns[:, np.minimum(words + jump, last)]
-    if not rest:
-        return low
-    high = columns[:, np.minimum(words + jump + 1, last)]
-    return (low >> U(rest)) | (high << U(64 - rest))
-
-
-def moved(columns: np.ndarray, count: int, by: int) -> np.ndarray:
-    """As :func:`shifted`, for the first ``count`` words."""
-    jump, rest = divmod(by, 64)
-    wanted = columns[:, jump : jump + count + 1]
-    if wanted.shape[1] < count + 1:
-        wanted = np.pad(wanted, ((0, 0), (0, count + 1 - wanted.shape[1])))
-    if not rest:
-        return wanted[:, :count]
-    return (wanted[:, :count] >> U(rest)) | (wanted[:, 1 : count + 1] << U(64 - rest))
+def planes(rows: np.ndarray) -> np.ndarray:
+    """The bit planes of :func:`bits`: ``[bit, record // 64]``."""
+    return np.ascontiguousarray(np.packbits(rows, axis=1, bitorder="little")).view(U)
 
 
 def add(counters: list[np.ndarray], rows: np.ndarray) -> list[np.ndarray]:
@@ -70,14 +54,6 @@ def unpacked(words: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), bitorder="little")
 
 
-def packed(flags: np.ndarray) -> np.ndarray:
-    """Flags as bits of words, least first."""
-    out = np.zeros(-(-len(flags) // 64) * 8, np.uint8)
-    bits = np.packbits(flags, bitorder="little")
-    out[: len(bits)] = bits
-    return out.view(U)
-
-
 def beyond(counters: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
     """The records, as bits, whose counter is greater than the limit of their word: compared plane by plane, the greatest first."""
     more, same = np.zeros(len(limit), U), np.full(len(limit), ~U(0))
@@ -91,70 +67,62 @@ def beyond(counters: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
     return more
 
 
-def close_pairs(group: np.ndarray, size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(group: np.ndarray, size: np.ndarray, lead: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs within groups that may have a Jaccard similarity of ``num / den``.
 
-    ``group`` is sorted, and ``size``, the sizes of the sets, within each group; ``sketch`` has a bit set
-    for each element's hash. Sets differ in at least as many elements as their sketches in bits, and similar
+    ``group`` is sorted; in each group the records that ``lead`` come first, and those that do and those
+    that don't are sorted by ``size``, the sizes of the sets. A pair has a leading record and one of
+    its size or larger. ``sketch`` has a bit set for each element's hash. Sets differ in at least as many elements as their sketches in bits, and similar
     sets in at most ``(den - num) / (den + num)`` of their sizes' sum, so no similar pair is lost.
-    Record i is held against record i + 1, i + 2, ... of its group, for all groups at once; words in
-    which every record is beyond its word's radius are abandoned between steps.
+    A leading record is held against whole words of 64 others at once; words in which every record is
+    beyond the radius are abandoned between steps.
     """
     nothing = np.empty(0, np.int64), np.empty(0, np.int64)
-    begins = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else nothing[0]
-    lengths = np.diff(np.append(begins, len(group)))
-    biggest = np.argsort(-lengths, kind="stable")
-    biggest = biggest[lengths[biggest] > 1]
-    if not len(biggest):
+    if not len(group):
         return nothing
-    lengths = lengths[biggest]
-    starts = np.cumsum(lengths) - lengths
-    within = np.arange(lengths.sum()) - np.repeat(starts, lengths)
-    order = np.repeat(begins[biggest], lengths) + within
-    n, columns = size[order].astype(np.int64), planes(sketch[order])
-    last, total = columns.shape[1] - 1, len(order)
-    # Of each record the place after the last one of its group that is small enough.
-    group_of = np.repeat(np.arange(len(lengths)), lengths)
+    n = size.astype(np.int64)
+    # Of each leading record the places of the larger sets that are small enough: first those that lead.
+    group_of = np.cumsum(np.append(False, group[1:] != group[:-1])) * 2
     wide = int(n.max()) * den // num + 2
-    stop = np.searchsorted(group_of * wide + n, group_of * wide + n * den // num, "right")
-    span = (stop - np.arange(total)).astype(np.int32)
-    most = np.pad(n, (0, (last + 2) * 64 - total)).reshape(-1, 64).max(axis=1)
+    limit, here = n * den // num, np.flatnonzero(lead)
+    places = (group_of + ~lead) * wide + n
+    at, most = group_of[here] * wide, limit[here]
+    ends = np.searchsorted(places, at + most, "right"), np.searchsorted(places, at + wide + most, "right")
+    starts = here + 1, np.searchsorted(places, at + wide + n[here])
+    record, low, high = np.tile(here, 2), np.concatenate(starts), np.concatenate(ends)
+    some = high > low
+    record, low, high = record[some], low[some], high[some]
+    # A row for each leading record and word of others.
+    words = ((high - 1) >> 6) - (low >> 6) + 1
+    which = np.repeat(np.arange(len(record)), words)
+    word = (low >> 6)[which] + np.arange(len(which)) - np.repeat(np.cumsum(words) - words, words)
+    every = ~U(0)
+    alive = every << np.maximum(low[which] - word * 64, 0).astype(U) & every >> np.maximum((word + 1) * 64 - high[which], 0).astype(U)
+    record = record[which]
+    rows = bits(sketch)
+    columns = planes(rows)
+    largest = np.pad(n, (0, columns.shape[1] * 64 - len(n))).reshape(-1, 64).max(axis=1)
+    radius = (n[record] + np.minimum(limit[record], largest[word])) * (den - num) // (den + num)
     left, right = [], []
-    for by in range(1, int(lengths[0])):
-        rows = int(lengths[lengths > by].sum())
-        alive = packed(span[:rows] > by)
-        words = np.flatnonzero(alive)
-        if not len(words):
-            break
-        jump = by // 64
-        whole = len(words) * 4 > len(alive) * 3  # slices are faster than picking words
-        if whole:
-            words = np.arange(len(alive))
-        alive = alive[words]
-        ahead = np.maximum(most[np.minimum(words + jump, last)], most[np.minimum(words + jump + 1, last)])
-        radius = (most[words] + ahead) * (den - num) // (den + num)
-        counters: list[np.ndarray] = []
-        for at in range(0, BITS, STEP):
-            if at:
-                keep = alive != 0
-                if not keep.any():
-                    words = words[:0]
-                    break
-                if not keep.all():
-                    words, radius, alive, counters, whole = words[keep], radius[keep], alive[keep], [c[keep] for c in counters], False
-            part = columns[at : at + STEP]
-            mine = part[:, : len(words)] if whole else part[:, words]
-            counters = add(counters, mine ^ (moved(part, len(words), by) if whole else shifted(part, words, by)))
-            alive = alive & ~beyond(counters, radius)
-        keep = alive != 0
-        if len(words) and keep.any():
-            words, alive, counters = words[keep], alive[keep], [c[keep] for c in counters]
-            word, lane = np.nonzero(unpacked(alive).reshape(-1, 64))
-            i = words[word] * 64 + lane
-            distance = sum((((c[word] >> lane.astype(U)) & U(1)).astype(np.int64) << k for k, c in enumerate(counters)), np.zeros(len(i), np.int64))
-            near = distance <= (n[i] + n[i + by]) * (den - num) // (den + num)
-            left.append(order[i[near]])
-            right.append(order[i[near] + by])
+    for begin in range(0, len(record), CHUNK):
+        part = slice(begin, begin + CHUNK)
+        i, j, live, far, counters = record[part], word[part], alive[part], radius[part], []
+        for step in range(0, BITS, STEP):
+            mine = U(0) - np.take(rows[step : step + STEP], i, axis=1).astype(U)
+            counters = add(counters, mine ^ np.take(columns[step : step + STEP], j, axis=1))
+            live = live & ~beyond(counters, far)
+            keep = live != 0
+            if not keep.all():
+                i, j, live, far, counters = i[keep], j[keep], live[keep], far[keep], [c[keep] for c in counters]
+            if not len(i):
+                break
+        if len(i):
+            row, lane = np.nonzero(unpacked(live).reshape(-1, 64))
+            a, b = i[row], j[row] * 64 + lane
+            distance = sum((((c[row] >> lane.astype(U)) & U(1)).astype(np.int64) << k for k, c in enumerate(counters)), np.zeros(len(a), np.int64))
+            near = distance <= (n[a] + n[b]) * (den - num) // (den + num)
+            left.append(a[near])
+            right.append(b[near])
     if not left:
         return nothing
     return np.concatenate(left), np.concatenate(right)

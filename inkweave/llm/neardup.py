@@ -22,7 +22,9 @@ BLOCK = 4_096
 #: Records of so many distinct words or more are blocked by single words.
 LONG = 256
 #: Rows that are compared at once.
-BATCH = 1 << 16
+BATCH = 1 << 15
+#: Added to the size of a record in a block in which it doesn't lead.
+FOLLOWS = 1 << 30
 #: What tells the keys of words, pairs and triples apart.
 PLAIN, PAIR, TRIPLE = U(0x5851F42D4C957F2D), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 
@@ -47,7 +49,9 @@ class Prefixes:
     order that all records share: here by the count in a word's slot. If the rarest common word is rare (in
     at most :data:`BLOCK` records), both records are in its block; else the two rarest are frequent and
     both are in the pair's block, or, if that pair is in more than :data:`BLOCK` records, in the
-    triple's. Words that no other record has need no block. Long records would have too many pairs,
+    triple's. Words that no other record has need no block. Of two similar sets the smaller one has its rarest
+    common words even among its first n - ceil(2 t n / (1 + t)) + 1, + 2 and + 3: only under these it leads, that
+    is, is held against larger sets. Long records would have too many pairs,
     and the smallest too few words: they, and those that could be similar to one, are in the block of each
     of their first n - need + 1 words.
     """
@@ -62,6 +66,7 @@ class Prefixes:
         n = np.diff(bounds)
         need = -(-n * num // den)
         self.first, self.begin = n - need + 1, bounds[:-1]
+        self.lead = n + (-2 * n * num // (den + num)) + 1
         place = np.arange(len(hashes)) - bounds[owner]
         inside = place < self.first[owner]
         small = 2 * den // num + 1  # sets that may need less than three common words
@@ -69,7 +74,8 @@ class Prefixes:
         plain = (n * den >= long * num) | (n * num <= small * den)
         rare = inside & middle[owner] & (count <= RARE) & (count > 0)
         at = inside & plain[owner]
-        self.singles = [(owner[rare], mixed(self.words[rare])), (owner[at], mixed(self.words[at] ^ PLAIN))]
+        leads = place < self.lead[owner]
+        self.singles = [(owner[rare], mixed(self.words[rare]), leads[rare]), (owner[at], mixed(self.words[at] ^ PLAIN), leads[at])]
         #: Of each record the first frequent word, and the number of frequent ones among its first words.
         frequent = inside & middle[owner] & (count > RARE)
         self.frequent = np.bincount(owner[frequent], minlength=len(n))
@@ -87,13 +93,16 @@ class Prefixes:
     def pair_keys(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mixed(rows[:, a] * PAIR + mixed(rows[:, b]))
 
-    def keys(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of the blocks of each record, as the record's number and the key; ``hot`` tells the slots of pairs that too many records have."""
-        owners, keys = ([x[i] for x in self.singles] for i in (0, 1))
+    def keys(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of the blocks of each record, as the record's number, the key and whether it leads; ``hot`` tells the slots of pairs that too many records have."""
+        owners, keys, leads = ([x[i] for x in self.singles] for i in (0, 1, 2))
         for which, rows, a, b in self.combined():
             pairs = self.pair_keys(rows, a, b)
             many = hot[slots(pairs, len(hot))]
+            # The place of a row's first word, from the end of the leading ones.
+            before = (self.first - self.lead)[which] - (rows.shape[1] - 2)
             record, pair = np.nonzero(~many)
+            leads.append(before[record] + b[pair] < 1)
             owners.append(which[record])
             keys.append(pairs[record, pair])
             record, pair = np.nonzero(many)
@@ -102,7 +111,8 @@ class Prefixes:
             words = rows[record[row], third[row, step]]
             owners.append(which[record[row]])
             keys.append(mixed(pairs[record[row], pair[row]] * TRIPLE + mixed(words)))
-        return np.concatenate(owners), np.concatenate(keys)
+            leads.append(before[record[row]] + third[row, step] < 2)
+        return np.concatenate(owners), np.concatenate(keys), np.concatenate(leads)
 
 
 #: The greatest rank of a rare word.
@@ -155,7 +165,7 @@ def _counted(hashed: DataFrame, many: int, keys_of: Callable[[np.ndarray, np.nda
 
 
 def _keyed(hashed: DataFrame, threshold: Fraction) -> DataFrame:
-    """Each record under the keys of its blocks: ``key, num, n`` and its sketch."""
+    """Each record under the keys of its blocks: ``key, num, n`` and its sketch; ``n`` is above :data:`FOLLOWS` where it doesn't lead."""
     many, block, long = SLOTS, BLOCK, LONG
     ranks = ranked(_counted(hashed, many, lambda hashes, _: iter([hashes.view(U)])), block)
     hot = np.zeros(many, bool)
@@ -165,10 +175,10 @@ def _keyed(hashed: DataFrame, threshold: Fraction) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nums, hashes, bounds in _lists(batches):
-            owner, keys = Prefixes(hashes, bounds, ranks, threshold, long).keys(hot)
+            owner, keys, leads = Prefixes(hashes, bounds, ranks, threshold, long).keys(hot)
             marks = sketches(hashes, bounds).view(np.int64)[owner]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), nums.take(pa.array(owner)), pa.array(np.diff(bounds)[owner].astype(np.int32)), *(pa.array(np.ascontiguousarray(marks[:, i])) for i in range(4))],
+                [pa.array(keys.view(np.int64)), nums.take(pa.array(owner)), pa.array((np.diff(bounds)[owner] | ~leads * FOLLOWS).astype(np.int32)), *(pa.array(np.ascontiguousarray(marks[:, i])) for i in range(4))],
                 ["key", "num", "n", "s0", "s1", "s2", "s3"],
             )
 
@@ -186,7 +196,8 @@ def _compared(keyed: DataFrame, keys: list[str], threshold: Fraction) -> DataFra
             value = table.column(k).to_numpy()
             group[1:] |= value[1:] != value[:-1]
         sketch = np.stack([table.column(f"s{i}").to_numpy() for i in range(4)], axis=1).view(U)
-        i, j = close_pairs(np.cumsum(group), table.column("n").to_numpy(), sketch, top, bottom)
+        n = table.column("n").to_numpy()
+        i, j = close_pairs(np.cumsum(group), n & (FOLLOWS - 1), n < FOLLOWS, sketch, top, bottom)
         if not len(i):
             return None
         num = table.column("num").to_numpy()

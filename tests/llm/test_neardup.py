@@ -54,11 +54,19 @@ def test_blocks_lose_no_similar_pair():
     group = np.repeat(np.arange(4), [1, 20, 17, 2])
     sets = [sets[i] for i in sorted(range(40), key=lambda i: (group[i], len(sets[i])))]
     bounds = np.append(0, np.cumsum([len(s) for s in sets]))
-    i, j = close_pairs(group, np.diff(bounds), sketches(np.concatenate(sets).astype(np.int64), bounds), 7, 10)
+    i, j = close_pairs(group, np.diff(bounds), np.ones(40, bool), sketches(np.concatenate(sets).astype(np.int64), bounds), 7, 10)
     got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
     jaccard = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
     want = {(a, b) for a in range(40) for b in range(a + 1, 40) if group[a] == group[b] and jaccard(sets[a], sets[b]) >= 0.7}
     assert want and want <= got and len(got) < 3 * len(want)
+    # Half of them don't lead: of a pair the smaller one must.
+    lead = rng.random(40) < 0.5
+    order = np.lexsort((np.diff(bounds), ~lead, group))
+    mixed_up = [sets[k] for k in order]
+    bounds = np.append(0, np.cumsum([len(s) for s in mixed_up]))
+    i, j = close_pairs(group[order], np.diff(bounds), lead[order], sketches(np.concatenate(mixed_up).astype(np.int64), bounds), 7, 10)
+    assert {tuple(sorted((order[a], order[b]))) for a, b in zip(i, j)} >= {(a, b) for a, b in want if lead[a]}
+    assert all(lead[order[a]] and len(mixed_up[a]) <= len(mixed_up[b]) for a, b in zip(i, j))
 
 
 def test_against_brute_force(spark, monkeypatch):
