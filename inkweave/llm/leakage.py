@@ -57,14 +57,30 @@ class Words:
         return " ".join([text[s - at : e - at] for s, e in zip(self.start[first : first + count].tolist(), self.end[first : first + count].tolist())])
 
 
-def _ranks(corpus: DataFrame, slots: int) -> np.ndarray:
-    """How frequent the words of each slot are in the corpus: counted by one pass, added up in the tasks first."""
+def _slots(texts: list[str], slots: int) -> np.ndarray:
+    return (Words(texts).hash % U(slots)).astype(np.int64)
+
+
+def _ranks(corpus: DataFrame, items: DataFrame, slots: int) -> np.ndarray:
+    """How frequent the items' words are in the corpus, by slot: counted by one pass, added up in the tasks first."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(slots, bool)
+        for batch in batches:
+            for _, texts in gathered((None, t) for t in batch.column(0).to_pylist()):
+                seen[_slots(texts, slots)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], ["slot"])
+
+    known = np.zeros(slots, bool)
+    known[items.select("t").mapInArrow(listed, "slot int").distinct().toArrow().column("slot").to_numpy()] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for batch in batches:
             for _, texts in gathered((None, t) for t in batch.column(0).to_pylist()):
-                total += np.bincount((Words(texts).hash % U(slots)).astype(np.int64), minlength=slots)
+                found = _slots(texts, slots)
+                at, n = np.unique(found[known[found]], return_counts=True)
+                total[at] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
 
@@ -135,7 +151,7 @@ def _filters(windows: DataFrame, bits: int) -> list[Filter]:
 def leaked_items(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 10) -> DataFrame:
     """The pairs of a row of ``df`` and an item that have ``width`` consecutive words in common.
 
-    Method: prefix-filtered join of word windows. Words are counted over the whole corpus; each window
+    Method: prefix-filtered join of word windows. The items' words are counted over the whole corpus; each window
     of an item goes under its rarest word. A pass over the corpus looks at the places of those words
     only, bounds them by position in the window and in the text, and keeps windows whose hash an item may
     have; they are joined with the items' windows by hash, and their words compared.
@@ -147,7 +163,7 @@ def leaked_items(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     names = (key, item_key) if key != item_key else (key, "item")
     corpus = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
     wanted = items.select(F.col(item_key).alias("k"), F.col(item_text).cast("string").alias("t")).where("k is not null and t is not null")
-    windows = cut(_windows(wanted, width, _ranks(corpus, SLOTS), items.schema[item_key].dataType))
+    windows = cut(_windows(wanted, width, _ranks(corpus, wanted, SLOTS), items.schema[item_key].dataType))
     prefix, tokens, whole = _filters(windows, BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
