@@ -28,12 +28,12 @@ FOLLOWS = 1 << 30
 #: What tells the keys of words, pairs and triples apart.
 PLAIN, PAIR, TRIPLE = U(0x5851F42D4C957F2D), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 
-WORD = r"[\p{L}\p{Nd}]+"
+GAP = r"[^\p{L}\p{Nd}]+"
 
 
 def word_set(text: str):
     """The distinct words of a text: longest runs of letters and digits, lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), GAP)), "")
 
 
 def slots(keys: np.ndarray, many: int) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 from inkweave.llm.codepoints import Spans, U, codes, gathered, sliding_min
 from inkweave.session import cut, remove, scratch
 
+#: Bits of the filter that tells which documents' texts are needed: it is broadcast, and has this size for any number of them.
+BITS = 1 << 22
 #: Distinct surroundings of one fingerprint that a task compares by itself; larger groups are compared by a shuffle.
 LOCAL = 2_000
 
@@ -95,72 +98,104 @@ def reach(group: Iterable[tuple[object, bool, str, int, int]], length: int) -> l
 
 
 class SpanIndex:
-    """Sorted immutable runs of fingerprints in the shared folder.
-
-    ``append`` writes a batch's fingerprints as one run (each of its files sorted by fingerprint) and
-    merge-joins it with the runs already there, which gives the fingerprints now known to be in more
-    than one document. ``compact`` merges all runs into one. ``report`` verifies character for
-    character and counts. Whether documents come in one batch or in many, the counts are the same.
+    """Sorted immutable runs of window fingerprints in the shared folder, in levels, and the windows' postings.
+
+    A run has one row for each fingerprint, with its least and greatest document: it is added up in the
+    tasks before it is shuffled, so that a fingerprint that a third of all windows have does no harm. Runs
+    are bucketed and sorted by fingerprint, all in the same number of buckets, so that they are
+    merge-joined bucket by bucket without being shuffled: a batch shuffles its own fingerprints only,
+    however long the history. ``append`` writes a batch's run and joins it with each run there is, which
+    gives the fingerprints now known to be in more than one document. Where a level has ``fan`` runs,
+    they are merged into one of the next level, so that there are never more than about fan times the
+    logarithm of the number of batches. Postings are written once, as they come. ``report`` verifies
+    character for character and counts. Whether documents come in one batch or in many, the counts are the same.
     """
 
-    def __init__(self, spark: SparkSession, length: int = 200, gram: int | None = None, path: str | None = None, most_runs: int = 8) -> None:
+    def __init__(self, spark: SparkSession, length: int = 200, gram: int | None = None, path: str | None = None, fan: int = 4, buckets: int | None = None) -> None:
+        if not 1 <= length <= 65_535:
+            raise ValueError("spans have 1 to 65,535 characters")
         self.spark, self.length, self.gram = spark, length, gram or max(1, length * 8 // 25)
-        self.path, self.most_runs = path or scratch(spark, "spans"), most_runs
-        self.runs: list[str] = []
-        self.shared: list[str] = []
+        self.path, self.fan = path or scratch(spark, "spans"), max(fan, 2)
+        self.buckets = buckets or max(8, 2 * spark.sparkContext.defaultParallelism)
+        #: The tables of runs and of shared fingerprints, each with its level; those of shared ones have none in common.
+        self.postings: list[str] = []
+        self.runs: list[tuple[int, str]] = []
+        self.shared: list[tuple[int, str]] = []
         self.written = 0
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*paths)
+    def _write(self, rows: DataFrame, kind: str, level: int) -> tuple[int, str]:
+        """Writes rows as a table in buckets; a shuffle by fingerprint on the way makes just these."""
+        name = f"{kind}_{self.path.rsplit('/', 1)[-1].replace('-', '_')}_{self.written}"
+        setting = "spark.sql.shuffle.partitions"
+        had = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, str(self.buckets))
+        try:
+            rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{kind}-{self.written:05d}").format("parquet").saveAsTable(name)
+        finally:
+            self.spark.conf.set(setting, had)
+        self.written += 1
+        return level, name
+
+    def drop(self, tables: Iterable[tuple[int, str]] | None = None) -> None:
+        """Deletes tables with their files; without any given, the whole index."""
+        for _, name in tables if tables is not None else [*self.runs, *self.shared]:
+            where = f"{self.path}/{name.split('_', 1)[0]}-{int(name.rsplit('_', 1)[1]):05d}"
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, where)
+        if tables is None:
+            remove(self.spark, self.path)
 
     def append(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> SpanIndex:
         """Add a batch of new documents; rows with a null key or text have no spans."""
         docs = df.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
-        run = f"{self.path}/run-{self.written:05d}"
-        fingerprints(docs, self.length, self.gram).sortWithinPartitions("fp").write.parquet(run)
-        bounds = lambda of: of.groupBy("fp").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-        now = bounds(self._read([run]))
-        if self.runs:
-            was = bounds(self._read(self.runs)).select("fp", F.col("least").alias("l"), F.col("most").alias("m"))
-            now = now.join(was, "fp", "left").select("fp", F.least("least", "l").alias("least"), F.greatest("most", "m").alias("most"))
-        shared = f"{self.path}/shared-{self.written:05d}"
-        now.where("least < most").select("fp").sortWithinPartitions("fp").write.parquet(shared)
+        postings = f"{self.path}/postings-{self.written:05d}"
+        fingerprints(docs, self.length, self.gram).write.parquet(postings)
+        self.postings.append(postings)
+        run = self._write(self.spark.read.parquet(postings).groupBy("fp").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "run", 0)
+        now = self.spark.table(run[1])
+        found = now.where("least < most").select("fp")
+        for _, old in self.runs:
+            both = now.join(self.spark.table(old).select("fp", F.col("least").alias("l"), F.col("most").alias("m")), "fp")
+            found = found.unionByName(both.where(F.least("least", "l") < F.greatest("most", "m")).select("fp"))
+        for _, name in self.shared:
+            found = found.join(self.spark.table(name), "fp", "left_anti")
+        self.shared.append(self._write(found.distinct(), "shared", 0))
         self.runs.append(run)
-        self.shared.append(shared)
-        self.written += 1
-        if len(self.runs) > self.most_runs:
-            self.compact()
+        for tables in (self.runs, self.shared):
+            while (level := next((at for at, _ in tables if sum(x == at for x, _ in tables) >= self.fan), None)) is not None:
+                self._merge(tables, [t for t in tables if t[0] == level], level + 1)
         return self
 
+    def _merge(self, tables: list[tuple[int, str]], old: list[tuple[int, str]], level: int) -> None:
+        rows = reduce(DataFrame.unionByName, (self.spark.table(name) for _, name in old))
+        if tables is self.runs:
+            tables.append(self._write(rows.groupBy("fp").agg(F.min("least").alias("least"), F.max("most").alias("most")), "run", level))
+        else:
+            tables.append(self._write(rows.distinct(), "shared", level))
+        tables[:] = [t for t in tables if t not in old]
+        self.drop(old)
+
     def compact(self) -> SpanIndex:
-        """Merge all runs into one, in ranges of fingerprints, and drop the old files."""
-        if len(self.runs) > 1:
-            for name, had in (("run", self.runs), ("shared", self.shared)):
-                rows = self._read(had)
-                merged = f"{self.path}/{name}-{self.written:05d}"
-                (rows if name == "run" else rows.distinct()).repartitionByRange("fp").sortWithinPartitions("fp").write.parquet(merged)
-                for old in had:
-                    remove(self.spark, old)
-                had[:] = [merged]
-            self.written += 1
+        """Merge all runs into one."""
+        for tables in (self.runs, self.shared):
+            if len(tables) > 1:
+                self._merge(tables, [*tables], 1 + max(level for level, _ in tables))
         return self
 
-    def _classes(self, rows: DataFrame) -> DataFrame:
-        """One row for each fingerprint and surroundings: ``many`` if more than one document has them."""
-        return rows.groupBy("fp", "around").agg(
-            (F.min("doc") < F.max("doc")).alias("many"), F.min(F.struct("doc", "place")).alias("first")
-        )
+    @staticmethod
+    def _having(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+        """The rows whose value of a column is among those wanted, and few others: by a filter of :data:`BITS` bits, which is broadcast."""
+        bit = F.xxhash64(column).bitwiseAND(F.lit(BITS - 1))
+        masks = wanted.select(column).select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.expr("1L"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("mask"))
+        masks = masks.groupBy("word").agg(F.bit_or("mask").alias("mask"))
+        found = rows.withColumns({"bit": bit, "word": F.shiftright(bit, 6)}).join(F.broadcast(masks), "word")
+        return found.where(F.call_function("shiftrightunsigned", "mask", F.col("bit").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1).select(rows.columns)
 
-    def _reached(self, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    def _reached(self, classes: DataFrame) -> DataFrame:
         """For surroundings that only one document has, the windows that occur elsewhere: ``fp, around, start, stop``."""
         length = self.length
         groups = classes.groupBy("fp").agg(F.count("*").alias("n"), F.max(~F.col("many")).alias("open")).where("open and n > 1")
-        low, before, windows = F.shiftright("first.place", 32), F.shiftright("first.place", 16).bitwiseAND(0xFFFF), F.col("first.place").bitwiseAND(0xFFFF) + 1
-        wanted = classes.join(groups, "fp").select(
-            "fp", "around", "many", "n", F.col("first.doc").alias("doc"), low.alias("low"), before.cast("int").alias("before"), windows.cast("int").alias("windows")
-        )
-        piece = F.substring("text", (F.col("low") + 1).cast("int"), F.col("windows") + (length - 1))
-        texts = cut(wanted.join(docs, "doc").select("fp", "around", "many", "n", "doc", "before", "windows", piece.alias("piece")))
+        texts = classes.join(groups, "fp").select("fp", "around", "many", "n", F.col("first.doc").alias("doc"), "before", "windows", "piece")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
@@ -207,21 +242,37 @@ class SpanIndex:
 
         ``df`` has the texts of the indexed documents. All windows of one anchor hold the anchor, so
         those of them that are shared cover everything from the first one's start to the last one's end.
+        Surroundings are the same where all their characters are: documents are grouped by them, not by a hash.
         """
         docs = df.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
-        known = self._read(self.shared)
-        rows = cut(self._read(self.runs).join(known if len(self.shared) == 1 else known.distinct(), "fp", "left_semi"))
-        classes = cut(self._classes(rows))
+        known = reduce(DataFrame.unionByName, (self.spark.table(name) for _, name in self.shared))
+        rows = cut(self._having(self.spark.read.parquet(*self.postings), "fp", known).join(known, "fp", "left_semi"))
+        low, before, windows = F.shiftright("place", 32), F.shiftright("place", 16).bitwiseAND(0xFFFF), F.col("place").bitwiseAND(0xFFFF) + 1
+        placed = rows.select("fp", "around", "doc", low.alias("low"), before.cast("int").alias("before"), windows.cast("int").alias("windows"))
+        piece = F.substring("text", (F.col("low") + 1).cast("int"), F.col("windows") + (self.length - 1))
+        pieces = placed.join(self._having(docs, "doc", rows), "doc").select("fp", "around", "doc", "low", "before", "windows", piece.alias("piece"))
+        grouped = ["fp", "around", "before", "windows", "piece"]
+        classes = cut(pieces.groupBy(*grouped).agg(F.min(F.struct("doc", "low")).alias("first"), (F.min("doc") < F.max("doc")).alias("many")))
+        # Surroundings that differ under one hash are told apart by their characters from here on; there are hardly ever any.
+        twins = cut(classes.groupBy("fp", "around").count().where("count > 1").select("fp", "around"))
+        numbered = None
+        if not twins.isEmpty():
+            numbers = classes.join(twins, ["fp", "around"], "left_semi").select(*grouped, F.concat_ws(" ", F.col("first.doc").cast("string"), F.col("first.low").cast("string")).alias("number"))
+            classes = classes.join(numbers, grouped, "left")
+            numbered = pieces.join(twins, ["fp", "around"], "left_semi").join(numbers, grouped)
+            alone = placed.join(twins, ["fp", "around"], "left_anti").withColumn("number", F.lit(None).cast("string"))
+            placed = alone.unionByName(numbered.select(*alone.columns))
+            classes = cut(classes.withColumn("around", F.when(F.col("number").isNull(), F.col("around")).otherwise(F.xxhash64("around", "number"))))
+            placed = placed.withColumn("around", F.when(F.col("number").isNull(), F.col("around")).otherwise(F.xxhash64("around", "number")))
         whole = classes.where("many").select("fp", "around", F.lit(0).alias("start"), F.lit(None).cast("int").alias("stop"))
-        ranges = whole.unionByName(self._reached(classes, docs))
-        low, windows = F.shiftright("place", 32), F.col("place").bitwiseAND(0xFFFF)
-        parts = rows.join(ranges, ["fp", "around"]).select(
-            "doc", (low + F.col("start")).alias("s"), (low + F.coalesce("stop", windows.cast("int")) + self.length).alias("e")
+        ranges = whole.unionByName(self._reached(classes))
+        spans = placed.join(ranges, ["fp", "around"]).select(
+            "doc", (F.col("low") + F.col("start")).alias("s"), (F.col("low") + F.coalesce("stop", F.col("windows") - 1) + self.length).alias("e")
         )
-        before = Window.partitionBy("doc").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-        new = F.col("e") - F.greatest("s", F.coalesce(F.max("e").over(before), F.lit(0).cast("long")))
+        before_ = Window.partitionBy("doc").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+        new = F.col("e") - F.greatest("s", F.coalesce(F.max("e").over(before_), F.lit(0).cast("long")))
         return (
-            parts.groupBy("doc", "s").agg(F.max("e").alias("e")).select("doc", F.greatest(new, F.lit(0).cast("long")).alias("n"))
+            spans.groupBy("doc", "s").agg(F.max("e").alias("e")).select("doc", F.greatest(new, F.lit(0).cast("long")).alias("n"))
             .groupBy("doc").agg(F.sum("n").alias(name)).select(F.col("doc").alias(key), name)
         )
 
@@ -240,20 +291,22 @@ def arrivals(df: DataFrame, at: str | None, batches: int) -> list[DataFrame]:
 
 
 def shared_spans(
-    df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, name: str = "shared_chars", at: str | None = None, batches: int = 2
+    df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, name: str = "shared_chars", at: str | None = None, batches: int = 3, fan: int = 2, path: str | None = None
 ) -> DataFrame:
     """For each record the number of its characters in a span of ``length`` that another record has too.
 
     Method: a log-structured index of window fingerprints (:class:`SpanIndex`), fed with the records in
-    ``batches`` by their time of arrival ``at`` (without one: all at once). Each window is indexed by its anchor, a gram chosen by
-    content alone, so nothing is missed; candidates are verified on the characters themselves or, where
-    a whole run of windows agrees, on two independent 64-bit hashes (of the anchor and of the run's text).
+    ``batches`` by their time of arrival ``at`` (without one: all at once), and compacted in levels of
+    ``fan`` runs. Each window is indexed by its anchor, a gram chosen by content alone, so nothing is missed;
+    candidates are verified on the characters themselves. With a ``path`` the index is kept there.
     Null keys, null, empty and short texts: no row. Repeated rows of one key are one record: its spans
     don't count as another's. Copies: all their characters count. An empty table: no rows.
     """
-    index = SpanIndex(df.sparkSession, length)
+    index = SpanIndex(df.sparkSession, length, path=path, fan=fan)
     for batch in arrivals(df, at, batches):
         index.append(batch, key, text)
     found = index.report(df, key, text, name)
-    remove(df.sparkSession, index.path)  # the report reads checkpoints only
+    if path is None:
+        found = cut(found)
+        index.drop()
     return found

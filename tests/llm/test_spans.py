@@ -1,6 +1,9 @@
 import random
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from inkweave.llm import spans
 from inkweave.llm.queries import p8_found
 from inkweave.llm.spans import SpanIndex, arrivals, shared_spans
@@ -54,13 +57,40 @@ def test_against_brute_force(spark):
 def test_batches_and_compaction_give_the_same(spark):
     rows = made(7)
     df = spark.createDataFrame(rows, SCHEMA)
-    index = SpanIndex(spark, 40, most_runs=2)
-    for i in range(4):
-        index.append(df.where(f"doc_id % 4 = {i}"))
-    assert len(index.runs) == 2
+    index = SpanIndex(spark, 40, fan=2)
+    for i in range(5):
+        index.append(df.where(f"doc_id % 5 = {i}"))
+    assert sorted(level for level, _ in index.runs) == [0, 2]  # 5 = 4 + 1
     assert found(index.report(df)) == brute(rows, 40)
     assert found(index.compact().report(df)) == brute(rows, 40)
     assert len(index.runs) == 1
+    index.drop()
+
+
+def test_runs_are_joined_without_a_shuffle(spark):
+    df = spark.createDataFrame(made(3), SCHEMA)
+    index = SpanIndex(spark, 40, fan=8)
+    for i in range(3):
+        index.append(df.where(f"doc_id % 3 = {i}"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = spark.table(index.runs[0][1]).join(spark.table(index.runs[1][1]), "fp")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort " not in plan
+    index.drop()
+
+
+def test_equal_hashes_are_told_apart(spark, monkeypatch):
+    """All surroundings under one hash: only their characters tell them apart."""
+    plain = spans.fingerprints
+    monkeypatch.setattr(spans, "fingerprints", lambda *a: plain(*a).withColumn("around", F.lit(7).cast("long")))
+    rows = made(5)
+    assert found(shared_spans(spark.createDataFrame(rows, SCHEMA), length=40)) == brute(rows, 40)
+
+
+def test_lengths(spark):
+    for length in (0, 65_536):
+        with pytest.raises(ValueError):
+            SpanIndex(spark, length)
 
 
 def test_arrivals_hold_each_row_once(spark):
