@@ -14,6 +14,7 @@ CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",  # buckets of one file are read as the sorted runs they are
 }
 
 
