@@ -195,7 +195,7 @@ class SpanIndex:
         """For surroundings that only one document has, the windows that occur elsewhere: ``fp, around, start, stop``."""
         length = self.length
         groups = classes.groupBy("fp").agg(F.count("*").alias("n"), F.max(~F.col("many")).alias("open")).where("open and n > 1")
-        texts = classes.join(groups, "fp").select("fp", "around", "many", "n", F.col("first.doc").alias("doc"), "before", "windows", "piece")
+        texts = classes.join(groups, "fp").select("fp", "around", "many", "n", "doc", "before", "windows", "piece")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
@@ -252,12 +252,12 @@ class SpanIndex:
         piece = F.substring("text", (F.col("low") + 1).cast("int"), F.col("windows") + (self.length - 1))
         pieces = placed.join(self._having(docs, "doc", rows), "doc").select("fp", "around", "doc", "low", "before", "windows", piece.alias("piece"))
         grouped = ["fp", "around", "before", "windows", "piece"]
-        classes = cut(pieces.groupBy(*grouped).agg(F.min(F.struct("doc", "low")).alias("first"), (F.min("doc") < F.max("doc")).alias("many")))
+        classes = cut(pieces.groupBy(*grouped).agg(F.min("doc").alias("doc"), (F.min("doc") < F.max("doc")).alias("many")))
         # Surroundings that differ under one hash are told apart by their characters from here on; there are hardly ever any.
         twins = cut(classes.groupBy("fp", "around").count().where("count > 1").select("fp", "around"))
         numbered = None
         if not twins.isEmpty():
-            numbers = classes.join(twins, ["fp", "around"], "left_semi").select(*grouped, F.concat_ws(" ", F.col("first.doc").cast("string"), F.col("first.low").cast("string")).alias("number"))
+            numbers = classes.join(twins, ["fp", "around"], "left_semi").select(*grouped, F.concat_ws(" ", "before", "windows", F.md5(F.col("piece").cast("binary"))).alias("number"))
             classes = classes.join(numbers, grouped, "left")
             numbered = pieces.join(twins, ["fp", "around"], "left_semi").join(numbers, grouped)
             alone = placed.join(twins, ["fp", "around"], "left_anti").withColumn("number", F.lit(None).cast("string"))
@@ -291,7 +291,7 @@ def arrivals(df: DataFrame, at: str | None, batches: int) -> list[DataFrame]:
 
 
 def shared_spans(
-    df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, name: str = "shared_chars", at: str | None = None, batches: int = 3, fan: int = 2, path: str | None = None
+    df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, name: str = "shared_chars", at: str | None = None, batches: int = 2, fan: int = 2, path: str | None = None
 ) -> DataFrame:
     """For each record the number of its characters in a span of ``length`` that another record has too.
 
