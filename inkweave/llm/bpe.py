@@ -32,7 +32,11 @@ class ByteBPE(dict):
     def __init__(self, vocabulary: str, cached: int = 1 << 18) -> None:
         super().__init__()
         with open(vocabulary, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            found = json.load(f)
+        model, before = found["model"], found.get("pre_tokenizer") or {}
+        # Another way to split, or to normalise, would give other ids.
+        if model.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or found.get("normalizer"):
+            raise ValueError(f"{vocabulary} is no byte-level BPE with the usual pattern")
         vocab, names = model["vocab"], byte_names()
         self.first = [vocab[names[b]] for b in range(256)]
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,15 +43,20 @@ def token_ids(
 ) -> DataFrame:
     """The key and ``ids`` (array of int) of every row, in one pass without a shuffle.
 
+    The vocabulary is sent to the executors; only byte-level ones with the usual pattern are known, others raise ValueError.
+
     Method: the text is split by the vocabulary's pattern; each distinct piece of a task is merged by
     the hierarchical-bitmap rank queue of :mod:`inkweave.llm.bpe`, in time nearly linear in its length.
     Null and empty texts: an empty list. Repeated rows: one result each. Special tokens: none; their
     spellings are ordinary text. Other columns are not read, so their names can't clash.
     """
     path = f"{folder}/{name}.json"
+    tokenizer(path)  # refuses other kinds before any task runs
+    df.sparkSession.sparkContext.addFile(path)
+    file = os.path.basename(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        bpe = tokenizer(SparkFiles.get(file))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             start, chars = 0, 0

@@ -73,3 +73,9 @@ def test_query(spark, data, reference):
     assert len(got) == len(texts)
     for r in got:
         assert r.ids == (reference(texts[r.doc_id]) if texts[r.doc_id] else [])
+
+
+def test_other_kinds_are_refused(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        token_ids(df, name="word_bpe_49k")
