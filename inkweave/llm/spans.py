@@ -167,13 +167,19 @@ class SpanIndex:
         return self
 
     def _merge(self, tables: list[tuple[int, str]], old: list[tuple[int, str]], level: int) -> None:
-        rows = reduce(DataFrame.unionByName, (self.spark.table(name) for _, name in old))
-        if tables is self.runs:
-            tables.append(self._write(rows.groupBy("fp").agg(F.min("least").alias("least"), F.max("most").alias("most")), "run", level))
-        else:
-            tables.append(self._write(rows.distinct(), "shared", level))
-        tables[:] = [t for t in tables if t not in old]
-        self.drop(old)
+        """Merge tables into one, two at a time and bucket by bucket: nothing is shuffled."""
+        kind, merged = "run" if tables is self.runs else "shared", old[0]
+        for other in old[1:]:
+            a, b = (self.spark.table(name) for _, name in (merged, other))
+            if kind == "run":
+                b = b.select("fp", F.col("least").alias("l"), F.col("most").alias("m"))
+                rows = a.join(b, "fp", "full_outer").select("fp", F.least("least", "l").alias("least"), F.greatest("most", "m").alias("most"))
+            else:
+                rows = a.join(b, "fp", "full_outer")
+            written = self._write(rows, kind, level)
+            self.drop([merged, other])
+            merged = written
+        tables[:] = [t for t in tables if t not in old] + [merged]
 
     def compact(self) -> SpanIndex:
         """Merge all runs into one."""
