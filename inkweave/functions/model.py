@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkweave.functions.jsonvalue import embedded_object
+from inkweave.session import cut
 
 
 class Backend(Protocol):
@@ -79,7 +80,7 @@ def ask(
         try:
             raw = backend.generate(text)
         except Exception as e:  # noqa: BLE001
-            return {**dict.fromkeys(keys), "error": "timeout" if isinstance(e, TimeoutError) else f"{type(e).__name__}: {e}"[:500]}
+            return {**dict.fromkeys(keys), "error": "timeout" if isinstance(e, TimeoutError) else f"{type(e).__name__}: {e}"}
         value = parse(raw, keys)
         out = {k: _text(value.get(k)) for k in keys} | {"error": value.get("error") if "raw" in value else None}
         if raw_fallback and not out[raw_fallback]:
@@ -147,11 +148,28 @@ def rewritten(df: DataFrame, text: str, task: str, key: str, make_backend: Calla
     return ask(df, _prompted(f"{task} Return JSON {{{json.dumps(key)}: ...}}.\nText: {{t}}", t=F.col(text)), (key,), make_backend, raw_fallback=key, **options)
 
 
-def summarized_groups(df: DataFrame, by: list[str], text: str, order: str, make_backend: Callable[[], Backend], most_chars: int = 20_000, **options) -> DataFrame:
-    """A summary of each group's texts. A group's context has at most ``most_chars`` characters (a model reads no more); rows beyond that aren't gathered."""
+def summarized_groups(df: DataFrame, by: list[str], text: str, order: str, make_backend: Callable[[], Backend], most_chars: int = 20_000, fan: int = 8, **options) -> DataFrame:
+    """A summary of each group's texts: the group, its ``context`` (what the last call read) and ``answer``.
+
+    A call reads at most about ``most_chars`` characters: longer texts are cut into pieces and a group's pieces
+    summarised in parts; then ``fan`` summaries at a time, until each group has one. No text and no group is
+    left out; a part is gathered in one place, a group never. Null texts add nothing.
+    """
     from pyspark.sql import Window
 
-    so_far = F.sum(F.char_length(text)).over(Window.partitionBy(*by).orderBy(order))
-    context = df.withColumn("__so_far", so_far).where(F.col("__so_far") <= most_chars).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("__rows"))
-    context = context.select(*by, F.array_join(F.col(f"__rows.{text}"), "\n").alias("context"))
-    return ask(context, _prompted('Summarize the texts. Return JSON {"summary": ...}.\nTexts:\n{t}', t=F.col("context")), ("summary",), make_backend, raw_fallback="summary", **options)
+    size = F.coalesce(F.char_length("__text"), F.lit(0))
+    pieces = df.select(*by, F.col(order).alias("__order"), F.col(text).alias("__text"))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(size / most_chars) - 1, F.lit(0)).cast("int"))
+    pieces = pieces.select(*by, "__order", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("__text"), i * most_chars + 1, F.lit(most_chars)))).alias("__piece", "__text"))
+    so_far = F.sum(size).over(Window.partitionBy(*by).orderBy("__order", "__piece").rowsBetween(Window.unboundedPreceding, -1))
+    parts = pieces.withColumn("__part", F.floor(F.coalesce(so_far, F.lit(0)) / most_chars).cast("long"))
+    prompt = _prompted('Summarize the texts. Return JSON {"summary": ...}.\nTexts:\n{t}', t=F.col("context"))
+    while True:
+        lined = parts.groupBy(*by, "__part").agg(F.array_sort(F.collect_list(F.struct("__order", "__piece", "__text"))).alias("__rows"))
+        context = lined.select(*by, "__part", F.array_join(F.col("__rows.__text"), "\n").alias("context"))
+        done = cut(ask(context, prompt, ("summary",), make_backend, raw_fallback="summary", **options))
+        if done.groupBy(*by).count().where("count > 1").isEmpty():
+            return done.drop("__part")
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("__part")) - 1
+        parts = done.select(*by, F.col("__part").alias("__order"), F.lit(0).alias("__piece"), F.coalesce("answer.summary", F.lit("")).alias("__text"), F.floor(place / fan).cast("long").alias("__next"))
+        parts = parts.withColumnRenamed("__next", "__part")

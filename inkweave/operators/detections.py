@@ -41,13 +41,20 @@ def group_windows(detections: DataFrame, groups: DataFrame, seconds: int) -> Dat
     return detections.join(of, "label").groupBy(begin.alias("window_start"), "group_name").agg(F.max("score").alias("score"), F.count("*").alias("n"))
 
 
-def coarse_to_fine(detections: DataFrame, groups: DataFrame, coarse: int, fine: int, threshold: float) -> DataFrame:
+def coarse_to_fine(detections: DataFrame, groups: DataFrame, coarse: int, fine: int, threshold: float | DataFrame) -> DataFrame:
     """The fine windows inside coarse windows in which some group reaches the threshold.
 
+    ``threshold`` is a number for all groups, a frame of one row ``threshold``, or one of ``group_name,
+    threshold`` with a number for each (groups without one don't count).
     ``coarse`` is a whole number of ``fine``, so containment is equality of the coarse window: a semi join
     on it, before the finer aggregation, instead of a join of intervals.
     """
-    kept = group_windows(detections, groups, coarse).where(F.col("score") >= threshold).select(F.col("window_start").alias("coarse_start")).distinct()
+    found = group_windows(detections, groups, coarse)
+    if isinstance(threshold, DataFrame):
+        found = found.join(threshold, "group_name") if "group_name" in threshold.columns else found.join(F.broadcast(threshold.limit(1)))
+    else:
+        found = found.withColumn("threshold", F.lit(threshold))
+    kept = found.where(F.col("score") >= F.col("threshold")).select(F.col("window_start").alias("coarse_start")).distinct()
     inside = detections.withColumn("coarse_start", F.floor(F.unix_micros("start") / (coarse * 1_000_000)).cast("long") * coarse).join(kept, "coarse_start", "left_semi")
     return group_windows(inside, groups, fine)
 

@@ -9,20 +9,22 @@ from inkweave.functions.geometry import large_arc, on_circle
 from inkweave.session import cut
 
 
-def ancestors(items: DataFrame, key: str = "id", parent: str = "parent_id", most_levels: int = 1_000) -> DataFrame:
+def ancestors(items: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFrame:
     """Each item with each of its ancestors: ``key, ancestor, level`` (1: its parent).
 
     Pointer doubling: after n rounds the links of up to 2^n levels are known, so the number of joins
-    grows with the logarithm of the depth. Each round is cut off and checked for new links. A circle of
-    parents ends at ``most_levels``. Null keys and unknown parents have no links.
+    grows with the logarithm of the depth, which has no limit. Each round is cut off and keeps new links only, so a
+    circle of parents ends when all of it is known. Null keys and unknown parents have no links.
     """
     known = items.select(F.col(key).alias("k")).where("k is not null").distinct()
     edges = items.where(F.col(key).isNotNull() & F.col(parent).isNotNull() & (F.col(key) != F.col(parent))).select(F.col(key).alias("k"), F.col(parent).alias("a")).distinct()
     links = cut(edges.join(known.withColumnRenamed("k", "a"), "a", "left_semi").withColumn("level", F.lit(1)))
     reach = 1
-    while reach < most_levels:
+    while True:
         further = links.where(F.col("level") == reach).select("k", F.col("a").alias("m")).join(links.select(F.col("k").alias("m"), "a", (F.col("level") + reach).alias("level")), "m").select("k", "a", "level")
-        further = cut(further.where(F.col("k") != F.col("a")))
+        # Of several ways to one ancestor, which only circles have, the shortest counts.
+        further = further.where(F.col("k") != F.col("a")).groupBy("k", "a").agg(F.min("level").alias("level")).join(links.select("k", "a"), ["k", "a"], "left_anti")
+        further = cut(further.select("k", "a", "level"))
         if further.isEmpty():
             break
         links, reach = links.unionByName(further), reach * 2

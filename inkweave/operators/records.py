@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkweave.session import cut
+
 
 def projected(df: DataFrame, fields: list[str]) -> DataFrame:
     """The declared fields in their order; those the frame lacks are null."""
@@ -65,8 +67,18 @@ def newest(df: DataFrame, at: str, key: str, limit: int = 5) -> DataFrame:
 
 
 def by_time_text(df: DataFrame, key: str, at: str) -> DataFrame:
-    """Keys in the order of the text of their time, missing ones first; the order is the column ``place``."""
-    return df.select(key, F.coalesce(F.col(at).cast("string"), F.lit("")).alias("at_text")).withColumn("place", F.dense_rank().over(Window.orderBy("at_text", key)))
+    """Keys in the order of the text of their time, missing ones first; the order is the column ``place``; equal rows share one.
+
+    Rows are sorted in ranges, numbered within each, and moved on by the rows of the ranges before, so that no task has all.
+    """
+    rows = df.select(key, F.coalesce(F.col(at).cast("string"), F.lit("")).alias("at_text"))
+    order = [F.col("at_text"), F.asc_nulls_first(key)]
+    parts = cut(rows.distinct().repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    inside = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    counts = parts.groupBy("__part").agg(F.count("*").alias("__rows"))  # as many as there are ranges
+    before = counts.withColumn("__before", F.sum("__rows").over(Window.orderBy("__part")) - F.col("__rows")).select("__part", "__before")
+    placed = inside.join(before, "__part").select("at_text", F.col(key).alias("__key"), (F.col("__before") + F.col("__n")).cast("int").alias("place"))
+    return rows.join(placed, (rows["at_text"] == placed["at_text"]) & rows[key].eqNullSafe(F.col("__key"))).select(rows[key], rows["at_text"], "place")
 
 
 def step_files(files: DataFrame, name: str) -> DataFrame:

@@ -132,7 +132,7 @@ def judged(candidate: str, target: str, window: int = 80, delta: float = 0.1) ->
     first, last = sequence_ratio(candidate[:window], head), sequence_ratio(candidate[-window:], tail)
     best_first, best_last = anchor_match(candidate, head, window)[0], anchor_match(candidate, tail, window)[0]
     return {
-        "overall": sequence_ratio(candidate, target), "start_score": first, "end_score": last,
+        "overall": sequence_ratio(candidate, target), "start_score": first, "end_score": last, "start_best": best_first, "end_best": best_last,
         "start_action": edge_action(first, best_first, delta), "end_action": edge_action(last, best_last, delta),
     }
 
@@ -140,7 +140,12 @@ def judged(candidate: str, target: str, window: int = 80, delta: float = 0.1) ->
 def aligned(
     words: list[tuple[str, int, int]], target: str, start: int, end: int, rounds: int = 20, window: int = 200, step: int = 1_500, share: float = 0.05, shortest: float = 0.8, longest: float = 1.2
 ) -> tuple[int, int, float, int]:
-    """Moves a clip's ends until its words fit the target: ``start, end`` (ms), the likeness, the rounds taken."""
+    """Moves a clip's ends until its words fit the target: ``start, end`` (ms), the likeness, the rounds taken.
+
+    An end's difference is that of its own likeness and the best one anywhere. Too short a clip grows at the end
+    of the smaller difference, too long a one shrinks at that of the larger, the start going first of equals; one of
+    fitting length moves both ends as they ask for. Steps shrink from round to round.
+    """
     score, known = 0.0, {}
     for n in range(rounds):
         said = " ".join(w for w, s, e in words if s >= start and e <= end)
@@ -149,19 +154,20 @@ def aligned(
         found = known[said]
         score = found["overall"]
         ratio = len(said) / max(1, len(target))
-        move = int(max(step, (end - start) * share) * (1 - n / rounds))
-        if shortest <= ratio <= longest:
-            if found["start_action"] == found["end_action"] == "ok":
-                return start, end, score, n + 1
-            start += {"extend": -move, "contract": move, "ok": 0}[found["start_action"]]
-            end += {"extend": move, "contract": -move, "ok": 0}[found["end_action"]]
+        move = int(int(max(step, (end - start) * share)) * (1 - n / rounds))
+        at_start, at_end = abs(found["start_score"] - found["start_best"]), abs(found["end_score"] - found["end_best"])
+        grow_start = grow_end = 0
+        if ratio < shortest:
+            grow_start, grow_end = (move, 0) if at_start <= at_end else (0, move)
+        elif ratio > longest:
+            grow_start, grow_end = (-move, 0) if at_start >= at_end else (0, -move)
+        elif found["start_action"] == found["end_action"] == "ok":
+            return start, end, score, n + 1
         else:
-            grow = move if ratio < shortest else -move
-            if found["start_score"] < found["end_score"]:
-                start -= grow
-            else:
-                end += grow
-        start, end = max(0, start), max(start + 1, end)
+            signs = {"extend": move, "contract": -move, "ok": 0}
+            grow_start, grow_end = signs[found["start_action"]], signs[found["end_action"]]
+        start = max(0, start - grow_start) if grow_start > 0 else start - grow_start
+        end += grow_end
     return start, end, score, rounds
 
 
@@ -274,5 +280,5 @@ def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in batch.itertuples():
             said = (r.text or "").split()
             part = (r.end - r.start) / max(1, len(said))
-            out += [(r.rec_id, r.idx * 10_000 + i, w, r.start + i * part, r.start + (i + 1) * part) for i, w in enumerate(said) if plain_letters(w)]
+            out += [(r.rec_id, (r.idx << 32) + i, w, r.start + i * part, r.start + (i + 1) * part) for i, w in enumerate(said) if plain_letters(w)]
         yield pd.DataFrame(out, columns=["rec_id", "idx", "text", "start", "end"])

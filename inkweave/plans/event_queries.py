@@ -125,9 +125,9 @@ def _groups(spark: SparkSession) -> DataFrame:
 
 
 def coarse_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minutes inside the hours in which some group reaches 95 (scaled to the hour)."""
-    top = table(spark, sf_dir, "events").agg(F.max("value")).first()[0] or 0.0
-    return coarse_to_fine(_detections(spark, sf_dir), _groups(spark), 3_600, 60, 0.9 * top)
+    """Minutes inside the hours in which some group reaches nine tenths of the greatest value."""
+    top = table(spark, sf_dir, "events").agg((F.lit(0.9) * F.max("value")).alias("threshold"))
+    return coarse_to_fine(_detections(spark, sf_dir), _groups(spark), 3_600, 60, top)
 
 
 def threshold_scales(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,21 +44,37 @@ def write_text(df: DataFrame, path: str) -> None:
 
 
 def update_json(spark: SparkSession, path: str, updater: Callable[[DataFrame], DataFrame], schema: T.StructType | str, default: DataFrame | None = None) -> DataFrame:
-    """Read, change, write: into a new version beside the old one, which is replaced at the end by renaming."""
+    """Read, change, write: into a new version beside the old one, which it replaces when it is complete."""
     files = Files(spark)
+    path = files.settled(path)
     if files.exists(path):
         now = spark.read.schema(schema).json(path)
     elif default is not None:
         now = default
     else:
         raise FileNotFoundError(path)
-    fresh = f"{path.rstrip('/')}.tmp"
+    head, _, name = path.rpartition("/")
+    fresh = f"{head}/.new-{name}"
     updater(now).write.mode("overwrite").json(fresh)
-    files.delete(path)
-    files.move(fresh, path)
+    files.replace(fresh, path)
     return spark.read.schema(schema).json(path)
 
 
+def write_document(spark: SparkSession, path: str, value: object, indent: int | None = 2, sort_keys: bool = False) -> None:
+    """One JSON document of a bounded size as a file, which takes an old one's place in one step."""
+    Files(spark).write(path, json.dumps(value, indent=indent, sort_keys=sort_keys, ensure_ascii=False, default=str) + "\n")
+
+
+def write_yaml(spark: SparkSession, path: str, value: object, sort_keys: bool = False) -> None:
+    """One document of a bounded size as a YAML file, keys in their order unless sorted; without PyYAML as JSON, which is YAML too."""
+    value = json.loads(json.dumps(value, default=str))
+    try:
+        import yaml
+    except ImportError:
+        return write_document(spark, path, value, sort_keys=sort_keys)
+    return Files(spark).write(path, yaml.safe_dump(value, sort_keys=sort_keys, allow_unicode=True))
+
+
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     """YAML files as ``path`` and JSON text ``value``; needs PyYAML on the executors, and raises ImportError where it is missing."""
 
@@ -121,9 +137,10 @@ class Files:
         fs.mkdirs(p)
         return path
 
-    def delete(self, path: str, missing_ok: bool = True) -> None:
+    def delete(self, path: str, missing_ok: bool = True, recursive: bool = True) -> None:
+        """A file or folder; one that isn't empty only if ``recursive``."""
         p, fs = self._at(path)
-        if not fs.delete(p, True) and not missing_ok:
+        if not fs.delete(p, recursive) and not missing_ok:
             raise FileNotFoundError(path)
 
     def move(self, old: str, new: str) -> str:
@@ -132,16 +149,53 @@ class Files:
             raise OSError(f"can't move {old} to {new}")
         return new
 
+    def write(self, path: str, text: str) -> None:
+        """A small text file: written beside and renamed, so that readers see the old one or the new one."""
+        head, _, name = path.rpartition("/")
+        fresh = f"{head}/.new-{name}"
+        p, fs = self._at(fresh)
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if self.exists(path):
+            self.replace(fresh, path)
+        else:
+            self.move(fresh, path)
+
+    def replace(self, fresh: str, path: str) -> str:
+        """Let something complete take another's place: the old one steps aside, the new one takes its name, the old one goes.
+        If the process ends in between, :meth:`settled` finishes."""
+        self.settled(path)
+        head, _, name = path.rpartition("/")
+        if self.exists(path):
+            self.move(path, f"{head}/.old-{name}")
+        self.move(fresh, path)
+        self.delete(f"{head}/.old-{name}")
+        return path
+
+    def settled(self, path: str) -> str:
+        """Finish a replacement that was broken off: without a new one the old one comes back. Gives the path."""
+        head, _, name = path.rpartition("/")
+        old = f"{head}/.old-{name}"
+        if self.exists(old):
+            if self.exists(path):
+                self.delete(old)
+            else:
+                self.move(old, path)
+        return path
+
     def copy(self, old: str, new: str) -> str:
         p, fs = self._at(old)
         q, other = self._at(new)
         self.jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, other, q, False, self.conf)
         return new
 
-    def listed(self, path: str) -> list[tuple[str, int, int]]:
-        """The name, size and time of change of each entry of a directory that isn't hidden."""
+    def listed(self, path: str, hidden: bool = False) -> list[tuple[str, int, int]]:
+        """The name, size and time of change of each entry of a directory, hidden ones on demand only."""
         p, fs = self._at(path)
         if not fs.exists(p):
             return []
         found = [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)]
-        return sorted(f for f in found if not f[0].startswith((".", "_")))
+        return sorted(f for f in found if hidden or not f[0].startswith((".", "_")))

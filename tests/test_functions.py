@@ -106,3 +106,12 @@ def test_model_rows(spark):
     assert groups.first().answer.summary == "hi\nboom"
     for found in (model.edited(df, "question", "question", model.EchoBackend), model.described(df, "question", model.EchoBackend), model.graded(df, "question", "Is it so?", "is_true", model.EchoBackend), model.rewritten(df, "question", "Shorten.", "title", model.EchoBackend), model.classified(df, "question", ["x"], model.EchoBackend)):
         assert found.count() == 3
+
+
+def test_no_group_is_lost(spark):
+    """Texts beyond what a call reads are cut into pieces, and groups summarised in parts."""
+    rows = [("g", i, "ab" * (30 if i == 0 else 4)) for i in range(40)] + [("h", 0, "x"), ("n", 0, None)]
+    df = spark.createDataFrame(rows, "g string, i int, t string")
+    sizes = lambda p: '{"summary": "%s"}' % ("+" * p.split("Texts:\n")[1].replace("+", "").replace("\n", "").count("ab") or p.split("Texts:\n")[1].replace("\n", ""))
+    got = {r.g: r.answer.summary for r in model.summarized_groups(df, ["g"], "t", "i", lambda: model.EchoBackend(sizes), most_chars=20, fan=3).collect()}
+    assert set(got) == {"g", "h", "n"} and got["g"] == "+" * (30 + 39 * 4) and got["h"] == "x"

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def test_forest(spark):
         while p in parent and level < 300 and k < 300:
             want.add((str(k), str(p), level))
             p, level = parent[p], level + 1
-    got = {tuple(r) for r in forest.ancestors(df, most_levels=64).where("id not in ('300', '301')").collect()}
+    got = {tuple(r) for r in forest.ancestors(df).where("id not in ('300', '301')").collect()}
     assert got == want
     tree = spark.createDataFrame([("r", None, True), ("a", "r", False), ("b", "r", True), ("ba", "b", True), ("q", None, False)], "id string, parent_id string, bad boolean")
     assert rows(forest.first_matching(tree, F.col("bad"))) == [("r", "ba", 3)]
@@ -226,3 +227,92 @@ def test_references_within_words(spark):
     refs = spark.createDataFrame([("accord",), ("CORDIO",), ("raft rev",), ("z",), ("raft review",), ("nowhere",), ("",), ("review",)], "ref string")
     got = sorted(tuple(r) for r in events.resolved(items, refs).collect())
     assert got == [("", "i1", 4), ("CORDIO", "i1", 4), ("accord", "i1", 4), ("raft rev", "i2", 4), ("raft review", "i2", 4), ("review", "i2", 3), ("z", "i3", 4)]
+
+
+def test_alignment_by_hand():
+    """Which end moves: too short, the end of the smaller difference grows; too long, that of the larger shrinks; the start goes first of equals."""
+    words = [(f"w{i}", 1_000 * i, 1_000 * i + 900) for i in range(40)]
+    text = lambda a, b: " ".join(w for w, _, _ in words[a:b])
+    # Too short: both ends fit as they are (their differences are 0), so the start grows, by a step of 1,500 ms.
+    assert transcripts.aligned(words, text(10, 30), 12_000, 19_000, rounds=1)[:2] == (10_500, 19_000)
+    # Too long: the differences are equal, so the start shrinks.
+    assert transcripts.aligned(words, f"{text(10, 14)} {text(26, 30)}", 10_000, 30_000, rounds=1, window=8)[:2] == (11_500, 30_000)
+    # The start is the target's, the end isn't: the end's difference is larger, so it shrinks.
+    short = transcripts.judged(text(10, 30), text(10, 20), 20)
+    assert abs(short["start_score"] - short["start_best"]) < abs(short["end_score"] - short["end_best"])
+    assert transcripts.aligned(words, text(10, 20), 10_000, 30_000, rounds=1, window=20)[:2] == (10_000, 28_500)
+    # The end is the target's, the start isn't: the start shrinks.
+    assert transcripts.aligned(words, text(20, 30), 10_000, 30_000, rounds=1, window=20)[:2] == (11_500, 30_000)
+    # Steps shrink: of three rounds the second takes two thirds of 1,500 ms.
+    assert transcripts.aligned(words, text(20, 30), 10_000, 30_000, rounds=3, window=20)[0] == 10_000 + 1_500 + 1_000 + 500
+    # Starts don't go below 0; what fits is left alone, in one round.
+    assert transcripts.aligned(words, text(0, 30), 500, 9_000, rounds=1)[0] == 0
+    assert transcripts.aligned(words, text(10, 20), 10_000, 20_000)[:2] == (10_000, 20_000) and transcripts.aligned(words, text(10, 20), 10_000, 20_000)[3] == 1
+
+
+def test_long_segments_keep_their_words_in_order():
+    words = next(transcripts.words_of([pd.DataFrame([(1, 0, "a " * 12_000, 0.0, 1.0), (1, 1, "b", 1.0, 2.0)], columns=["rec_id", "idx", "text", "start", "end"])]))
+    assert list(words.sort_values("idx").text)[-1] == "b" and words.idx.is_unique
+
+
+def test_circles_and_deep_chains(spark):
+    chain = spark.range(1_500).selectExpr("cast(id as string) as id", "if(id = 0, null, cast(id - 1 as string)) as parent_id")
+    assert forest.placed(chain).where("id = '1499'").select("root", "depth").first()[:] == ("0", 1_499)
+    circle = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a")], "id string, parent_id string")
+    got = {tuple(r) for r in forest.ancestors(circle).collect()}
+    assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("b", "a", 2), ("c", "a", 1), ("c", "b", 2), ("x", "a", 1), ("x", "b", 2), ("x", "c", 3)}
+
+
+def test_ranks_without_one_task(spark):
+    df = spark.sql("SELECT id % 700 AS k, IF(id % 9 = 0, NULL, timestamp_seconds(id % 700 % 50)) AS at FROM range(1500)").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k, CAST(NULL AS TIMESTAMP) AS at"))
+    got = [tuple(r) for r in records.by_time_text(df, "k", "at").collect()]
+    keys = sorted({(t, -1 if k is None else k) for k, t, _ in got})
+    assert len(got) == 1501 and all(p == keys.index((t, -1 if k is None else k)) + 1 for k, t, p in got)
+    assert records.by_time_text(df.limit(0), "k", "at").count() == 0
+
+
+def test_thresholds_per_group(spark):
+    at = lambda s: f"timestamp_seconds({s})"
+    found = spark.sql(f"SELECT {at(0)} AS start, 'a' AS label, 0.5D AS score UNION ALL SELECT {at(70)}, 'b', 0.5D UNION ALL SELECT {at(130)}, 'c', 0.9D")
+    groups = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "label string, group_name string")
+    limits = spark.createDataFrame([("x", 0.4), ("y", 0.6)], "group_name string, threshold double")
+    assert [r.window_start for r in detections.coarse_to_fine(found, groups, 60, 10, limits).collect()] == [0]
+    assert sorted(r.window_start for r in detections.coarse_to_fine(found, groups, 60, 10, 0.5).collect()) == [0, 70, 130]
+
+
+def test_broken_off_replacements(spark, tmp_path):
+    root, fs = str(tmp_path), files.Files(spark)
+    files.write_document(spark, f"{root}/x.json", {"b": 1, "a": [None, "ü"]}, sort_keys=True)
+    assert (tmp_path / "x.json").read_text() == '{\n  "a": [\n    null,\n    "ü"\n  ],\n  "b": 1\n}\n'
+    fs.move(f"{root}/x.json", f"{root}/.old-x.json")  # the old one had stepped aside, then the process ended
+    assert fs.exists(fs.settled(f"{root}/x.json"))
+    files.write_yaml(spark, f"{root}/x.yaml", {"k": [1, {"n": None}], "t": "a: b"})
+    assert '"k": [1, {"n": null}]' in files.read_yaml(spark, f"{root}/x.yaml").first().value
+    with pytest.raises(Exception):
+        fs.delete(root, recursive=False)
+
+
+def test_stores_keep_batches(spark, tmp_path):
+    root = str(tmp_path)
+    rows = lambda *r: spark.createDataFrame(r, "k string, v long")
+    store = stores.Appended(spark, f"{root}/a", "k string, v long")
+    assert store.read().count() == 0
+    for i in range(3):
+        store.append(rows(("a", i), ("b", i)))
+    (tmp_path / "a" / "batch=9").mkdir()  # not complete
+    assert {tuple(r) for r in store.read().collect()} == {(k, i, i) for k in "ab" for i in range(3)}
+    store.compact(lambda d: d.where("v > 0"))
+    store.append(rows(("c", 7)))
+    assert {tuple(r) for r in store.read().collect()} == {(k, i, i) for k in "ab" for i in (1, 2)} | {("c", 7, 3)}
+    items = stores.ItemStore(spark, f"{root}/i", "k", "k string, v long", "v")
+    items.put(rows(("a", 1), ("b", 5)))
+    items.put(rows(("a", 2), ("b", 4)))
+    assert {tuple(r) for r in items.get().collect()} == {("a", 2), ("b", 5)} and items.get("a").count() == 1
+    turns = stores.TurnStore(spark, f"{root}/t")
+    for turn in ("t2", "t1", "t2"):
+        turns.save(turn, ideas=rows(("i", 1)), criteria=rows(("c", 2)), decisions=rows((turn, 3)))
+    assert turns.turns() == ["t1", "t2"] and turns.load("t2")["decisions"].first().k == "t2"
+    log = stores.EventLog(spark, f"{root}/log")
+    for day in (1, 1, 2):
+        log.append(spark.sql(f"SELECT {day} AS id, timestamp'2031-01-0{day} 10:00:00' AS ts"))
+    assert log.rotate() == ["2031-01-01"] and log.read().count() == 3 and log.drop("2031-01-02") == ["2031-01-01"] and stores.EventLog(spark, f"{root}/log").read().count() == 1
