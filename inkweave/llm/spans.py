@@ -200,8 +200,8 @@ class SpanIndex:
     def _reached(self, classes: DataFrame) -> DataFrame:
         """For surroundings that only one document has, the windows that occur elsewhere: ``fp, around, start, stop``."""
         length = self.length
-        groups = classes.groupBy("fp").agg(F.count("*").alias("n"), F.max(~F.col("many")).alias("open")).where("open and n > 1")
-        texts = classes.join(groups, "fp").select("fp", "around", "many", "n", "doc", "before", "windows", "piece")
+        groups = cut(classes.groupBy("fp").agg(F.count("*").alias("n"), F.max(~F.col("many")).alias("open")).where("open and n > 1"))
+        texts = self._having(classes, "fp", groups).join(groups, "fp").select("fp", "around", "many", "n", "doc", "before", "windows", "piece")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[tuple]:
