@@ -48,6 +48,45 @@ class HttpBackend:
             return json.load(answer)["choices"][0]["message"]["content"]
 
 
+class TimedBackend:
+    """A backend whose calls are given up after some seconds, whether they end or not; the row gets ``timeout``."""
+
+    def __init__(self, backend: Backend, seconds: float) -> None:
+        self.backend, self.seconds = backend, seconds
+
+    def generate(self, prompt: str) -> str:
+        from queue import Empty, SimpleQueue
+        from threading import Thread
+
+        done: SimpleQueue = SimpleQueue()
+
+        def call() -> None:
+            try:
+                done.put((self.backend.generate(prompt), None))
+            except Exception as e:  # noqa: BLE001
+                done.put((None, e))
+
+        Thread(target=call, daemon=True).start()  # nobody waits for it
+        try:
+            answer, error = done.get(timeout=self.seconds)
+        except Empty:
+            raise TimeoutError from None
+        if error is not None:
+            raise error
+        return answer
+
+
+def first_serving(*backends: Backend, seconds: float = 5.0) -> Backend | None:
+    """The first backend that answers a short prompt in time, None if none does."""
+    for backend in backends:
+        try:
+            TimedBackend(backend, seconds).generate("ping")
+        except Exception:  # noqa: BLE001
+            continue
+        return backend
+    return None
+
+
 def parse(raw: str | None, expected: tuple[str, ...] = ()) -> dict:
     """An answer's JSON object without thinking and text around it, with null for expected keys it lacks;
     ``{"error": "invalid_json", "raw": ...}`` if there is none."""
@@ -148,6 +187,41 @@ def rewritten(df: DataFrame, text: str, task: str, key: str, make_backend: Calla
     return ask(df, _prompted(f"{task} Return JSON {{{json.dumps(key)}: ...}}.\nText: {{t}}", t=F.col(text)), (key,), make_backend, raw_fallback=key, **options)
 
 
+def listed(df: DataFrame, text: str, task: str, key: str, make_backend: Callable[[], Backend], most: int = 5, **options) -> DataFrame:
+    """The values that a model lists for a text, one a row: the other columns, ``place`` from 1 and ``value``; at most ``most``, as the task asks."""
+    prompt = _prompted(f"{task} Return JSON {{{json.dumps(key)}: [...]}} with at most {most} values.\nText: {{t}}", t=F.col(text))
+    found = ask(df, prompt, (key,), make_backend, **options)
+    values = F.slice(F.coalesce(F.from_json(F.col(f"answer.{key}"), "array<string>"), F.array().cast("array<string>")), 1, most)
+    rows = found.select(*df.columns, F.posexplode(values).alias("__at", "value"))
+    return rows.select(*df.columns, (F.col("__at") + 1).alias("place"), "value").where("value is not null")
+
+
+def compared(df: DataFrame, a: str, b: str, context: str, kind: str, make_backend: Callable[[], Backend], **options) -> DataFrame:
+    """Whether two names of candidates from a join are one thing of a kind, and whether one is broader: ``answer.is_same``, ``answer.is_broad``."""
+    task = f"Do both names mean the same {kind}, and is one of them broader? Return JSON {{\"is_same\": true or false, \"is_broad\": true or false}}.\nNames: {{a}} | {{b}}\nContext: {{c}}"
+    return ask(df, _prompted(task, a=F.col(a), b=F.col(b), c=F.coalesce(F.col(context), F.lit(""))), ("is_same", "is_broad"), make_backend, **options)
+
+
+def metadata(df: DataFrame, text: str, task: str, make_backend: Callable[[], Backend], **options) -> DataFrame:
+    """Whatever JSON object a model gives for a task, as the variant ``answer``; ``{"error": "invalid_json", "raw": ...}`` if it is none."""
+    prompt = _prompted(f"{task} Return a JSON object.\nText: {{t}}", t=F.col(text))
+    kind = T.StructType([*df.schema.fields, T.StructField("answer", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        backend = make_backend()
+        for batch in batches:
+            found = []
+            for p in batch.pop("__prompt"):
+                try:
+                    found.append(None if p is None or p != p else json.dumps(parse(backend.generate(p))))
+                except Exception as e:  # noqa: BLE001
+                    found.append(json.dumps({"error": "timeout" if isinstance(e, TimeoutError) else f"{type(e).__name__}: {e}"}))
+            batch["answer"] = found
+            yield batch
+
+    return df.withColumn("__prompt", prompt).mapInPandas(run, kind).withColumn("answer", F.try_parse_json("answer"))
+
+
 def summarized_groups(df: DataFrame, by: list[str], text: str, order: str, make_backend: Callable[[], Backend], most_chars: int = 20_000, fan: int = 8, **options) -> DataFrame:
     """A summary of each group's texts: the group, its ``context`` (what the last call read) and ``answer``.
 

@@ -62,11 +62,17 @@ def parsed_answer(raw: Column | str) -> Column:
     return F.coalesce(F.try_parse_json(braced(cleaned)), failed)
 
 
-def answer_key(answer: Column, key: str, kind: str = "string") -> Column:
-    """One key of a parsed answer if it has exactly that type, else null (a boolean is no number)."""
+def answer_key(answer: Column, key: str, kind: str = "string", exact: bool = True) -> Column:
+    """One key of a parsed answer if it has exactly that type, else null (a boolean is no number).
+
+    Unless ``exact`` it may be a value of a kind below: a boolean counts as the whole number 0 or 1.
+    """
     path, expected = f"$.{key}", {"string": "STRING", "bigint": "BIGINT", "double": "DOUBLE|DECIMAL.*|FLOAT", "boolean": "BOOLEAN"}[kind]
     value = F.try_variant_get(answer, path, "variant")
-    return F.when(F.schema_of_variant(value).rlike(f"^({expected})"), F.try_variant_get(answer, path, kind))
+    found = F.when(F.schema_of_variant(value).rlike(f"^({expected})"), F.try_variant_get(answer, path, kind))
+    if exact or kind != "bigint":
+        return found
+    return F.coalesce(found, F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(answer, path, "boolean").cast("bigint")))
 
 
 def title(text: Column | str) -> Column:

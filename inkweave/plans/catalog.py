@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.plans import event_queries, idea_queries, problems, record_queries, text_queries
+from inkweave.plans import event_queries, idea_queries, more_queries, problems, record_queries, store_queries, text_queries
 
-_ALL = idea_queries.QUERIES | event_queries.QUERIES | text_queries.QUERIES | record_queries.QUERIES
+_ALL = idea_queries.QUERIES | event_queries.QUERIES | text_queries.QUERIES | record_queries.QUERIES | store_queries.QUERIES | more_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

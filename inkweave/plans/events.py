@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,3 +72,51 @@ def resolved(items: DataFrame, references: DataFrame) -> DataFrame:
     by_any = left.where("r = ''").select("ref").crossJoin(items.where("label is not null").agg(F.min("id").alias("id"))).where("id is not null").withColumn("rule", F.lit(4))
     found = told.unionByName(by_part).unionByName(by_any)
     return found.groupBy("ref").agg(F.min(F.struct("rule", "id")).alias("best")).select("ref", "best.id", "best.rule")
+
+
+def choices(items: DataFrame, query: str, key: str, texts: list[str], previous: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """The first ``limit`` items by key whose texts contain a query in any case, as ``key, place, outcome``.
+
+    With ``previous`` results (a frame with the key) that aren't empty only these are searched. ``outcome``
+    tells a choice from a question: ``one`` if a single item was found, else ``many``; nothing found gives no row.
+    """
+    found = items.where(F.lower(F.concat_ws(" ", *texts)).contains(query.lower())).select(key).where(F.col(key).isNotNull()).distinct()
+    if previous is not None:
+        some = previous.select(F.lit(True).alias("__some")).limit(1)
+        inside = previous.select(key).distinct().withColumn("__in", F.lit(True))
+        found = found.join(F.broadcast(some), how="left").join(inside, key, "left").where("__some is null or __in").select(key)
+    top = found.orderBy(key).limit(limit)
+    w = Window.orderBy(key)  # of at most ``limit`` rows
+    return top.select(key, F.row_number().over(w).alias("place"), F.when(F.count("*").over(Window.partitionBy()) == 1, "one").otherwise("many").alias("outcome"))
+
+
+#: The words that name a place in the last list, in the order in which they are tried, and the place (-1: the last).
+ORDINALS = (("first", 1), ("1st", 1), ("second", 2), ("2nd", 2), ("third", 3), ("3rd", 3), ("last", -1))
+
+
+def session_references(items: DataFrame, references: DataFrame, key: str = "ref_id", short: int = 6) -> DataFrame:
+    """What each reference of a chat session means: ``key, id, rule``.
+
+    ``references`` has ``key, ref, last_item, listed`` (the ids shown last, in order), ``items`` has ``id, label``.
+    In this order: ``last`` an empty reference is the session's last item; ``ordinal`` a word for a place in
+    the list; ``short id`` the first of the list whose first characters are in the reference; ``label`` the
+    whole label; ``part`` a label that contains it; ``candidate`` the id itself (the least id of equals). A
+    reference that means nothing has null. Rules on the list look at one row; the others are :func:`resolved`.
+    """
+    text = F.lower(F.trim("ref"))
+    blank = F.coalesce(F.col("ref"), F.lit("")) == ""
+    size = F.coalesce(F.size("listed"), F.lit(0))
+    ordinal = F.lit(None).cast("string")
+    for word, place in reversed(ORDINALS):
+        ordinal = F.when(text.contains(word) & (size >= abs(place)), F.try_element_at("listed", F.lit(place))).otherwise(ordinal)
+    by_short = F.try_element_at(F.filter("listed", lambda i: text.contains(F.lower(F.left(i, F.lit(short))))), F.lit(1))
+    told = references.withColumn("__told", F.when(blank, F.struct(F.col("last_item").alias("id"), F.lit("last").alias("rule")))
+        .when(ordinal.isNotNull(), F.struct(ordinal.alias("id"), F.lit("ordinal").alias("rule")))
+        .when(by_short.isNotNull(), F.struct(by_short.alias("id"), F.lit("short id").alias("rule"))))
+    left = told.where("__told is null").select(key, "ref")
+    # A label goes before an id here, and a tail of a label is a part of it.
+    known = resolved(items.withColumn("id", F.concat(F.lit("\0"), "id")), left.select(text.alias("ref"))).select(F.col("ref").alias("__r"), F.expr("substring(id, 2)").alias("__id"), F.when(F.col("rule") == 2, "label").otherwise("part").alias("__rule"))
+    ids = items.select(F.lower("id").alias("__r"), F.col("id").alias("__same")).groupBy("__r").agg(F.min("__same").alias("__same"))
+    searched = left.withColumn("__r", text).join(known, "__r", "left").join(ids, "__r", "left")
+    found = searched.select(key, F.coalesce("__id", "__same").alias("id"), F.when(F.col("__id").isNotNull(), F.col("__rule")).when(F.col("__same").isNotNull(), "candidate").otherwise("none").alias("rule"))
+    return told.where("__told is not null").select(key, "__told.id", "__told.rule").unionByName(found)

@@ -51,3 +51,30 @@ def edit_kind(kind: Column, message: Column | str) -> Column:
     asks = text.rlike("replace|rewrite|shorten|fix|edit")
     of_object = F.when(text.rlike("remove|delete"), "remove_key").when(text.contains("rename"), "rename_key").when(asks, "edit_value")
     return F.when((kind == "string") & asks, "replace").when((kind == "boolean") & text.contains("toggle"), "toggle").when(kind == "object", of_object)
+
+
+def local_edit(fields: Column, kinds: dict[str, str], message: Column | str) -> Column:
+    """An edit said in words, on a map of a record's fields: a struct of ``field, kind, value, error`` and the map after it.
+
+    ``kinds`` has the editable fields with their JSON types. The steps, of which the first that fails
+    gives the ``error`` and leaves the record as it was: the field that the message names first (``no field``,
+    ``missing field``); what is done to it (:func:`edit_kind`; ``no transformation``); the value after the
+    colon (``no value``; removals and toggles need none).
+    """
+    text = F.lower(message)
+    place = lambda name: F.instr(text, name.lower())
+    named = F.array_sort(F.filter(F.array(*(F.struct(place(n).alias("at"), F.lit(n).alias("name"), F.lit(k).alias("kind")) for n, k in sorted(kinds.items()))), lambda f: f["at"] > 0))
+    field = F.try_element_at(named, F.lit(1))
+    name, kind = field["name"], field["kind"]
+    action, said = edit_kind(kind, message), after_colon(message)
+    value = F.when(action == "toggle", F.when(F.lower(fields[name]) == "true", "false").otherwise("true")).when(action.isin("replace", "edit_value", "rename_key"), F.when(said != "", said))
+    error = (
+        F.when(name.isNull(), "no field").when(~F.map_contains_key(fields, F.coalesce(name, F.lit(""))), "missing field").when(action.isNull(), "no transformation")
+        .when((action != "remove_key") & value.isNull(), "no value")
+    )
+    others = F.map_filter(fields, lambda k, _: k != name)
+    after = (
+        F.when(error.isNotNull(), fields).when(action == "remove_key", others).when(action == "rename_key", F.map_concat(F.map_filter(others, lambda k, _: k != value), F.map_from_arrays(F.array(value), F.array(fields[name]))))
+        .otherwise(F.map_concat(others, F.map_from_arrays(F.array(name), F.array(value))))
+    )
+    return F.struct(name.alias("field"), action.alias("kind"), value.alias("value"), error.alias("error"), after.alias("fields"))

@@ -196,13 +196,22 @@ class EventLog:
 
     def rotate(self, size: int = 50 << 20) -> list[str]:
         """Compact the days of several files whose files are small on average; gives the days."""
-        days = []
+        parts: dict[str, int] = {}
         for name, _, _ in self.files.listed(self.path):
             files = [n for f, n, _ in self.files.listed(f"{self.path}/{name}")] if name.startswith("day=") else []
             if len(files) > 1 and sum(files) < size * len(files):
-                self.compact(name[4:], size)
-                days.append(name[4:])
-        return days
+                parts[name[4:]] = max(1, -(-sum(files) // size))
+        if parts:
+            fresh = f"{self.path}/.rotated"
+            day = F.regexp_extract(F.col("_metadata.file_path"), r"/day=([^/]*)/[^/]*$", 1)
+            rows = self.spark.read.parquet(*(f"{self.path}/day={d}" for d in parts)).withColumn("day", F.url_decode(day))
+            # All days in one job; a day of many files' size goes to as many tasks.
+            several = F.coalesce(F.create_map(*(F.lit(x) for item in parts.items() for x in item))[F.col("day")], F.lit(1))
+            rows.repartition("day", F.floor(F.rand(7) * several)).write.mode("overwrite").partitionBy("day").parquet(fresh)
+            for d in parts:
+                self.files.replace(f"{fresh}/day={d}", f"{self.path}/day={d}")
+            self.files.delete(fresh)
+        return [*parts]
 
     def drop(self, before: Column | str) -> list[str]:
         """Delete the folders of days before one (``YYYY-MM-DD``); gives the days."""
