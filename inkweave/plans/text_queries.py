@@ -80,9 +80,13 @@ def map_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deep_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step outputs with edits merged into them; rows only, DuckDB's merge drops nulls."""
+    """Step outputs with edits merged into them, which has nulls and objects in objects: each step's members after it."""
     rows = table(spark, sf_dir, "workflow_items").where("step_outputs is not null").select("id", "step_outputs").distinct()
-    return rows.select("id", deep_merge("step_outputs", F.lit('{"edited": {"by": "desk", "note": null}}')).alias("merged"))
+    edits = '{"edited": {"by": "desk", "note": null}, "align_words": {"raw": {"by": "desk"}, "edits": ["e"], "schema_name": null}}'
+    merged = rows.select("id", F.try_parse_json(deep_merge("step_outputs", F.lit(edits))).alias("m")).where("m is not null")
+    steps = merged.select("id", F.explode(F.try_variant_get("m", "$", "map<string,variant>")).alias("step", "v"))
+    get = lambda path: F.try_variant_get("v", path, "string")
+    return steps.select("id", "step", get("$.by").alias("by"), get("$.raw.by").alias("raw_by"), get("$.raw.text").alias("raw_text"), get("$.edits[0]").alias("first_edit"), get("$.schema_name").alias("schema_name"), get("$.current.title").alias("title"))
 
 
 def fuzzy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +162,7 @@ def block_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOKENS = r"regexp_split_to_array(trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B-]', ' ', 'g'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+', ' ', 'g')), ' ')"
+_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 QUERIES = {
@@ -194,13 +199,26 @@ SELECT CASE WHEN length(f) <= 400 THEN 'full' WHEN length(s) <= 400 THEN 'small'
     "map_edits": (map_edits, """
 SELECT DISTINCT id, json_extract_string(metadata, '$.origin') AS origin, json_extract_string(metadata, '$.topic') AS subject, NULL::VARCHAR AS turn,
   (json_exists(metadata, '$.origin')::int + json_exists(metadata, '$.topic')::int)::BIGINT AS n FROM base_ideas WHERE id IS NOT NULL AND json_valid(metadata)"""),
-    "deep_merge": (deep_merges, None),
+    "deep_merge": (deep_merges, """
+WITH d AS (SELECT DISTINCT id, step_outputs AS j FROM workflow_items WHERE step_outputs IS NOT NULL), v AS (SELECT id, CASE WHEN json_valid(j) THEN j ELSE '{}' END AS j FROM d),
+k AS (SELECT DISTINCT id, j, unnest(list_concat(json_keys(j), ['edited', 'align_words'])) AS step FROM v), s AS (SELECT id, step, json_extract(j, '$."' || step || '"') AS o FROM k)
+SELECT id, step, CASE step WHEN 'edited' THEN 'desk' ELSE json_extract_string(o, '$.by') END AS by, CASE step WHEN 'align_words' THEN 'desk' ELSE json_extract_string(o, '$.raw.by') END AS raw_by, json_extract_string(o, '$.raw.text') AS raw_text,
+  CASE step WHEN 'align_words' THEN 'e' ELSE json_extract_string(o, '$.edits[0]') END AS first_edit, CASE WHEN step <> 'align_words' THEN json_extract_string(o, '$.schema_name') END AS schema_name, json_extract_string(o, '$.current.title') AS title FROM s"""),
     "fuzzy_ratio": (fuzzy_versions, None),
-    "monotone_clamp": (clamped_recordings, None),
+    "monotone_clamp": (clamped_recordings, r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents WHERE doc_kind = 'transcript' AND text IS NOT NULL),
+p AS (SELECT doc_id, idx, regexp_extract(line, '^\[(\d\d):(\d\d):(\d\d)\] ([^:]+): (.*)$', ['h', 'm', 's', 'who', 'said']) AS t FROM l WHERE regexp_matches(line, '^\[\d\d:\d\d:\d\d\] [^:]+: .*$')),
+s AS (SELECT doc_id, idx, (t.h::INT * 3600 + t.m::INT * 60 + t.s::INT)::DOUBLE AS s, t.said AS said FROM p),
+r AS (SELECT doc_id, count(*) AS segments, list_reduce(list_prepend({'s': -1e9::DOUBLE, 'e': -1e9::DOUBLE}, list({'s': s, 'e': s + len(string_split(said, ' ')) * 0.4::DOUBLE} ORDER BY idx)),
+  lambda a, x: CASE WHEN x.s < a.e THEN {'s': a.e + 0.01::DOUBLE, 'e': CASE WHEN x.e < a.e + 0.01::DOUBLE THEN a.e + 0.02::DOUBLE ELSE x.e END} ELSE {'s': x.s, 'e': CASE WHEN x.e < x.s THEN x.s + 0.01::DOUBLE ELSE x.e END} END) AS last FROM s GROUP BY doc_id)
+SELECT doc_id AS rec_id, segments, round(last.e, 3) AS last_end FROM r"""),
     "span_search": (span_search, None),
     "tiered_match": (tiered_match, None),
     "clip_alignment": (clip_alignment, None),
-    "model_labels": (model_labels, None),
-    "wrapped_lines": (wrapped_lines, None),
+    "model_labels": (model_labels, """SELECT DISTINCT doc_kind, lang, CASE WHEN doc_kind IS NULL THEN NULL WHEN length('Choose one label of ["short", "long"]. Return JSON {"label": ...}.' || chr(10) || 'Text: ' || doc_kind) < 100 THEN 'short' ELSE 'long' END AS label FROM documents"""),
+    "wrapped_lines": (wrapped_lines, rf"""
+WITH w AS (SELECT item_id, regexp_split_to_array(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_SPACE}+') AS ws FROM eval_items WHERE trim(text) <> ''),
+r AS (SELECT item_id, list_reduce(ws, lambda a, x: CASE WHEN length(regexp_extract(a, '[^\n]*$')) + 1 + length(x) <= 40 THEN a || ' ' || x ELSE a || chr(10) || x END) AS wrapped FROM w)
+SELECT item_id, len(string_split(wrapped, chr(10))) AS lines, wrapped FROM r"""),
     "block_layout": (block_layout, "SELECT l_orderkey, l_linenumber, sum(l_quantity + 2) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - (l_quantity + 2) AS top, sum(l_quantity + 2) OVER (PARTITION BY l_orderkey) AS total_height FROM lineitem"),
 }
