@@ -173,6 +173,17 @@ def compared(schemas: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where("owner = '' or (n_held is not null and o_held is not null)")
 
 
+def _with_file(lines: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines with the row of their file: broadcast if all files' rows are small, else joined with each file cut into parts, so that one may have most lines."""
+    files = cut(files)
+    others = [c for c in files.columns if c not in keys]
+    size = files.agg(F.sum(F.length(F.to_json(F.struct(*others))) + F.length(keys[0]) + 16)).first()[0] or 0
+    if size <= BROADCAST:
+        return lines.join(F.broadcast(files), keys)
+    files = files.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return lines.withColumn("part", F.pmod(F.xxhash64("body"), F.lit(PARTS)).cast("int")).join(files, [*keys, "part"]).drop("part")
+
+
 def _evidence(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """How many of the records of both files agree on a gone and a new field: ``feed, file_no, owner, gone, new, agree, records``.
 
@@ -182,8 +193,7 @@ def _evidence(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     asked = wanted.groupBy("feed", "file_no", "was_no", "owner", "parent", "is_new").agg(F.collect_set("name").alias("names"))
     asked = asked.select("feed", F.when(F.col("is_new"), F.col("file_no")).otherwise(F.col("was_no")).alias("at"), F.struct("file_no", "owner", "parent", "is_new", "names").alias("w"))
-    asked = cut(asked.groupBy("feed", "at").agg(F.collect_list("w").alias("wants")))
-    size = asked.agg(F.sum(F.length(F.to_json("wants")) + F.length("feed") + 16)).first()[0] or 0
+    asked = asked.groupBy("feed", "at").agg(F.collect_list("w").alias("wants"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,12 +212,7 @@ def _evidence(lines: DataFrame, wanted: DataFrame) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["feed", "file_no", "owner", "is_new", "rec", "names", "hashes"])
 
-    rows = lines.withColumnRenamed("file_no", "at")
-    if size <= BROADCAST:
-        rows = rows.join(F.broadcast(asked), ["feed", "at"])
-    else:
-        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("body"), F.lit(PARTS)).cast("int")).join(asked, ["feed", "at", "part"])
+    rows = _with_file(lines.withColumnRenamed("file_no", "at"), asked, ["feed", "at"])
     values = rows.select("feed", "body", "wants").mapInArrow(run, "feed string, file_no long, owner string, is_new boolean, rec string, names array<string>, hashes array<string>")
     # One row for each record of both files; of repeated records that differ the greatest counts.
     pair = F.struct("hashes", "names")
@@ -370,7 +375,8 @@ def consistent_table(df: DataFrame, feed: str = "feed", file_no: str = "file_no"
                 arrow = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow)], ["kind", "feed", "file_no", "rec_id", "fields"])
 
-    joined = lines.distinct().join(lineage(lines, parents), ["feed", "file_no"]).select("feed", "file_no", "body", "names", "parents")
+    joined = _with_file(lines, lineage(lines, parents), ["feed", "file_no"]).select("feed", "file_no", "body", "names", "parents")
     rows = joined.mapInArrow(run, "kind string, feed string, file_no long, rec_id string, fields map<string,string>")
     once = ["kind", "feed", "file_no", "rec_id"]
-    return rows.withColumn("entries", F.array_sort(F.map_entries("fields"))).groupBy(*once, "entries").agg(F.count("*").alias("lines")).select(*once, F.map_from_entries("entries").alias("fields"))
+    same = F.md5(F.to_json(F.array_sort(F.map_entries("fields"))).cast("binary")).alias("__sum")
+    return rows.groupBy(*once, same).agg(F.first("fields").alias("fields")).select(*once, "fields")

@@ -19,6 +19,7 @@ from inkweave.plans.event_queries import ITEMS_SQL, _detections, _groups, _items
 from inkweave.plans.events import choices, session_references
 from inkweave.plans.intents import local_edit
 from inkweave.session import table
+from inkweave.sources.audio import chunked, decoded_rows, wav_bytes
 
 
 def references_in_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +85,14 @@ def clips_of_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir).select("vec_id", clip_name("clip", start, start + 1_500).alias("file"), F.size(part).cast("long").alias("n"), _sum(part).alias("total"))
 
 
+def wav_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as WAV files of sixteen samples a second, decoded again and cut into chunks of a second."""
+    rows = _samples(spark, sf_dir).select(F.col("vec_id").cast("string").alias("path"), F.lit(16).alias("rate"), "samples")
+    coded = wav_bytes(rows, "samples", "rate").select("path", "content")
+    back = decoded_rows(coded)
+    return chunked(back, 1).select(F.col("path").cast("long").alias("vec_id"), F.col("chunk").cast("long").alias("chunk"), F.size("samples").cast("long").alias("n"), (F.round(F.aggregate(F.col("samples").cast("array<double>"), F.lit(0.0), lambda a, b: a + b), 2) + 0.0).alias("total"))
+
+
 def typed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of answers as whole numbers, exactly and with booleans as numbers."""
     raw = F.concat(F.lit('<think>{}</think>so: {"flag": '), F.coalesce(F.col("approved").cast("string"), F.lit("null")), F.lit(', "n": '), F.char_length("id").cast("string"), F.lit(', "s": "7"}'))
@@ -255,6 +264,9 @@ SELECT vec_id, s / 16.0::DOUBLE AS start, (s + 16) / 16.0::DOUBLE AS "end", roun
     "clip_samples": (clips_of_samples, """
 WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS e, 100 + label * 130 AS a FROM embeddings), p AS (SELECT *, floor(a * 16 / 1000.0)::INT AS x, floor((a + 1500) * 16 / 1000.0)::INT AS y FROM c)
 SELECT vec_id, 'clip_' || a || '_' || (a + 1500) || '.wav' AS file, len(e[x + 1 : y])::BIGINT AS n, round(coalesce(list_sum(e[x + 1 : y]), 0), 6) AS total FROM p"""),
+    "wav_clips": (wav_clips, """
+WITH s AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x * 32767) / 32768.0::DOUBLE) AS e, unnest(range(0, (len(embedding) + 15) // 16)) AS chunk FROM embeddings)
+SELECT vec_id, chunk, len(e[chunk * 16 + 1 : chunk * 16 + 16])::BIGINT AS n, round(list_sum(e[chunk * 16 + 1 : chunk * 16 + 16]), 2) + 0.0 AS total FROM s"""),
     "typed_answers": (typed_answers, "SELECT DISTINCT id, approved, NULL::BIGINT AS flag_exact, approved::INT::BIGINT AS flag_any, length(id)::BIGINT AS n_exact, length(id)::BIGINT AS n_any, NULL::BIGINT AS s_exact, NULL::BIGINT AS s_any FROM base_ideas WHERE id IS NOT NULL"),
     "steps_before": (steps_before, "WITH r AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS r FROM nation) SELECT n_regionkey AS region, coalesce(string_agg(n_name, '|' ORDER BY n_name) FILTER (r < 3), '') AS steps FROM r GROUP BY 1"),
     "rows_not_in": (orders_not_in, "SELECT o_custkey, o_orderpriority FROM orders f WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderstatus = 'O' AND o.o_custkey IS NOT DISTINCT FROM f.o_custkey AND o.o_orderpriority IS NOT DISTINCT FROM f.o_orderpriority)"),

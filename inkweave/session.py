@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,7 @@ def local_session(cpus: int | str = 8, shuffle: int = 8, app: str = "inkweave")
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     spark = SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,7 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="inkweave-"))
+            folder = tempfile.mkdtemp(prefix="inkweave-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            sc.setCheckpointDir(folder)
         where = sc.getCheckpointDir()
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)

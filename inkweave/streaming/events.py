@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from inkweave.session import scratch
+from inkweave.session import cut, remove, scratch
 
 
 def event_stream(spark: SparkSession, path: str, at: str = "ts") -> DataFrame:
@@ -59,7 +59,7 @@ def state_changes(events: DataFrame, key: str, state: str, at: str = "ts") -> Da
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is now, into a table in the shared folder, and reads that.
+    """Runs a stream over what there is now, into a table in the shared folder, and gives what is in it.
 
     ``complete`` results are written anew by every batch, ``append`` ones added.
     """
@@ -70,4 +70,7 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     else:
         query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
     query.option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    found = cut(spark.read.schema(stream.schema).parquet(path))
+    for folder in (path, marks):
+        remove(spark, folder)
+    return found
