@@ -21,6 +21,8 @@ SLOTS = 1 << 20
 BLOCK = 4_096
 #: Records of so many distinct words or more are blocked by single words.
 LONG = 256
+#: Records of one class of equal sets, or part of one, that a task joins with others.
+MANY = 1_000
 #: Rows that are compared at once.
 BATCH = 1 << 15
 #: Added to the size of a record in a block in which it doesn't lead.
@@ -281,12 +283,26 @@ class NearDuplicates:
         return self.members.join(degree, "rep", "left").select("rec", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
     def pairs(self) -> DataFrame:
-        """Every pair of records, ``rec_a < rec_b``: of linked classes and of one class."""
+        """Every pair of records, ``rec_a < rec_b``: of linked classes and of one class.
+
+        There are as many as pairs: where a class may hold most records, :meth:`classes` says the same in one
+        row a record. A class of more than :data:`MANY` records is cut into parts, so that its pairs are made in many tasks.
+        """
         members = self.members
-        x = members.select(F.col("rec").alias("x"), F.col("rep").alias("a"))
-        y = members.select(F.col("rec").alias("y"), F.col("rep").alias("b"))
-        across = self.links.join(x, "a").join(y, "b").select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b"))
-        same = x.join(y.withColumnRenamed("b", "a"), "a").where("x < y").select(F.col("x").alias("rec_a"), F.col("y").alias("rec_b"))
+        large = cut(members.groupBy("rep").count().where(F.col("count") > MANY).select("rep", F.ceil(F.col("count") / MANY).cast("int").alias("parts")))
+        if large.isEmpty():
+            x = members.select(F.col("rec").alias("x"), F.col("rep").alias("a"), F.lit(0).alias("p"))
+            y = members.select(F.col("rec").alias("y"), F.col("rep").alias("b"), F.lit(0).alias("q"))
+            ends = self.links.select("a", "b", F.lit(0).alias("p"), F.lit(0).alias("q"))
+            twins = self.members.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("p"), F.lit(0).alias("q"))
+        else:
+            split = members.join(large, "rep", "left").select("rec", "rep", F.coalesce(F.pmod(F.xxhash64("rec"), "parts"), F.lit(0)).cast("int").alias("part"))
+            x, y = (split.select(F.col("rec").alias(r), F.col("rep").alias(c), F.col("part").alias(n)) for r, c, n in (("x", "a", "p"), ("y", "b", "q")))
+            parts = lambda df, c, n: df.join(large.select(F.col("rep").alias(c), F.col("parts").alias("__parts")), c, "left").withColumn(n, F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+            ends = parts(parts(self.links.select("a", "b"), "a", "p"), "b", "q")
+            twins = parts(parts(members.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")), "a", "p"), "b", "q")
+        across = ends.join(x, ["a", "p"]).join(y, ["b", "q"]).select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b"))
+        same = twins.join(x, ["a", "p"]).join(y, ["b", "q"]).where("x < y").select(F.col("x").alias("rec_a"), F.col("y").alias("rec_b"))
         return across.unionByName(same)
 
 

@@ -83,6 +83,14 @@ def test_against_brute_force(spark, monkeypatch):
             assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_large_classes_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MANY", 7)
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(f"a{i:02d}", text) for i in range(40)] + [(f"b{i}", text + " more") for i in range(9)] + [("c", text + " most")]
+    got = [tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "id string, text string"), "id", "text", "0.7", 24).pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 7, 10, 24)
+
+
 def test_nulls_repeats_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [("a", text), ("a", text), ("b", text.upper()), ("c", None), ("d", ""), (None, text), ("e", "w1 w2"), ("f", text + " more")]
