@@ -43,7 +43,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each turn the runs of deliveries in which it has one value, by the deliveries' ranks."""
     rows = hashed_rows(table(spark, sf_dir, "turn_snapshots"), "snapshot_no", "turn_id", TURN_VALUES, "loaded_at")
-    return validity_intervals(cut(rows)).select(F.col("key").alias("turn_id"), "first", "last", F.col("value").alias("value_hash"))
+    return validity_intervals(cut(rows)).select(F.col("key").alias("turn_id"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 
 
 def _nested(spark: SparkSession, sf_dir: str, content: bool) -> DataFrame:
