@@ -113,3 +113,42 @@ def tail_of(index: Column, most_chars: int, sizes: tuple[int, ...] = (50, 20, 10
     """The last rows of an array of texts, as many of the first size whose text is short enough, else of the least."""
     cuts = [F.slice(index, F.greatest(F.size(index) - n + 1, F.lit(1)), n) for n in sizes]
     return F.coalesce(*(F.when(F.char_length(F.array_join(c, "\n")) <= most_chars, c) for c in cuts), cuts[-1])
+
+
+def item_summaries(items: DataFrame, summary: Column | None = None) -> DataFrame:
+    """Items as nested records for a snapshot: ``id`` and ``record``, with type, description, status (with the time of export as ISO text) and a summary."""
+    exported = F.date_format("exported_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    status = F.struct(*(F.col(f"status.{n}").alias(n) for n in ("branch", "substate", "flags", "approved")), exported.alias("exported_at"))
+    whole = F.struct("id", F.col("item_type").alias("type"), "description", status.alias("status"), (F.lit(None).cast("string") if summary is None else summary).alias("summary"))
+    return items.select("id", whole.alias("record"))
+
+
+#: The parts of a trace that are set, of which the last counts, and those that are added to.
+SET_PARTS, ADDED_PARTS = ("prompt", "intent_llm", "intent_rule_based", "final_intent", "agent_response"), ("engine_calls", "errors")
+
+
+def collected_traces(events: DataFrame, key: str, order: str) -> DataFrame:
+    """One trace document for each case from its recorded events ``key, order, part, value``.
+
+    Parts that are set hold the last value recorded, null if there was none; ``engine_calls`` and
+    ``errors`` hold all of theirs, in order (a case has as many as one conversation). Other parts are ignored.
+    """
+    last = [F.max_by(F.when(F.col("part") == p, F.col("value")), F.when(F.col("part") == p, F.col(order))).alias(p) for p in SET_PARTS]
+    listed = [F.array_sort(F.collect_list(F.when(F.col("part") == p, F.struct(F.col(order).alias("o"), F.col("value").alias("value"))))).alias(p) for p in ADDED_PARTS]
+    found = events.groupBy(key).agg(*last, *listed)
+    return found.select(key, *SET_PARTS, *(F.col(f"{p}.value").alias(p) for p in ADDED_PARTS))
+
+
+def relevant_context(intents: DataFrame, uses: DataFrame, types: DataFrame, objects: DataFrame) -> DataFrame:
+    """The session's objects that each intent needs: ``id`` and ``context``, a map of the types' context keys to their objects.
+
+    ``intents`` has ``id, session, intent``; ``uses`` has ``intent, type``; ``types`` has ``type, context_key,
+    fields`` (an array of the fields shown, null or empty for all); ``objects`` has ``session, type, ord, object``
+    (a map). Intents without any object aren't in the result. A session's objects of a type are one conversation's.
+    """
+    wanted = uses.join(types, "type").distinct()
+    shown = F.map_filter("object", lambda k, _: F.coalesce(F.size("fields") <= 0, F.lit(True)) | F.array_contains("fields", k))
+    found = intents.join(wanted, "intent").join(objects, ["session", "type"]).select("id", F.coalesce("context_key", F.lower("type")).alias("context_key"), "ord", shown.alias("object"))
+    listed = found.groupBy("id", "context_key").agg(F.array_sort(F.collect_list(F.struct("ord", F.map_entries("object").alias("e")))).alias("rows"))
+    listed = listed.select("id", "context_key", F.transform("rows", lambda r: F.map_from_entries(r["e"])).alias("objects"))
+    return listed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("context_key", "objects"))).alias("context"))

@@ -14,11 +14,12 @@ from inkweave.functions.merging import upto
 from inkweave.functions.text import answer_key, parsed_answer, rendered
 from inkweave.operators.detections import clip_name, clip_samples, coarse_to_fine, sample_windows, strongest_frames
 from inkweave.operators.keyed import rows_not_in, shared_tokens
+from inkweave.operators.records import collected_traces, item_summaries, relevant_context
 from inkweave.operators.sequences import laid_out
 from inkweave.plans.event_queries import ITEMS_SQL, _detections, _groups, _items, _micros
 from inkweave.plans.events import choices, session_references
 from inkweave.plans.intents import local_edit
-from inkweave.session import table
+from inkweave.session import cut, table
 from inkweave.sources.audio import chunked, decoded_rows, wav_bytes
 
 
@@ -85,6 +86,42 @@ def clips_of_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir).select("vec_id", clip_name("clip", start, start + 1_500).alias("file"), F.size(part).cast("long").alias("n"), _sum(part).alias("total"))
 
 
+def item_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as nested records in JSON text: some of their members."""
+    rows = item_summaries(table(spark, sf_dir, "workflow_items"), F.col("label")).select("id", F.to_json("record", {"ignoreNullFields": "false"}).alias("j"))
+    get = lambda path: F.get_json_object("j", path)
+    return rows.select("id", get("$.type").alias("kind"), get("$.status.branch").alias("branch"), get("$.status.approved").alias("approved"), get("$.status.exported_at").alias("exported_at"), get("$.summary").alias("summary")).distinct()
+
+
+def trace_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces taken apart into events, some set twice, and collected again."""
+    rows = table(spark, sf_dir, "eval_traces").dropDuplicates(["trace_id"]).select("trace_id", "prompt", "final_intent", "errors", F.transform("engine_calls", lambda c: c["call"]).alias("calls"))
+    rows = cut(rows)
+    event = lambda part, n, value: F.struct(F.lit(part).alias("part"), n.cast("long").alias("n"), value.alias("value"))
+    none = F.array().cast("array<struct<part:string,n:bigint,value:string>>")
+    several = lambda part, name: F.coalesce(F.transform(name, lambda v, i: event(part, i + 10, v)), none)
+    fixed = F.array(event("prompt", F.lit(1), F.lit("draft")), event("prompt", F.lit(2), F.col("prompt")), event("final_intent", F.lit(3), F.col("final_intent")), event("unknown", F.lit(4), F.lit("x")))
+    events = rows.select("trace_id", F.explode(F.shuffle(F.concat(fixed, several("engine_calls", "calls"), several("errors", "errors")))).alias("e")).select("trace_id", "e.*")
+    done = collected_traces(events, "trace_id", "n")
+    joined = lambda name: F.array_join(name, "|", "-")
+    same = done.join(rows.withColumnsRenamed({c: f"was_{c}" for c in ("prompt", "final_intent", "errors", "calls")}), "trace_id")
+    equal = F.col("prompt").eqNullSafe(F.col("was_prompt")) & F.col("final_intent").eqNullSafe(F.col("was_final_intent")) & joined("errors").eqNullSafe(joined(F.coalesce("was_errors", F.array().cast("array<string>")))) & joined("engine_calls").eqNullSafe(joined(F.coalesce("was_calls", F.array().cast("array<string>"))))
+    return same.select("trace_id", equal.alias("same"), F.col("agent_response").isNull().alias("unanswered"))
+
+
+def intent_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as intents of their region's session: what of its regions and nations each needs."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    intents = nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("session"), F.concat(F.lit("i"), (F.col("n_nationkey") % 3).cast("string")).alias("intent"))
+    uses = spark.createDataFrame([("i0", "Region"), ("i0", "Nation"), ("i1", "Nation"), ("i2", "Nothing")], "intent string, type string")
+    types = spark.createDataFrame([("Region", "regions", ["name"]), ("Nation", None, []), ("Nothing", "x", None)], "type string, context_key string, fields array<string>")
+    made = lambda **c: F.map_from_arrays(F.array(*map(F.lit, c)), F.array(*c.values()))
+    objects = region.select(F.col("r_regionkey").alias("session"), F.lit("Region").alias("type"), F.lit(0).cast("long").alias("ord"), made(name=F.col("r_name"), key=F.col("r_regionkey").cast("string")).alias("object"))
+    objects = objects.unionByName(nation.select(F.col("n_regionkey").alias("session"), F.lit("Nation").alias("type"), F.col("n_nationkey").cast("long").alias("ord"), made(name=F.col("n_name"), key=F.col("n_nationkey").cast("string")).alias("object")))
+    rows = relevant_context(intents, uses, types, objects).select("id", F.explode("context").alias("context_key", "objects"))
+    return rows.select("id", "context_key", F.array_join(F.transform("objects", lambda o: o["name"]), "|").alias("names"), F.size(F.element_at("objects", 1)).cast("long").alias("fields"))
+
+
 def wav_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as WAV files of sixteen samples a second, decoded again and cut into chunks of a second."""
     rows = _samples(spark, sf_dir).select(F.col("vec_id").cast("string").alias("path"), F.lit(16).alias("rate"), "samples")
@@ -264,6 +301,11 @@ SELECT vec_id, s / 16.0::DOUBLE AS start, (s + 16) / 16.0::DOUBLE AS "end", roun
     "clip_samples": (clips_of_samples, """
 WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS e, 100 + label * 130 AS a FROM embeddings), p AS (SELECT *, floor(a * 16 / 1000.0)::INT AS x, floor((a + 1500) * 16 / 1000.0)::INT AS y FROM c)
 SELECT vec_id, 'clip_' || a || '_' || (a + 1500) || '.wav' AS file, len(e[x + 1 : y])::BIGINT AS n, round(coalesce(list_sum(e[x + 1 : y]), 0), 6) AS total FROM p"""),
+    "item_records": (item_records, "SELECT DISTINCT id, item_type AS kind, status.branch AS branch, status.approved::VARCHAR AS approved, strftime(exported_at, '%Y-%m-%dT%H:%M:%S.%f') AS exported_at, label AS summary FROM workflow_items"),
+    "trace_documents": (trace_documents, "SELECT DISTINCT trace_id, true AS same, true AS unanswered FROM eval_traces"),
+    "intent_contexts": (intent_contexts, """
+SELECT n.n_nationkey AS id, 'regions' AS context_key, r_name AS names, 1::BIGINT AS fields FROM nation n JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 3 = 0
+UNION ALL SELECT n.n_nationkey, 'nation', string_agg(o.n_name, '|' ORDER BY o.n_nationkey), 2 FROM nation n JOIN nation o ON o.n_regionkey = n.n_regionkey WHERE n.n_nationkey % 3 < 2 GROUP BY 1"""),
     "wav_clips": (wav_clips, """
 WITH s AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x * 32767) / 32768.0::DOUBLE) AS e, unnest(range(0, (len(embedding) + 15) // 16)) AS chunk FROM embeddings)
 SELECT vec_id, chunk, len(e[chunk * 16 + 1 : chunk * 16 + 16])::BIGINT AS n, round(list_sum(e[chunk * 16 + 1 : chunk * 16 + 16]), 2) + 0.0 AS total FROM s"""),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.operators.keyed import keep_last
-from inkweave.sources.files import Files
+from inkweave.sources.files import Files, read_text, write_document
 
 STATUSES = ("accepted", "rejected", "deferred")
 DECISION = "decision_id string, turn_id string, ts timestamp_ntz, idea struct<key:string,idea:string>, rationale string, status string, ord long"
@@ -150,6 +151,28 @@ class TurnStore:
         return {name: self.spark.read.parquet(f"{where}/{name}") for name in self.PARTS}
 
 
+class Instance:
+    """A folder with a configuration, a store of decisions and one of turns."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark)
+        self.decisions, self.turns = DecisionStore(spark, f"{self.path}/decisions"), TurnStore(spark, f"{self.path}/turns")
+
+    def create(self, config: dict) -> Instance:
+        """Make the folders and write the configuration; one that is there is replaced."""
+        for name in ("decisions", "turns"):
+            self.files.make(f"{self.path}/{name}")
+        write_document(self.spark, f"{self.path}/config.json", config)
+        return self
+
+    def config(self) -> dict:
+        """The configuration; without one it raises."""
+        where = self.files.settled(f"{self.path}/config.json")
+        if not self.files.exists(where):
+            raise FileNotFoundError(where)
+        return json.loads(read_text(self.spark, where).first().text)
+
+
 class ItemStore:
     """Records by key, each in its latest version, with a log of what was done to them."""
 

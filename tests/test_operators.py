@@ -316,3 +316,11 @@ def test_stores_keep_batches(spark, tmp_path):
     for day in (1, 1, 2):
         log.append(spark.sql(f"SELECT {day} AS id, timestamp'2031-01-0{day} 10:00:00' AS ts"))
     assert log.rotate() == ["2031-01-01"] and log.read().count() == 3 and log.drop("2031-01-02") == ["2031-01-01"] and stores.EventLog(spark, f"{root}/log").read().count() == 1
+
+
+def test_instances(spark, tmp_path):
+    made = stores.Instance(spark, f"{tmp_path}/one")
+    with pytest.raises(FileNotFoundError):
+        made.config()
+    made.create({"name": "ü", "n": [1]}).create({"name": "w"})
+    assert made.config() == {"name": "w"} and made.decisions.load().count() == 0 and made.turns.turns() == []
