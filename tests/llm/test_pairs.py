@@ -117,7 +117,19 @@ def test_query(spark, data):
     assert len(got) == len({(r.trace_id, r.field_name) for r in got})
     assert {r.defect for r in got} == {"empty", "copied", "refusal", "other_language", "truncated"}
     assert {r.field_name for r in got} == {"agent_response", "reasoning"}
-    assert 0.03 < len(got) / spark.read.parquet(f"{data}/eval_traces.parquet").count() < 0.3
+    found = {(r.trace_id, r.field_name): r.defect for r in got}
+    word = module.WORD
+    for r in spark.read.parquet(f"{data}/eval_traces.parquet").select("trace_id", "prompt", "agent_response").distinct().collect():
+        defect_ = found.get((r.trace_id, "agent_response"))
+        asked, said_ = (word.findall((t or "").lower()) for t in (r.prompt, r.agent_response))
+        if not said_:  # nothing but marks, or a picture
+            assert (defect_ == "empty") == (not any(c in (r.agent_response or "") for c in "✅👍🙂")), r
+        elif asked and len(said_) % len(asked) == 0 and said_ == asked * (len(said_) // len(asked)):
+            assert defect_ == "copied", r
+        elif defect_ == "copied":  # after a short lead-in
+            assert said_[-len(asked) :] == asked and len(said_) % len(asked) <= 6, r
+        elif defect_ is None:
+            assert said_ and not r.agent_response.rstrip().endswith((",", "-", ":", "…")), r
 
 
 CUT = [(1, "f", "status", "Half of the"), (2, "f", "status", "Each kettle"), (3, "f", "status", "Steps:\n- load_ideas\n- load"), (4, "f", "status", "All is done"), (5, "f", "status", "Old kettle")]
