@@ -55,3 +55,20 @@ def large_arc(begin: Column, end: Column) -> Column:
 def arc_path(radius: Column, x1: Column, y1: Column, x2: Column, y2: Column, large: Column) -> Column:
     """The path of an arc between two points."""
     return F.format_string("M %.2f %.2f A %.2f %.2f 0 %d 1 %.2f %.2f", x1, y1, radius, radius, large, x2, y2)
+
+
+def svg_circle(x: Column, y: Column, radius: Column, stroke: Column, fill: Column | None = None, width: float = 2.0) -> Column:
+    """A circle; without a fill it is hollow."""
+    return F.format_string('<circle cx="%.2f" cy="%.2f" r="%.2f" stroke="%s" stroke-width="%.1f" fill="%s"/>', x, y, radius, stroke, F.lit(width), F.lit("none") if fill is None else fill)
+
+
+def svg_square(x: Column, y: Column, side: Column, fill: Column) -> Column:
+    """A square around its middle."""
+    return F.format_string('<rect x="%.2f" y="%.2f" width="%.2f" height="%.2f" fill="%s"/>', x - side / 2, y - side / 2, side, side, fill)
+
+
+def svg_text(x: Column, y: Column, text: Column, size: int = 16, anchor: str = "start") -> Column:
+    """A text, with the characters that XML reserves written out."""
+    for plain, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return F.concat(F.format_string(f'<text x="%.2f" y="%.2f" font-size="{size}" text-anchor="{anchor}">', x, y), text, F.lit("</text>"))

@@ -87,6 +87,21 @@ def first_serving(*backends: Backend, seconds: float = 5.0) -> Backend | None:
     return None
 
 
+class JsonBackend:
+    """A local model server with the plain generate interface, asked for JSON at temperature 0."""
+
+    def __init__(self, url: str, model: str, timeout: float = 10.0, tokens: int = 3_000) -> None:
+        self.url, self.model, self.timeout, self.tokens = url, model, timeout, tokens
+
+    def generate(self, prompt: str) -> str:
+        from urllib.request import Request, urlopen
+
+        body = {"model": self.model, "prompt": prompt, "format": "json", "stream": False, "options": {"temperature": 0, "num_predict": self.tokens}}
+        request = Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+        with urlopen(request, timeout=self.timeout) as answer:
+            return json.load(answer)["response"]
+
+
 def parse(raw: str | None, expected: tuple[str, ...] = ()) -> dict:
     """An answer's JSON object without thinking and text around it, with null for expected keys it lacks;
     ``{"error": "invalid_json", "raw": ...}`` if there is none."""
@@ -140,7 +155,8 @@ def ask(
     return df.withColumn("__prompt", prompt).mapInPandas(run, schema)
 
 
-def _prompted(template: str, **columns: Column) -> Column:
+def prompted(template: str, **columns: Column) -> Column:
+    """A prompt with columns in the places named in braces; null where one of them is."""
     parts, rest = [], template
     for piece in re.split(r"(\{\w+\})", rest):
         parts.append(columns[piece[1:-1]] if piece[:1] == "{" and piece[1:-1] in columns else F.lit(piece))
@@ -149,47 +165,47 @@ def _prompted(template: str, **columns: Column) -> Column:
 
 def general_answer(df: DataFrame, question: str, make_backend: Callable[[], Backend], **options) -> DataFrame:
     """A question's ``answer``; the whole text where the model gives no JSON."""
-    prompt = _prompted('Answer the question. Return JSON {"answer": ...}.\nQuestion: {q}', q=F.col(question))
+    prompt = prompted('Answer the question. Return JSON {"answer": ...}.\nQuestion: {q}', q=F.col(question))
     return ask(df, prompt, ("answer",), make_backend, raw_fallback="answer", **options)
 
 
 def edited(df: DataFrame, artifact: str, instructions: str, make_backend: Callable[[], Backend], **options) -> DataFrame:
     """An artifact after instructions, ``edited``."""
-    prompt = _prompted('Apply the instructions to the text. Return JSON {"edited": ...}.\nInstructions: {i}\nText: {a}', i=F.col(instructions), a=F.col(artifact))
+    prompt = prompted('Apply the instructions to the text. Return JSON {"edited": ...}.\nInstructions: {i}\nText: {a}', i=F.col(instructions), a=F.col(artifact))
     return ask(df, prompt, ("edited",), make_backend, raw_fallback="edited", **options)
 
 
 def classified(df: DataFrame, text: str, labels: list[str], make_backend: Callable[[], Backend], **options) -> DataFrame:
     """One of the labels as ``label``, null if the model names none."""
-    prompt = _prompted(f'Choose one label of {json.dumps(labels)}. Return JSON {{"label": ...}}.\nText: {{t}}', t=F.col(text))
+    prompt = prompted(f'Choose one label of {json.dumps(labels)}. Return JSON {{"label": ...}}.\nText: {{t}}', t=F.col(text))
     return ask(df, prompt, ("label",), make_backend, **options)
 
 
 def extracted(df: DataFrame, text: str, fields: list[str], make_backend: Callable[[], Backend], **options) -> DataFrame:
     """The wanted fields of a text, null where missing."""
-    prompt = _prompted(f"Extract the fields {json.dumps(fields)} as JSON, null where missing.\nText: {{t}}", t=F.col(text))
+    prompt = prompted(f"Extract the fields {json.dumps(fields)} as JSON, null where missing.\nText: {{t}}", t=F.col(text))
     return ask(df, prompt, tuple(fields), make_backend, **options)
 
 
 def described(df: DataFrame, text: str, make_backend: Callable[[], Backend], **options) -> DataFrame:
     """Title, short and long summary and source of a text."""
     keys = ("title", "summary_short", "summary_long", "source_url")
-    return ask(df, _prompted(f"Give {json.dumps(keys)} of the text as JSON.\nText: {{t}}", t=F.col(text)), keys, make_backend, **options)
+    return ask(df, prompted(f"Give {json.dumps(keys)} of the text as JSON.\nText: {{t}}", t=F.col(text)), keys, make_backend, **options)
 
 
 def graded(df: DataFrame, text: str, question: str, key: str, make_backend: Callable[[], Backend], **options) -> DataFrame:
     """Whether a statement holds of a text, as the JSON key ``key``; filter on it to keep the rows that pass."""
-    return ask(df, _prompted(f"{question} Return JSON {{{json.dumps(key)}: true or false}}.\nText: {{t}}", t=F.col(text)), (key,), make_backend, **options)
+    return ask(df, prompted(f"{question} Return JSON {{{json.dumps(key)}: true or false}}.\nText: {{t}}", t=F.col(text)), (key,), make_backend, **options)
 
 
 def rewritten(df: DataFrame, text: str, task: str, key: str, make_backend: Callable[[], Backend], **options) -> DataFrame:
     """A text rewritten for a task, as the JSON key ``key``."""
-    return ask(df, _prompted(f"{task} Return JSON {{{json.dumps(key)}: ...}}.\nText: {{t}}", t=F.col(text)), (key,), make_backend, raw_fallback=key, **options)
+    return ask(df, prompted(f"{task} Return JSON {{{json.dumps(key)}: ...}}.\nText: {{t}}", t=F.col(text)), (key,), make_backend, raw_fallback=key, **options)
 
 
 def listed(df: DataFrame, text: str, task: str, key: str, make_backend: Callable[[], Backend], most: int = 5, **options) -> DataFrame:
     """The values that a model lists for a text, one a row: the other columns, ``place`` from 1 and ``value``; at most ``most``, as the task asks."""
-    prompt = _prompted(f"{task} Return JSON {{{json.dumps(key)}: [...]}} with at most {most} values.\nText: {{t}}", t=F.col(text))
+    prompt = prompted(f"{task} Return JSON {{{json.dumps(key)}: [...]}} with at most {most} values.\nText: {{t}}", t=F.col(text))
     found = ask(df, prompt, (key,), make_backend, **options)
     values = F.slice(F.coalesce(F.from_json(F.col(f"answer.{key}"), "array<string>"), F.array().cast("array<string>")), 1, most)
     rows = found.select(*df.columns, F.posexplode(values).alias("__at", "value"))
@@ -199,12 +215,12 @@ def listed(df: DataFrame, text: str, task: str, key: str, make_backend: Callable
 def compared(df: DataFrame, a: str, b: str, context: str, kind: str, make_backend: Callable[[], Backend], **options) -> DataFrame:
     """Whether two names of candidates from a join are one thing of a kind, and whether one is broader: ``answer.is_same``, ``answer.is_broad``."""
     task = f"Do both names mean the same {kind}, and is one of them broader? Return JSON {{\"is_same\": true or false, \"is_broad\": true or false}}.\nNames: {{a}} | {{b}}\nContext: {{c}}"
-    return ask(df, _prompted(task, a=F.col(a), b=F.col(b), c=F.coalesce(F.col(context), F.lit(""))), ("is_same", "is_broad"), make_backend, **options)
+    return ask(df, prompted(task, a=F.col(a), b=F.col(b), c=F.coalesce(F.col(context), F.lit(""))), ("is_same", "is_broad"), make_backend, **options)
 
 
 def metadata(df: DataFrame, text: str, task: str, make_backend: Callable[[], Backend], **options) -> DataFrame:
     """Whatever JSON object a model gives for a task, as the variant ``answer``; ``{"error": "invalid_json", "raw": ...}`` if it is none."""
-    prompt = _prompted(f"{task} Return a JSON object.\nText: {{t}}", t=F.col(text))
+    prompt = prompted(f"{task} Return a JSON object.\nText: {{t}}", t=F.col(text))
     kind = T.StructType([*df.schema.fields, T.StructField("answer", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,7 +253,7 @@ def summarized_groups(df: DataFrame, by: list[str], text: str, order: str, make_
     pieces = pieces.select(*by, "__order", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("__text"), i * most_chars + 1, F.lit(most_chars)))).alias("__piece", "__text"))
     so_far = F.sum(size).over(Window.partitionBy(*by).orderBy("__order", "__piece").rowsBetween(Window.unboundedPreceding, -1))
     parts = pieces.withColumn("__part", F.floor(F.coalesce(so_far, F.lit(0)) / most_chars).cast("long"))
-    prompt = _prompted('Summarize the texts. Return JSON {"summary": ...}.\nTexts:\n{t}', t=F.col("context"))
+    prompt = prompted('Summarize the texts. Return JSON {"summary": ...}.\nTexts:\n{t}', t=F.col("context"))
     while True:
         lined = parts.groupBy(*by, "__part").agg(F.array_sort(F.collect_list(F.struct("__order", "__piece", "__text"))).alias("__rows"))
         context = lined.select(*by, "__part", F.array_join(F.col("__rows.__text"), "\n").alias("context"))

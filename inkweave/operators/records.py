@@ -152,3 +152,30 @@ def relevant_context(intents: DataFrame, uses: DataFrame, types: DataFrame, obje
     listed = found.groupBy("id", "context_key").agg(F.array_sort(F.collect_list(F.struct("ord", F.map_entries("object").alias("e")))).alias("rows"))
     listed = listed.select("id", "context_key", F.transform("rows", lambda r: F.map_from_entries(r["e"])).alias("objects"))
     return listed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("context_key", "objects"))).alias("context"))
+
+
+DECISION_JSON = "struct<decision_id:string,turn_id:string,timestamp:string,idea:struct<key:string,idea:string>,rationale:string,status:string>"
+
+
+def decisions_of(df: DataFrame, buckets: str, *keep: str) -> DataFrame:
+    """The decisions in a JSON text of buckets (``{"accepted": [...], ...}``), one a row, with some columns: their
+    ``bucket``, their place in it and their members, times as timestamps (``Z`` is UTC), unknown members left out.
+
+    A text that is no such object has no rows; a decision without a status has its bucket's.
+    """
+    parsed = F.from_json(buckets, f"map<string,array<{DECISION_JSON}>>")
+    rows = df.select(*keep, F.explode(parsed).alias("bucket", "__rows")).select(*keep, "bucket", F.posexplode("__rows").alias("place", "d"))
+    return rows.select(*keep, "bucket", "place", "d.decision_id", "d.turn_id", F.try_to_timestamp("d.timestamp").alias("ts"), F.col("d.idea.key").alias("key"), F.col("d.idea.idea").alias("idea"), "d.rationale", F.coalesce("d.status", "bucket").alias("status"))
+
+
+def action_flags(items: DataFrame) -> DataFrame:
+    """Items' status with whether they wait for approval, and whether they are ready to go on."""
+    waits = F.coalesce(F.col("status.requires_approval") & ~F.coalesce("status.approved", F.lit(False)), F.lit(False))
+    return items.select("id", F.col("status.branch").alias("branch"), F.col("status.substate").alias("substate"), waits.alias("needs_approval"), (F.col("status").isNotNull() & ~waits).alias("ready"))
+
+
+def idea_records(ideas: DataFrame, small: bool = False) -> DataFrame:
+    """Ideas as records for a summary: id, description and approval, or also type, style, metadata and times as ISO text."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)
+    more = [] if small else [F.col("idea_type").alias("type"), "style", "metadata", *map(iso, ("created_at", "updated_at", "exported_at"))]
+    return ideas.select("id", "description", "approved", *more)

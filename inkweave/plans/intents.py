@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.functions.model import Backend, ask, prompted
 from inkweave.functions.text import after_colon, last_word, stripped
 
 #: The first rule that holds names the intent. A prefix of the message, or words all of which are in it.
@@ -78,3 +82,39 @@ def local_edit(fields: Column, kinds: dict[str, str], message: Column | str) ->
         .otherwise(F.map_concat(others, F.map_from_arrays(F.array(name), F.array(value))))
     )
     return F.struct(name.alias("field"), action.alias("kind"), value.alias("value"), error.alias("error"), after.alias("fields"))
+
+
+def model_field(df: DataFrame, message: str, fields: dict[str, str], make_backend: Callable[[], Backend], **options) -> DataFrame:
+    """The editable field that a model picks for a message: ``field``, or null and why not in ``reason`` (``no field``, ``unknown field``)."""
+    prompt = prompted(f'Which of the fields {json.dumps(sorted(fields))} is meant? Return JSON {{"field": name or null}}.\nMessage: {{m}}', m=F.col(message))
+    asked = ask(df, prompt, ("field",), make_backend, "__answer", **options)
+    said = F.col("__answer.field")
+    known = said.isin(sorted(fields))
+    return asked.withColumns({"field": F.when(known, said), "reason": F.when(F.coalesce(said, F.lit("")) == "", "no field").when(~known, "unknown field")}).drop("__answer")
+
+
+def model_valid(df: DataFrame, field: str, value: str, kind: str, make_backend: Callable[[], Backend], **options) -> DataFrame:
+    """Whether a new value makes sense for a field, ``valid``: a model says so, but isn't asked about removals, renames and toggles."""
+    prompt = prompted('Does the value make sense for the field? Return JSON {"ok": true or false}.\nField: {f}\nValue: {v}', f=F.col(field), v=F.coalesce(value, F.lit("")))
+    plain = F.coalesce(F.col(kind).isin("remove_key", "rename_key", "toggle"), F.lit(False))
+    asked = ask(df, F.when(~plain, prompt), ("ok",), make_backend, "__answer", **options)
+    return asked.withColumn("valid", plain | (F.coalesce("__answer.ok", F.lit("")) == "true")).drop("__answer")
+
+
+def model_intent(df: DataFrame, message: str, contract: dict[str, str], make_backend: Callable[[], Backend], **options) -> DataFrame:
+    """The intent of the contract (names with descriptions) that a model picks for a message, ``intent``; ``idle`` for any other answer and where the model fails."""
+    prompt = prompted(f'Pick one intent of {json.dumps(contract, sort_keys=True)}. Return JSON {{"intent": name}}.\nMessage: {{m}}', m=F.col(message))
+    asked = ask(df, prompt, ("intent",), make_backend, "__answer", **options)
+    said = F.col("__answer.intent")
+    return asked.withColumn("intent", F.when(said.isin(sorted(contract)), said).otherwise("idle")).drop("__answer")
+
+
+def model_parameters(df: DataFrame, message: str, parameters: list[str], make_backend: Callable[[], Backend], **options) -> DataFrame:
+    """The parameters that a model finds in a message, ``parameters`` (a map of those it gives a value); an empty one if none are asked for."""
+    empty = F.create_map().cast("map<string,string>")
+    if not parameters:
+        return df.withColumn("parameters", empty)
+    prompt = prompted(f"Find the parameters {json.dumps(parameters)} in the message, as JSON, null where missing.\nMessage: {{m}}", m=F.col(message))
+    asked = ask(df, prompt, tuple(parameters), make_backend, "__answer", **options)
+    pairs = F.map_from_arrays(F.array(*map(F.lit, parameters)), F.array(*(F.col(f"__answer.{p}") for p in parameters)))
+    return asked.withColumn("parameters", F.map_filter(pairs, lambda _, v: v.isNotNull())).drop("__answer")

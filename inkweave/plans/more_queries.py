@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.functions import model
-from inkweave.functions.geometry import css_color
+from inkweave.functions.geometry import css_color, svg_circle, svg_square, svg_text
 from inkweave.functions.merging import upto
 from inkweave.functions.text import answer_key, parsed_answer, rendered
 from inkweave.operators.detections import clip_name, clip_samples, coarse_to_fine, sample_windows, strongest_frames
 from inkweave.operators.keyed import rows_not_in, shared_tokens
-from inkweave.operators.records import collected_traces, item_summaries, relevant_context
+from inkweave.operators.records import action_flags, collected_traces, decisions_of, idea_records, item_summaries, relevant_context
 from inkweave.operators.sequences import laid_out
 from inkweave.plans.event_queries import ITEMS_SQL, _detections, _groups, _items, _micros
 from inkweave.plans.events import choices, session_references
-from inkweave.plans.intents import local_edit
+from inkweave.plans.intents import local_edit, model_field, model_intent, model_parameters, model_valid
 from inkweave.session import cut, table
 from inkweave.sources.audio import chunked, decoded_rows, wav_bytes
 
@@ -86,6 +86,82 @@ def clips_of_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir).select("vec_id", clip_name("clip", start, start + 1_500).alias("file"), F.size(part).cast("long").alias("n"), _sum(part).alias("total"))
 
 
+def turn_decision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions inside the turns of each delivery, as typed rows."""
+    turns = table(spark, sf_dir, "turn_snapshots").select("snapshot_no", "decisions").where("decisions is not null").distinct()
+    rows = decisions_of(turns, "decisions", "snapshot_no")
+    return rows.select("snapshot_no", "bucket", F.col("place").cast("long").alias("place"), "decision_id", "key", "rationale", "status")
+
+
+def status_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items' status as JSON text and back."""
+    items = table(spark, sf_dir, "workflow_items").select("id", "status").distinct()
+    back = F.from_json(F.to_json("status"), items.schema["status"].dataType.simpleString())
+    return items.select("id", back.alias("s")).select("id", "s.branch", "s.substate", "s.approved", "s.requires_approval", "s.flags")
+
+
+def next_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items wait for approval and which are ready."""
+    return action_flags(table(spark, sf_dir, "workflow_items")).distinct()
+
+
+def idea_record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ideas as full records, and how many have a small one."""
+    ideas = table(spark, sf_dir, "base_ideas")
+    small = idea_records(ideas, True).distinct().groupBy("id").agg(F.count("*").alias("small_records"))
+    return idea_records(ideas).distinct().join(small, "id").select("id", "type", "approved", "created_at", "exported_at", "small_records")
+
+
+def node_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as shapes of an SVG drawing: squares, hollow circles and names."""
+    x, y = F.col("n_nationkey") * 10.5, F.col("n_regionkey") * 20.25
+    shape = F.when(F.col("n_nationkey") % 2 == 0, svg_square(x, y, F.lit(8.0), F.lit("rgb(1,2,3)"))).otherwise(svg_circle(x, y, F.lit(4.0), F.lit("black")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", shape.alias("shape"), svg_text(x, y, F.concat(F.lit("<"), "n_name", F.lit("> & co")), 12).alias("label"))
+
+
+FIELDS = {"topic": "string", "origin": "string"}
+
+
+def model_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field that a backend picks for prompts: the first word of some length, which is seldom one."""
+    def answer(prompt: str) -> str:
+        n = len(_told(prompt, "Message: ")) % 4
+        return json.dumps({"field": (None, "topic", "origin", "colour")[n]})
+
+    rows = table(spark, sf_dir, "eval_traces").select("prompt").distinct()
+    return model_field(rows, "prompt", FIELDS, lambda: model.EchoBackend(answer)).select("prompt", "field", "reason")
+
+
+def model_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that a backend finds sensible if they are short; removals aren't asked about."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.lit("name").alias("field"), F.when(F.col("p_partkey") % 3 == 0, "remove_key").otherwise("replace").alias("kind"))
+    checked = model_valid(rows, "field", "p_name", "kind", lambda: model.EchoBackend(lambda p: json.dumps({"ok": len(_told(p, "Value: ")) % 2 == 0})))
+    return checked.select("p_partkey", "valid")
+
+
+def model_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intents that a backend picks for prompts, some outside the contract."""
+    contract = {"list_items": "lists", "describe_workflow": "describes"}
+
+    def answer(prompt: str) -> str:
+        n = len(_told(prompt, "Message: ")) % 4
+        return "no JSON" if n == 3 else json.dumps({"intent": ("list_items", "describe_workflow", "fly")[n]})
+
+    rows = table(spark, sf_dir, "eval_traces").select("prompt").distinct()
+    return model_intent(rows, "prompt", contract, lambda: model.EchoBackend(answer)).select("prompt", "intent")
+
+
+def model_found_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters that a backend finds in prompts: a size, and a step for even ones."""
+    def answer(prompt: str) -> str:
+        n = len(_told(prompt, "Message: "))
+        return json.dumps({"size": n, "step": "cut" if n % 2 == 0 else None, "other": 1})
+
+    rows = table(spark, sf_dir, "eval_traces").select("prompt").distinct()
+    found = model_parameters(rows, "prompt", ["size", "step"], lambda: model.EchoBackend(answer))
+    return found.select("prompt", F.col("parameters")["size"].alias("size"), F.col("parameters")["step"].alias("step"), F.size("parameters").cast("long").alias("n"))
+
+
 def item_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items as nested records in JSON text: some of their members."""
     rows = item_summaries(table(spark, sf_dir, "workflow_items"), F.col("label")).select("id", F.to_json("record", {"ignoreNullFields": "false"}).alias("j"))
@@ -301,6 +377,23 @@ SELECT vec_id, s / 16.0::DOUBLE AS start, (s + 16) / 16.0::DOUBLE AS "end", roun
     "clip_samples": (clips_of_samples, """
 WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS e, 100 + label * 130 AS a FROM embeddings), p AS (SELECT *, floor(a * 16 / 1000.0)::INT AS x, floor((a + 1500) * 16 / 1000.0)::INT AS y FROM c)
 SELECT vec_id, 'clip_' || a || '_' || (a + 1500) || '.wav' AS file, len(e[x + 1 : y])::BIGINT AS n, round(coalesce(list_sum(e[x + 1 : y]), 0), 6) AS total FROM p"""),
+    "turn_decision_rows": (turn_decision_rows, """
+WITH t AS (SELECT DISTINCT snapshot_no, decisions AS j FROM turn_snapshots WHERE decisions IS NOT NULL AND json_valid(decisions)), b AS (SELECT snapshot_no, j, unnest(json_keys(j)) AS bucket FROM t WHERE json_type(j) = 'OBJECT'),
+l AS (SELECT snapshot_no, bucket, json_extract(j, '$."' || bucket || '"')::JSON[] AS ds FROM b), d AS (SELECT snapshot_no, bucket, unnest(ds) AS d, generate_subscripts(ds, 1) - 1 AS place FROM l)
+SELECT snapshot_no, bucket, place, json_extract_string(d, '$.decision_id') AS decision_id, json_extract_string(d, '$.idea.key') AS key, json_extract_string(d, '$.rationale') AS rationale, coalesce(json_extract_string(d, '$.status'), bucket) AS status FROM d"""),
+    "status_round_trip": (status_round_trip, "SELECT DISTINCT id, status.branch AS branch, status.substate AS substate, status.approved AS approved, status.requires_approval AS requires_approval, status.flags AS flags FROM workflow_items"),
+    "next_actions": (next_actions, "SELECT DISTINCT id, status.branch AS branch, status.substate AS substate, coalesce(status.requires_approval AND NOT coalesce(status.approved, false), false) AS needs_approval, status IS NOT NULL AND NOT coalesce(status.requires_approval AND NOT coalesce(status.approved, false), false) AS ready FROM workflow_items"),
+    "idea_record_rows": (idea_record_rows, """
+WITH s AS (SELECT id, count(*) AS small_records FROM (SELECT DISTINCT id, description, approved FROM base_ideas) GROUP BY id), f AS (SELECT DISTINCT id, description, approved, idea_type, style, metadata, created_at, updated_at, exported_at FROM base_ideas)
+SELECT id, idea_type AS type, approved, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS created_at, strftime(exported_at, '%Y-%m-%dT%H:%M:%S.%f') AS exported_at, small_records FROM f JOIN s USING (id)"""),
+    "node_shapes": (node_shapes, """
+SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN printf('<rect x="%.2f" y="%.2f" width="8.00" height="8.00" fill="rgb(1,2,3)"/>', n_nationkey * 10.5 - 4, n_regionkey * 20.25 - 4)
+  ELSE printf('<circle cx="%.2f" cy="%.2f" r="4.00" stroke="black" stroke-width="2.0" fill="none"/>', n_nationkey * 10.5, n_regionkey * 20.25) END AS shape,
+  printf('<text x="%.2f" y="%.2f" font-size="12" text-anchor="start">', n_nationkey * 10.5, n_regionkey * 20.25) || '&lt;' || n_name || '&gt; &amp; co</text>' AS label FROM nation"""),
+    "model_fields": (model_fields, "SELECT DISTINCT prompt, CASE length(prompt) % 4 WHEN 1 THEN 'topic' WHEN 2 THEN 'origin' END AS field, CASE WHEN prompt IS NULL OR length(prompt) % 4 = 0 THEN 'no field' WHEN length(prompt) % 4 = 3 THEN 'unknown field' END AS reason FROM eval_traces"),
+    "model_checks": (model_checks, "SELECT p_partkey, p_partkey % 3 = 0 OR length(coalesce(p_name, '')) % 2 = 0 AS valid FROM part"),
+    "model_intents": (model_intents, "SELECT DISTINCT prompt, CASE length(prompt) % 4 WHEN 0 THEN 'list_items' WHEN 1 THEN 'describe_workflow' ELSE 'idle' END AS intent FROM eval_traces"),
+    "model_parameters": (model_found_parameters, "SELECT DISTINCT prompt, length(prompt)::VARCHAR AS size, CASE WHEN length(prompt) % 2 = 0 THEN 'cut' END AS step, (CASE WHEN prompt IS NULL THEN 0 ELSE 2 - length(prompt) % 2 END)::BIGINT AS n FROM eval_traces"),
     "item_records": (item_records, "SELECT DISTINCT id, item_type AS kind, status.branch AS branch, status.approved::VARCHAR AS approved, strftime(exported_at, '%Y-%m-%dT%H:%M:%S.%f') AS exported_at, label AS summary FROM workflow_items"),
     "trace_documents": (trace_documents, "SELECT DISTINCT trace_id, true AS same, true AS unanswered FROM eval_traces"),
     "intent_contexts": (intent_contexts, """

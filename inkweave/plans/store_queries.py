@@ -77,8 +77,8 @@ def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event log written in two batches, with its days compacted: how many events each day has."""
     rows = table(spark, sf_dir, "actor_events").select("event_id", "ts", "actor_id")
     log = EventLog(spark, scratch(spark, "events"))
-    log.append(rows.where("event_id % 2 = 0").coalesce(2))
-    log.append(rows.where("event_id % 2 = 1 or event_id is null").coalesce(2))
+    log.append(rows.where("event_id % 2 = 0").coalesce(1))
+    log.append(rows.where("event_id % 2 = 1 or event_id is null").coalesce(1))
     log.rotate()
     return _kept(log.read().groupBy(F.coalesce(F.col("day").cast("string"), F.lit("none")).alias("day")).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events")), log.path)
 

@@ -227,10 +227,11 @@ class EventLog:
         if parts:
             fresh = f"{self.path}/.rotated"
             day = F.regexp_extract(F.col("_metadata.file_path"), r"/day=([^/]*)/[^/]*$", 1)
-            rows = self.spark.read.parquet(*(f"{self.path}/day={d}" for d in parts)).withColumn("day", F.url_decode(day))
+            place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))  # the same when a lost task is run again
+            rows = self.spark.read.parquet(*(f"{self.path}/day={d}" for d in parts)).withColumns({"day": F.url_decode(day), "__place": place})
             # All days in one job; a day of many files' size goes to as many tasks.
             several = F.coalesce(F.create_map(*(F.lit(x) for item in parts.items() for x in item))[F.col("day")], F.lit(1))
-            rows.repartition("day", F.floor(F.rand(7) * several)).write.mode("overwrite").partitionBy("day").parquet(fresh)
+            rows.repartition("day", F.pmod("__place", several)).drop("__place").write.mode("overwrite").partitionBy("day").parquet(fresh)
             for d in parts:
                 self.files.replace(f"{fresh}/day={d}", f"{self.path}/day={d}")
             self.files.delete(fresh)

@@ -1,3 +1,4 @@
+import pytest
 import json
 import math
 import random
@@ -115,3 +116,22 @@ def test_no_group_is_lost(spark):
     sizes = lambda p: '{"summary": "%s"}' % ("+" * p.split("Texts:\n")[1].replace("+", "").replace("\n", "").count("ab") or p.split("Texts:\n")[1].replace("\n", ""))
     got = {r.g: r.answer.summary for r in model.summarized_groups(df, ["g"], "t", "i", lambda: model.EchoBackend(sizes), most_chars=20, fan=3).collect()}
     assert set(got) == {"g", "h", "n"} and got["g"] == "+" * (30 + 39 * 4) and got["h"] == "x"
+
+
+def test_backends_in_time():
+    import time
+
+    class Slow(model.EchoBackend):
+        def generate(self, prompt):
+            time.sleep(3)
+            return "late"
+
+    began = time.time()
+    with pytest.raises(TimeoutError):
+        model.TimedBackend(Slow(), 0.1).generate("x")
+    assert time.time() - began < 2 and model.TimedBackend(model.EchoBackend(lambda p: p), 5).generate("x") == "x"
+    broken = model.EchoBackend(lambda p: 1 / 0)
+    good = model.EchoBackend(lambda p: "ok")
+    assert model.first_serving(broken, good) is good and model.first_serving(broken) is None
+    with pytest.raises(ZeroDivisionError):
+        model.TimedBackend(broken, 5).generate("x")
