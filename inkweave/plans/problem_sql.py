@@ -35,7 +35,33 @@ h AS (SELECT snapshot_no, turn_id, arg_max(value, (loaded, value)) AS value FROM
 r AS (SELECT snapshot_no, row_number() OVER (ORDER BY snapshot_no) AS rank FROM (SELECT DISTINCT snapshot_no FROM h)),
 k AS (SELECT h.*, rank FROM h JOIN r USING (snapshot_no)) """
 
+#: Names under which a lone object counts as an array of one.
+_LONE = "('segments', 'clips', 'marks', 'options', 'evidence', 'spans', 'filters', 'targets')"
+
+
+def _elements(roots: str, depth: int = 14) -> str:
+    """CTEs ``n0, n1, ...`` with the values below ``roots`` (``tab, rec, path, j``) by depth: whether each is an object
+    that is an array element, the nearest such object around it, and the one nearest to what is in it."""
+    parts = [f"n0 AS (SELECT tab, rec, path, '' AS around, '' AS near, false AS element, j FROM {roots})"]
+    for d in range(1, depth + 1):
+        keys = f"(SELECT *, json_type(j) = 'OBJECT' AS o, unnest(CASE json_type(j) WHEN 'OBJECT' THEN json_keys(j) WHEN 'ARRAY' THEN list_transform(range(json_array_length(j)::BIGINT), lambda i: i::VARCHAR) END) AS k FROM n{d - 1} WHERE json_type(j) IN ('OBJECT', 'ARRAY'))"
+        child = f"(SELECT tab, rec, path, near, o, k, json_extract(j, CASE WHEN o THEN '$.\"' || k || '\"' ELSE '$[' || k || ']' END) AS j FROM {keys})"
+        named = f"(SELECT *, json_type(j) = 'OBJECT' AND (NOT o OR k IN {_LONE}) AS e, path || CASE WHEN o THEN '.' || k || CASE WHEN json_type(j) = 'OBJECT' AND k IN {_LONE} THEN '[0]' ELSE '' END ELSE '[' || k || ']' END AS here FROM {child})"
+        parts.append(f"n{d} AS (SELECT tab, rec, here AS path, near AS around, CASE WHEN e THEN here ELSE near END AS near, e AS element, j FROM {named})")
+    parts.append("n AS (" + " UNION ALL ".join(f"SELECT tab, rec, path, around FROM n{d} WHERE element" for d in range(1, depth + 1)) + ")")
+    return ",\n".join(parts)
+
+
+_NESTED = rf"""WITH e AS (SELECT trace_id::VARCHAR AS rec, regexp_extract(max(intent_llm), '\{{.*\}}', 0, 's') AS t FROM eval_traces WHERE trace_id IS NOT NULL GROUP BY trace_id),
+c AS (SELECT rec, t FROM (SELECT lower(regexp_replace(turn_id, '^\s+|\s+$', '', 'g')) AS rec, criteria_results AS t, loaded_at FROM turn_snapshots WHERE snapshot_no = 9 AND turn_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY rec ORDER BY loaded_at DESC NULLS LAST, t DESC NULLS LAST) = 1),
+w AS (SELECT id AS rec, step_outputs AS t FROM workflow_items WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, step_outputs DESC NULLS LAST) = 1),
+s AS (SELECT rec, t, unnest(json_keys(t)) AS step FROM w WHERE json_valid(t) AND json_type(t) = 'OBJECT'), v AS (SELECT rec, step, json_extract(t, '$."' || step || '".current') AS j FROM s),
+r AS (SELECT 'eval_traces' AS tab, rec, 'intent_llm.parameters' AS path, json_extract(t, '$.parameters') AS j FROM e WHERE json_valid(t) UNION ALL SELECT 'turn_snapshots', rec, 'criteria_results', t::JSON FROM c WHERE json_valid(t)
+  UNION ALL SELECT 'workflow_items', rec, 'step_outputs.' || step || '.current', CASE WHEN json_type(j) = 'VARCHAR' AND json_valid(json_extract_string(j, '$')) THEN json_extract_string(j, '$')::JSON ELSE j END FROM v),
+{_elements('r')} """
+
 SQL = {
+    "p5_found": _NESTED + "SELECT tab AS table_name, rec AS record_id, path AS node_path, around AS parent_path FROM n",
     "p4_found": _TURNS + """
 SELECT r.snapshot_no, coalesce(b.turn_id, a.turn_id) AS turn_id, CASE WHEN a.turn_id IS NULL THEN 'added' WHEN b.turn_id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
 FROM (SELECT *, rank + 1 AS next FROM k) a FULL JOIN k b ON a.next = b.rank AND a.turn_id = b.turn_id JOIN r ON r.rank = coalesce(b.rank, a.next)

@@ -1,9 +1,9 @@
-import pytest
 import json
 import math
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkweave.functions import geometry, merging, model, text
