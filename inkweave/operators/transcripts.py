@@ -220,8 +220,22 @@ def guess_time(rows: list[tuple[str, float, float]], context: str) -> tuple[floa
         matcher.set_seq1(said[i])
         return matcher.ratio()
 
+    masks: dict[str, int] = {}
+    for i, c in enumerate(wanted):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << len(wanted)) - 1
+
+    @cache
+    def bound(i: int) -> float:
+        """The likeness can't be more: matching blocks are a common subsequence, and the longest one is far quicker found."""
+        row = full
+        for c in said[i]:
+            hit = row & masks.get(c, 0)
+            row = (row + hit | row - hit) & full
+        return 2.0 * (len(wanted) - row.bit_count()) / ((len(wanted) + len(said[i])) or 1)
+
     for least in STARTS:
-        hits = [i for i, t in enumerate(said) if _long_words(t) >= least and len(t) >= LEAST_CHARS and (t in wanted or likeness(i) >= STRONG)]
+        hits = [i for i, t in enumerate(said) if _long_words(t) >= least and len(t) >= LEAST_CHARS and (t in wanted or bound(i) >= STRONG and likeness(i) >= STRONG)]
         if hits:
             run = [hits[0]]
             for i in hits[1:]:
