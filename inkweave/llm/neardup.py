@@ -43,6 +43,13 @@ def slots(keys: np.ndarray, many: int) -> np.ndarray:
     return (mixed(keys ^ U(0x9E3779B97F4A7C15)) % U(many)).astype(np.int64)
 
 
+def plain_sizes(threshold: Fraction, long: int) -> tuple[int, int]:
+    """Sets of at most the first size, which may be similar to one that needs less than three common words, and of at least the second,
+    which may be similar to one of ``long`` words, go under single words whatever their number."""
+    num, den = threshold.numerator, threshold.denominator
+    return (2 * den // num + 1) * den // num, -(-long * num // den)
+
+
 class Prefixes:
     """The first words by rarity of a batch of records, and the keys of their blocks.
 
@@ -67,13 +74,13 @@ class Prefixes:
         self.words, count = words[order], count[order]
         n = np.diff(bounds)
         need = -(-n * num // den)
+        small, large = plain_sizes(threshold, long)
         self.first, self.begin = n - need + 1, bounds[:-1]
         self.lead = n + (-2 * n * num // (den + num)) + 1
         place = np.arange(len(hashes)) - bounds[owner]
         inside = place < self.first[owner]
-        small = 2 * den // num + 1  # sets that may need less than three common words
         middle = (need > 2) & (n < long)
-        plain = (n * den >= long * num) | (n * num <= small * den)
+        plain = (n >= large) | (n <= small)
         rare = inside & middle[owner] & (count <= RARE) & (count > 0)
         at = inside & plain[owner]
         leads = place < self.lead[owner]
@@ -166,8 +173,10 @@ def _counted(hashed: DataFrame, many: int, keys_of: Callable[[np.ndarray, np.nda
     return total
 
 
-def _keyed(hashed: DataFrame, threshold: Fraction) -> DataFrame:
-    """Each record under the keys of its blocks: ``key, num, n`` and its sketch; ``n`` is above :data:`FOLLOWS` where it doesn't lead."""
+def _keyed(hashed: DataFrame, threshold: Fraction) -> tuple[DataFrame, bool]:
+    """Each record under the keys of its blocks: ``key, num, n`` and its sketch; ``n`` is above :data:`FOLLOWS` where it
+    doesn't lead. And whether no block can have more than :data:`BLOCK` records: there are only rare words and pairs.
+    """
     many, block, long = SLOTS, BLOCK, LONG
     ranks = ranked(_counted(hashed, many, lambda hashes, _: iter([hashes.view(U)])), block)
     hot = np.zeros(many, bool)
@@ -184,7 +193,9 @@ def _keyed(hashed: DataFrame, threshold: Fraction) -> DataFrame:
                 ["key", "num", "n", "s0", "s1", "s2", "s3"],
             )
 
-    return hashed.mapInArrow(run, "key long, num long, n int, s0 long, s1 long, s2 long, s3 long")
+    small, large = plain_sizes(threshold, long)
+    others = hashed.where((F.size("hashes") <= small) | (F.size("hashes") >= large)).limit(1)
+    return hashed.mapInArrow(run, "key long, num long, n int, s0 long, s1 long, s2 long, s3 long"), not hot.any() and others.isEmpty()
 
 
 def _compared(keyed: DataFrame, keys: list[str], threshold: Fraction) -> DataFrame:
@@ -248,7 +259,9 @@ class NearDuplicates:
         """``records`` has the columns ``rec`` and ``text``, each rec once."""
         threshold = Fraction(threshold)
         worded = records.where("rec is not null and text is not null").select("rec", word_set("text").alias("words")).where(F.size("words") >= max(least, 1))
-        worded = cut(worded.select("rec", "words", F.md5(F.array_join(F.sort_array("words"), " ").cast("binary")).alias("sum")))
+        # Words as one text: an array of strings takes three times the room.
+        worded = worded.select("rec", F.array_join(F.sort_array("words"), " ").alias("words"))
+        worded = cut(worded.withColumn("sum", F.md5(F.col("words").cast("binary"))))
         sets = worded.groupBy("sum").agg(F.min("rec").alias("rep"), F.first("words").alias("words"))
         self.sets = cut(sets.withColumn("num", F.monotonically_increasing_id()))
         self.members = worded.select("rec", "sum").join(self.sets.select("sum", "rep"), "sum").select("rec", "rep")
@@ -256,12 +269,15 @@ class NearDuplicates:
 
     def _links(self, threshold: Fraction) -> DataFrame:
         spark, sets = self.sets.sparkSession, self.sets
+        keyed, bounded = _keyed(sets.select("num", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("hashes")), threshold)
         path = scratch(spark, "blocks")
-        _keyed(sets.select("num", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")), threshold).write.parquet(path)
-        keyed = spark.read.parquet(path)
-        hot = cut(keyed.groupBy("key").count().where(F.col("count") > BLOCK))
-        found = _compared(keyed if hot.isEmpty() else keyed.join(hot.select("key"), "key", "left_anti"), ["key"], threshold)
-        if not hot.isEmpty():
+        if not bounded:
+            keyed.write.parquet(path)
+            keyed = spark.read.parquet(path)
+            hot = cut(keyed.groupBy("key").count().where(F.col("count") > BLOCK))
+            bounded = hot.isEmpty()
+        found = _compared(keyed if bounded else keyed.join(hot.select("key"), "key", "left_anti"), ["key"], threshold)
+        if not bounded:
             # A larger block is cut into parts by the record; each pair of parts is a block by itself.
             parts = F.ceil(F.col("count") / BLOCK).cast("int")
             split = keyed.join(hot, "key").withColumn("mine", F.pmod(F.xxhash64("num"), parts).cast("int"))
@@ -271,8 +287,9 @@ class NearDuplicates:
         found = cut(found.distinct())
         remove(spark, path)
         a, b = (sets.select(F.col("num").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("words").alias(f"{x}_words")) for x in "ab")
-        both = F.size(F.array_intersect("a_words", "b_words"))
-        union = F.size("a_words") + F.size("b_words") - both
+        words = lambda c: F.split(c, " ")
+        both = F.size(F.array_intersect(words("a_words"), words("b_words")))
+        union = F.size(words("a_words")) + F.size(words("b_words")) - both
         near = found.join(a, "a").join(b, "b").where(both * threshold.denominator >= union * threshold.numerator)
         return cut(near.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")))
 
