@@ -421,7 +421,7 @@ SELECT l_orderkey, l_linenumber, round(sum(size) OVER (PARTITION BY l_orderkey O
     "model_grades": (model_grades, "SELECT item_id, 'true' AS ok FROM eval_items WHERE length(text) < 60"),
     "model_rewrites": (model_rewrites, "SELECT DISTINCT doc_kind, reverse(doc_kind) AS turned, CASE WHEN doc_kind IS NOT NULL THEN 'invalid_json' END AS error FROM documents"),
     "model_summaries": (model_summaries, "SELECT idea_type, coalesce(sum(length(description)), 0)::BIGINT AS chars FROM base_ideas GROUP BY idea_type"),
-    "model_lists": (model_lists, "SELECT n_nationkey::BIGINT AS n_nationkey, i AS place, n_name[i] AS value FROM nation, range(1, 4) t(i)"),
+    "model_lists": (model_lists, "SELECT n_nationkey, i AS place, n_name[i] AS value FROM nation, range(1, 4) t(i)"),
     "model_pairs": (model_pairs, "SELECT a.n_name, b.n_name AS other, (a.n_name[1] = b.n_name[1])::VARCHAR AS is_same, (length(a.n_name) > length(b.n_name))::VARCHAR AS is_broad FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name"),
     "model_metadata": (model_metadata, "SELECT n_name, CASE WHEN n_name[1] > 'F' THEN n_name[1] END AS first, CASE WHEN n_name[1] > 'F' THEN length(n_name) END AS size, CASE WHEN n_name[1] <= 'F' THEN 'invalid_json' END AS error, CASE WHEN n_name[1] <= 'F' THEN n_name END AS raw FROM nation"),
 }

@@ -161,7 +161,7 @@ UNION ALL SELECT 'decisions_removed', key || ':' || status, 'removed' FROM d WHE
     "event_days": (event_days, "SELECT coalesce(strftime(ts, '%Y-%m-%d'), 'none') AS day, count(*) AS n, count(DISTINCT event_id) AS events FROM actor_events GROUP BY 1"),
     "latest_items": (latest_items, "SELECT id, max(epoch_us(updated_at)) AS u FROM workflow_items WHERE id IS NOT NULL GROUP BY id"),
     "jsonl_round_trip": (jsonl_round_trip, "SELECT approved, count(*) AS n, count(DISTINCT id) AS ids, sum(length(description))::BIGINT AS chars FROM base_ideas GROUP BY approved"),
-    "json_update": (json_update, "SELECT n_nationkey AS k, lower(n_name) AS name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 = 1"),
+    "json_update": (json_update, "SELECT n_nationkey::BIGINT AS k, lower(n_name) AS name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 = 1"),
     "yaml_documents": (yaml_documents, "SELECT 'region_' || r_regionkey || '.yaml' AS file, r_name AS name, r_regionkey::BIGINT AS k FROM region"),
     "text_files": (text_files, "SELECT n_name AS name FROM nation"),
     "jsonable_items": (jsonable_items, "SELECT DISTINCT id, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS created_at, status.branch AS branch, status.approved::VARCHAR AS approved FROM workflow_items"),
