@@ -150,7 +150,11 @@ def prompt_language(prompt: str) -> str | None:
 
 def other_language(asked: str | None, text: str, words: list[str]) -> bool:
     """Whether a text without its quotations is wholly in another language: clearly so, and no sentence is in the one asked in."""
-    found = _language(words)
+    scores = spoken(words)
+    found = max(scores, key=lambda k: (scores[k], k), default=None)
+    # Languages that are much alike, such as Danish and Norwegian, needn't be told apart from each other, but from the one asked in.
+    if found is None or scores[found] < 1 or scores[found] <= 1.25 * scores.get(asked or "", 0.0) or len({w for w in words if w in _LANGUAGES}) < 2:
+        found = _language(words)
     if asked is None or found is None or found == asked:
         return False
     known = _WORDS.get(asked)

@@ -80,6 +80,13 @@ def test_languages():
     assert not other_language(SHOW, "The title is „Die stille Werkstatt“, and score_clips keeps it as it is.")
     assert not other_language(SHOW, "Here is what I found for you. Hier ist das Ergebnis für Quo und das Archiv.")
     assert other_language(SHOW, "Это очень длинный ответ на другом языке")
+    for text in (
+        "Här är resultatet för steget, och det är klart.", "Oto wynik tego kroku, który jest już gotowy, ale nie dla wszystkich.", "Ecco il risultato per questo elemento, che non è ancora approvato.",
+        "Aqui está o resultado para este item, que ainda não foi aprovado.", "Hier is het resultaat voor dit onderdeel, maar het is nog niet klaar.", "Tady je výsledek pro tento krok, ale ještě není hotový.",
+        "Tämä vaihe on valmis, mutta se ei ole vielä hyväksytty.", "Ez a lépés már kész, de még nem hagyták jóvá.", "Bu adım tamamlandı ve bir sonraki için hazır, ama daha onay yok.",
+        "Acesta este rezultatul pentru acest pas, dar nu este încă aprobat.", "Her er resultatet for trinnet, og det er ikke færdigt endnu, men det kommer.",
+    ):
+        assert other_language(SHOW, text) and other_language(GERMAN, text), text
 
 
 def test_truncation():
