@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.functions.text import plain_letters, sequence_ratio, tokens
+from inkweave.functions.text import common_subsequence, plain_letters, sequence_ratio, tokens
 
 #: What a context needs to match a transcript.
 STARTS, LEAST_CHARS, STRONG, WEAK, WEAK_WORDS = (12, 10, 8, 6), 15, 0.6, 0.4, 3
@@ -57,16 +57,18 @@ def _equal_span(words: list[tuple[str, float, float]], plain: list[str], wanted:
     return None
 
 
-def best_span(words: list[tuple[str, float, float]], target: str, least: float = 70.0, most_ms: float = 1_500.0) -> tuple[float, float, float] | None:
+def best_span(
+    words: list[tuple[str, float, float]], target: str, least: float = 70.0, most_ms: float = 1_500.0, plain: list[str] | None = None
+) -> tuple[float, float, float] | None:
     """The start, end and score of the words in a row that are most like a target, the first of equals.
 
     Scores are :func:`edit_ratio`, carried on from one word to the next. A score of ``least`` needs 2 min(a, b) / (a + b) >= least / 100, so only spans whose length is within
-    that bound of the target's are compared; the bound loses nothing.
+    that bound of the target's are compared; the bound loses nothing. ``plain`` are the words as :func:`_normal` has them, if known.
     """
     wanted = _normal(target)
     if not wanted:
         return None
-    plain = [_normal(w[0]) for w in words]
+    plain = [_normal(w[0]) for w in words] if plain is None else plain
     if least <= 100 and (exact := _equal_span(words, plain, wanted, most_ms)):
         return exact
     ratio = least / 100
@@ -103,7 +105,8 @@ def locate_quotes(words: DataFrame, quotes: DataFrame, least: float = 70.0) -> D
     def run(key: tuple, said: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         said = said.sort_values("idx")
         rows = list(zip(said.text.fillna(""), said.start, said.end))
-        found = [(*key, q.quote_id, *(best_span(rows, q.quote or "", least) or (None, None, None))) for q in asked.itertuples()]
+        plain = [_normal(w[0]) for w in rows]
+        found = [(*key, q.quote_id, *(best_span(rows, q.quote or "", least, plain=plain) or (None, None, None))) for q in asked.itertuples()]
         return pd.DataFrame(found, columns=["rec_id", "quote_id", "start", "end", "score"])
 
     kinds = f"rec_id {words.schema['rec_id'].dataType.simpleString()}, quote_id {quotes.schema['quote_id'].dataType.simpleString()}"
@@ -114,10 +117,16 @@ def anchor_match(candidate: str, anchor: str, window: int) -> tuple[float, int]:
     """The best likeness of an anchor to a window of a candidate and where it begins; (0, -1) if none has any."""
     if len(candidate) < window:
         return sequence_ratio(candidate, anchor), 0
-    best = (0.0, -1)
+    wanted = plain_letters(anchor)
+    matcher, best = SequenceMatcher(None, "", wanted), (0.0, -1)
     for i in range(len(candidate) - window + 1):
-        if (score := sequence_ratio(candidate[i : i + window], anchor)) > best[0]:
-            best = (score, i)
+        said = plain_letters(candidate[i : i + window])
+        # The longest common subsequence bounds the likeness, and is far quicker found.
+        size = len(wanted) + len(said)
+        if not size or 2.0 * common_subsequence(wanted, said) / size > best[0]:
+            matcher.set_seq1(said)
+            if (score := matcher.ratio()) > best[0]:
+                best = (score, i)
     return best
 
 

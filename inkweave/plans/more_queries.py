@@ -13,7 +13,7 @@ from inkweave.functions.geometry import css_color, svg_circle, svg_square, svg_t
 from inkweave.functions.merging import upto
 from inkweave.functions.text import answer_key, parsed_answer, rendered
 from inkweave.operators.detections import clip_name, clip_samples, coarse_to_fine, sample_windows, strongest_frames
-from inkweave.operators.keyed import rows_not_in, shared_tokens
+from inkweave.operators.keyed import rows_not_in, shared_tokens, top_per_key
 from inkweave.operators.records import action_flags, collected_traces, decisions_of, idea_records, item_summaries, relevant_context
 from inkweave.operators.sequences import laid_out
 from inkweave.plans.event_queries import ITEMS_SQL, _detections, _groups, _items, _micros
@@ -27,8 +27,10 @@ def references_in_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What references said in chat sessions mean: their items come from the events, the references from their number."""
     events = table(spark, sf_dir, "actor_events").where("session_id is not null and item_id is not null and event_id is not null")
     once = events.groupBy("session_id", "item_id").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
-    shown = once.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("first", "item_id"))).alias("rows"), F.max_by("item_id", "last").alias("last_item"))
-    listed = F.slice("rows.item_id", 1, 5)
+    few = top_per_key(once, ["session_id"], 5, F.asc("first"), F.asc("item_id"))  # no more are ever shown, so no more are gathered
+    shown = few.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("first", "item_id"))).alias("rows"))
+    shown = shown.join(once.groupBy("session_id").agg(F.max_by("item_id", "last").alias("last_item")), "session_id")
+    listed = F.col("rows.item_id")
     said = ["", "the first one", "show me the SECOND", "3rd please", "last", "no such thing"]
     refs = F.array(*map(F.lit, said), F.concat(F.lit("item "), F.upper(F.col("last_item"))), F.lower("last_item"))
     rows = shown.select("session_id", "last_item", listed.alias("listed"), F.posexplode(refs).alias("n", "ref"))

@@ -114,9 +114,9 @@ def json_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five regions as YAML documents, read again."""
+    """Regions as YAML documents, a file each, read again."""
     folder = scratch(spark, "yaml")
-    for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").limit(100).collect():
+    for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").toLocalIterator():
         files.write_yaml(spark, f"{folder}/region_{r.r_regionkey}.yaml", {"name": r.r_name, "keys": [r.r_regionkey, None]})
     found = files.read_yaml(spark, folder)
     return _kept(found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.get_json_object("value", "$.name").alias("name"), F.get_json_object("value", "$.keys[0]").cast("long").alias("k")), folder)

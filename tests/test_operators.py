@@ -245,6 +245,7 @@ def test_alignment_by_hand():
     assert transcripts.aligned(words, text(20, 30), 10_000, 30_000, rounds=1, window=20)[:2] == (11_500, 30_000)
     # Steps shrink: of three rounds the second takes two thirds of 1,500 ms.
     assert transcripts.aligned(words, text(20, 30), 10_000, 30_000, rounds=3, window=20)[0] == 10_000 + 1_500 + 1_000 + 500
+    assert transcripts.anchor_match("." * 30, "..", 20) == (1.0, 0) and transcripts.anchor_match("a" * 30, "zz", 20) == (0.0, -1)
     # Starts don't go below 0; what fits is left alone, in one round.
     assert transcripts.aligned(words, text(0, 30), 500, 9_000, rounds=1)[0] == 0
     assert transcripts.aligned(words, text(10, 20), 10_000, 20_000)[:2] == (10_000, 20_000) and transcripts.aligned(words, text(10, 20), 10_000, 20_000)[3] == 1
