@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import cache, lru_cache
 from math import ceil
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +35,46 @@ def rare_tokens(contexts: DataFrame, key: str, text: str, frequency: DataFrame,
     return counted.select(key, "position", "token", "n", F.row_number().over(order).alias("rank"))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """By recording into as many partitions as the session has for shuffles: the frames are small, but comparing their texts is slow, so they mustn't be merged into few tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id")
+def _by_recording(
+    words: DataFrame, members: list[str], asked: DataFrame, wanted: list[str], schema: str, answers: Callable[[list[tuple], list[tuple]], Iterable[tuple]]
+) -> DataFrame:
+    """What ``answers`` gives for each recording's rows of ``words`` (in the order of ``idx``) and of ``asked``: rows ``rec_id`` and then as in ``schema``.
+
+    A recording's rows are one array: it is as long as one recording, however many there are. The arrays are few rows that take
+    long, so they are spread over as many tasks as the session has for shuffles.
+    """
+    said = words.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("idx", *members))).alias("said"))
+    rows = asked.groupBy("rec_id").agg(F.collect_list(F.struct(*wanted)).alias("asked")).join(said, "rec_id", "left")
+    rows = rows.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id").select("rec_id", "said", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
+                keys, out = [], []
+                said_of, asked_of = (lists_of(part.column(i), names) for i, names in ((1, members), (2, wanted)))
+                for n, key in enumerate(part.column(0).to_pylist()):
+                    for row in answers(said_of(n), asked_of(n)):
+                        keys.append(key)
+                        out.append(row)
+                if out:
+                    columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, part.schema.field(0).type), *columns], ["rec_id", *names_out])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(schema).fields
+    kinds, names_out = [to_arrow_type(f.dataType) for f in fields], [f.name for f in fields]
+    return rows.mapInArrow(run, f"rec_id {rows.schema['rec_id'].dataType.simpleString()}, {schema}")
+
+
+def lists_of(column: pa.ListArray, names: list[str]) -> Callable[[int], list[tuple]]:
+    """The rows of each list of structs, as tuples of some members."""
+    first = column.offsets[0].as_py() if len(column) else 0
+    ends = [0 if e is None else e - first for e in column.offsets.to_pylist()]
+    values = column.values.slice(first)
+    members = [values.field(n).to_pylist() for n in names]
+    return lambda n: list(zip(*(m[ends[n] : ends[n + 1]] for m in members)))
 
 
 def _normal(text: str) -> str:
@@ -102,15 +140,14 @@ def locate_quotes(words: DataFrame, quotes: DataFrame, least: float = 70.0) -> D
     recording's words are one group: it is as long as one recording, however many there are.
     """
 
-    def run(key: tuple, said: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        said = said.sort_values("idx")
-        rows = list(zip(said.text.fillna(""), said.start, said.end))
-        plain = [_normal(w[0]) for w in rows]
-        found = [(*key, q.quote_id, *(best_span(rows, q.quote or "", least, plain=plain) or (None, None, None))) for q in asked.itertuples()]
-        return pd.DataFrame(found, columns=["rec_id", "quote_id", "start", "end", "score"])
+    def answers(said: list[tuple], asked: list[tuple]) -> Iterator[tuple]:
+        rows = [(t or "", start, end) for t, start, end in said]
+        plain = [_normal(t) for t, _, _ in rows]
+        for number, quote in asked:
+            yield (number, *(best_span(rows, quote or "", least, plain=plain) or (None, None, None)))
 
-    kinds = f"rec_id {words.schema['rec_id'].dataType.simpleString()}, quote_id {quotes.schema['quote_id'].dataType.simpleString()}"
-    return _spread(words).groupBy("rec_id").cogroup(_spread(quotes).groupBy("rec_id")).applyInPandas(run, f"{kinds}, start double, end double, score double")
+    schema = f"quote_id {quotes.schema['quote_id'].dataType.simpleString()}, start double, end double, score double"
+    return _by_recording(words, ["text", "start", "end"], quotes, ["quote_id", "quote"], schema, answers)
 
 
 def anchor_match(candidate: str, anchor: str, window: int) -> tuple[float, int]:
@@ -186,14 +223,13 @@ def align_clips(words: DataFrame, clips: DataFrame) -> DataFrame:
     ``words`` has ``rec_id, idx, text, start_ms, end_ms``, ``clips`` has ``rec_id, clip_id, target, start_ms, end_ms``.
     """
 
-    def run(key: tuple, said: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        said = said.sort_values("idx")
-        rows = list(zip(said.text.fillna(""), said.start_ms, said.end_ms))
-        found = [(*key, c.clip_id, *aligned(rows, c.target or "", int(c.start_ms), int(c.end_ms))) for c in wanted.itertuples()]
-        return pd.DataFrame(found, columns=["rec_id", "clip_id", "start_ms", "end_ms", "score", "rounds"])
+    def answers(said: list[tuple], wanted: list[tuple]) -> Iterator[tuple]:
+        rows = [(t or "", start, end) for t, start, end in said]
+        for number, target, start, end in wanted:
+            yield (number, *aligned(rows, target or "", int(start), int(end)))
 
-    kinds = f"rec_id {words.schema['rec_id'].dataType.simpleString()}, clip_id {clips.schema['clip_id'].dataType.simpleString()}"
-    return _spread(words).groupBy("rec_id").cogroup(_spread(clips).groupBy("rec_id")).applyInPandas(run, f"{kinds}, start_ms long, end_ms long, score double, rounds int")
+    schema = f"clip_id {clips.schema['clip_id'].dataType.simpleString()}, start_ms long, end_ms long, score double, rounds int"
+    return _by_recording(words, ["text", "start_ms", "end_ms"], clips, ["clip_id", "target", "start_ms", "end_ms"], schema, answers)
 
 
 @lru_cache(1 << 12)
@@ -280,14 +316,13 @@ def locate_contexts(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     ``rows`` has ``rec_id, idx, text, start, end``, ``contexts`` has ``rec_id, context_id, context``.
     """
 
-    def run(key: tuple, said: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        said = said.sort_values("idx")
-        lines = list(zip(said.text.fillna(""), said.start, said.end))
-        out = [(*key, c.context_id, *guess_time(lines, c.context or "")) for c in asked.itertuples()]
-        return pd.DataFrame(out, columns=["rec_id", "context_id", "start", "end", "tier"])
+    def answers(said: list[tuple], asked: list[tuple]) -> Iterator[tuple]:
+        lines = [(t or "", start, end) for t, start, end in said]
+        for number, context in asked:
+            yield (number, *guess_time(lines, context or ""))
 
-    kinds = f"rec_id {rows.schema['rec_id'].dataType.simpleString()}, context_id {contexts.schema['context_id'].dataType.simpleString()}"
-    return _spread(rows).groupBy("rec_id").cogroup(_spread(contexts).groupBy("rec_id")).applyInPandas(run, f"{kinds}, start double, end double, tier string")
+    schema = f"context_id {contexts.schema['context_id'].dataType.simpleString()}, start double, end double, tier string"
+    return _by_recording(rows, ["text", "start", "end"], contexts, ["context_id", "context"], schema, answers)
 
 
 def likest_row(texts: pd.Series, target: str) -> int:
@@ -296,12 +331,14 @@ def likest_row(texts: pd.Series, target: str) -> int:
     return max(range(len(scores)), key=lambda i: (scores[i], -i)) if scores else -1
 
 
-def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Segments of recordings as words with times in equal parts of their segment."""
-    for batch in batches:
-        out = []
-        for r in batch.itertuples():
-            said = (r.text or "").split()
-            part = (r.end - r.start) / max(1, len(said))
-            out += [(r.rec_id, (r.idx << 32) + i, w, r.start + i * part, r.start + (i + 1) * part) for i, w in enumerate(said) if plain_letters(w)]
-        yield pd.DataFrame(out, columns=["rec_id", "idx", "text", "start", "end"])
+#: White space as Python knows it.
+_GAP = r"(?U)[\s\x1c-\x1f]+"
+
+
+def words_of(segments: DataFrame) -> DataFrame:
+    """Segments of recordings (``rec_id, idx, text, start, end``) as words with times in equal parts of their segment; words without an ASCII letter or digit are left out."""
+    said = F.array_remove(F.split("text", _GAP), "")
+    part = (F.col("end") - F.col("start")) / F.greatest(F.size(said), F.lit(1))
+    words = segments.where("text is not null").select("rec_id", "idx", "start", part.alias("part"), F.posexplode(said).alias("i", "word"))
+    words = words.where(F.lower("word").rlike("[a-z0-9]"))
+    return words.select("rec_id", (F.shiftleft(F.col("idx").cast("long"), 32) + F.col("i")).alias("idx"), F.col("word").alias("text"), (F.col("start") + F.col("i") * F.col("part")).alias("start"), (F.col("start") + (F.col("i") + 1) * F.col("part")).alias("end"))

@@ -120,7 +120,7 @@ def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recordings(spark, sf_dir).mapInPandas(words_of, "rec_id long, idx long, text string, start double, end double")
+    return words_of(_recordings(spark, sf_dir))
 
 
 def span_search(spark: SparkSession, sf_dir: str) -> DataFrame:

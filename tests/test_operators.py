@@ -251,9 +251,10 @@ def test_alignment_by_hand():
     assert transcripts.aligned(words, text(10, 20), 10_000, 20_000)[:2] == (10_000, 20_000) and transcripts.aligned(words, text(10, 20), 10_000, 20_000)[3] == 1
 
 
-def test_long_segments_keep_their_words_in_order():
-    words = next(transcripts.words_of([pd.DataFrame([(1, 0, "a " * 12_000, 0.0, 1.0), (1, 1, "b", 1.0, 2.0)], columns=["rec_id", "idx", "text", "start", "end"])]))
-    assert list(words.sort_values("idx").text)[-1] == "b" and words.idx.is_unique
+def test_long_segments_keep_their_words_in_order(spark):
+    segments = spark.createDataFrame([(1, 0, "a " * 12_000, 0.0, 1.0), (1, 1, " b\x1cc -- ", 1.0, 2.0), (1, 2, None, 2.0, 3.0)], "rec_id long, idx int, text string, start double, end double")
+    words = transcripts.words_of(segments).orderBy("idx").collect()
+    assert [w.text for w in words[-2:]] == ["b", "c"] and len({w.idx for w in words}) == 12_002 and (words[-1].start, words[-1].end) == (1 + 1 / 3, 1 + 2 / 3)
 
 
 def test_circles_and_deep_chains(spark):
