@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from difflib import SequenceMatcher
 
@@ -125,9 +126,12 @@ def run_label(at: Column | str, key: Column | str) -> Column:
     return F.concat(F.date_format(_col(at), "'Run' MMM dd yyyy hh:mm a"), F.lit(" ("), F.left(_col(key), F.lit(6)), F.lit(")"))
 
 
+_NOT_PLAIN = re.compile("[^a-z0-9]+")
+
+
 def plain_letters(text: str) -> str:
     """A text's ASCII letters and digits in lower case."""
-    return "".join(c for c in text.lower() if c.isascii() and c.isalnum())
+    return _NOT_PLAIN.sub("", text.lower())
 
 
 def sequence_ratio(a: str, b: str) -> float:

@@ -45,7 +45,8 @@ def _by_recording(
     """
     said = words.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("idx", *members))).alias("said"))
     rows = asked.groupBy("rec_id").agg(F.collect_list(F.struct(*wanted)).alias("asked")).join(said, "rec_id", "left")
-    rows = rows.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id").select("rec_id", "said", "asked")
+    # By a hash: Spark leaves out a repartition by the grouping's own key, and merges its tasks.
+    rows = rows.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("rec_id")).select("rec_id", "said", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,10 +151,14 @@ def locate_quotes(words: DataFrame, quotes: DataFrame, least: float = 70.0) -> D
     return _by_recording(words, ["text", "start", "end"], quotes, ["quote_id", "quote"], schema, answers)
 
 
+#: Short texts are their own windows, so that the same two are asked for several times in a row.
+_ratio = lru_cache(64)(sequence_ratio)
+
+
 def anchor_match(candidate: str, anchor: str, window: int) -> tuple[float, int]:
     """The best likeness of an anchor to a window of a candidate and where it begins; (0, -1) if none has any."""
     if len(candidate) < window:
-        return sequence_ratio(candidate, anchor), 0
+        return _ratio(candidate, anchor), 0
     wanted = plain_letters(anchor)
     matcher, best = SequenceMatcher(None, "", wanted), (0.0, -1)
     for i in range(len(candidate) - window + 1):
@@ -175,10 +180,10 @@ def edge_action(edge: float, anchored: float, delta: float = 0.15) -> str:
 def judged(candidate: str, target: str, window: int = 80, delta: float = 0.1) -> dict:
     """How like a clip's text is to its target: overall, at both ends, and what to do with each end."""
     head, tail = target[:window], target[-window:]
-    first, last = sequence_ratio(candidate[:window], head), sequence_ratio(candidate[-window:], tail)
+    first, last = _ratio(candidate[:window], head), _ratio(candidate[-window:], tail)
     best_first, best_last = anchor_match(candidate, head, window)[0], anchor_match(candidate, tail, window)[0]
     return {
-        "overall": sequence_ratio(candidate, target), "start_score": first, "end_score": last, "start_best": best_first, "end_best": best_last,
+        "overall": _ratio(candidate, target), "start_score": first, "end_score": last, "start_best": best_first, "end_best": best_last,
         "start_action": edge_action(first, best_first, delta), "end_action": edge_action(last, best_last, delta),
     }
 
