@@ -43,10 +43,11 @@ def _by_recording(
     A recording's rows are one array: it is as long as one recording, however many there are. The arrays are few rows that take
     long, so they are spread over as many tasks as the session has for shuffles.
     """
-    said = words.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("idx", *members))).alias("said"))
-    rows = asked.groupBy("rec_id").agg(F.collect_list(F.struct(*wanted)).alias("asked")).join(said, "rec_id", "left")
-    # By a hash: Spark leaves out a repartition by the grouping's own key, and merges its tasks.
-    rows = rows.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("rec_id")).select("rec_id", "said", "asked")
+    # Spread before they are grouped, the rows are shuffled once; a shuffle that Spark itself adds would be merged into few tasks.
+    spread = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec_id")
+    said = spread(words.select("rec_id", "idx", *members)).groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("idx", *members))).alias("said"))
+    rows = spread(asked.select("rec_id", *wanted)).groupBy("rec_id").agg(F.collect_list(F.struct(*wanted)).alias("asked")).join(said, "rec_id", "left")
+    rows = rows.select("rec_id", "said", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
